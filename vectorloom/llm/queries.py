@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
-from .license_scan import BASE, license_scan
+from .license_scan import license_scan
+from .media import media_columns
+from .packing import pack
 from .simhash import simhash_neardup
+from .substring_dedup import repeated_spans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +30,31 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(_table(spark, sf_dir, "documents")).drop("rid")
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(_table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path(), size=4096)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_license": op2_license,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_substring": op4_substring,
+    "op9_media": op9_media,
+    "op10_packing": op10_packing,
 }
 
 SQL: dict[str, str] = {
