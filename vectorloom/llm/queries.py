@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_dedup
 from .license_scan import license_scan
 from .media import media_columns
+from .mixing import mix, mixing_sql
 from .packing import pack
+from .quality import resample
 from .simhash import simhash_neardup
 from .substring_dedup import repeated_spans
+from .toxicity import toxicity
+from .warc import capture_history
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +38,22 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(_table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture_history(_table(spark, sf_dir, "pages"), min_bytes=0)
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_table(spark, sf_dir, "documents"))
 
@@ -53,11 +73,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license": op2_license,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_substring": op4_substring,
+    "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
+    "op7_warc": op7_warc,
+    "op8_mixing": op8_mixing,
     "op9_media": op9_media,
     "op10_packing": op10_packing,
 }
 
 SQL: dict[str, str] = {
+    "op8_mixing": mixing_sql(),
     "op3_exact_dedup": r"""
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS norm, length(coalesce(text, '')) AS n FROM documents)
         SELECT doc_id,
