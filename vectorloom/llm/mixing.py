@@ -8,8 +8,8 @@ that makes the largest ratio 1: nothing is repeated, and the expected tokens kep
 have the target marginals. A document stays if a hash of its id falls under it.
 
 Targets default to shares raised to ALPHA, which flattens large sources. The cells
-are a table like any other: each step is a grouped sum and a join, checkpointed
-once a round, so their number may grow with the sources. Without a topic column,
+are a table like any other: each step is a grouped sum and a join, written to the
+checkpoint folder, so their number may grow with the sources. Without a topic column,
 the topic is the register of the whole text: table, shout, symbols, numbers or
 prose.
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ALPHA, ROUNDS = 0.85, 8
+ALPHA, ROUNDS = 0.85, 5
 DIMS = ("source", "lang", "topic")
 
 
@@ -71,8 +71,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
         for d in DIMS:
             sums = now.groupBy(d).agg(F.sum("weight").alias("was"))
             factor = sums.join(aims[d], d, "left").select(d, F.when(F.col("was") > 0, F.coalesce("target", F.lit(0.0)) / F.col("was")).otherwise(0.0).alias("factor"))
-            now = now.join(factor, d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        now = now.checkpoint()
+            now = now.join(factor, d).select(*DIMS, "tokens", (F.col("weight") * F.col("factor")).alias("weight")).checkpoint()
     return now
 
 
