@@ -132,6 +132,8 @@ class Scorer:
         return complex(float(self.share[g].sum()), len(g))
 
     def of(self, text: str) -> float:
+        if self.bias == -np.inf:
+            return 0.0
         words, known = set(_WORDS(text.lower())), self.known
         missing = words.difference(known)
         if len(known) + len(missing) > _KEPT:
