@@ -8,8 +8,9 @@ that makes the largest ratio 1: nothing is repeated, and the expected tokens kep
 have the target marginals. A document stays if a hash of its id falls under it.
 
 Targets default to shares raised to ALPHA, which flattens large sources. The cells
-are a table like any other: each step is a grouped sum and a join, written to the
-checkpoint folder, so their number may grow with the sources. Without a topic column,
+are a table like any other, and each step is a sum over those that share a value: a
+window over cells, which are one row per source, language and topic whatever the
+number of documents, and which spills. Without a topic column,
 the topic is the register of the whole text: table, shout, symbols, numbers or
 prose.
 
@@ -21,9 +22,11 @@ hashed as such; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 ALPHA, ROUNDS = 0.85, 5
 DIMS = ("source", "lang", "topic")
 
@@ -66,13 +69,15 @@ def targets_of(cells: DataFrame, alpha: float = ALPHA) -> dict[str, DataFrame]:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """cells (source, lang, topic, tokens) with a column weight whose marginals are the targets'; cells without tokens get 0."""
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
-    aims = {d: t.select(F.col("value").alias(d), "target").checkpoint() for d, t in targets.items()}
+    aims = {d: t.select(F.col("value").alias(d), F.col("target").alias(f"{d}_target")) for d, t in targets.items()}
+    for d in DIMS:
+        now = now.join(aims[d], d, "left")
+    now = now.checkpoint()
     for _ in range(rounds):
         for d in DIMS:
-            sums = now.groupBy(d).agg(F.sum("weight").alias("was"))
-            factor = sums.join(aims[d], d, "left").select(d, F.when(F.col("was") > 0, F.coalesce("target", F.lit(0.0)) / F.col("was")).otherwise(0.0).alias("factor"))
-            now = now.join(factor, d).select(*DIMS, "tokens", (F.col("weight") * F.col("factor")).alias("weight")).checkpoint()
-    return now
+            was = F.sum("weight").over(Window.partitionBy(d))
+            now = now.withColumn("weight", F.when(was > 0, F.col("weight") * F.coalesce(f"{d}_target", F.lit(0.0)) / was).otherwise(0.0))
+    return now.select(*DIMS, "tokens", "weight").checkpoint()
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, alpha: float = ALPHA) -> DataFrame:
@@ -80,7 +85,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     targets: for source, lang and topic a table (value, target) of shares that sum to 1.
     """
-    rows = _prepared(docs, id_col, text_col, source_col, lang_col, topic_col)
+    rows = stored(_prepared(docs, id_col, text_col, source_col, lang_col, topic_col), "mix-rows")  # texts are read once
     cells = rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")).checkpoint()
     raked = rake(cells, targets or targets_of(cells, alpha), rounds)
     ratio = raked.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")))
