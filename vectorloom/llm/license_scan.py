@@ -121,3 +121,28 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         labels("label").alias("labels"),
         F.coalesce(F.max("share"), F.lit(0.0)).alias("score"),
     ).drop("rid")
+
+
+def license_sql() -> str:
+    """The same in DuckDB SQL over a table documents."""
+    rows, heads = [], []
+    for i, (phrase, label, base) in enumerate([(p, l, True) for p, l in BASE.items()] + [(p, l, False) for p, l in NOTICES.items()]):
+        words = phrase.split(" ")
+        rows += [(a, b, i, t) for t, (a, b) in enumerate(zip(words, words[1:]))]
+        heads.append((i, label, base, len(words)))
+    values = lambda x: ", ".join(map(repr, x))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+        WITH t AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{SEPARATORS}'), lambda x: x <> '') AS w FROM documents),
+        pairs(a, b, template, t) AS (VALUES {values(rows)}),
+        heads(template, label, base, len) AS (VALUES {values(heads)}),
+        g AS (SELECT rid, p1 - 1 AS p, w[p1] AS a, w[p1 + 1] AS b FROM (SELECT rid, w, unnest(range(1, len(w))) AS p1 FROM t)),
+        d AS (SELECT rid, template, p - t AS diagonal, bit_or(1::BIGINT << t) AS votes, min(p) AS first_word FROM g JOIN pairs USING (a, b) GROUP BY ALL),
+        h AS (SELECT * FROM d JOIN heads USING (template)),
+        e AS (SELECT rid, label, base, diagonal AS start, 1.0::DOUBLE AS share FROM h WHERE base AND bit_count(votes) = len - 1),
+        i AS (SELECT *, coalesce((diagonal - lag(diagonal) OVER w > {SLACK})::INT, 0) AS apart FROM h WHERE NOT base WINDOW w AS (PARTITION BY rid, template ORDER BY diagonal)),
+        j AS (SELECT *, sum(apart) OVER (PARTITION BY rid, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS island FROM i),
+        n AS (SELECT rid, label, base, min(first_word) AS start, bit_count(bit_or(votes)) / (any_value(len) - 1)::DOUBLE AS share FROM j GROUP BY rid, template, label, base, island HAVING share >= {COVERAGE}),
+        s AS (SELECT rid, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(share) AS score FROM (SELECT * FROM e UNION ALL SELECT * FROM n) GROUP BY rid)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+        FROM t LEFT JOIN s USING (rid)"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
-from .license_scan import license_scan
+from .license_scan import license_scan, license_sql
 from .media import media_columns
 from .mixing import mix, mixing_sql
 from .packing import pack
@@ -81,8 +81,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
+#: Twenty bits, five hexadecimal digits, are four signs of base 32.
+_SIGNS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, {5 * g + 1}, 5))::INT >> {5 * (3 - i)} & 31) + 1, 1)" for g in range(8) for i in range(4))
+_WARC_SQL = rf"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS x, sha1(coalesce(html, '')) AS h, coalesce(url, '') AS url FROM pages),
+    k AS (SELECT *, regexp_replace(regexp_extract(url, '^https?://([^/?#:]*)', 1), '^www\.', '') AS host, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*(\?[^#]+)', 1) AS query, max(page_id) OVER (PARTITION BY x) AS last FROM p)
+    SELECT page_id, strlen(x) AS payload_bytes, {_SIGNS} AS payload_digest,
+           CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> last THEN last END AS refers_to,
+           lower(array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || query) AS url_key,
+           strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS warc_date
+    FROM k"""
+
 SQL: dict[str, str] = {
+    "op2_license": license_sql(),
+    "op7_warc": _WARC_SQL,
     "op8_mixing": mixing_sql(),
+
     "op3_exact_dedup": r"""
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS norm, length(coalesce(text, '')) AS n FROM documents)
         SELECT doc_id,
