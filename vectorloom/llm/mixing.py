@@ -3,9 +3,10 @@
 Tokens (words between ASCII white space) are summed in cells of source, language
 and topic. Raking multiplies the cells' weights so that the marginals of source,
 language and topic match their targets in turn, ROUNDS times. A document's
-probability is the ratio of its cell's weight to the cell's tokens, times a scale
-that makes the largest ratio 1: nothing is repeated, and the expected tokens kept
-have the target marginals. A document stays if a hash of its id falls under it.
+probability is the ratio of its cell's weight to the cell's share of tokens, times a
+scale, and 1 at most: nothing is repeated, and a cell short of supply gives all it
+has. STEPS corrections of the scale bring the expected tokens kept to KEEP of all. A
+document stays if a hash of its id falls under its probability.
 
 Targets default to shares raised to ALPHA, which flattens large sources. The cells
 are a table like any other, and each step is a sum over those that share a value: a
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-ALPHA, ROUNDS = 0.85, 5
+ALPHA, ROUNDS, KEEP, STEPS = 0.85, 5, 0.8, 6
 DIMS = ("source", "lang", "topic")
 
 
@@ -80,17 +81,22 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     return now.select(*DIMS, "tokens", "weight").checkpoint()
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, alpha: float = ALPHA) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, alpha: float = ALPHA, keep: float = KEEP) -> DataFrame:
     """One row per row: doc_id, source, lang, topic, n_tokens, probability, kept.
 
     targets: for source, lang and topic a table (value, target) of shares that sum to 1.
+    keep: share of all tokens to be kept.
     """
     rows = stored(_prepared(docs, id_col, text_col, source_col, lang_col, topic_col), "mix-rows")  # texts are read once
     cells = rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")).checkpoint()
     raked = rake(cells, targets or targets_of(cells, alpha), rounds)
-    ratio = raked.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")))
-    most = ratio.agg(F.max("ratio").alias("most"))
-    chance = ratio.crossJoin(F.broadcast(most)).select(*DIMS, F.coalesce(F.round(F.col("ratio") / F.col("most"), 9), F.lit(1.0)).alias("probability"))  # one row
+    total = raked.agg(F.sum("tokens").alias("total"))
+    ratio = raked.crossJoin(F.broadcast(total)).select(*DIMS, "tokens", F.when(F.col("tokens") > 0, F.col("weight") * F.col("total") / F.col("tokens")).alias("ratio"))  # one row joined
+    chance = F.least(F.lit(1.0), keep * F.col("scale") * F.col("ratio"))
+    scale = docs.sparkSession.range(1).select(F.lit(1.0).alias("scale"))
+    for _ in range(STEPS):
+        scale = ratio.crossJoin(F.broadcast(scale)).groupBy().agg((F.max("scale") * keep * F.sum("tokens") / F.sum(F.col("tokens") * chance)).alias("scale"))
+    chance = ratio.crossJoin(F.broadcast(scale)).select(*DIMS, F.coalesce(F.round(chance, 9), F.lit(1.0)).alias("probability"))
     # A cell may hold a third of all rows: documents are dealt over salts, and each cell's row is there once a salt.
     salts = 16
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
@@ -99,7 +105,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return found.select("doc_id", *DIMS, "n_tokens", "probability", (u < F.col("probability")).alias("kept"))
 
 
-def mixing_sql(alpha: float = ALPHA, rounds: int = ROUNDS) -> str:
+def mixing_sql(alpha: float = ALPHA, rounds: int = ROUNDS, keep: float = KEEP) -> str:
     """The same in DuckDB SQL over a table documents, with the default targets."""
     share = lambda signs: f"(length(x) - length(translate(x, '{signs}', ''))) / greatest(length(x), 1)"
     topic = f"CASE WHEN {share('|')} > 0.02 THEN 'table' WHEN {share('ABCDEFGHIJKLMNOPQRSTUVWXYZ')} > 0.3 THEN 'shout' WHEN {share('%$#*&!')} > 0.05 THEN 'symbols' WHEN {share('0123456789')} > 0.02 THEN 'numbers' ELSE 'prose' END"
@@ -114,7 +120,11 @@ def mixing_sql(alpha: float = ALPHA, rounds: int = ROUNDS) -> str:
     steps = [d for _ in range(rounds) for d in DIMS]
     for i, d in enumerate(steps):
         parts.append(f"w{i + 1} AS MATERIALIZED (SELECT w.source, w.lang, w.topic, w.tokens, CASE WHEN s.was > 0 THEN w.weight * coalesce(a.target, 0) / s.was ELSE 0 END AS weight FROM w{i} w JOIN (SELECT {d}, sum(weight) AS was FROM w{i} GROUP BY {d}) s USING ({d}) LEFT JOIN a_{d} a USING ({d}))")
-    parts.append(f"p AS (SELECT source, lang, topic, coalesce(round(weight / tokens / max(CASE WHEN tokens > 0 THEN weight / tokens END) OVER (), 9), 1.0) AS probability FROM w{len(steps)})")
+    parts.append(f"k AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN tokens > 0 THEN weight * (sum(tokens) OVER ()) / tokens END AS ratio FROM w{len(steps)})")
+    parts.append("s0 AS (SELECT 1.0::DOUBLE AS scale)")
+    for i in range(STEPS):
+        parts.append(f"s{i + 1} AS MATERIALIZED (SELECT max(scale) * {keep} * sum(tokens) / sum(tokens * least(1.0, {keep} * scale * ratio)) AS scale FROM k, s{i})")
+    parts.append(f"p AS (SELECT source, lang, topic, CASE WHEN ratio IS NULL THEN 1.0 ELSE round(least(1.0, {keep} * scale * ratio), 9) END AS probability FROM k, s{STEPS})")
     return f"""WITH {', '.join(parts)}
         SELECT r.doc_id, r.source, r.lang, r.topic, r.n_tokens, probability,
                CAST('0x' || substr(md5(coalesce(r.doc_id::VARCHAR, 'null')), 1, 12) AS BIGINT) / 281474976710656.0 < probability AS kept
