@@ -1,11 +1,11 @@
 """Best-fit packing into fixed sequences, online with bounded space.
 
-Each task tokenizes its documents, cuts those longer than a sequence into whole
-sequences and a rest, and places pieces online: OPEN bins at most are open, kept in
-lists by free space; a bitset over the free sizes finds the tightest bin that fits
-by one shift and one lowest-bit operation. When a new bin is needed and OPEN are
-open, the fullest closes first. A task's open bins are packed to the end and then
-closed, so a task adds at most one poorly filled sequence.
+Documents are tokenized where they are read; those longer than a sequence are cut
+into whole sequences and a rest. The pieces, without texts, are dealt into lots of a
+bounded number, and a task places a lot's pieces online: OPEN bins at most are open,
+kept in lists by free space; a bitset over the free sizes finds the tightest bin
+that fits by one shift and one lowest-bit operation. When a new bin is needed and
+OPEN are open, the fullest closes first. Large lots leave few bins partly filled.
 
 Tokens are those of the tokenizer over the whole text. Since it drops white space,
 text is tokenized by the words it cuts, whose ids are kept in a bounded table; the
@@ -27,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIZE, OPEN, END = 4096, 512, 1
+from .common import stored
+
+SIZE, OPEN, END, LOT = 4096, 512, 1, 100_000
 KEPT, PART_CHARS = 400_000, 64
 
 
@@ -129,37 +131,51 @@ class Ids:
         return b"".join([self._plain(w) if _PLAIN(w) and "<|" not in w else self.whole(w) for w in _SPACE(text) if w])
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, most_open: int = OPEN, end_id: int = END, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and with with_ids the ids (little-endian uint32).
-
-    tokenizer: path of a tokenizer file, found at the same place on all executors.
-    """
+def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end_id: int = END, with_ids: bool = False) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, and with with_ids the ids (little-endian uint32)."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         import os
 
-        from pyspark import TaskContext
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        base = TaskContext.get().partitionId() << 40
-        of, bins = Ids(tokenizer), BestFit(size, most_open)
+        of = Ids(tokenizer)
         for b in batches:
             at, out, bodies = [], [], []
             for i, text in enumerate(b.column(1)):
                 ids = of.text(text.as_py()) + end
                 for piece, lo in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[lo : lo + 4 * size]
-                    own, offset = bins.place(len(part) // 4)
                     at.append(i)
-                    out.append((piece, lo // 4, len(part) // 4, zlib.crc32(part), base | own, offset))
+                    out.append((piece, lo // 4, len(part) // 4, zlib.crc32(part)))
                     if with_ids:
                         bodies.append(part)
-            cols = np.array(out, np.int64).reshape(-1, 6)
-            arrays = [b.column(0).take(pa.array(at, pa.int64())), pa.array(cols[:, 0].astype(np.int32)), *(pa.array(cols[:, k]) for k in range(1, 6))]
+            cols = np.array(out, np.int64).reshape(-1, 4)
+            arrays = [b.column(0).take(pa.array(at, pa.int64())), pa.array(cols[:, 0].astype(np.int32)), *(pa.array(cols[:, k]) for k in (1, 2, 3))]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(bodies, pa.binary())] if with_ids else []), names)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * with_ids)
+    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+
+
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, most_open: int = OPEN, end_id: int = END, with_ids: bool = False, lot: int = LOT) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and with with_ids the ids.
+
+    tokenizer: path of a tokenizer file, found at the same place on all executors.
+    lot: pieces that one task packs, about.
+    """
+    pieces = stored(tokenized(docs, tokenizer, id_col, text_col, size, end_id, with_ids), "pieces")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema] + ["sequence_id long", "offset long"]
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        base, bins = TaskContext.get().partitionId() << 40, BestFit(size, most_open)
+        for b in batches:
+            places = np.array([bins.place(n) for n in b.column(3).to_pylist()], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(places[:, 0] | base), pa.array(places[:, 1])], [*b.schema.names, "sequence_id", "offset"])
+
+    lots = max(1, round(pieces.count() / lot))
+    return pieces.repartition(lots).mapInArrow(run, ", ".join(fields))
