@@ -22,7 +22,7 @@ _VISITED = 1 << 26  # bytes of visited flags of a batch
 
 @dataclass
 class Adjacency:
-    """Padded rows of neighbours by position; -1 fills up."""
+    """Padded rows of neighbours by position, each once in its row; -1 fills up."""
 
     rows: np.ndarray
 
@@ -30,6 +30,7 @@ class Adjacency:
     def of(cls, ids: np.ndarray, src: np.ndarray, dst: np.ndarray, rank: np.ndarray) -> Adjacency:
         s, d = np.searchsorted(ids, src), np.searchsorted(ids, dst)
         order = np.lexsort((rank, s))
+        order = order[np.sort(np.unique(s[order].astype(np.int64) * max(1, len(ids)) + d[order], return_index=True)[1])]
         s, d = s[order], d[order]
         start = np.searchsorted(s, np.arange(len(ids)))
         place = np.arange(len(s)) - start[s]
@@ -59,11 +60,6 @@ def beam(q: np.ndarray, x: np.ndarray, graph: Adjacency, pool_i: np.ndarray, ef:
         done[rows, best[rows]] = True
         near = graph.rows[ids[rows, best[rows]]]
         fresh = (near >= 0) & ~visited[rows[:, None], near]
-        # A neighbour listed twice in a row counts once.
-        order = np.sort(near, 1)
-        if (order[:, 1:] == order[:, :-1])[order[:, 1:] >= 0].any():
-            for r in range(len(near)):
-                fresh[r] &= np.isin(np.arange(near.shape[1]), np.unique(near[r], return_index=True)[1])
         r, c = np.nonzero(fresh)
         if not len(r):
             continue
