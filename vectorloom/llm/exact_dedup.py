@@ -9,7 +9,8 @@ hash with more than one text is a collision and is told apart by the text itself
 Defined results: null text counts as empty; null ids sort last and are kept only
 when all ids of the group are null; rows repeated with the same id form a group of
 copies of which exactly one row has kept = true; an empty table gives no rows;
-other columns of the input are ignored, whatever their names.
+other columns of the input are ignored, whatever their names. The input is read
+twice and must give the same rows in the same partitions, as a stored table does.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ adaptive execution can split. No task holds a group of copies.
 Defined results: null and empty texts have no chunks and no spans; rows with null
 ids take part in counts but a null id never owns while another has the passage;
 rows repeated with the same id are each a copy of the other, and only their first
-places within a row count as kept; other columns are ignored.
+places within a row count as kept; other columns are ignored. The input is read more
+than once and must give the same rows in the same partitions, as a stored table does.
 """
 
 from __future__ import annotations
