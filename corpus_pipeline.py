@@ -13,13 +13,10 @@ from pyspark.sql import functions as F
 from vectorloom.llm.common import stored
 from vectorloom.llm.exact_dedup import exact_dedup
 from vectorloom.llm.mixing import mix
+from vectorloom.llm.near_copies import near_copies
 from vectorloom.llm.packing import pack
 from vectorloom.llm.quality import resample
 from vectorloom.llm.queries import tokenizer_path
-from vectorloom.llm.simhash import simhash_neardup
-
-#: Near copies link at this many of 64 bits: a few words in a hundred may differ.
-NEAR_BITS = 7
 
 
 def _keep(docs: DataFrame, decided: DataFrame) -> DataFrame:
@@ -43,8 +40,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id stays."""
-    found = simhash_neardup(docs, max_diff=NEAR_BITS)
+    """Of each component of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
+    found = near_copies(docs)
     return _keep(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
