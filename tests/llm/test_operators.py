@@ -219,6 +219,18 @@ def test_repeated_spans_match_plain(docs, empty, spark):
     assert substring_dedup.substring_dedup(docs).count() == len(awkward())
 
 
+def test_passages_of_fifty_words_are_found_wherever_they_stand(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(max(1, int(rng.gauss(5, 2)))))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows = []
+    for i in range(600):
+        passage = line(50 + i % 11)
+        rows += [(2 * i + k, f"{line(rng.randrange(15, 60))} {passage} {line(30)}") for k in range(2)]
+    found = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id for r in found} == set(range(1200))
+
+
 # --- 5 ---------------------------------------------------------------------
 
 

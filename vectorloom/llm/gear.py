@@ -38,13 +38,13 @@ def rolling(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def candidates(data: np.ndarray, bits: int) -> np.ndarray:
-    """Positions after which the hash allows a cut: one in 2**bits. Memory is bounded by blocks."""
+def candidates(data: np.ndarray, bits: int, window: int = WINDOW) -> np.ndarray:
+    """Positions after which the hash of the last `window` bytes allows a cut: one in 2**bits. Memory is bounded by blocks."""
     found = []
     for at in range(0, len(data), _BLOCK):
         lead = min(at, WINDOW - 1)
         h = rolling(data[at - lead : at + _BLOCK])[lead:]
-        found.append(np.flatnonzero(h >> np.uint32(32 - bits) == 0) + (at + 1))
+        found.append(np.flatnonzero((h << np.uint32(WINDOW - window)) >> np.uint32(32 - bits) == 0) + (at + 1))
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 

@@ -1,12 +1,12 @@
 """Substring de-duplication by content-defined chunks.
 
-A text is cut at spaces where a gear rolling hash over the last 32 bytes allows it
-(one space in eight, 16 to 128 bytes apart), so equal passages fall into equal
+A text is cut at spaces where a gear rolling hash over the last 16 bytes allows it
+(one space in two, 12 to 64 bytes apart), so equal passages fall into equal
 chunks wherever they stand. Chunks are counted by a 128-bit digest; the smallest
 doc_id that has a digest owns it, and its first place there stays. A run of
 adjoining repeated chunks is a repeated passage if it spans at least MIN_WORDS words:
-cuts lose up to a chunk and a hash window at either end, so passages of 50 words
-and more are found, and short common lines are left alone.
+cuts lose a hash window and some chunks at the ends, about an eighth of a passage of
+50 words, so those and longer ones are found, and short common lines are left alone.
 
 Digests are pre-aggregated before the shuffle, so a passage in a third of all texts
 costs one row for each task; chunk rows then meet their digest in a join that
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import stored
 from .gear import candidates, cut
 
-BITS, LEAST, MOST, MIN_WORDS = 3, 16, 128, 20
+BITS, LEAST, MOST, WINDOW, MIN_WORDS = 1, 12, 64, 16, 20
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 
@@ -40,7 +40,7 @@ def text_chunks(text: bytes, bits: int = BITS, least: int = LEAST, most: int = M
     data = np.frombuffer(text, np.uint8)
     if not len(data):
         return []
-    ends = candidates(data, bits)
+    ends = candidates(data, bits, WINDOW)
     ends = ends[_SPACES[data[ends - 1]]].tolist()
 
     def whole(at: int) -> int:
@@ -78,15 +78,15 @@ def _chunk_rows(docs: DataFrame, id_col: str, text_col: str, kind: str) -> DataF
             if at:
                 yield _batch(b, at, digests, starts, ends, words, first)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, rid long, d1 long, d2 long, start long, more long")
+    return rows.mapInArrow(run, f"doc_id {kind}, rid long, d1 long, d2 long, more long")
 
 
 def _batch(b, at, digests, starts, ends, words, first) -> pa.RecordBatch:
-    """more packs length, words and first: ((length * 256) + words) * 2 + first."""
+    """more packs start, length, words and first: ((start * 256 + length) * 256 + words) * 2 + first."""
     d = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
     start, at = np.array(starts, np.int64), pa.array(at, pa.int64())
-    more = ((np.array(ends, np.int64) - start) * 256 + np.array(words)) * 2 + np.array(first)
-    return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(start), pa.array(more)], ["doc_id", "rid", "d1", "d2", "start", "more"])
+    more = ((start * 256 + np.array(ends, np.int64) - start) * 256 + np.array(words)) * 2 + np.array(first)
+    return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(more)], ["doc_id", "rid", "d1", "d2", "more"])
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -99,8 +99,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks = _chunk_rows(docs, id_col, text_col, kind)
     twice = chunks.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc_id")).where("n > 1").select("d1", "d2", "first_doc_id")
     found = chunks.join(twice, ["d1", "d2"]).select(
-        "doc_id", "rid", "start", "first_doc_id",
-        (F.col("start") + F.shiftright("more", 9)).alias("end"),
+        "doc_id", "rid", F.shiftright("more", 17).alias("start"), "first_doc_id",
+        (F.shiftright("more", 17) + F.shiftright("more", 9).bitwiseAND(255)).alias("end"),
         F.shiftright("more", 1).bitwiseAND(255).alias("words"),
         (F.col("more").bitwiseAND(1) == 1).alias("first"),
     )
