@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.llm.common import stored
 from vectorloom.llm.exact_dedup import exact_dedup
-from vectorloom.llm.mixing import mix
+from vectorloom.llm.mixing import bounded_mix
 from vectorloom.llm.near_copies import near_copies
 from vectorloom.llm.packing import pack
 from vectorloom.llm.quality import resample
@@ -47,7 +47,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are sampled by the probabilities that give source, language and topic their target weights."""
-    return _keep(docs, mix(docs).where("kept"))
+    return _keep(docs, bounded_mix(docs).where("kept"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -341,6 +341,24 @@ def test_raking_meets_targets(spark, docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_bounded_mix_meets_the_targets_within_supply(spark, empty):
+    rng = random.Random(14)
+    rows = [(i, words(rng, 20), rng.choice("aaab"), rng.choice("xxxxxxxxxy"), rng.choice("p" * 30 + "q")) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, t string")
+    found = mixing.bounded_mix(df, source_col="source", lang_col="lang", topic_col="t").collect()
+    assert len(found) == len(rows) and all(0 <= r.probability <= 1 for r in found)
+    expected, supply = sum(r.probability * r.n_tokens for r in found), sum(r.n_tokens for r in found)
+    assert 0.5 < expected / supply <= 0.8
+    for d in mixing.DIMS:
+        had, got = Counter(), Counter()
+        for r in found:
+            had[r[d]] += r.n_tokens
+            got[r[d]] += r.probability * r.n_tokens
+        powered = {v: n**mixing.ALPHA for v, n in had.items()}
+        assert all(abs(got[v] / expected * sum(powered.values()) / powered[v] - 1) < 0.005 for v in powered)
+    assert mixing.bounded_mix(empty).count() == 0
+
+
 # --- 9 ---------------------------------------------------------------------
 
 

@@ -11,7 +11,8 @@ document stays if a hash of its id falls under its probability.
 Targets default to shares raised to ALPHA, which flattens large sources. The cells
 are a table like any other, and each step is a sum over those that share a value: a
 window over cells, which are one row per source, language and topic whatever the
-number of documents, and which spills. Without a topic column,
+number of documents, and which spills. bounded_mix rakes under the bound instead, so
+that what is kept meets the targets. Without a topic column,
 the topic is the register of the whole text: table, shout, symbols, numbers or
 prose.
 
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 ALPHA, ROUNDS, KEEP, STEPS = 0.85, 5, 0.8, 6
+#: bounded_mix: share of a target that its marginal may be off, and lots of ROUNDS rounds before less is kept.
+TOLERANCE, LOTS = 0.002, 8
 DIMS = ("source", "lang", "topic")
 
 
@@ -81,6 +84,48 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     return now.select(*DIMS, "tokens", "weight").checkpoint()
 
 
+def supplied(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
+    """cells with a column weight: expected tokens kept, each cell's supply at most, whose marginals are the targets'.
+
+    All weights together are the share `keep` of the tokens, or less if some value's
+    supply is short of its target. Rounds go on until every marginal is within
+    TOLERANCE; should they not get there, a twentieth less is kept and they start again.
+    """
+    now = cells
+    for d in DIMS:
+        now = now.join(targets[d].select(F.col("value").alias(d), F.col("target").alias(f"{d}_target")), d, "left")
+    now = now.fillna(0.0, [f"{d}_target" for d in DIMS]).checkpoint()
+    total = now.agg(F.sum("tokens")).first()[0]
+    if not total:
+        return cells.withColumn("weight", F.lit(0.0))
+    for d in DIMS:
+        short = now.groupBy(d).agg(F.sum("tokens").alias("t"), F.first(f"{d}_target").alias("a")).where("a > 0").agg(F.min(F.col("t") / F.col("a"))).first()[0]
+        keep = min(keep, (short or 0.0) / total)
+    while True:
+        raked = now.withColumn("weight", F.col("tokens") * F.lit(keep))
+        for _ in range(LOTS):
+            for _ in range(rounds):
+                for d in DIMS:
+                    was = F.sum("weight").over(Window.partitionBy(d))
+                    raked = raked.withColumn("weight", F.when(was > 0, F.least(F.col("tokens").cast("double"), F.col("weight") * F.col(f"{d}_target") * (keep * total) / was)).otherwise(0.0))
+            raked = raked.checkpoint()
+            off = lambda d: raked.groupBy(d).agg(F.sum("weight").alias("w"), F.first(f"{d}_target").alias("a")).where("a > 0").agg(F.max(F.abs(F.col("w") / (F.col("a") * keep * total) - 1))).first()[0] or 0.0  # noqa: B023, E731
+            if all(off(d) <= TOLERANCE for d in DIMS):
+                return raked.select(*DIMS, "tokens", "weight")
+        keep *= 0.95
+        if keep < 1e-3:
+            raise ValueError("no weights within the supply meet the targets")
+
+
+def bounded_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA, keep: float = KEEP) -> DataFrame:
+    """As mix, but the tokens kept meet the targets; keep is lowered to what the supply of the rarest value allows."""
+    rows = stored(_prepared(docs, id_col, text_col, source_col, lang_col, topic_col), "mix-rows")  # texts are read once
+    cells = rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")).checkpoint()
+    raked = supplied(cells, targets or targets_of(cells, alpha), keep)
+    chance = raked.select(*DIMS, F.coalesce(F.round(F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") / F.col("tokens"))), 9), F.lit(1.0)).alias("probability"))
+    return _drawn(rows, chance)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, alpha: float = ALPHA, keep: float = KEEP) -> DataFrame:
     """One row per row: doc_id, source, lang, topic, n_tokens, probability, kept.
 
@@ -97,6 +142,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for _ in range(STEPS):
         scale = ratio.crossJoin(F.broadcast(scale)).groupBy().agg((F.max("scale") * keep * F.sum("tokens") / F.sum(F.col("tokens") * chance)).alias("scale"))
     chance = ratio.crossJoin(F.broadcast(scale)).select(*DIMS, F.coalesce(F.round(chance, 9), F.lit(1.0)).alias("probability"))
+    return _drawn(rows, chance)
+
+
+def _drawn(rows: DataFrame, chance: DataFrame) -> DataFrame:
+    """rows with their cell's probability, and whether they stay."""
     # A cell may hold a third of all rows: documents are dealt over salts, and each cell's row is there once a salt.
     salts = 16
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
