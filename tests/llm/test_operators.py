@@ -292,6 +292,17 @@ def test_toxicity_finds_misspellings_and_holds_out(spark, docs, empty):
     assert {r.score for r in toxicity.toxicity(docs, labels.where("toxic = 0")).collect()} == {0.0}
 
 
+def test_toxicity_prior_is_that_of_all_labels(spark, monkeypatch):
+    rows = [(i, "stupid thing" if i % 10 == 0 else "fine thing", int(i % 10 == 0)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    used = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, prior=None: used.append((len(labels), prior)))
+    for fit_rows in (20, 2000):
+        toxicity.fit(df, df, fit_rows=fit_rows)
+    seen = [y for i, _, y in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert used == [(40, sum(seen) / len(seen)), (len(seen), sum(seen) / len(seen))]
+
+
 # --- 7 ---------------------------------------------------------------------
 
 

@@ -6,7 +6,8 @@ softmax on it gives the classes. Embeddings and softmax are trained together wit
 Adam. A misspelling shares most n-grams with the word it hides, and so its vector.
 
 Training uses at most FIT_ROWS labelled rows of each class, chosen by a hash of the
-id, and never a held-out one. Scoring covers all texts; since everything after the
+id, and never a held-out one; the logits are calibrated to the classes' shares among all
+labels that are not held out, so scores do not depend on FIT_ROWS. Scoring covers all texts; since everything after the
 bag is linear, a word's share of the logit is kept in a bounded table.
 
 Defined results: null and empty texts are scored by the bias alone; rows with null
@@ -153,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id")  # 2 * fit_rows at most
     rows = [(r.text, r.y) for r in found.select("text", "y").toLocalIterator()]
-    return train([t for t, _ in rows], [y for _, y in rows])
+    return train([t for t, _ in rows], [y for _, y in rows], prior=one.agg(F.avg("y")).first()[0])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
