@@ -12,7 +12,7 @@ Targets default to shares raised to ALPHA, which flattens large sources. The cel
 are a table like any other, and each step is a sum over those that share a value: a
 window over cells, which are one row per source, language and topic whatever the
 number of documents, and which spills. bounded_mix rakes under the bound instead, so
-that what is kept meets the targets. Without a topic column,
+that the targets are met as far as there is supply. Without a topic column,
 the topic is the register of the whole text: table, shout, symbols, numbers or
 prose.
 
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 ALPHA, ROUNDS, KEEP, STEPS = 0.85, 5, 0.8, 6
-#: bounded_mix: share of a target that its marginal may be off, and lots of ROUNDS rounds before less is kept.
-TOLERANCE, LOTS = 0.002, 8
+#: bounded_mix: share of a target that its marginal may be off, lots of ROUNDS rounds at most, steps of lifting targets.
+TOLERANCE, LOTS, FILLS = 0.002, 8, 50
 DIMS = ("source", "lang", "topic")
 
 
@@ -85,11 +85,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
 
 
 def supplied(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
-    """cells with a column weight: expected tokens kept, each cell's supply at most, whose marginals are the targets'.
+    """cells with a column weight: expected tokens kept, each cell's supply at most, whose marginals meet the targets as far as there is supply.
 
-    All weights together are the share `keep` of the tokens, or less if some value's
-    supply is short of its target. Rounds go on until every marginal is within
-    TOLERANCE; should they not get there, a twentieth less is kept and they start again.
+    All weights together are the share `keep` of the tokens. A value whose supply is short
+    of its target gives all it has, and the others of its dimension share the rest by their
+    targets. Rounds go on until every such marginal is within TOLERANCE, LOTS lots at most.
     """
     now = cells
     for d in DIMS:
@@ -99,26 +99,30 @@ def supplied(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP
     if not total:
         return cells.withColumn("weight", F.lit(0.0))
     for d in DIMS:
-        short = now.groupBy(d).agg(F.sum("tokens").alias("t"), F.first(f"{d}_target").alias("a")).where("a > 0").agg(F.min(F.col("t") / F.col("a"))).first()[0]
-        keep = min(keep, (short or 0.0) / total)
-    while True:
-        raked = now.withColumn("weight", F.col("tokens") * F.lit(keep))
-        for _ in range(LOTS):
-            for _ in range(rounds):
-                for d in DIMS:
-                    was = F.sum("weight").over(Window.partitionBy(d))
-                    raked = raked.withColumn("weight", F.when(was > 0, F.least(F.col("tokens").cast("double"), F.col("weight") * F.col(f"{d}_target") * (keep * total) / was)).otherwise(0.0))
-            raked = raked.checkpoint()
-            off = lambda d: raked.groupBy(d).agg(F.sum("weight").alias("w"), F.first(f"{d}_target").alias("a")).where("a > 0").agg(F.max(F.abs(F.col("w") / (F.col("a") * keep * total) - 1))).first()[0] or 0.0  # noqa: B023, E731
-            if all(off(d) <= TOLERANCE for d in DIMS):
-                return raked.select(*DIMS, "tokens", "weight")
-        keep *= 0.95
-        if keep < 1e-3:
-            raise ValueError("no weights within the supply meet the targets")
+        sums = now.groupBy(d).agg((F.sum("tokens") / (keep * total)).alias("most"), F.first(f"{d}_target").alias("a")).where("a > 0").checkpoint()
+        lift = 1.0
+        for _ in range(FILLS):  # values short of supply give all; the others' targets are lifted to fill the rest
+            full = F.col("most") <= F.col("a") * lift
+            r = sums.agg(F.sum(F.when(full, F.col("most"))).alias("m"), F.sum(F.when(~full, F.col("a"))).alias("a")).first()
+            was, lift = lift, (1 - (r.m or 0.0)) / r.a if r.a else lift
+            if lift <= was * (1 + 1e-9):
+                break
+        now = now.drop(f"{d}_target").join(sums.select(d, F.least("most", F.col("a") * lift).alias(f"{d}_target")), d, "left").fillna(0.0, [f"{d}_target"])
+    raked = now.withColumn("weight", F.col("tokens") * F.lit(keep)).checkpoint()
+    for _ in range(LOTS):
+        for _ in range(rounds):
+            for d in DIMS:
+                was = F.sum("weight").over(Window.partitionBy(d))
+                raked = raked.withColumn("weight", F.when(was > 0, F.least(F.col("tokens").cast("double"), F.col("weight") * F.col(f"{d}_target") * (keep * total) / was)).otherwise(0.0))
+        raked = raked.checkpoint()
+        off = lambda d: raked.groupBy(d).agg(F.sum("weight").alias("w"), F.first(f"{d}_target").alias("a")).where("a > 0").agg(F.max(F.abs(F.col("w") / (F.col("a") * keep * total) - 1))).first()[0] or 0.0  # noqa: B023, E731
+        if all(off(d) <= TOLERANCE for d in DIMS):
+            break
+    return raked.select(*DIMS, "tokens", "weight")
 
 
 def bounded_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA, keep: float = KEEP) -> DataFrame:
-    """As mix, but the tokens kept meet the targets; keep is lowered to what the supply of the rarest value allows."""
+    """As mix, but raked within the supply: a value short of its target gives all it has, all others keep to their targets' proportions."""
     rows = stored(_prepared(docs, id_col, text_col, source_col, lang_col, topic_col), "mix-rows")  # texts are read once
     cells = rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")).checkpoint()
     raked = supplied(cells, targets or targets_of(cells, alpha), keep)
