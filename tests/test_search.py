@@ -140,6 +140,13 @@ def test_sharded(data, tmp_path):
     assert mean(ShardedIndex.build(base, D, 3, f"{tmp_path}/s").search(q, 10, 64), truth) > 0.9
 
 
+def test_sharded_searches_more_queries_than_a_block(data, tmp_path, monkeypatch):
+    base, q, truth = data
+    monkeypatch.setattr(exact, "BLOCK", 6)
+    found = ShardedIndex.build(base, D, 3, f"{tmp_path}/s").search(q, 10, 64)
+    assert found.count() == 150 and mean(found, truth) > 0.9
+
+
 def test_beam_single_node_and_duplicates():
     x = np.array([[0.0, 1.0]])
     g = Adjacency.of(np.array([7]), np.zeros(0, int), np.zeros(0, int), np.zeros(0, int))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, replace
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -196,12 +197,16 @@ class ShardedIndex:
         return cls(held, spark.read.parquet(f"{path}/edges"), dims)
 
     def search(self, queries: DataFrame, k: int, ef: int, n_entries: int = 16) -> DataFrame:
-        """(qid, rank, id, dist), merged over the shards. Queries are broadcast in one block: at most exact.BLOCK of them."""
-        rows = queries.select("qid", "vec").limit(exact.BLOCK + 1).collect()
-        if len(rows) > exact.BLOCK:
-            raise ValueError(f"at most {exact.BLOCK} queries at once")
-        spark = queries.sparkSession
-        shared = spark.sparkContext.broadcast((np.array([r.qid for r in rows], np.int64), np.array([r.vec for r in rows], np.float64).reshape(len(rows), -1)))
+        """(qid, rank, id, dist), merged over the shards. Queries are broadcast in blocks of exact.BLOCK, each one visit to all shards."""
+        found, rows = None, queries.select("qid", "vec").toLocalIterator()
+        while (block := list(islice(rows, exact.BLOCK))) or found is None:
+            part = self._visited(block, k, ef, n_entries)
+            found = part if found is None else found.union(part)
+        return topk(found, k)
+
+    def _visited(self, rows: list, k: int, ef: int, n_entries: int) -> DataFrame:
+        """(qid, id, dist): each shard's k best for a block of queries."""
+        shared = self.vectors.sparkSession.sparkContext.broadcast((np.array([r.qid for r in rows], np.int64), np.array([r.vec for r in rows], np.float64).reshape(len(rows), -1)))
         schema = "qid long, id long, dist double"
 
         def visit(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -214,8 +219,7 @@ class ShardedIndex:
             live = (i >= 0).ravel()
             return pa.table({"qid": np.repeat(qid, k)[live], "id": i.ravel()[live], "dist": d.ravel()[live]})
 
-        found = self.vectors.groupBy("shard").cogroup(self.edges.groupBy("shard")).applyInArrow(visit, schema)
-        return topk(found, k)
+        return self.vectors.groupBy("shard").cogroup(self.edges.groupBy("shard")).applyInArrow(visit, schema)
 
 
 def with_seed(config: Config, seed: int) -> Config:
