@@ -3,37 +3,46 @@
 Texts are bags of hashed n-grams: words and word pairs in lower case, and pairs of
 word shapes (case, digits, signs, a word that repeats the one before). Two
 generative models over the same buckets are fitted: the target from good labelled
-texts, the raw one from counts over all texts. A text's log weight is the sum over
-its n-grams of log p_target - log p_raw; its key is log weight / temperature plus
-Gumbel noise, and the k largest keys are the sample, drawn without replacement in
-proportion to weight ** (1 / temperature) (Xie et al., 2023; Kool et al., 2019).
-
-k follows from the labels: the cut between good and bad labelled texts' log weights
-that loses fewest of either gives the number of texts above it, counted over all.
-
-The target model and the cut are fitted on at most FIT_ROWS labelled texts of each
-class. Everything else covers all texts. The k-th key is found by histograms of
-fixed size, refined until it is exact; no keys are gathered.
-
-Defined results: null and empty texts have no n-grams and log weight 0; null labels
-are not used for fitting; repeated rows have equal keys and are kept or rejected
-together; if all texts are alike or no labels are there, all are kept; an empty
-table gives no rows; other columns are ignored.
+texts, the raw one from counts over all texts. A text's evidence is the mean over its
+n-grams of log p_target - log p_raw, with PRIOR_GRAMS neutral n-grams added, so that
+length alone says nothing. A logistic fit to the labels turns it into the log weight: the
+log odds that the text is good. Its key is log weight / temperature plus Gumbel noise, and
+the k largest keys are the sample, drawn without replacement in proportion to
+weight ** (1 / temperature) (Xie et al., 2023; Kool et al., 2019). Noise decides near the
+margin, where the odds are close to even; a text with odds of a thousand stays.
+
+All fitting is across FOLDS: the target model that weighs a text never saw the labelled
+texts of its own fold, so labelled texts are weighed like all others, and the logistic fit
+and the cut hold for texts that were not labelled. k follows from the labels: the cut
+between good and bad labelled texts' log weights that loses fewest of either gives the
+number of texts above it, counted over all.
+
+Target models and the logistic fit use at most FIT_ROWS labelled texts of each class; the
+classes weigh in it as among all labels. Everything else covers all texts. The k-th key is
+found by histograms of fixed size, refined until it is exact; no keys are gathered.
+
+Defined results: null and empty texts have no n-grams and neutral evidence; long texts are
+read whole; null labels are not used for fitting; repeated rows have equal keys and are kept
+or rejected together, as are ties at the k-th key; if no good or no bad labels are there,
+all are kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
-BUCKETS, FIT_ROWS, TEMPERATURE, SEED = 1 << 15, 4000, 4.0, 7
+BUCKETS, FIT_ROWS, TEMPERATURE, SEED, FOLDS = 1 << 15, 4000, 1.0, 7, 4
+#: Neutral n-grams added to each text, weight of the raw shares in the target model (n-grams), and ridge of the logistic fit.
+PRIOR_GRAMS, SMOOTH, RIDGE = 30, 0.5 * BUCKETS, 1e-3
 _TOKENS = re.compile(r"[^\W_]+|[^\w\s]+|_+").findall
 _KEPT = 200_000
 _MIX = np.int64(1_000_003)
@@ -73,8 +82,14 @@ class Grams:
             return np.abs(grams * np.int64(0x9E3779B97F4A7C1 | 1) >> 20) % self.buckets
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def fold_of(doc_id) -> Column:
+    """The fold of a document: a hash of its id."""
+    return F.pmod(F.xxhash64(doc_id, F.lit(SEED + 1)), F.lit(FOLDS)).cast("int")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    row = [F.col(row_col).alias("rid")] if row_col else []
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row)
 
 
 def gram_counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -94,62 +109,96 @@ def gram_counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     return out
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, fit_rows: int) -> list[tuple[str, int]]:
-    """At most fit_rows texts of each class, chosen by a hash of the id."""
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, fit_rows: int) -> tuple[list[tuple[str, int, int]], float]:
+    """(at most fit_rows texts of each class, chosen by a hash of the id, with label and fold; the share of good ones among all labels)."""
     one = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col)).alias("y"))
     order = [F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id")]
     chosen = one.where("y = 1").orderBy(*order).limit(fit_rows).union(one.where("y = 0").orderBy(*order).limit(fit_rows))
-    found = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # 2 * fit_rows ids at most
-    return [(r.text, r.y) for r in found.select("text", "y").toLocalIterator()]
+    found = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).withColumn("fold", fold_of("doc_id")).orderBy("doc_id")  # 2 * fit_rows ids at most
+    return [(r.text, r.y, r.fold) for r in found.select("text", "y", "fold").toLocalIterator()], one.agg(F.avg("y")).first()[0] or 0.0
+
+
+def evidence(bag: np.ndarray, ratio: np.ndarray) -> float:
+    """Mean log ratio of a bag's n-grams, with PRIOR_GRAMS neutral ones added."""
+    return float(ratio[bag].sum()) / (len(bag) + PRIOR_GRAMS)
+
 
+@dataclass
+class Model:
+    """log p_target - log p_raw by fold and bucket; slope and offset of the log weight; the cut between the classes' log weights."""
 
-def log_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
-    """(log p_target - log p_raw by bucket, the cut between the classes' log weights)."""
+    ratios: np.ndarray
+    slope: float = 0.0
+    offset: float = 0.0
+    cut: float = -np.inf
+
+    def weight(self, bag: np.ndarray, fold: int) -> float:
+        return self.slope * evidence(bag, self.ratios[fold]) + self.offset
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS, buckets: int = BUCKETS) -> Model:
     texts = _texts(docs, id_col, text_col)
-    raw = gram_counts(texts, buckets)
-    rows, grams, target = _labelled(texts, labels, id_col, label_col, fit_rows), Grams(buckets), np.zeros(buckets, np.int64)
-    bags = [grams.of(t) for t, _ in rows]
-    for bag, (_, y) in zip(bags, rows, strict=True):
-        if y == 1:
-            target += np.bincount(bag, minlength=buckets)
-    if not target.sum():
-        return np.zeros(buckets), -np.inf
-    # The raw shares, as much as half a count in the target's total, smooth the target.
+    rows, prior = _labelled(texts, labels, id_col, label_col, fit_rows)
+    y, fold = np.array([y for _, y, _ in rows], int), np.array([f for *_, f in rows], int)
+    if len(set(y)) < 2:
+        return Model(np.zeros((FOLDS, buckets)))
+    raw, grams = gram_counts(texts, buckets), Grams(buckets)
+    bags, counts = [grams.of(t) for t, *_ in rows], np.zeros((FOLDS, buckets), np.int64)
+    for bag, label, f in zip(bags, y, fold, strict=True):
+        if label == 1:
+            counts[np.arange(FOLDS) != f] += np.bincount(bag, minlength=buckets)
+    # The raw shares smooth the target.
     share = (raw + 0.5) / (raw.sum() + 0.5 * buckets)
-    smooth = 0.5 * buckets
-    ratio = np.log((target + smooth * share) / (target.sum() + smooth)) - np.log(share)
-    weights = np.array([ratio[bag].sum() for bag in bags])
-    y = np.array([y for _, y in rows])
-    return ratio, _cut(weights[y == 1], weights[y == 0])
+    ratios = np.log((counts + SMOOTH * share) / (counts.sum(1, keepdims=True) + SMOOTH)) - np.log(share)
+    x = np.array([evidence(bag, ratios[f]) for bag, f in zip(bags, fold, strict=True)])
+    slope, offset = _logistic(x, y, prior)
+    weights = slope * x + offset
+    return Model(ratios, slope, offset, _cut(weights[y == 1], weights[y == 0]))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and offset of the log odds of y = 1 by x, the classes weighing as among all labels."""
+    prior = min(max(prior, 1e-3), 1 - 1e-3)
+    w, unit = np.where(y == 1, prior / (y == 1).sum(), (1 - prior) / (y == 0).sum()), x.std() + 1e-12
+    z, theta = np.stack([(x - x.mean()) / unit, np.ones(len(x))], 1), np.zeros(2)
+    ridge = np.diag([RIDGE, 1e-6])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(z @ theta, -30, 30)))
+        step = np.linalg.solve((z * (w * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ z + ridge, z.T @ (w * (p - y)) + ridge @ theta)
+        theta -= step / max(1.0, np.abs(step).max())
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(theta[0] / unit), float(theta[1] - theta[0] * x.mean() / unit)
 
 
 def _cut(good: np.ndarray, bad: np.ndarray) -> float:
     """Between the two: the middle of the gap that leaves the smallest share of either on its wrong side."""
-    if not len(bad):
-        return -np.inf
     values = np.unique(np.concatenate([good, bad]))
     wrong = np.searchsorted(np.sort(good), values) / len(good) + 1 - np.searchsorted(np.sort(bad), values) / len(bad)
     best = int(np.argmin(wrong))
     return float(values[best] if best == 0 else (values[best - 1] + values[best]) / 2)
 
 
-def score(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_grams, log_weight of every row."""
-    texts = _texts(docs, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)  # BUCKETS doubles
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, n_grams, log_weight of every row, and with row_col rid."""
+    texts = _texts(docs, id_col, text_col, row_col).withColumn("fold", fold_of("doc_id"))
+    texts = texts.select("doc_id", *(["rid"] if row_col else []), "fold", "text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # FOLDS * BUCKETS doubles
     kind = texts.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", *(["rid"] if row_col else []), "n_grams", "log_weight"]
 
     def run(batches):
-        grams, ratio = Grams(len(shared.value)), shared.value
+        model = shared.value
+        grams = Grams(model.ratios.shape[1])
         for b in batches:
             n, w = [], []
-            for t in b.column(1):
+            for t, fold in zip(b.column(b.num_columns - 1), b.column(b.num_columns - 2).to_pylist(), strict=True):
                 bag = grams.of(t.as_py())
                 n.append(len(bag))
-                w.append(float(ratio[bag].sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(w, pa.float64())], ["doc_id", "n_grams", "log_weight"])
+                w.append(model.weight(bag, fold))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(n, pa.int64()), pa.array(w, pa.float64())], names)
 
-    return texts.mapInArrow(run, f"doc_id {kind}, n_grams long, log_weight double")
+    return texts.mapInArrow(run, f"doc_id {kind}, {'rid long, ' if row_col else ''}n_grams long, log_weight double")
 
 
 def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096) -> float:
@@ -176,13 +225,13 @@ def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096) -> float:
     return lo
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS, temperature: float = TEMPERATURE, k: int | None = None) -> DataFrame:
-    """One row per row: doc_id, n_grams, log_weight, gumbel_key, kept. k: sample size instead of that from the labels."""
-    ratio, cut = log_ratio(docs, labels, id_col, text_col, label_col, fit_rows)
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS, temperature: float = TEMPERATURE, k: int | None = None, row_col: str | None = None) -> DataFrame:
+    """One row per row: doc_id, n_grams, log_weight, gumbel_key, kept, and with row_col that number of the row. k: sample size instead of that from the labels."""
+    model = fit(docs, labels, id_col, text_col, label_col, fit_rows)
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(SEED)), 11).cast("double") + 0.5) / float(1 << 53)
-    keyed = score(docs, ratio, id_col, text_col).withColumn("gumbel_key", F.col("log_weight") / temperature - F.log(-F.log(u)))
+    keyed = score(docs, model, id_col, text_col, row_col).withColumn("gumbel_key", F.col("log_weight") / temperature - F.log(-F.log(u)))
     keyed = stored(keyed, "quality-keys")
     if k is None:
-        k = keyed.where(F.col("log_weight") >= float(cut)).count()
+        k = keyed.where(F.col("log_weight") >= float(model.cut)).count()
     least = kth_largest(keyed, "gumbel_key", k)
-    return keyed.withColumn("kept", F.col("gumbel_key") >= float(least))
+    return keyed.select("doc_id", "n_grams", "log_weight", "gumbel_key", (F.col("gumbel_key") >= float(least)).alias("kept"), *([F.col("rid").alias(row_col)] if row_col else []))
