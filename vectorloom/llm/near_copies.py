@@ -1,17 +1,22 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""SimHash near copies, verified by exact Jaccard similarity of word shingles.
 
 Two texts link if their sets of five-word shingles (64-bit XXH64 hashes) have a
-Jaccard similarity of at least 0.8. Candidates share one of BANDS keys, each of ROWS
-MinHash values: a pair at 0.8 shares none with probability (1 - 0.8**5)**24 < 1e-4, a
-more similar one less. Every link is then verified on the sets themselves.
-
-Equal sets are one node. First each node is compared with the least node of each of
-its buckets. Then all pairs in buckets that these links leave in different components
-are compared; only in buckets of over BUCKET nodes is each node compared with CENTRES
-others, drawn for each bucket anew, so that a hub's bucket costs no square.
-
-Defined results: as for simhash_neardup; null text counts as empty; texts without
-words have one empty set and link to each other only; a shorter text is one shingle.
+Jaccard similarity of at least SIMILAR. Operator 1 proposes links first: SimHash
+fingerprints of the same shingles that differ in at most NEAR_BITS bits, found by
+pigeonring filtering; each is verified on the sets. A similarity of 0.8 leaves about
+10 of 64 bits different, which no fingerprint filter of that width can search, so
+MinHash keys complete the links: texts that still lie in different components and
+share one of BANDS keys, each of ROWS minima, are compared on their sets. A pair at 0.8
+shares no key with probability (1 - 0.8**5)**24 < 1e-4, a more similar one with less.
+
+Texts with the same key are compared pair by pair where they are BUCKET at most; larger
+buckets are dealt into blocks, and a task compares the texts of a block that are not of
+the bucket's main component with those of another block. Nothing is left out: only pairs
+within one component, whose links would add nothing, are not compared.
+
+Defined results: as for simhash_neardup; equal sets are one node; null text counts as
+empty; texts without words have one empty set and link to each other only; a shorter
+text is one shingle; long texts are hashed whole, their set being held by one task.
 """
 
 from __future__ import annotations
@@ -24,22 +29,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored
+from .common import connected_components, split_join, stored
+from .simhash import fingerprint_edges, majority
 
-SEED, SHINGLE, SIMILAR = 42, 5, 0.8
-BANDS, ROWS, BUCKET, CENTRES = 24, 5, 128, 4
+SEED, SHINGLE, SIMILAR, NEAR_BITS = 42, 5, 0.8, 7
+BANDS, ROWS, BUCKET, BLOCK = 24, 5, 128, 256
 _BLOCK = 4096
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 _A, _B = (np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the lower-cased (A-Z) text's shingles."""
+def hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the lower-cased (A-Z) text's shingles, repeats included."""
     words = text.lower().split()  # of bytes: ASCII letters and ASCII white space only
     if not words:
         return np.zeros(0, np.uint64)
     texts = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) > shingle else [words]
-    return np.unique(np.fromiter(map(_hash, map(b" ".join, texts)), np.uint64))
+    return np.fromiter(map(_hash, map(b" ".join, texts)), np.uint64)
 
 
 def bands(found: np.ndarray) -> np.ndarray:
@@ -56,29 +62,34 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per row: doc_id, node (digest of the set), n, keys, hashes (the set's bytes)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+def _sets(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
+    """One row per row: doc_id, rid, node (digest of the set), n, fp, keys, hashes (the set's bytes)."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).cast("long").alias("rid"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 b = batch.slice(at, 512)
-                sets = [shingles(t.as_py() or b"") for t in b.column(1)]
+                bags = [hashes(t.as_py() or b"") for t in b.column(2)]
+                sets = [np.unique(x) for x in bags]
                 raw = [s.tobytes() for s in sets]
-                node = np.array([xxhash.xxh3_64_intdigest(r) for r in raw], np.uint64).view(np.int64)
+                long = lambda values: pa.array(np.array(values, np.uint64).view(np.int64))
                 keys = pa.array([bands(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), keys, pa.array(raw, pa.binary())], ["doc_id", "node", "n", "keys", "hashes"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), long([xxhash.xxh3_64_intdigest(r) for r in raw]), pa.array([len(s) for s in sets], pa.int64()), long([majority(x) for x in bags]), keys, pa.array(raw, pa.binary())], ["doc_id", "rid", "node", "n", "fp", "keys", "hashes"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, node long, n long, keys array<long>, hashes binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, rid long, node long, n long, fp long, keys array<long>, hashes binary")
+
+
+def _held(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, hashes of the nodes named."""
+    return stored(sets.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "near-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = stored(sets.join(used, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "near-sets")
-    both = pairs.join(held.withColumnsRenamed({"node": "a", "hashes": "x"}), "a").join(held.withColumnsRenamed({"node": "b", "hashes": "y"}), "b")
+    held = _held(pairs.select(F.explode(F.array("a", "b")).alias("node")), sets)
+    both = split_join(split_join(pairs, held.withColumnsRenamed({"node": "a", "hashes": "x"}), "a"), held.withColumnsRenamed({"node": "b", "hashes": "y"}), "b")
 
     def run(batches):
         for b in batches:
@@ -89,35 +100,85 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _pairs(rows: DataFrame, similar: float) -> DataFrame:
-    """Distinct candidates (a, b), a < b, of rows (a, an, b, bn): no pair of too unequal sizes can be similar."""
-    fit = rows.where("a <> b").where(F.least("an", "bn") >= F.lit(similar - 1e-9) * F.greatest("an", "bn"))
-    return fit.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def jaccard_edges(rows: DataFrame, similar: float = SIMILAR, bucket: int = BUCKET, centres: int = CENTRES) -> DataFrame:
-    """Verified edges (a, b) between the nodes of rows (node, n, keys, hashes)."""
-    keyed = rows.select("node", "n", F.explode("keys").alias("key")).distinct()
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("low")).where("size > 1")
-    met = stored(keyed.join(sizes, "key").select("key", "node", "n", "size", F.col("low.node").alias("low"), F.col("low.n").alias("low_n")), "near-buckets")
-    tried = stored(_pairs(met.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("low").alias("b"), F.col("low_n").alias("bn")), similar), "near-tried")
-    edges = stored(_verified(tried, rows, similar), "near-edges")
+def simhash_pairs(sets: DataFrame, max_diff: int = NEAR_BITS) -> DataFrame:
+    """Pairs (a, b) of nodes that span the links of operator 1: equal fingerprints, or at most max_diff bits apart."""
+    known = sets.select("fp", "node").distinct()
+    heads = stored(known.groupBy("fp").agg(F.min("node").alias("head")), "near-heads")
+    equal = split_join(known, heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    edges = fingerprint_edges(heads.select("fp"), max_diff).withColumnsRenamed({"a": "x", "b": "y"})
+    for fp, node in (("x", "a"), ("y", "b")):
+        edges = split_join(edges, heads.withColumnsRenamed({"fp": fp, "head": node}), fp)
+    return equal.union(edges.select("a", "b"))
+
+
+def _fit(similar: float) -> str:
+    """Sets of too unequal sizes cannot be similar."""
+    return f"least(an, bn) >= {similar - 1e-9} * greatest(an, bn)"
+
+
+def _in_blocks(hot: DataFrame, sets: DataFrame, similar: float, block: int) -> DataFrame:
+    """Links (a, b) in large buckets (key, node, label, size, main): texts of other components than the main one against all, block by block."""
+    held = _held(hot.select("node"), sets)
+    number = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(n / block)).cast("int")
+    odd = hot.where("label <> main").groupBy("key").agg(F.count("*").alias("n_odd"))
+    dealt = split_join(hot, odd, "key")
+    all_parts = lambda n: F.explode(F.sequence(F.lit(0), (F.ceil(n / block) - 1).cast("int")))
+    left = dealt.where("label <> main").withColumn("i", number(F.col("n_odd"), 1)).withColumn("j", all_parts(F.col("size"))).withColumn("odd", F.lit(True))
+    right = dealt.withColumn("j", number(F.col("size"), 2)).withColumn("i", all_parts(F.col("n_odd"))).withColumn("odd", F.lit(False))
+    cols = ["key", "i", "j", "odd", "node", "label"]
+    rows = split_join(left.select(*cols).union(right.select(*cols)), held, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        odd, node, label = (table.column(c).to_pylist() for c in ("odd", "node", "label"))
+        sets = [np.frombuffer(v.as_py(), np.uint64) for v in table.column("hashes")]
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x != up.get(x, x):
+                x = up[x]
+            return x
+
+        out = []
+        for p in (i for i, o in enumerate(odd) if o):
+            for q in (i for i, o in enumerate(odd) if not o):
+                few, many = sorted((len(sets[p]), len(sets[q])))
+                if few >= (similar - 1e-9) * many and (one := root(label[p])) != (two := root(label[q])) and similarity(sets[p], sets[q]) >= similar:
+                    up[max(one, two)] = min(one, two)
+                    out.append((node[p], node[q]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def jaccard_edges(sets: DataFrame, similar: float = SIMILAR, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+    """Verified edges (a, b) between the nodes of sets (node, n, fp, keys, hashes), whose components are those of all similar pairs."""
+    tried = stored(simhash_pairs(sets).distinct(), "near-tried")
+    edges = stored(_verified(tried, sets, similar), "near-edges")
     labels = connected_components(edges).withColumnRenamed("node", "own")
-    left = met.join(labels, met.node == labels.own, "left").select("key", "node", "n", "size", F.coalesce("label", "node").alias("label"))
-    mixed = left.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("two"), F.slice(F.array_sort(F.collect_set(F.when(F.col("size") <= bucket, F.struct("node", "n", "label")))), 1, bucket).alias("few"), *[F.min(F.struct(F.xxhash64("key", "node", F.lit(i)), "node", "n", "label")).alias(f"c{i}") for i in range(centres)]).where("one <> two")  # a bucket's row holds bucket nodes at most
-    drawn = [F.struct(*[F.col(f"c{i}")[f].alias(f) for f in ("node", "n", "label")]) for i in range(centres)]
-    others = mixed.select(F.col("key"), F.explode(F.when(F.size("few") > 0, F.col("few")).otherwise(F.array(*drawn))).alias("c"))
-    more = left.join(others, "key").where("label <> c.label").select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("c.node").alias("b"), F.col("c.n").alias("bn"))
-    again = stored(_pairs(more, similar).join(tried, ["a", "b"], "left_anti"), "near-again")
-    return edges.union(stored(_verified(again, rows, similar), "near-edges-again")) if again.take(1) else edges
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
-    """One row per row: doc_id, component_id (smallest doc_id reachable by links)."""
-    rows = stored(_sets(docs, id_col, text_col), "near-shingles")
-    labels = connected_components(jaccard_edges(rows, similar, bucket)).withColumnRenamed("node", "own")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("low"))
+    keyed = sets.select("node", "n", F.explode("keys").alias("key")).distinct()
+    keyed = keyed.join(labels, keyed.node == labels.own, "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    keyed = stored(keyed, "near-keys")
+    mixed = keyed.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("two"), F.count("*").alias("size")).where("one <> two").select("key", "size")
+    met = stored(split_join(keyed, mixed, "key"), "near-buckets")
+    small, hot = met.where(F.col("size") <= bucket), met.where(F.col("size") > bucket)
+    x, y = (small.select("key", *[F.col(c).alias(p + c) for c in ("node", "n", "label")]) for p in "ab")
+    pairs = x.join(y, "key").where("alabel < blabel").where(_fit(similar)).select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct()  # `bucket` partners at most
+    pairs = stored(pairs, "near-again")
+    out = edges.union(stored(_verified(pairs, sets, similar), "near-edges-again")) if pairs.take(1) else edges
+    if not hot.take(1):
+        return out
+    shares = hot.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("m")).select("key", F.col("m.label").alias("main"))
+    return out.union(stored(_in_blocks(split_join(hot, shares, "key"), sets, similar, block), "near-edges-hot"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, bucket: int = BUCKET, block: int = BLOCK, row_col: str | None = None) -> DataFrame:
+    """One row per row: doc_id, component_id (smallest doc_id reachable by links), kept (one row of each component: that id's first), and with row_col that number of the row."""
+    sets = stored(_sets(docs, id_col, text_col, row_col), "near-shingles")
+    labels = connected_components(jaccard_edges(sets, similar, bucket, block)).withColumnRenamed("node", "own")
+    rows = sets.select("doc_id", "rid", "node")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid"))
+    nodes = rows.groupBy("node").agg(first.alias("low"))
     nodes = nodes.join(labels, nodes.node == labels.own, "left").select("node", "low", F.coalesce("label", "node").alias("label"))
-    lowest = nodes.groupBy("label").agg(F.min("low").alias("component_id"))
-    reached = nodes.join(lowest, "label").select("node", "component_id")
-    return rows.select("doc_id", "node").join(reached, "node").select("doc_id", "component_id")
+    reached = split_join(nodes.select("node", "label"), nodes.groupBy("label").agg(F.min("low").alias("low")), "label").select("node", "low")
+    found = split_join(rows, reached, "node")
+    return found.select("doc_id", F.col("low.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("rid") == F.col("low.rid"))).alias("kept"), *([F.col("rid").alias(row_col)] if row_col else []))

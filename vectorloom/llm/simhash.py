@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored
+from .common import connected_components, split_join, stored
 
 SEED = 42
 BUCKET = 4096
@@ -55,6 +55,14 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned SimHash of 64-bit hashes, repeats included; zero without any."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _BLOCK):
+        ones += np.unpackbits(hashes[at : at + _BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """One row per row: doc_id, fp (the 64 bits as a signed long)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -182,5 +190,5 @@ def simhash_neardup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = connected_components(fingerprint_edges(nodes, max_diff, bucket))
     nodes = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
     lowest = nodes.groupBy("label").agg(F.min("low").alias("component_id"))
-    reached = nodes.join(lowest, "label").select("fp", "component_id")
-    return rows.join(reached, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    reached = split_join(nodes, lowest, "label").select("fp", "component_id")
+    return split_join(rows, reached, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
