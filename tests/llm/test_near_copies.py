@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpus_pipeline import near
 from vectorloom.llm import near_copies as nc
+from vectorloom.llm import simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -28,8 +30,8 @@ def families(rng):
     return texts
 
 
-@pytest.mark.parametrize("bucket", [128, 4096])
-def test_components_are_those_of_all_similar_pairs(spark, bucket):
+@pytest.mark.parametrize("bucket,block", [(128, 256), (2, 3)])
+def test_components_are_those_of_all_similar_pairs(spark, bucket, block):
     texts = families(random.Random(1)) + [None, "", "One two", "one  TWO", "three"]
     sets, low = [shingled(t) for t in texts], list(range(len(texts)))
     find = lambda x: x if low[x] == x else find(low[x])
@@ -39,15 +41,27 @@ def test_components_are_those_of_all_similar_pairs(spark, bucket):
             if a == b or len(a & b) >= 0.8 * len(a | b):
                 linked += 1
                 low[max(find(i), find(j))] = min(find(i), find(j))
-    found = nc.near_copies(spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3), bucket=bucket).collect()
+    found = nc.near_copies(spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3), bucket=bucket, block=block).collect()
     assert linked > 100 and len(found) == len(texts)
     assert {r.doc_id: r.component_id for r in found} == {i: find(i) for i in range(len(texts))}
+    assert {r.doc_id for r in found if r.kept} == {find(i) for i in range(len(texts))}
+
+
+def test_blocks_alone_find_the_links(spark, monkeypatch):
+    monkeypatch.setattr(nc, "simhash_pairs", lambda sets: sets.select(F.col("node").alias("a"), F.col("node").alias("b")).where("a <> b"))
+    test_components_are_those_of_all_similar_pairs(spark, 2, 3)
+
+
+def test_fingerprints_are_those_of_operator_one(spark):
+    texts = ["One two three four five six seven", "a b", "", None] + families(random.Random(3))[:9]
+    rows = nc._sets(spark.createDataFrame(list(enumerate(texts)), SCHEMA), "doc_id", "text", None).collect()
+    assert {r.doc_id: r.fp % (1 << 64) for r in rows} == {i: simhash.fingerprint((t or "").encode(), 5) for i, t in enumerate(texts)}
 
 
 def test_null_ids_repeated_rows_and_no_rows(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = nc.near_copies(spark.createDataFrame([(None, text), (3, text), (3, text), (5, text + " more")], SCHEMA)).collect()
-    assert len(rows) == 4 and {r.component_id for r in rows} == {3}
+    assert len(rows) == 4 and {r.component_id for r in rows} == {3} and [r.doc_id for r in rows if r.kept] == [3]
     assert nc.near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
 
 

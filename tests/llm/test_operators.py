@@ -150,6 +150,24 @@ def test_license_notices_with_changed_words(spark):
     assert (found[4].n_base, found[4].first_word, found[4].last_word) == (3, 0, 4)
 
 
+def test_license_spans_are_verified(spark):
+    notice = next(p for p, l in license_scan.NOTICES.items() if l == "bsd-text").split()
+    pairs = list(zip(notice, notice[1:]))
+    scattered = " ".join(f"{a} {b} junk" for a, b in pairs)
+    turned = " ".join(f"{a} {b}" for a, b in reversed(pairs))
+    whole = next(p for p, l in license_scan.NOTICES.items() if l == "mit-whole")
+    words = whole.split()
+    changed = " ".join("other" if i % 25 == 24 else w for i, w in enumerate(words))
+    mine = {"you may eat this text on sundays only and never with a spoon": "mine"}
+    rows = [(1, scattered), (2, turned), (3, "x " * 30 + whole), (4, changed), (5, " ".join(words[:60])), (6, "so " + next(iter(mine)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in license_scan.license_scan(df).collect()}
+    assert found[1].score < 0.75 and found[1].labels == "" and found[2].labels == ""
+    assert found[3].labels == "mit-text,mit-whole" and found[3].score == 1 and "mit-whole" in found[4].labels
+    assert found[5].labels == "mit-text" and found[6].labels == ""  # sixty words are less than the whole
+    assert {r.doc_id: r.labels for r in license_scan.license_scan(df, notices=mine).collect()} == {1: "", 2: "", 3: "", 4: "", 5: "", 6: "mine"}
+
+
 # --- 3 ---------------------------------------------------------------------
 
 
@@ -252,6 +270,44 @@ def test_quality_keeps_good_and_rejects_bad(judged, docs, empty):
     assert sum(r.kept for r in quality.resample(*judged, k=50).collect()) == 50
 
 
+def test_quality_is_the_plain_version(judged):
+    docs, labels = judged
+    rows = {r.doc_id: r for r in quality.resample(docs, labels).collect()}
+    fold = {r.doc_id: r.f for r in docs.select("doc_id", quality.fold_of("doc_id").alias("f")).collect()}
+    y = {r.doc_id: r.quality for r in labels.collect()}
+    grams = quality.Grams()
+    bags = {r.doc_id: Counter(grams.of(r.text).tolist()) for r in docs.collect()}
+    size = lambda bag: sum(bag.values())
+    raw = sum(bags.values(), Counter())
+    share = {b: (raw[b] + 0.5) / (size(raw) + 0.5 * quality.BUCKETS) for b in range(quality.BUCKETS)}
+    means = {}
+    for f in range(quality.FOLDS):
+        target = sum((bags[i] for i in y if y[i] == 1 and fold[i] != f), Counter())
+        ratio = {b: np.log((target[b] + quality.SMOOTH * share[b]) / (size(target) + quality.SMOOTH)) - np.log(share[b]) for b in raw}
+        means |= {i: sum(n * ratio[b] for b, n in bag.items()) / (size(bag) + quality.PRIOR_GRAMS) for i, bag in bags.items() if fold[i] == f}
+    slope, offset = quality._logistic(np.array([means[i] for i in sorted(y)]), np.array([y[i] for i in sorted(y)]), sum(y.values()) / len(y))
+    weight = {i: slope * m + offset for i, m in means.items()}
+    assert all(abs(rows[i].log_weight - w) < 1e-6 for i, w in weight.items())
+    # Odds: the slope makes the likelihood of the labels largest, but for a small ridge.
+    best = lambda a: sum(np.log1p(np.exp(-(a * weight[i]) if y[i] else a * weight[i])) for i in y)
+    assert best(1.0) < best(0.5)
+    u = {r.doc_id: r.u for r in docs.selectExpr("doc_id", f"(shiftrightunsigned(xxhash64(doc_id, {quality.SEED}), 11) + 0.5) / {1 << 53}D u").collect()}
+    key = {i: w - np.log(-np.log(u[i])) for i, w in weight.items()}
+    assert all(abs(rows[i].gumbel_key - k) < 1e-6 for i, k in key.items())
+    k = sum(w >= quality.fit(docs, labels).cut for w in weight.values())
+    assert {i for i, r in rows.items() if r.kept} == set(sorted(key, key=key.get)[-k:])
+
+
+def test_quality_samples_in_proportion_to_the_odds(spark):
+    # With a high temperature all weights are alike, and the noise alone decides.
+    rng = random.Random(15)
+    rows = [(i, words(rng, 60, 500) if i % 2 else words(rng, 60, 500).upper()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 2000, 7)], "doc_id long, quality int")
+    odd = lambda t: sum(r.doc_id % 2 for r in quality.resample(df, labels, k=1000, temperature=t).where("kept").collect())
+    assert odd(1.0) > 990 and 420 < odd(1e6) < 580
+
+
 def test_gram_counts_are_sums(judged):
     grams, total = quality.Grams(), np.zeros(quality.BUCKETS, np.int64)
     for r in judged[0].collect():
@@ -341,38 +397,45 @@ def test_loser_tree_merges():
 
 def test_raking_meets_targets(spark, docs, empty):
     rng = random.Random(9)
-    cells = spark.createDataFrame([(s, l, t, rng.randrange(1, 1000)) for s in "abc" for l in "xy" for t in "pq"], "source string, lang string, topic string, tokens long")
-    aim = {"source": {"a": 0.2, "b": 0.5, "c": 0.3}, "lang": {"x": 0.6, "y": 0.4}, "topic": {"p": 0.9, "q": 0.1}}
-    raked = mixing.rake(cells, {d: spark.createDataFrame(list(v.items()), "value string, target double") for d, v in aim.items()}, rounds=30)
+    cells = spark.createDataFrame([(s, l, t, rng.randrange(500, 1000)) for s in "abc" for l in "xy" for t in "pq"], "source string, lang string, topic string, tokens long")
+    aim = {"source": {"a": 0.2, "b": 0.5, "c": 0.3}, "lang": {"x": 0.6, "y": 0.4}, "topic": {"p": 0.7, "q": 0.3}}
+    raked = mixing.rake(cells, {d: spark.createDataFrame(list(v.items()), "value string, target double") for d, v in aim.items()}, keep=0.3)
+    total = 0.3 * cells.agg(F.sum("tokens")).first()[0]
+    assert raked.where("weight > tokens").count() == 0
     for d, want in aim.items():
-        assert {r[0]: round(r[1], 6) for r in raked.groupBy(d).agg(F.sum("weight")).collect()} == want
+        assert all(abs(r[1] / total / want[r[0]] - 1) <= mixing.TOLERANCE for r in raked.groupBy(d).agg(F.sum("weight")).collect())
     rows = by_id(mixing.mix(docs).collect())
     assert sum(map(len, rows.values())) == len(awkward()) and all(0 <= r.probability <= 1 for v in rows.values() for r in v)
     assert rows[5][0].lang == "(none)" and rows[6][0].source == "(none)" and len({r.kept for r in rows[8]}) == 1
-    assert mixing.mix(empty).count() == 0
+    assert mixing.mix(empty).count() == 0 and mixing.achieved(mixing.mix(empty)).count() == 0
 
 
-def test_bounded_mix_meets_the_targets_within_supply(spark, empty):
+def test_mix_meets_the_targets_within_supply(spark):
     rng = random.Random(14)
     rows = [(i, words(rng, 20), rng.choice("aaab"), rng.choice("xxxxxxxxxy"), rng.choice("p" * 30 + "q")) for i in range(6000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, t string")
-    found = mixing.bounded_mix(df, source_col="source", lang_col="lang", topic_col="t").collect()
+    mixed = mixing.mix(df, source_col="source", lang_col="lang", topic_col="t")
+    found = mixed.collect()
     assert len(found) == len(rows) and all(0 <= r.probability <= 1 for r in found)
     expected, supply = sum(r.probability * r.n_tokens for r in found), sum(r.n_tokens for r in found)
     assert abs(expected / supply - 0.8) < 0.002
     short = set()
     for d in mixing.DIMS:
-        had, got = Counter(), Counter()
+        had, got, kept = Counter(), Counter(), Counter()
         for r in found:
             had[r[d]] += r.n_tokens
             got[r[d]] += r.probability * r.n_tokens
+            kept[r[d]] += r.kept * r.n_tokens
         powered = {v: n**mixing.ALPHA for v, n in had.items()}
         short |= {v for v in powered if 0.8 * powered[v] / sum(powered.values()) > had[v] / supply}
         assert all(got[v] > 0.995 * had[v] for v in short & set(powered))
         over = [got[v] / powered[v] for v in powered if v not in short]
         assert max(over) / min(over) < 1.005
+        for r in mixing.achieved(mixed).where(F.col("dimension") == d).collect():
+            assert abs(r.supply - had[r.value] / supply) < 1e-9 and abs(r.target - powered[r.value] / sum(powered.values())) < 1e-9
+            assert abs(r.expected - got[r.value] / sum(got.values())) < 1e-9 and abs(r.kept - kept[r.value] / sum(kept.values())) < 1e-9
+            assert abs(r.kept - r.expected) < 0.02
     assert "q" in short
-    assert mixing.bounded_mix(empty).count() == 0
 
 
 # --- 9 ---------------------------------------------------------------------

@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
+from vectorloom.llm import common
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -38,9 +40,27 @@ def test_stages(spark, folder):
     assert m.columns == COLUMNS and 0 < m.count() <= docs.count()
 
 
-def test_repeated_rows_leave_one(spark, folder):
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    assert p.exact(spark, docs.union(docs.where("doc_id = 7")), folder).where("doc_id = 7").count() == 1
+@pytest.mark.parametrize("most", [8192, 0])
+def test_awkward_rows(spark, folder, monkeypatch, most):
+    """Equal and null ids, nulls in all columns, no words, a long text, and columns named like those of the stages; by bitmaps and by a join."""
+    monkeypatch.setattr(common.rows_among, "__defaults__", (most,))
+    long = " ".join(f"v{i % 9973}" for i in range(120_000))
+    rows = [(1, "a b"), (1, "a  b"), (None, "c d e"), (None, "c d e"), (None, None), (2, ""), (3, " "), (4, long), (5, long + " more"), (6, "x y z"), (6, "p q r")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    for c in ("kept_doc_id", "kept", "row_number", "rid", "word", "bits", "fold", "node", "label", "probability", "chosen"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    docs.write.mode("overwrite").parquet(f"{folder}/awkward.parquet")
+    docs = spark.read.parquet(f"{folder}/awkward.parquet")
+    pairs = lambda df: sorted((r.doc_id or 0, r.text) for r in df.collect())
+    e = p.exact(spark, docs, folder)
+    assert e.columns == docs.columns and pairs(e.where("text is not null and text <> ''")) == [(0, "c d e"), (1, "a  b"), (3, " "), (4, long), (5, long + " more"), (6, "p q r"), (6, "x y z")]
+    n = p.near(spark, docs, folder)
+    assert n.columns == docs.columns and pairs(n.where("length(text) > 1")) == [(0, "c d e"), (1, n.where("doc_id = 1").first().text), (4, long), (6, "p q r"), (6, "x y z")]
+    assert n.where("trim(coalesce(text, '')) = ''").count() == 1
+    for stage in (p.quality, p.mixing):
+        found = stage(spark, docs, folder)
+        assert found.columns == docs.columns and set(pairs(found.fillna("", ["text"]))) <= set(pairs(docs.fillna("", ["text"])))
+    assert p.packing(spark, docs, folder).where("piece = 0").count() == len(rows)
 
 
 def test_run(spark, folder):
