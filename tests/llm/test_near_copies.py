@@ -48,13 +48,14 @@ def test_components_are_those_of_all_similar_pairs(spark, bucket, block):
 
 
 def test_blocks_alone_find_the_links(spark, monkeypatch):
-    monkeypatch.setattr(nc, "simhash_pairs", lambda sets: sets.select(F.col("node").alias("a"), F.col("node").alias("b")).where("a <> b"))
+    monkeypatch.setattr(nc, "simhash_pairs", lambda known: known.select(F.col("n").alias("place"), F.col("node").alias("a"), F.col("node").alias("b")).where("a <> b"))
     test_components_are_those_of_all_similar_pairs(spark, 2, 3)
 
 
 def test_fingerprints_are_those_of_operator_one(spark):
     texts = ["One two three four five six seven", "a b", "", None] + families(random.Random(3))[:9]
-    rows = nc._sets(spark.createDataFrame(list(enumerate(texts)), SCHEMA), "doc_id", "text", None).collect()
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    rows = nc._sets(df.select("doc_id", F.lit(0).cast("long").alias("rid"), F.col("text").cast("binary").alias("text"))).collect()
     assert {r.doc_id: r.fp % (1 << 64) for r in rows} == {i: simhash.fingerprint((t or "").encode(), 5) for i, t in enumerate(texts)}
 
 

@@ -16,7 +16,9 @@ within one component, whose links would add nothing, are not compared.
 
 Defined results: as for simhash_neardup; equal sets are one node; null text counts as
 empty; texts without words have one empty set and link to each other only; a shorter
-text is one shingle; long texts are hashed whole, their set being held by one task.
+text is one shingle; long texts are hashed whole, their set being held by one task. The
+input is read more than once and must give the same rows in the same partitions, as a
+stored table does.
 """
 
 from __future__ import annotations
@@ -29,11 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, split_join, stored
+from .common import connected_components, rows_among, split_join, stored
 from .simhash import fingerprint_edges, majority
 
 SEED, SHINGLE, SIMILAR, NEAR_BITS = 42, 5, 0.8, 7
-BANDS, ROWS, BUCKET, BLOCK = 24, 5, 128, 256
+BANDS, ROWS, BUCKET, BLOCK, PARTS = 24, 5, 128, 256, 64
 _BLOCK = 4096
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 _A, _B = (np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -62,9 +64,16 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
-    """One row per row: doc_id, rid, node (digest of the set), n, fp, keys, hashes (the set's bytes)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).cast("long").alias("rid"), F.col(text_col).cast("binary").alias("text"))
+def _digest(found: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(found.tobytes())
+
+
+def _signed(values) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, rid, text) -> doc_id, rid, node (digest of the set), n, fp, keys; the sets themselves are made again where needed."""
 
     def run(batches):
         for batch in batches:
@@ -72,43 +81,84 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) -> D
                 b = batch.slice(at, 512)
                 bags = [hashes(t.as_py() or b"") for t in b.column(2)]
                 sets = [np.unique(x) for x in bags]
-                raw = [s.tobytes() for s in sets]
-                long = lambda values: pa.array(np.array(values, np.uint64).view(np.int64))
                 keys = pa.array([bands(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), long([xxhash.xxh3_64_intdigest(r) for r in raw]), pa.array([len(s) for s in sets], pa.int64()), long([majority(x) for x in bags]), keys, pa.array(raw, pa.binary())], ["doc_id", "rid", "node", "n", "fp", "keys", "hashes"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _signed([_digest(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), _signed([majority(x) for x in bags]), keys], ["doc_id", "rid", "node", "n", "fp", "keys"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, rid long, node long, n long, fp long, keys array<long>, hashes binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, rid long, node long, n long, fp long, keys array<long>")
 
 
-def _held(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, hashes of the nodes named."""
-    return stored(sets.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "near-sets")
+class Sets:
+    """The sets of nodes: which row has them, and how to make them again from its text."""
 
+    def __init__(self, rows: DataFrame, known: DataFrame):
+        self.rows, self.known = rows, known
 
-def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    held = _held(pairs.select(F.explode(F.array("a", "b")).alias("node")), sets)
-    both = split_join(split_join(pairs, held.withColumnsRenamed({"node": "a", "hashes": "x"}), "a"), held.withColumnsRenamed({"node": "b", "hashes": "y"}), "b")
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """node, hashes (the set's bytes, in order) of the nodes in the only column of nodes."""
+        chosen = split_join(self.known.groupBy("node").agg(F.min("rid").alias("rid")), nodes.select(F.col(nodes.columns[0]).alias("node")).distinct(), "node").select("rid")
 
-    def run(batches):
-        for b in batches:
-            x, y = ([np.frombuffer(v.as_py(), np.uint64) for v in b.column(i)] for i in (2, 3))
-            ok = pa.array([similarity(p, q) >= similar for p, q in zip(x, y, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
+        def run(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    sets = [np.unique(hashes(t.as_py() or b"")) for t in batch.slice(at, 512).column(0)]
+                    yield pa.RecordBatch.from_arrays([_signed([_digest(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
+
+        return stored(rows_among(self.rows, "rid", chosen).select("text").mapInArrow(run, "node long, hashes binary"), "near-sets")
+
+
+class _Forest:
+    """Components of labels, joined as links are found."""
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    def __init__(self):
+        self.up: dict[int, int] = {}
 
+    def root(self, x: int) -> int:
+        while x != self.up.get(x, x):
+            x = self.up[x]
+        return x
 
-def simhash_pairs(sets: DataFrame, max_diff: int = NEAR_BITS) -> DataFrame:
-    """Pairs (a, b) of nodes that span the links of operator 1: equal fingerprints, or at most max_diff bits apart."""
-    known = sets.select("fp", "node").distinct()
+    def join(self, x: int, y: int) -> None:
+        self.up[max(x, y)] = min(x, y)
+
+
+def _verified(pairs: DataFrame, sets: Sets, similar: float) -> DataFrame:
+    """Links (a, b) that span those of the pairs (place, a, b) whose sets are similar enough.
+
+    A place is a bucket or a like meeting point of a bounded number of nodes: each of
+    them brings its set there once, however many pairs it has.
+    """
+    members = pairs.select("place", F.explode(F.array("a", "b")).alias("node")).distinct()
+    brought = split_join(members, sets.of(members.select("node")), "node").select("place", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
+
+    def compare(table: pa.Table) -> pa.Table:
+        own, pairs = {}, []
+        for x, y, h in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), table.column("hashes"), strict=True):
+            if y is None:
+                own[x] = np.frombuffer(h.as_py(), np.uint64)
+            else:
+                pairs.append((x, y))
+        forest, out = _Forest(), []
+        for x, y in sorted(pairs):
+            if (one := forest.root(x)) != (two := forest.root(y)) and similarity(own[x], own[y]) >= similar:
+                forest.join(one, two)
+                out.append((x, y))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return brought.union(pairs.select("place", "a", "b", F.lit(None).cast("binary").alias("hashes"))).groupBy("place").applyInArrow(compare, "a long, b long")
+
+
+def simhash_pairs(known: DataFrame, max_diff: int = NEAR_BITS) -> DataFrame:
+    """Pairs (place, a, b) of nodes that span the links of operator 1: equal fingerprints, or at most max_diff bits apart."""
+    known = known.select("fp", "node").distinct()
     heads = stored(known.groupBy("fp").agg(F.min("node").alias("head")), "near-heads")
     equal = split_join(known, heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     edges = fingerprint_edges(heads.select("fp"), max_diff).withColumnsRenamed({"a": "x", "b": "y"})
     for fp, node in (("x", "a"), ("y", "b")):
         edges = split_join(edges, heads.withColumnsRenamed({"fp": fp, "head": node}), fp)
-    return equal.union(edges.select("a", "b"))
+    pairs = equal.union(edges.select("a", "b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    # A node meets its lower partners in lots, so that a hub brings its set once a lot.
+    return pairs.select(F.xxhash64("b", F.pmod(F.xxhash64("a"), F.lit(PARTS))).alias("place"), "a", "b")
 
 
 def _fit(similar: float) -> str:
@@ -116,9 +166,9 @@ def _fit(similar: float) -> str:
     return f"least(an, bn) >= {similar - 1e-9} * greatest(an, bn)"
 
 
-def _in_blocks(hot: DataFrame, sets: DataFrame, similar: float, block: int) -> DataFrame:
+def _in_blocks(hot: DataFrame, sets: Sets, similar: float, block: int) -> DataFrame:
     """Links (a, b) in large buckets (key, node, label, size, main): texts of other components than the main one against all, block by block."""
-    held = _held(hot.select("node"), sets)
+    held = sets.of(hot.select("node"))
     number = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(n / block)).cast("int")
     odd = hot.where("label <> main").groupBy("key").agg(F.count("*").alias("n_odd"))
     dealt = split_join(hot, odd, "key")
@@ -131,38 +181,31 @@ def _in_blocks(hot: DataFrame, sets: DataFrame, similar: float, block: int) -> D
     def compare(table: pa.Table) -> pa.Table:
         odd, node, label = (table.column(c).to_pylist() for c in ("odd", "node", "label"))
         sets = [np.frombuffer(v.as_py(), np.uint64) for v in table.column("hashes")]
-        up: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while x != up.get(x, x):
-                x = up[x]
-            return x
-
-        out = []
+        forest, out = _Forest(), []
         for p in (i for i, o in enumerate(odd) if o):
             for q in (i for i, o in enumerate(odd) if not o):
                 few, many = sorted((len(sets[p]), len(sets[q])))
-                if few >= (similar - 1e-9) * many and (one := root(label[p])) != (two := root(label[q])) and similarity(sets[p], sets[q]) >= similar:
-                    up[max(one, two)] = min(one, two)
+                if few >= (similar - 1e-9) * many and (one := forest.root(label[p])) != (two := forest.root(label[q])) and similarity(sets[p], sets[q]) >= similar:
+                    forest.join(one, two)
                     out.append((node[p], node[q]))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
     return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def jaccard_edges(sets: DataFrame, similar: float = SIMILAR, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
-    """Verified edges (a, b) between the nodes of sets (node, n, fp, keys, hashes), whose components are those of all similar pairs."""
-    tried = stored(simhash_pairs(sets).distinct(), "near-tried")
+def jaccard_edges(known: DataFrame, sets: Sets, similar: float = SIMILAR, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+    """Verified edges (a, b) between the nodes known (node, n, fp, keys), whose components are those of all similar pairs."""
+    tried = stored(simhash_pairs(known), "near-tried")
     edges = stored(_verified(tried, sets, similar), "near-edges")
     labels = connected_components(edges).withColumnRenamed("node", "own")
-    keyed = sets.select("node", "n", F.explode("keys").alias("key")).distinct()
+    keyed = known.select("node", "n", F.explode("keys").alias("key")).distinct()
     keyed = keyed.join(labels, keyed.node == labels.own, "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
     keyed = stored(keyed, "near-keys")
     mixed = keyed.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("two"), F.count("*").alias("size")).where("one <> two").select("key", "size")
     met = stored(split_join(keyed, mixed, "key"), "near-buckets")
     small, hot = met.where(F.col("size") <= bucket), met.where(F.col("size") > bucket)
     x, y = (small.select("key", *[F.col(c).alias(p + c) for c in ("node", "n", "label")]) for p in "ab")
-    pairs = x.join(y, "key").where("alabel < blabel").where(_fit(similar)).select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct()  # `bucket` partners at most
+    pairs = x.join(y, "key").where("alabel < blabel").where(_fit(similar)).groupBy(F.col("anode").alias("a"), F.col("bnode").alias("b")).agg(F.min("key").alias("place"))  # `bucket` partners at most
     pairs = stored(pairs, "near-again")
     out = edges.union(stored(_verified(pairs, sets, similar), "near-edges-again")) if pairs.take(1) else edges
     if not hot.take(1):
@@ -173,9 +216,10 @@ def jaccard_edges(sets: DataFrame, similar: float = SIMILAR, bucket: int = BUCKE
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, bucket: int = BUCKET, block: int = BLOCK, row_col: str | None = None) -> DataFrame:
     """One row per row: doc_id, component_id (smallest doc_id reachable by links), kept (one row of each component: that id's first), and with row_col that number of the row."""
-    sets = stored(_sets(docs, id_col, text_col, row_col), "near-shingles")
-    labels = connected_components(jaccard_edges(sets, similar, bucket, block)).withColumnRenamed("node", "own")
-    rows = sets.select("doc_id", "rid", "node")
+    texts = docs.select(F.col(id_col).alias("doc_id"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).cast("long").alias("rid"), F.col(text_col).cast("binary").alias("text"))
+    known = stored(_sets(texts), "near-shingles")
+    labels = connected_components(jaccard_edges(known, Sets(texts, known), similar, bucket, block)).withColumnRenamed("node", "own")
+    rows = known.select("doc_id", "rid", "node")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid"))
     nodes = rows.groupBy("node").agg(first.alias("low"))
     nodes = nodes.join(labels, nodes.node == labels.own, "left").select("node", "low", F.coalesce("label", "node").alias("label"))

@@ -109,13 +109,14 @@ def gram_counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     return out
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, fit_rows: int) -> tuple[list[tuple[str, int, int]], float]:
-    """(at most fit_rows texts of each class, chosen by a hash of the id, with label and fold; the share of good ones among all labels)."""
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, fit_rows: int, buckets: int) -> tuple[list[tuple[np.ndarray, int, int]], float]:
+    """(bags of at most fit_rows texts of each class, chosen by a hash of the id, with label and fold; the share of good ones among all labels)."""
     one = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col)).alias("y"))
     order = [F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id")]
     chosen = one.where("y = 1").orderBy(*order).limit(fit_rows).union(one.where("y = 0").orderBy(*order).limit(fit_rows))
     found = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).withColumn("fold", fold_of("doc_id")).orderBy("doc_id")  # 2 * fit_rows ids at most
-    return [(r.text, r.y, r.fold) for r in found.select("text", "y", "fold").toLocalIterator()], one.agg(F.avg("y")).first()[0] or 0.0
+    grams = Grams(buckets)
+    return [(grams.of(r.text).astype(np.int32), r.y, r.fold) for r in found.select("text", "y", "fold").toLocalIterator()], one.agg(F.avg("y")).first()[0] or 0.0
 
 
 def evidence(bag: np.ndarray, ratio: np.ndarray) -> float:
@@ -138,12 +139,11 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS, buckets: int = BUCKETS) -> Model:
     texts = _texts(docs, id_col, text_col)
-    rows, prior = _labelled(texts, labels, id_col, label_col, fit_rows)
+    rows, prior = _labelled(texts, labels, id_col, label_col, fit_rows, buckets)
     y, fold = np.array([y for _, y, _ in rows], int), np.array([f for *_, f in rows], int)
     if len(set(y)) < 2:
         return Model(np.zeros((FOLDS, buckets)))
-    raw, grams = gram_counts(texts, buckets), Grams(buckets)
-    bags, counts = [grams.of(t) for t, *_ in rows], np.zeros((FOLDS, buckets), np.int64)
+    raw, bags, counts = gram_counts(texts, buckets), [bag for bag, *_ in rows], np.zeros((FOLDS, buckets), np.int64)
     for bag, label, f in zip(bags, y, fold, strict=True):
         if label == 1:
             counts[np.arange(FOLDS) != f] += np.bincount(bag, minlength=buckets)
