@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpus_pipeline import near
 from vectorloom.llm import near_copies as nc
 from vectorloom.llm import simhash
+from vectorloom.llm.common import stored
 
 SCHEMA = "doc_id long, text string"
 
@@ -41,7 +42,7 @@ def test_components_are_those_of_all_similar_pairs(spark, bucket, block):
             if a == b or len(a & b) >= 0.8 * len(a | b):
                 linked += 1
                 low[max(find(i), find(j))] = min(find(i), find(j))
-    found = nc.near_copies(spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3), bucket=bucket, block=block).collect()
+    found = nc.near_copies(stored(spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3), "texts"), bucket=bucket, block=block).collect()
     assert linked > 100 and len(found) == len(texts)
     assert {r.doc_id: r.component_id for r in found} == {i: find(i) for i in range(len(texts))}
     assert {r.doc_id for r in found if r.kept} == {find(i) for i in range(len(texts))}
@@ -84,5 +85,5 @@ def test_the_pipeline_drops_copies_at_080_and_keeps_the_others(spark):
         every = 54 if i % 4 == 0 else 36  # similarity 0.83 and 0.74
         rows += [(i, " ".join(base)), (i + 1, " ".join("other" if k % every == every - 1 else w for k, w in enumerate(base)))]
         gone |= {i + 1} if i % 4 == 0 else set()
-    found = near(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "")
+    found = near(spark, stored(spark.createDataFrame(rows, SCHEMA).repartition(3), "texts"), "")
     assert {r.doc_id for r in found.collect()} == set(range(200)) - gone
