@@ -52,6 +52,16 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows in a partition of a small table that is written between steps.
+ROWS_A_FILE = 200_000
+
+
+def settled(df: DataFrame, rows: int) -> DataFrame:
+    """df of about that many rows, checkpointed in no more files than they fill."""
+    shared_root(df.sparkSession)
+    return df.coalesce(max(1, -(-rows // ROWS_A_FILE))).checkpoint()
+
+
 def unique_rows(docs: DataFrame, id_col: str, *cols: str, row_col: str | None = None) -> DataFrame:
     """The named columns as doc_id and their own names, plus rid, a number of the row (repeated rows stay apart); row_col has it already."""
     return docs.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in cols], (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("rid"))
@@ -137,7 +147,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     repeated edges are harmless; no edges give no rows.
     """
     shared_root(edges.sparkSession)
-    cur = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    rows = edges.count()  # edges are stored
+    cur = settled(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), rows)
     before = None
     while True:
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -145,9 +156,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = split_join(both.where("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = split_join(large, low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        cur = small.distinct().checkpoint()
+        cur = settled(small.distinct(), 2 * rows)
         after = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before:
             break
-        before = after
+        before, rows = after, after[0]
     return cur.select(F.col("u").alias("node"), F.col("v").alias("label")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

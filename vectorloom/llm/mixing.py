@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import settled, stored
 
 ALPHA, ROUNDS, KEEP = 0.85, 5, 0.8
 #: Share of a target that its marginal may be off, lots of ROUNDS rounds at most, steps of lifting targets.
@@ -73,15 +73,15 @@ def targets_of(cells: DataFrame, alpha: float = ALPHA) -> dict[str, DataFrame]:
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
     """cells (source, lang, topic, tokens) with a column weight: expected tokens kept, each cell's supply at most, whose marginals meet the targets as far as there is supply."""
-    now = cells
+    now, (total, size) = cells, cells.agg(F.sum("tokens"), F.count("*")).first()
     for d in DIMS:
         now = now.join(targets[d].select(F.col("value").alias(d), F.col("target").alias(f"{d}_target")), d, "left")
-    now = now.fillna(0.0, [f"{d}_target" for d in DIMS]).checkpoint()
-    total = now.agg(F.sum("tokens")).first()[0]
+    now = settled(now.fillna(0.0, [f"{d}_target" for d in DIMS]), size)
     if not total:
         return cells.withColumn("weight", F.lit(0.0))
     for d in DIMS:
-        sums = now.groupBy(d).agg((F.sum("tokens") / (keep * total)).alias("most"), F.first(f"{d}_target").alias("a")).where("a > 0").checkpoint()
+        sums = now.groupBy(d).agg((F.sum("tokens") / (keep * total)).alias("most"), F.first(f"{d}_target").alias("a")).where("a > 0")
+        sums = settled(sums, size)
         lift = 1.0
         for _ in range(FILLS):  # values short of supply give all; the others' targets are lifted to fill the rest
             full = F.col("most") <= F.col("a") * lift
@@ -90,13 +90,13 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, ro
             if lift <= was * (1 + 1e-12):
                 break
         now = now.drop(f"{d}_target").join(sums.select(d, F.least("most", F.col("a") * lift).alias(f"{d}_target")), d, "left").fillna(0.0, [f"{d}_target"])
-    raked, last = now.withColumn("weight", F.col("tokens") * F.lit(keep)).checkpoint(), float("inf")
+    raked, last = settled(now.withColumn("weight", F.col("tokens") * F.lit(keep)), size), float("inf")
     for _ in range(LOTS):
         for _ in range(rounds):
             for d in DIMS:
                 was = F.sum("weight").over(Window.partitionBy(d))
                 raked = raked.withColumn("weight", F.when(was > 0, F.least(F.col("tokens").cast("double"), F.col("weight") * F.col(f"{d}_target") * (keep * total) / was)).otherwise(0.0))
-        raked = raked.checkpoint()
+        raked = settled(raked, size)
         off = _off(raked, keep * total)
         if off <= TOLERANCE or off > 0.99 * last:
             break
@@ -120,7 +120,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     keep: share of all tokens to be kept.
     """
     rows = stored(_prepared(docs, id_col, text_col, source_col, lang_col, topic_col, row_col), "mix-rows")  # texts are read once
-    cells = rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")).checkpoint()
+    cells = stored(rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
     raked = rake(cells, targets or targets_of(cells, alpha), keep, rounds)
     chance = raked.select(*DIMS, F.coalesce(F.round(F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") / F.col("tokens"))), 9), F.lit(1.0)).alias("probability"))
     return _drawn(rows, chance, row_col)

@@ -173,7 +173,7 @@ def fingerprint_edges(nodes: DataFrame, max_diff: int = 3, bucket: int = BUCKET)
     rows, edges = _keys(nodes.select("fp"), segments, 0), None
     for level in range(1, segments + 1):
         hot = rows.groupBy("start", "key").count().where(F.col("count") > bucket).select("start", "key")
-        last = level == segments or not (hot := hot.checkpoint()).take(1)
+        last = level == segments or not (hot := stored(hot, "hot-buckets")).take(1)
         cold = rows if last else rows.join(hot, ["start", "key"], "left_anti").select("fp", "start", "key")
         found = _bucket_links(cold.repartition("start", "key").sortWithinPartitions("start", "key"), segments)
         edges = found if edges is None else edges.union(found)
@@ -187,7 +187,7 @@ def simhash_neardup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links)."""
     rows = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    labels = connected_components(fingerprint_edges(nodes, max_diff, bucket))
+    labels = connected_components(stored(fingerprint_edges(nodes, max_diff, bucket), "fingerprint-edges"))
     nodes = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
     lowest = nodes.groupBy("label").agg(F.min("low").alias("component_id"))
     reached = split_join(nodes, lowest, "label").select("fp", "component_id")
