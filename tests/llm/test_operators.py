@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.llm import exact_dedup as ed
 from vectorloom.llm import gear, license_scan, media, mixing, packing, quality, simhash, substring_dedup, toxicity, warc
-from vectorloom.llm.common import connected_components
+from vectorloom.llm.common import connected_components, stored
 from vectorloom.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -204,35 +204,84 @@ def test_gear_is_the_recurrence_and_moves_with_text():
     assert set(c for c in gear.candidates(data, 5) if c > 40) == set(c for c in moved if c > 40)
 
 
+def test_minima_are_those_of_each_place_and_move_with_text():
+    data = np.random.default_rng(1).integers(0, 256, 3000).astype(np.uint8)
+    h = (gear.rolling(data) << np.uint32(16)).astype(np.int64).tolist()
+    want = [p + 1 for p in range(len(h)) if all(h[p] < x for x in h[max(0, p - 12) : p]) and all(h[p] <= x for x in h[p + 1 : p + 13])]
+    assert gear.minima(data, 12, 16).tolist() == want and len(want) > 60
+    old, gear._BLOCK = gear._BLOCK, 700
+    try:
+        assert gear.minima(data, 12, 16).tolist() == want
+    finally:
+        gear._BLOCK = old
+    moved = gear.minima(np.concatenate([np.zeros(13, np.uint8), data]), 12, 16) - 13
+    assert set(c for c in want if c > 60) == set(c for c in moved.tolist() if c > 60)
+
+
+TEXTS = (words(random.Random(2), 500), "é" * 3000, "x" * 1000, "日本 " * 300, "".join(chr(0x4E00 + random.Random(i).randrange(3000)) for i in range(900)), "a\u00a0b", "z")
+
+
 def test_text_chunks_cover_and_keep_characters():
-    for text in (words(random.Random(2), 500), "é" * 3000, "x" * 1000, "日本 " * 300):
+    for text in TEXTS:
         raw = text.encode()
-        ends = substring_dedup.text_chunks(raw)
+        ends = substring_dedup.text_chunks(raw).tolist()
         assert ends[-1] == len(raw) and ends == sorted(set(ends)) and max(np.diff([0, *ends])) <= substring_dedup.MOST
         assert "".join(raw[s:e].decode() for s, e in zip([0, *ends], ends)) == text
+        starts = substring_dedup.word_starts(raw)
+        assert [raw[: s].decode() for s in starts.tolist()] == [text[: m.start()] for m in re.finditer(r"[\u4e00-\u9fff]|[^\s\u4e00-\u9fff]+", text)]
+
+
+def plain_spans(rows, min_words):
+    """The spans by sets of bytes: for each row those kept and those gone, as positions."""
+    pieces = [list(zip(*(x.tolist() for x in substring_dedup.text_pieces(t.encode())))) if t else [] for _, t in rows]
+    where = defaultdict(list)
+    for r, (i, t) in enumerate(rows):
+        for s, e, *_ in pieces[r]:
+            where[t.encode()[s:e]].append((i is None, i or 0, r, s))
+    out = []
+    for r, (i, t) in enumerate(rows):
+        kept, gone, seen = set(), set(), set()
+        for s, e, *_ in pieces[r]:
+            body = t.encode()[s:e]
+            places = where[body]
+            if len({x[2] for x in places}) > 1:
+                owner = min(places)[:2]
+                (kept if (i is None, i or 0) == owner and body not in seen else gone).update(range(s, e))
+            seen.add(body)
+        starts = substring_dedup.word_starts((t or "").encode())
+        both = sorted(kept | gone)
+        runs = np.split(both, np.flatnonzero(np.diff(both) != 1) + 1) if both else []
+        far = {int(x) for run in runs if ((starts >= run[0]) & (starts <= run[-1])).sum() >= min_words for x in run}
+        out.append((kept & far, (gone - kept) & far))
+    return out
 
 
 def test_repeated_spans_match_plain(docs, empty, spark):
     rng = random.Random(3)
-    passage = words(rng, 55, 10**6)
-    rows = [(i, f"{words(rng, 40, 10**6)} {passage} {words(rng, 30, 10**6)}") for i in range(6)] + [(10 + i, words(rng, 200, 10**6) + " Licensed under the MIT License.") for i in range(6)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    found = substring_dedup.repeated_spans(df).collect()
-    # Where the text before the passage moves its first cut, a few texts may share an edge chunk that the first has not.
-    assert {r.doc_id for r in found} == set(range(6)) and all(r.first_doc_id <= r.doc_id for r in found) and 0 in {r.first_doc_id for r in found}
-    assert all(r.kept for r in found if r.doc_id == 0) and all(sum(x.n_words for x in found if x.doc_id == i and not x.kept) > 25 for i in range(1, 6))
-    texts = {i: t.encode() for i, t in rows}
-    counts = Counter()
-    for t in texts.values():
-        ends = substring_dedup.text_chunks(t)
-        counts.update(t[s:e] for s, e in zip([0, *ends], ends))
-    for r in found:
-        assert passage.encode().find(texts[r.doc_id][r.start : r.end].strip()) >= 0
-        ends = substring_dedup.text_chunks(texts[r.doc_id])
-        inside = [(s, e) for s, e in zip([0, *ends], ends) if r.start <= s < r.end]
-        assert all(counts[texts[r.doc_id][s:e]] > 1 for s, e in inside) and len(inside) == r.n_chunks
-    clean = {r.doc_id: r for r in substring_dedup.substring_dedup(df).collect()}
-    assert clean[0].text == rows[0][1] and all(clean[i].removed_bytes > 150 for i in range(1, 6)) and all(clean[10 + i].removed_bytes == 0 for i in range(6))
+    passage, other = words(rng, 55, 10**6), words(rng, 70, 10**6)
+    cjk = "".join(chr(0x4E00 + rng.randrange(8000)) for _ in range(600))
+    rows = [(i, f"{words(rng, 40, 10**6)} {passage} {words(rng, 30, 10**6)} {other if i % 2 else ''}") for i in range(6)]
+    rows += [(10 + i, words(rng, 200, 10**6) + " Licensed under the MIT License.") for i in range(6)]
+    rows += [(20, cjk), (21, "一" + cjk), (22, cjk[100:400] + "二" * 50), (23, passage.replace(" ", "\u00a0")), (24, "x" + passage.replace(" ", "\u00a0"))]
+    rows += [(30, f"{other} {words(rng, 20, 10**6)} {other}"), (31, passage + " " + other), (31, passage + " " + other), (None, other), (40, None), (41, ""), (42, f"{words(rng, 60, 10**6)} " * 2)]
+    df = stored(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "texts")
+    found = defaultdict(list)
+    for r in substring_dedup.repeated_spans(df).collect():
+        found[r.doc_id].append(r)
+    want = defaultdict(list)
+    for (i, _), spans in zip(rows, plain_spans(rows, substring_dedup.MIN_WORDS)):
+        want[i].append(spans)
+    for i, spans in want.items():
+        cover = lambda kept: Counter(x for r in found[i] if r.kept == kept for x in range(r.start, r.end))  # noqa: B023, E731
+        assert cover(True) == sum((Counter(k) for k, _ in spans), Counter()) and cover(False) == sum((Counter(g) for _, g in spans), Counter()), i
+    assert {20, 21, 22, 23, 24, 30, 31, None, *range(6)} == {i for i, v in found.items() if v}  # shifted texts without spaces too
+    texts = dict(rows[:24])
+    assert all(r.n_words == len(texts[i].encode()[: r.end].split()) - len(texts[i].encode()[: r.start].split()) or abs(r.n_words - len(texts[i].encode()[r.start : r.end].split())) <= 2 for i in range(6) for r in found[i])
+    clean = defaultdict(list)
+    for r in substring_dedup.substring_dedup(df).collect():
+        clean[r.doc_id].append(r)
+    assert clean[0][0].text == rows[0][1] and all(clean[i][0].removed_bytes > 200 for i in range(1, 6)) and all(clean[10 + i][0].removed_bytes == 0 for i in range(6))
+    assert clean[40][0].text is None and clean[41][0].text == "" and clean[42][0].removed_bytes == 0 and clean[21][0].removed_bytes > 1500
     assert substring_dedup.repeated_spans(docs).count() > 0 and substring_dedup.repeated_spans(empty).count() == 0
     assert substring_dedup.substring_dedup(docs).count() == len(awkward())
 

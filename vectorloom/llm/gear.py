@@ -48,6 +48,35 @@ def candidates(data: np.ndarray, bits: int, window: int = WINDOW) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
+def _least(x: np.ndarray, by: int) -> np.ndarray:
+    """The least of each value and the `by` - 1 before it, by doubling."""
+    have = 1
+    while have < by:
+        step = min(have, by - have)
+        x = np.concatenate([x[:step], np.minimum(x[step:], x[:-step])])
+        have += step
+    return x
+
+
+def minima(data: np.ndarray, radius: int, window: int) -> np.ndarray:
+    """Positions after whose byte the hash of the last `window` bytes is less than in `radius` places before and no more than in `radius` after.
+
+    They lie over `radius` apart, and each depends on 2 * radius + window bytes around it
+    only: unlike cuts that count from the one before, none is moved by what stands
+    farther away. Memory is bounded by blocks.
+    """
+    found = []
+    for at in range(0, len(data), _BLOCK):
+        lo, hi = max(0, at - radius - WINDOW), min(len(data), at + _BLOCK + radius)
+        h = (rolling(data[lo:hi]) << np.uint32(WINDOW - window)).astype(np.int64)
+        edge = np.full(radius, 1 << 32, np.int64)
+        wide = np.concatenate([edge, h, edge])
+        before, after = _least(wide, radius)[radius - 1 : -radius - 1], _least(wide[::-1], radius)[::-1][radius + 1 : len(wide) - radius + 1]
+        own = np.flatnonzero((h < before) & (h <= after)) + lo
+        found.append(own[(own >= at) & (own < at + _BLOCK)] + 1)
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
 def cut(ends: list[int], size: int, least: int, most: int, may_end=None) -> list[int]:
     """Ends of the chunks of size bytes: the first candidate at least `least` on, or `most` bytes on.
 

@@ -1,26 +1,35 @@
 """Substring de-duplication by content-defined chunks.
 
-A text is cut at spaces where a gear rolling hash over the last 16 bytes allows it
-(one space in two, 12 to 64 bytes apart), so equal passages fall into equal
-chunks wherever they stand. Chunks are counted by a 128-bit digest; the smallest
-doc_id that has a digest owns it, and its first place there stays. A run of
-adjoining repeated chunks is a repeated passage if it spans at least MIN_WORDS words:
-cuts lose a hash window and some chunks at the ends, about an eighth of a passage of
-50 words, so those and longer ones are found, and short common lines are left alone.
+A text is cut between characters where a gear rolling hash over the last WINDOW bytes is
+the least within RADIUS bytes on either side, and MOST bytes on at the latest. Such cuts
+do not depend on spaces, nor on what stands farther away, so equal passages fall into
+equal chunks wherever they stand and whatever the script. RUN adjoining chunks make a
+piece, about a dozen words: too long to recur by chance, as single chunks do. Pieces are
+counted by a 128-bit digest; the smallest doc_id that has a digest owns it, and its first
+place there stays. A run of adjoining pieces that stand in other rows too is a repeated
+passage if it spans at least MIN_WORDS words. Of a passage, the cuts lose a hash window, a
+radius and the rest of a chunk at either end, so passages of over 50 words are found
+(tested at all offsets, also without spaces), and short common lines are left alone.
+
+What goes are the bytes of pieces that another place owns, but never bytes of a piece
+that is kept here: so every piece stays whole in its owner.
 
 Digests are pre-aggregated before the shuffle, so a passage in a third of all texts
-costs one row for each task; chunk rows then meet their digest in a join that
+costs one row for each task; piece rows then meet their digest in a join that
 adaptive execution can split. No task holds a group of copies.
 
-Defined results: null and empty texts have no chunks and no spans; rows with null
-ids take part in counts but a null id never owns while another has the passage;
-rows repeated with the same id are each a copy of the other, and only their first
-places within a row count as kept; other columns are ignored. The input is read more
-than once and must give the same rows in the same partitions, as a stored table does.
+Defined results: null and empty texts have no pieces and no spans; a text of any length is
+cut whole; a repeat within one row only is none; rows with null ids take part in counts but
+a null id never owns while another has the passage; rows repeated with the same id are each
+a copy of the other: both own, and only their first places within a row count as kept; an
+empty table gives no rows; other columns are ignored. The input is read more than once and
+must give the same rows in the same partitions, as a stored table does.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,91 +37,122 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
-from .gear import candidates, cut
+from .gear import minima
 
-BITS, LEAST, MOST, WINDOW, MIN_WORDS = 1, 12, 64, 16, 20
+RADIUS, MOST, WINDOW, RUN, MIN_WORDS = 12, 64, 16, 3, 25
 _SPACES = np.zeros(256, bool)
-_SPACES[[9, 10, 11, 12, 13, 32]] = True
+_SPACES[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+#: Letters of scripts that are written without spaces count as a word each.
+_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_ALONE}]|[^\s{_ALONE}]+")
+_SPECIAL = re.compile(rf"[{_ALONE}\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 
 
-def text_chunks(text: bytes, bits: int = BITS, least: int = LEAST, most: int = MOST) -> list[int]:
+def text_chunks(text: bytes) -> np.ndarray:
     """Ends of the text's chunks, in bytes; no chunk splits a UTF-8 character."""
     data = np.frombuffer(text, np.uint8)
-    if not len(data):
-        return []
-    ends = candidates(data, bits, WINDOW)
-    ends = ends[_SPACES[data[ends - 1]]].tolist()
-
-    def whole(at: int) -> int:
-        while at > 0 and text[at] & 0xC0 == 0x80:
-            at -= 1
-        return at
-
-    return cut(ends, len(text), least, most, whole)
-
-
-def _chunk_rows(docs: DataFrame, id_col: str, text_col: str, kind: str) -> DataFrame:
+    size = len(data)
+    if not size:
+        return np.zeros(0, np.int64)
+    ends = minima(data, RADIUS, WINDOW)
+    ends = ends[ends < size]
+    ends = ends[data[ends] & 0xC0 != 0x80]
+    bounds = np.concatenate([[0], ends, [size]])
+    if (np.diff(bounds) <= MOST).all():
+        return bounds[1:]
+    out = []
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        while hi - lo > MOST:
+            at = lo + MOST
+            while at > lo + 1 and data[at] & 0xC0 == 0x80:
+                at -= 1
+            out.append(at)
+            lo = at
+        out.append(hi)
+    return np.array(out, np.int64)
+
+
+def word_starts(text: bytes) -> np.ndarray:
+    """Byte positions where words start."""
+    if not text.isascii() and _SPECIAL(plain := text.decode("utf-8", "replace")):
+        width = np.cumsum(np.concatenate([[0], [len(c.encode("utf-8", "replace")) for c in plain]]))
+        return width[np.array([m.start() for m in _WORD.finditer(plain)], np.int64)]
+    space = _SPACES[np.frombuffer(text, np.uint8)]
+    return np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+
+
+def text_pieces(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, words before the start, words before the end) of the runs of RUN chunks; a shorter text is one piece."""
+    ends = text_chunks(text)
+    starts = np.concatenate([[0], ends[:-1]])
+    n = max(1, len(ends) - RUN + 1)
+    starts, ends = starts[:n], ends[-n:]
+    words = word_starts(text)
+    return starts, ends, np.searchsorted(words, starts), np.searchsorted(words, ends)
+
+
+def _piece_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches):
         for b in batches:
-            at, digests, starts, ends, words, first = [], [], [], [], [], []
-            for i, text in enumerate(b.column(2).to_pylist()):
+            parts, digests, size = [], [], 0
+            for i, text in enumerate(b.column(2)):
+                text = text.as_py()
                 if not text:
                     continue
-                last, seen = 0, set()
-                for end in text_chunks(text):
-                    part = text[last:end]
-                    digest = xxhash.xxh3_128_digest(part)
-                    at.append(i)
-                    digests.append(digest)
-                    starts.append(last)
-                    ends.append(end)
-                    words.append(len(part.split()))
-                    first.append(digest not in seen)
-                    seen.add(digest)
-                    last = end
-                if len(at) > 200_000:
-                    yield _batch(b, at, digests, starts, ends, words, first)
-                    at, digests, starts, ends, words, first = [], [], [], [], [], []
-            if at:
-                yield _batch(b, at, digests, starts, ends, words, first)
-
-    return rows.mapInArrow(run, f"doc_id {kind}, rid long, d1 long, d2 long, more long")
-
-
-def _batch(b, at, digests, starts, ends, words, first) -> pa.RecordBatch:
-    """more packs start, length, words and first: ((start * 256 + length) * 256 + words) * 2 + first."""
-    d = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-    start, at = np.array(starts, np.int64), pa.array(at, pa.int64())
-    more = ((start * 256 + np.array(ends, np.int64) - start) * 256 + np.array(words)) * 2 + np.array(first)
-    return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(more)], ["doc_id", "rid", "d1", "d2", "more"])
+                starts, ends, before, until = text_pieces(text)
+                own = [xxhash.xxh3_128_digest(text[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                seen: set[bytes] = set()
+                first = np.array([not (d in seen or seen.add(d)) for d in own])
+                parts.append(np.stack([np.full(len(own), i), (starts << 9) | ((ends - starts) << 1) | first, (before << 9) | (until - before)]))
+                digests += own
+                size += len(own)
+                if size > 200_000:
+                    yield _batch(b, np.concatenate(parts, 1), digests)
+                    parts, digests, size = [], [], 0
+            if parts:
+                yield _batch(b, np.concatenate(parts, 1), digests)
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, rid long, d1 long, d2 long, place long, words long")
+
+
+def _batch(b, columns: np.ndarray, digests: list[bytes]) -> pa.RecordBatch:
+    """place packs start, length (8 bits) and first (1 bit); words packs the words before and those in the piece (9 bits)."""
+    d, at = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2), pa.array(columns[0])
+    return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(columns[1]), pa.array(columns[2])], ["doc_id", "rid", "d1", "d2", "place", "words"])
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Passages that repeat, one row per span: doc_id, rid, start, end (bytes), n_words, n_chunks, first_doc_id, kept.
+    """Passages that repeat in other rows, one row per span: doc_id, rid, start, end (bytes), n_words, first_doc_id, kept.
 
     kept marks the places that stay; other spans can go. A passage's parts that
     stay and those that go are rows of their own.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    chunks = _chunk_rows(docs, id_col, text_col, kind)
-    twice = chunks.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc_id")).where("n > 1").select("d1", "d2", "first_doc_id")
-    found = chunks.join(twice, ["d1", "d2"]).select(
-        "doc_id", "rid", F.shiftright("more", 17).alias("start"), "first_doc_id",
-        (F.shiftright("more", 17) + F.shiftright("more", 9).bitwiseAND(255)).alias("end"),
-        F.shiftright("more", 1).bitwiseAND(255).alias("words"),
-        (F.col("more").bitwiseAND(1) == 1).alias("first"),
+    pieces = _piece_rows(docs, id_col, text_col)
+    twice = pieces.groupBy("d1", "d2").agg(F.min("rid").alias("one"), F.max("rid").alias("two"), F.min("doc_id").alias("first_doc_id")).where("one <> two").select("d1", "d2", "first_doc_id")
+    point = lambda at, words: F.struct(at.alias("at"), words.alias("words"))
+    start, before = F.shiftright("place", 9), F.shiftright("words", 9)
+    found = pieces.join(twice, ["d1", "d2"]).select(
+        "doc_id", "rid", "first_doc_id",
+        point(start, before).alias("lo"),
+        point(start + F.shiftright("place", 1).bitwiseAND(255), before + F.col("words").bitwiseAND(511)).alias("hi"),
+        ((F.col("place").bitwiseAND(1) == 1) & F.col("doc_id").eqNullSafe(F.col("first_doc_id"))).alias("kept"),
     )
-    found = found.withColumn("kept", F.col("first") & F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
-    order = Window.partitionBy("doc_id", "rid").orderBy("start")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    apart = F.col("start") > F.coalesce(F.lag("end").over(order), F.lit(-1))
-    runs = found.withColumn("apart", apart.cast("int")).withColumn("turn", (apart | (F.col("kept") != F.lag("kept").over(order))).cast("int"))
-    runs = runs.withColumn("run", F.sum("apart").over(so_far)).withColumn("part", F.sum("turn").over(so_far))
-    parts = runs.groupBy("doc_id", "rid", "run", "part", "kept").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"), F.min("first_doc_id").alias("first_doc_id"))
-    whole = F.sum("n_words").over(Window.partitionBy("doc_id", "rid", "run"))
-    return parts.withColumn("run_words", whole).where(F.col("run_words") >= min_words).select("doc_id", "rid", "start", "end", "n_words", "n_chunks", "first_doc_id", "kept")
+    text = Window.partitionBy("doc_id", "rid")
+    order = text.orderBy("lo", "hi")
+    so_far, on = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    apart = F.coalesce(F.col("lo.at") > F.max("hi.at").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    runs = found.withColumn("apart", apart.cast("int")).withColumn("before", F.max(F.when(F.col("kept"), F.col("hi"))).over(so_far)).withColumn("after", F.min(F.when(F.col("kept"), F.col("lo"))).over(on))
+    runs = runs.withColumn("run", F.sum("apart").over(so_far))
+    # What is kept here is not gone: the end of a kept piece before and the start of one after bound the others.
+    runs = runs.withColumn("lo", F.when(F.col("kept"), F.col("lo")).otherwise(F.greatest("lo", "before"))).withColumn("hi", F.when(F.col("kept"), F.col("hi")).otherwise(F.least("hi", "after"))).where("lo.at < hi.at")
+    turn = (F.col("apart") == 1) | (F.col("kept") != F.lag("kept").over(order)) | (F.col("run") != F.lag("run").over(order))
+    parts = runs.withColumn("part", F.sum(F.coalesce(turn, F.lit(True)).cast("int")).over(so_far)).groupBy("doc_id", "rid", "run", "part", "kept").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first_doc_id").alias("first_doc_id"))
+    whole = Window.partitionBy("doc_id", "rid", "run")
+    long = F.max("hi.words").over(whole) - F.min("lo.words").over(whole) >= min_words
+    return parts.withColumn("long", long).where("long").select("doc_id", "rid", F.col("lo.at").alias("start"), F.col("hi.at").alias("end"), (F.col("hi.words") - F.col("lo.words")).alias("n_words"), "first_doc_id", "kept")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
