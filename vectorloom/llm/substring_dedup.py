@@ -3,7 +3,8 @@
 A text is cut between characters where a gear rolling hash over the last WINDOW bytes is
 the least within RADIUS bytes on either side, and MOST bytes on at the latest. Such cuts
 do not depend on spaces, nor on what stands farther away, so equal passages fall into
-equal chunks wherever they stand and whatever the script. RUN adjoining chunks make a
+equal chunks wherever they stand and whatever the script. A run of white space counts as one
+space. RUN adjoining chunks make a
 piece, about a dozen words: too long to recur by chance, as single chunks do. Pieces are
 counted by a 128-bit digest; the smallest doc_id that has a digest owns it, and its first
 place there stays. A run of adjoining pieces that stand in other rows too is a repeated
@@ -40,6 +41,8 @@ from .common import stored
 from .gear import minima
 
 RADIUS, MOST, WINDOW, RUN, MIN_WORDS = 12, 64, 16, 3, 25
+#: Longest piece that a row can tell; only a piece with 2 MiB of white space is longer, and loses some of it.
+_LENGTH = (1 << 21) - 1
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 #: Letters of scripts that are written without spaces count as a word each.
@@ -81,14 +84,24 @@ def word_starts(text: bytes) -> np.ndarray:
     return np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
 
 
-def text_pieces(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, words before the start, words before the end) of the runs of RUN chunks; a shorter text is one piece."""
-    ends = text_chunks(text)
+def text_pieces(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bodies, starts, ends, words before the start, words before the end) of the runs of RUN chunks; a shorter text is one piece.
+
+    Places are those of the text, bodies have one space for each run of white space.
+    """
+    data, words = np.frombuffer(text, np.uint8), word_starts(text)
+    space = _SPACES[data]
+    one = np.flatnonzero(~(space & np.concatenate([[False], space[:-1]])))
+    plain = np.where(space, 32, data).astype(np.uint8)[one].tobytes()
+    ends = text_chunks(plain)
     starts = np.concatenate([[0], ends[:-1]])
     n = max(1, len(ends) - RUN + 1)
     starts, ends = starts[:n], ends[-n:]
-    words = word_starts(text)
-    return starts, ends, np.searchsorted(words, starts), np.searchsorted(words, ends)
+    bodies = [plain[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+    at = np.append(one, len(data))
+    at[0] = 0
+    starts, ends = at[starts], at[ends]
+    return bodies, starts, ends, np.searchsorted(words, starts), np.searchsorted(words, ends)
 
 
 def _piece_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -101,11 +114,11 @@ def _piece_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 text = text.as_py()
                 if not text:
                     continue
-                starts, ends, before, until = text_pieces(text)
-                own = [xxhash.xxh3_128_digest(text[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                bodies, starts, ends, before, until = text_pieces(text)
+                own = list(map(xxhash.xxh3_128_digest, bodies))
                 seen: set[bytes] = set()
                 first = np.array([not (d in seen or seen.add(d)) for d in own])
-                parts.append(np.stack([np.full(len(own), i), (starts << 9) | ((ends - starts) << 1) | first, (before << 9) | (until - before)]))
+                parts.append(np.stack([np.full(len(own), i), (starts << 22) | (np.minimum(ends - starts, _LENGTH) << 1) | first, (before << 9) | (until - before)]))
                 digests += own
                 size += len(own)
                 if size > 200_000:
@@ -119,7 +132,7 @@ def _piece_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _batch(b, columns: np.ndarray, digests: list[bytes]) -> pa.RecordBatch:
-    """place packs start, length (8 bits) and first (1 bit); words packs the words before and those in the piece (9 bits)."""
+    """place packs start, length (21 bits) and first (1 bit); words packs the words before and those in the piece (9 bits)."""
     d, at = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2), pa.array(columns[0])
     return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(columns[1]), pa.array(columns[2])], ["doc_id", "rid", "d1", "d2", "place", "words"])
 
@@ -133,11 +146,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pieces = _piece_rows(docs, id_col, text_col)
     twice = pieces.groupBy("d1", "d2").agg(F.min("rid").alias("one"), F.max("rid").alias("two"), F.min("doc_id").alias("first_doc_id")).where("one <> two").select("d1", "d2", "first_doc_id")
     point = lambda at, words: F.struct(at.alias("at"), words.alias("words"))
-    start, before = F.shiftright("place", 9), F.shiftright("words", 9)
+    start, before = F.shiftright("place", 22), F.shiftright("words", 9)
     found = pieces.join(twice, ["d1", "d2"]).select(
         "doc_id", "rid", "first_doc_id",
         point(start, before).alias("lo"),
-        point(start + F.shiftright("place", 1).bitwiseAND(255), before + F.col("words").bitwiseAND(511)).alias("hi"),
+        point(start + F.shiftright("place", 1).bitwiseAND(_LENGTH), before + F.col("words").bitwiseAND(511)).alias("hi"),
         ((F.col("place").bitwiseAND(1) == 1) & F.col("doc_id").eqNullSafe(F.col("first_doc_id"))).alias("kept"),
     )
     text = Window.partitionBy("doc_id", "rid")
