@@ -1,10 +1,10 @@
 """Media columns with content-defined payload chunks.
 
-A row's payload is stored as a WAV file of 8-bit mono samples. The file's payload
-is cut by a gear rolling hash into chunks of about 1 KiB; a chunk is stored once,
-under the digest of its bytes, and a medium is the ordered list of its chunks. To
+A row's payload is stored as a WAV file of 8-bit mono samples. The whole file, header
+and samples, is cut by a gear rolling hash into chunks of about 1 KiB; a chunk is stored
+once, under the digest of its bytes, and a medium is the ordered list of its chunks. To
 read a medium back, its chunks are fetched by digest, put in order and verified
-against the SHA-256 of the medium.
+against the SHA-256 of the medium; the samples are those that its header announces.
 
 Storing takes two passes over the payloads. The first makes digests only; Spark
 joins tell which chunks stand in more than one medium, and which medium (the
@@ -16,7 +16,8 @@ false alarm only costs a shuffle. Equal payloads are one medium: a group of copi
 of any size is stored, read and verified once, and its results are joined to its
 rows.
 
-Defined results: null and empty payloads count as 64 zero bytes; rows with null
+Defined results: null and empty payloads count as 64 zero bytes; a long payload is held
+by one task; rows with null
 ids and repeated rows each give a row; an empty table gives no rows; other columns
 are ignored.
 """
@@ -34,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path, stored
+from .common import shared_path, split_join, stored
 from .gear import candidates, cut
 
 UNIT, RATE = 64, 8000
@@ -54,14 +55,22 @@ def wav_header(size: int) -> bytes:
     return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", (36 + size) & 0xFFFFFFFF, b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", size & 0xFFFFFFFF)
 
 
+def wav_file(payload: bytes) -> bytes:
+    return wav_header(len(payload)) + payload
+
+
 def wav_samples(media: bytes) -> bytes:
+    """The samples of a WAV file of this writer; an error where header and length disagree."""
     if media[:4] != b"RIFF" or media[8:16] != b"WAVEfmt " or media[36:40] != b"data":
         raise ValueError("not a WAV file of this writer")
+    size = len(media) - _HEADER
+    if struct.unpack("<I", media[4:8])[0] != (36 + size) & 0xFFFFFFFF or struct.unpack("<I", media[40:44])[0] != size & 0xFFFFFFFF:
+        raise ValueError("a WAV file is not as long as its header says")
     return media[_HEADER:]
 
 
-def payload_chunks(payload: bytes) -> list[tuple[int, int]]:
-    ends = cut(candidates(np.frombuffer(payload, np.uint8), BITS).tolist(), len(payload), LEAST, MOST)
+def media_chunks(media: bytes) -> list[tuple[int, int]]:
+    ends = cut(candidates(np.frombuffer(media, np.uint8), BITS).tolist(), len(media), LEAST, MOST)
     return list(zip([0, *ends], ends, strict=False))
 
 
@@ -69,12 +78,6 @@ def _digest(chunk: bytes) -> bytes:
     return hashlib.sha256(chunk).digest()[:16]
 
 
-def _media_sha(payload: bytes) -> bytes:
-    h = hashlib.sha256(wav_header(len(payload)))
-    h.update(payload)
-    return h.digest()
-
-
 def features(samples: bytes) -> str:
     """Zero crossings about the middle, RMS and peak of the 8-bit samples, and the share of digits of silence (zero)."""
     x = np.frombuffer(samples, np.uint8).astype(np.int64) - 128
@@ -106,10 +109,10 @@ def _describe(docs: DataFrame, id_col: str, col: str) -> DataFrame:
             n, media, digests = [], [], []
             for body in b.column(1):
                 body = body.as_py() or b""
-                payload = padded(body)
+                file = wav_file(padded(body))
                 n.append(len(body))
-                media.append(_media_sha(payload))
-                digests.append([_digest(payload[s:e]) for s, e in payload_chunks(payload)])
+                media.append(hashlib.sha256(file).digest())
+                digests.append([_digest(file[s:e]) for s, e in media_chunks(file)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary()), pa.array(digests, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "media", "digests"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary, digests array<binary>")
@@ -120,9 +123,9 @@ _TYPES = [pa.string(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()),
 _NAMES = ["kind", "media", "digests", "lengths", "shared", "body"]
 
 
-def _packed(media: bytes, payload: bytes, shared: set[bytes], lends: set[bytes]) -> Iterator[tuple]:
+def _packed(media: bytes, file: bytes, shared: set[bytes], lends: set[bytes]) -> Iterator[tuple]:
     """The medium's row, whose body has each of its own chunks once, and the chunks that it lends."""
-    parts = [payload[s:e] for s, e in payload_chunks(payload)]
+    parts = [file[s:e] for s, e in media_chunks(file)]
     digests = [_digest(p) for p in parts]
     zip_ = zstandard.ZstdCompressor(level=3).compress
     own = {d: p for d, p in zip(digests, parts, strict=True) if d not in shared}
@@ -141,8 +144,7 @@ def _unpacked(media: bytes, digests: list[bytes], lengths: list[int], chunks: di
             own[d] = body[at : at + n]
             at += n
         out.append(own[d])
-    payload = b"".join(out)
-    found = wav_header(len(payload)) + payload
+    found = b"".join(out)
     if hashlib.sha256(found).digest() != media:
         raise ValueError(f"medium {media.hex()} does not match its digest")
     return found
@@ -178,7 +180,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", col: str = "text") -> t
     media = seen.groupBy("media").agg(F.first("digests").alias("digests"), F.count("*").alias("n"))
     once = media.select("media", F.explode(F.array_distinct("digests")).alias("digest"))
     shared = once.groupBy("digest").agg(F.min("media").alias("lender"), F.count("*").alias("n")).where("n > 1").select("digest", "lender")
-    plans = once.join(shared, "digest").groupBy("media").agg(F.collect_list("digest").alias("shared"), F.collect_list(F.when(F.col("media") == F.col("lender"), F.col("digest"))).alias("lends"))  # of one medium
+    plans = split_join(once, shared, "digest").groupBy("media").agg(F.collect_list("digest").alias("shared"), F.collect_list(F.when(F.col("media") == F.col("lender"), F.col("digest"))).alias("lends"))  # of one medium
     special = stored(media.where("n > 1").select("media").join(plans, "media", "full_outer"), "media-special")
     bits = spark.sparkContext.broadcast(_special_bits(special))
 
@@ -187,30 +189,30 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", col: str = "text") -> t
         for b in batches:
             out = []
             for body in b.column(1):
-                payload = padded(body.as_py())
-                sha = _media_sha(payload)
+                file = wav_file(padded(body.as_py()))
+                sha = hashlib.sha256(file).digest()
                 at = _bit(sha)
                 if bool(bitmap[at >> 3] >> (at & 7) & 1) != direct:
-                    out += _packed(sha, payload, set(), set()) if direct else [(sha, zip_(payload))]
+                    out += _packed(sha, file, set(), set()) if direct else [(sha, zip_(file))]
             if out:
-                yield _batch(out) if direct else pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["media", "payload"])
+                yield _batch(out) if direct else pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["media", "file"])
 
     def write(df: DataFrame) -> None:
         df.write.mode("append").partitionBy("kind").option("compression", "uncompressed").parquet(path)  # bodies are compressed
 
     rows, path = _rows(docs, id_col, col), shared_path(spark, "media-store")
     write(rows.mapInArrow(lambda it: split(it, True), _STORE))
-    long_way = rows.mapInArrow(lambda it: split(it, False), "media binary, payload binary").groupBy("media").agg(F.first("payload").alias("payload"))
+    long_way = rows.mapInArrow(lambda it: split(it, False), "media binary, file binary").groupBy("media").agg(F.first("file").alias("file"))
 
     def pack(batches):
         for b in batches:
             out = []
-            for sha, payload, own, lends in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                out += _packed(sha, zstandard.ZstdDecompressor().decompress(payload), set(own or ()), set(lends or ()))
+            for sha, file, own, lends in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                out += _packed(sha, zstandard.ZstdDecompressor().decompress(file), set(own or ()), set(lends or ()))
             if out:
                 yield _batch(out)
 
-    write(long_way.join(special, "media", "left").select("media", "payload", "shared", "lends").mapInArrow(pack, _STORE))
+    write(long_way.join(special, "media", "left").select("media", "file", "shared", "lends").mapInArrow(pack, _STORE))
     return seen.select("doc_id", "n_bytes", "media"), spark.read.schema(_STORE).parquet(path)
 
 
@@ -225,7 +227,7 @@ def read_media(store: DataFrame, with_file: bool = False) -> DataFrame:
     needing = media.where(F.size("shared") > 0)
     wants = needing.select("media", F.explode("shared").alias("digest"))
     chunks = store.where("kind = 'chunk'").select(F.col("media").alias("digest"), F.col("body").alias("chunk"))
-    lent = wants.join(chunks, "digest").groupBy("media").agg(F.collect_list(F.struct("digest", F.col("chunk").alias("body"))).alias("chunks"))  # of one medium
+    lent = split_join(wants, chunks, "digest").groupBy("media").agg(F.collect_list(F.struct("digest", F.col("chunk").alias("body"))).alias("chunks"))  # of one medium
     cols = ["media", "digests", "lengths", "body", "chunks"]
 
     def run(batches):
@@ -248,4 +250,4 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", col: str = "text") ->
     """Store, read back and describe: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
     rows, store = store_media(docs, id_col, col)
     found = read_media(store)
-    return rows.join(found, "media").select("doc_id", "n_bytes", *found.columns[1:])
+    return split_join(rows, found, "media").select("doc_id", "n_bytes", *found.columns[1:])
