@@ -4,15 +4,17 @@ Documents are tokenized where they are read; those longer than a sequence are cu
 into whole sequences and a rest. The pieces, without texts, are dealt into lots of a
 bounded number, and a task places a lot's pieces online: OPEN bins at most are open,
 kept in lists by free space; a bitset over the free sizes finds the tightest bin
-that fits by one shift and one lowest-bit operation. When a new bin is needed and
-OPEN are open, the fullest closes first. Large lots leave few bins partly filled.
+that fits by one shift and one lowest-bit operation; of equally free bins the latest is
+taken. When a new bin is needed and OPEN are open, the fullest closes first. Large lots
+leave few bins partly filled. A lot is sorted before it is placed, so that places do not
+depend on the order in which its rows arrive.
 
 Tokens are those of the tokenizer over the whole text. Since it drops white space,
 text is tokenized by the words it cuts, whose ids are kept in a bounded table; the
 ids are the same as for the whole text (tested).
 
 Defined results: null text counts as empty and has one token, the end id; every
-document has at least one piece; repeated rows are packed each on its own; an empty
+document has at least one piece; a long text is tokenized whole by one task; repeated rows are packed each on its own; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -178,4 +180,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(places[:, 0] | base), pa.array(places[:, 1])], [*b.schema.names, "sequence_id", "offset"])
 
     lots = max(1, round(pieces.count() / lot))
-    return pieces.repartition(lots).mapInArrow(run, ", ".join(fields))
+    # Blocks arrive in any order: a lot is placed in the order of a hash, then by its columns; rows alike in all of them are interchangeable.
+    order = [F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece", "length", "ids_crc32"]
+    return pieces.repartition(lots).sortWithinPartitions(*order).mapInArrow(run, ", ".join(fields))
