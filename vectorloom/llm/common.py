@@ -91,8 +91,8 @@ def _bit_set(bits: Column, at: Column) -> Column:
     return byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8 + 1).cast("int"))) != 0
 
 
-def rows_among(docs: DataFrame, row: str, chosen: DataFrame, most: int = MAX_BITMAPS) -> DataFrame:
-    """The rows of docs whose number (column row) is among those of the only column of chosen.
+def rows_among(docs: DataFrame, row: str, chosen: DataFrame, among: bool = True, most: int = MAX_BITMAPS) -> DataFrame:
+    """The rows of docs whose number (column row) is among those of the only column of chosen, or is not.
 
     Up to `most` bitmaps the numbers are broadcast as bitmaps, one for 32,768 rows of a
     partition, and texts stay where they are; beyond it the two are joined by number.
@@ -102,9 +102,10 @@ def rows_among(docs: DataFrame, row: str, chosen: DataFrame, most: int = MAX_BIT
     maps = stored(at.groupBy(F.col("word").alias(names[0])).agg(F.expr("bitmap_construct_agg(bit)").alias(names[1])), "row-bitmaps")
     if maps.limit(most + 1).count() > most:
         number = free_name(docs, "chosen")
-        return docs.join(chosen.select(F.col(chosen.columns[0]).alias(number)), F.col(row) == F.col(number), "left_semi")
-    found = docs.join(F.broadcast(maps), F.expr(f"`{row}` div 32768") == F.col(names[0]))  # `most` bitmaps at most
-    return found.where(_bit_set(F.col(names[1]), F.col(row) % 32768)).select(*[F.col(f"`{c}`") for c in docs.columns])
+        return docs.join(chosen.select(F.col(chosen.columns[0]).alias(number)), F.col(row) == F.col(number), "left_semi" if among else "left_anti")
+    found = docs.join(F.broadcast(maps), F.expr(f"`{row}` div 32768") == F.col(names[0]), "inner" if among else "left")  # `most` bitmaps at most
+    is_set = _bit_set(F.col(names[1]), F.col(row) % 32768)
+    return found.where(is_set if among else ~F.coalesce(is_set, F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: Bits of a filter of fixed size: 2,048 bitmaps of 32,768 bits, 8 MiB.

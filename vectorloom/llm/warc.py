@@ -1,10 +1,12 @@
 """WARC archives with revisit records, and capture histories merged from sorted runs.
 
 Writing: of pages with equal payloads the one with the largest id is a response
-record with the payload; the others are revisit records without it. Each task
-writes one archive of gzip members, one a record, to the shared folder; the file
-gets its name when it is whole, and only files of successful tasks are listed, so a
-lost executor leaves nothing that is read.
+record with the payload; the others are revisit records without it. Which is which is
+decided on digests alone; payloads are not dealt by key, so a payload that a third of all
+pages have is written once, and its revisits come from narrow rows in even parts. A task
+writes archives of gzip members, one a record and RECORDS at most a file, to the shared
+folder; a file gets its name when it is whole, and only files of successful tasks are
+listed, so a lost executor leaves nothing that is read.
 
 Reading: each listed archive is parsed by one task, record by record; digests are
 computed again from the payloads. Its captures, sorted by URL key, time and id, are
@@ -14,9 +16,10 @@ the runs, and ranges in order are the capture history of all archives.
 
 Defined results: null payloads count as empty; a null or empty URL sorts first; a
 page with a null id is a response if no other page has its payload, else revisits
-that with the largest id; rows repeated with the same id and payload are each a
+that with the largest id; a long payload is held by one task; rows repeated with the same id and payload are each a
 response if theirs is the largest id; an empty table gives no rows; other columns
-are ignored.
+are ignored. The input is read twice and must give the same rows in the same partitions,
+as a stored table does.
 """
 
 from __future__ import annotations
@@ -33,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path, stored
+from .common import rows_among, shared_path, split_join, stored, unique_rows
 
 EPOCH = "2024-01-01 00:00:00"
-RANGE_ROWS = 100_000
+RANGE_ROWS, RECORDS = 100_000, 50_000
 _END = b"\r\n\r\n"
 
 
@@ -92,40 +95,54 @@ def _fs(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///") if path.startswith("file:/") else f"file://{path}")
 
 
-def _decided(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int) -> DataFrame:
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    key = F.sha2("payload", 256).alias("sha")
-    groups = rows.select("page_id", key, F.octet_length("payload").alias("n")).where(F.col("n") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("response_id"), F.count("*").alias("copies")).where("copies > 1").select("sha", "response_id")
-    return rows.withColumn("sha", key).join(groups, "sha", "left").select("page_id", "url", "payload", "response_id")
+def _decided(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(responses with their payload, revisits without): page_id, url, payload, n, sha1, response_id."""
+    rows = unique_rows(pages, id_col, url_col, payload_col).select("rid", F.col("doc_id").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
+    narrow = stored(rows.select("rid", "page_id", "url", F.octet_length("payload").alias("n"), F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("sha")), "warc-digests")
+    groups = narrow.where(F.col("n") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("response_id"), F.count("*").alias("copies")).where("copies > 1").select("sha", "response_id")
+    again = split_join(narrow, groups, "sha").where("page_id is null or page_id <> response_id").where("response_id is not null")
+    again = stored(again.select("rid", "page_id", "url", "n", "sha1", "response_id"), "warc-revisits")
+    first = rows_among(rows, "rid", again.select("rid"), among=False)
+    none = lambda kind: F.lit(None).cast(kind)
+    return first.select("page_id", "url", "payload", F.octet_length("payload").alias("n"), none("string").alias("sha1"), none("long").alias("response_id")), again.select("page_id", "url", none("binary").alias("payload"), "n", "sha1", "response_id")
 
 
-def write_warcs(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
+def write_warcs(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, records: int = RECORDS) -> DataFrame:
     """Write the archives; returns their list: path, records."""
     spark = pages.sparkSession
     root = shared_path(spark, "warc")
-    rows = _decided(pages, id_col, url_col, payload_col, min_bytes)
     seconds = F.unix_timestamp(F.lit(EPOCH)) + F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(1 << 31))
-    rows = rows.withColumn("date", F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    dated = lambda rows: rows.withColumn("date", F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
     def run(batches):
         files, base = _fs(root)
-        name, out, n = uuid.uuid4().hex, None, 0
+        out, name, n = None, "", 0
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            files.move(f"{base}/.{name}", f"{base}/{name}.warc.gz")
+            return pa.RecordBatch.from_arrays([pa.array([f"{root}/{name}.warc.gz"]), pa.array([n], pa.int64())], ["path", "records"])
+
         for b in batches:
             for i in range(b.num_rows):
-                page_id, url, payload, response, date = (b.column(k)[i].as_py() for k in range(5))
-                kind = "response" if response is None or page_id == response else "revisit"
-                record = warc_record(kind, page_id, url, date, payload, len(payload), base32_sha1(payload), response)
+                page_id, url, payload, size, sha1, response, date = (b.column(k)[i].as_py() for k in range(7))
+                kind = "response" if payload is not None else "revisit"
+                digest = base32_sha1(payload) if payload is not None else base64.b32encode(bytes.fromhex(sha1)).decode()
+                record = warc_record(kind, page_id, url, date, payload or b"", size, digest, response)
                 if out is None:
                     files.create_dir(base, recursive=True)
+                    name = uuid.uuid4().hex
                     out = files.open_output_stream(f"{base}/.{name}", compression=None)
                 out.write(gzip.compress(record, 6, mtime=0))
                 n += 1
+                if n == records:
+                    yield closed()
+                    out, n = None, 0
         if out is not None:
-            out.close()
-            files.move(f"{base}/.{name}", f"{base}/{name}.warc.gz")
-            yield pa.RecordBatch.from_arrays([pa.array([f"{root}/{name}.warc.gz"]), pa.array([n], pa.int64())], ["path", "records"])
+            yield closed()
 
-    return stored(rows.select("page_id", "url", "payload", "response_id", "date").mapInArrow(run, "path string, records long"), "warc-list")
+    lists = [dated(rows).select("page_id", "url", "payload", "n", "sha1", "response_id", "date").mapInArrow(run, "path string, records long") for rows in _decided(pages, id_col, url_col, payload_col, min_bytes)]
+    return stored(lists[0].union(lists[1]), "warc-list")
 
 
 class _Members:
