@@ -415,7 +415,7 @@ def test_warc_round_trip(spark):
     htmls = [None, "", "", "<p>é\r\n\r\nWARC/1.1\r\n</p>", "x" * 3_000_000] + [words(rng, 50) for _ in range(30)]
     rows = [(i, rng.choice([None, "", "http://a.example.com/b?x=1", "https://www.Example.com:8443/p\nq", "http://[bad"]), htmls[i % len(htmls)]) for i in range(90)]
     rows += [(None, "http://a.example.com/", htmls[6]), (89, *rows[89][1:])]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4).withColumn("sha", F.lit(1)).withColumn("date", F.lit(1)).withColumn("run", F.lit(1))
+    df = stored(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4).withColumns({c: F.lit(1) for c in ("sha", "date", "run", "rid", "doc_id", "n", "word", "bits")}), "pages")
     found = warc.capture_history(df).collect()
     assert len(found) == len(rows)
     last = defaultdict(list)
@@ -431,6 +431,8 @@ def test_warc_round_trip(spark):
     assert keys == sorted(keys)  # ranges in order, rows in order
     assert all(r.record_type == "response" for r in warc.capture_history(df, min_bytes=10**9).collect())
     assert warc.capture_history(df.where("page_id < 0")).count() == 0
+    lists = warc.write_warcs(df, records=7).collect()  # archives are rolled
+    assert sum(r.records for r in lists) == len(rows) and max(r.records for r in lists) == 7
 
 
 def test_loser_tree_merges():
@@ -541,6 +543,32 @@ def test_packing_is_gapless_and_whole(docs, empty):
         assert at <= 64
 
 
+def test_packing_does_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(16)
+    df = spark.createDataFrame([(i, words(rng, rng.randrange(1, 90))) for i in range(300)], "doc_id long, text string")
+    key = lambda d: sorted((r.doc_id, r.piece, r.sequence_id, r.offset) for r in packing.pack(d, tokenizer_path(), size=64, most_open=4).collect())
+    assert key(df.coalesce(1).orderBy("doc_id")) == key(df.coalesce(1).orderBy(F.desc("doc_id")))
+
+
+def plain_features(samples):
+    x = [b - 128 for b in samples]
+    sign = [-1 if v < 0 else 1 for v in x]
+    n = len(x)
+    return f"n={n};mean={sum(x) / n:.6f};rms={(sum(v * v for v in x) / n) ** 0.5:.6f};peak={max(map(abs, x))};zero={sum(v == -128 for v in x)};crossings={sum(a != b for a, b in zip(sign, sign[1:]))}"
+
+
+def test_media_features_are_the_plain_ones():
+    rng = random.Random(17)
+    for n in (64, 1000, 5000):
+        data = bytes(rng.randrange(256) for _ in range(n))
+        assert media.features(data) == plain_features(data)
+    file = media.wav_file(b"ab" * 32)
+    assert media.wav_samples(file) == b"ab" * 32
+    for bad in (file[:-1], file + b"x", b"RIFX" + file[4:]):
+        with pytest.raises(ValueError):
+            media.wav_samples(bad)
+
+
 def test_best_fit_takes_the_tightest_and_closes_the_fullest():
     b = packing.BestFit(10, 2)
     assert [b.place(n) for n in (6, 7, 3, 4)] == [(0, 0), (1, 0), (1, 7), (0, 6)]

@@ -43,7 +43,7 @@ def test_stages(spark, folder):
 @pytest.mark.parametrize("most", [8192, 0])
 def test_awkward_rows(spark, folder, monkeypatch, most):
     """Equal and null ids, nulls in all columns, no words, a long text, and columns named like those of the stages; by bitmaps and by a join."""
-    monkeypatch.setattr(common.rows_among, "__defaults__", (most,))
+    monkeypatch.setattr(common.rows_among, "__defaults__", (True, most))
     long = " ".join(f"v{i % 9973}" for i in range(120_000))
     rows = [(1, "a b"), (1, "a  b"), (None, "c d e"), (None, "c d e"), (None, None), (2, ""), (3, " "), (4, long), (5, long + " more"), (6, "x y z"), (6, "p q r")]
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
