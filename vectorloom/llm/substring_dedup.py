@@ -16,8 +16,9 @@ What goes are the bytes of pieces that another place owns, but never bytes of a
 that is kept here: so every piece stays whole in its owner.
 
 Digests are pre-aggregated before the shuffle, so a passage in a third of all texts
-costs one row for each task; piece rows then meet their digest in a join that
-adaptive execution can split. No task holds a group of copies.
+costs one row for each task. A second pass sends on only pieces whose digest may be a
+repeated one, told by a filter of fixed size (8 MiB); they then meet their digest in a
+join that adaptive execution can split. No task holds a group of copies.
 
 Defined results: null and empty texts have no pieces and no spans; a text of any length is
 cut whole; a repeat within one row only is none; rows with null ids take part in counts but
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import FILTER_BITS, stored
 from .gear import minima
 
 RADIUS, MOST, WINDOW, RUN, MIN_WORDS = 12, 64, 16, 3, 25
@@ -104,7 +105,18 @@ def text_pieces(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.nd
     return bodies, starts, ends, np.searchsorted(words, starts), np.searchsorted(words, ends)
 
 
-def _piece_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _bits(digests: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits by the lowest bits of d1."""
+    at = digests.select(F.col("d1").bitwiseAND(FILTER_BITS - 1).alias("at"))
+    found = at.groupBy(F.expr("at div 32768").alias("word")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("bits"))
+    out = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
+    for row in found.toLocalIterator():  # 2,048 rows at most
+        out[row.word] = np.frombuffer(row.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _piece_rows(docs: DataFrame, id_col: str, text_col: str, among=None) -> DataFrame:
+    """One row per piece; with among, a broadcast bitmap, only of those whose digest may be in it."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches):
@@ -118,13 +130,17 @@ def _piece_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 own = list(map(xxhash.xxh3_128_digest, bodies))
                 seen: set[bytes] = set()
                 first = np.array([not (d in seen or seen.add(d)) for d in own])
+                if among is not None:
+                    at = np.frombuffer(b"".join(own), ">u8")[::2] & np.uint64(FILTER_BITS - 1)
+                    may = (among.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                    own, first, starts, ends, before, until = [d for d, m in zip(own, may.tolist(), strict=True) if m], first[may], starts[may], ends[may], before[may], until[may]
                 parts.append(np.stack([np.full(len(own), i), (starts << 22) | (np.minimum(ends - starts, _LENGTH) << 1) | first, (before << 9) | (until - before)]))
                 digests += own
                 size += len(own)
                 if size > 200_000:
                     yield _batch(b, np.concatenate(parts, 1), digests)
                     parts, digests, size = [], [], 0
-            if parts:
+            if size:
                 yield _batch(b, np.concatenate(parts, 1), digests)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -143,8 +159,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept marks the places that stay; other spans can go. A passage's parts that
     stay and those that go are rows of their own.
     """
-    pieces = _piece_rows(docs, id_col, text_col)
-    twice = pieces.groupBy("d1", "d2").agg(F.min("rid").alias("one"), F.max("rid").alias("two"), F.min("doc_id").alias("first_doc_id")).where("one <> two").select("d1", "d2", "first_doc_id")
+    in_rows = F.sum(F.col("place").bitwiseAND(1))  # first places are one a row
+    twice = stored(_piece_rows(docs, id_col, text_col).groupBy("d1", "d2").agg(in_rows.alias("n"), F.min("doc_id").alias("first_doc_id")).where("n > 1").select("d1", "d2", "first_doc_id"), "digests")
+    pieces = _piece_rows(docs, id_col, text_col, docs.sparkSession.sparkContext.broadcast(_bits(twice)))
     point = lambda at, words: F.struct(at.alias("at"), words.alias("words"))
     start, before = F.shiftright("place", 22), F.shiftright("words", 9)
     found = pieces.join(twice, ["d1", "d2"]).select(
