@@ -26,10 +26,6 @@ def l2sq(a, b, dims: int, start: int = 0) -> Column:
     return F.aggregate(diff, F.lit(0.0), lambda acc, x: acc + x * x)
 
 
-def l2(a, b, dims: int) -> Column:
-    return F.sqrt(l2sq(a, b, dims))
-
-
 def prefix(v, d: int) -> Column:
     """The first d coordinates."""
     return F.slice(as_col(v), 1, d)
@@ -41,9 +37,16 @@ def checked(v, d: int) -> Column:
     return F.when(F.size(v) == d, v).otherwise(F.raise_error(F.concat(F.lit(f"vector length is not {d}: "), F.size(v).cast("string"))))
 
 
+def at_least(v, d: int) -> Column:
+    """The vector, or an error where it has fewer than d coordinates."""
+    v = as_col(v)
+    return F.when(F.size(v) >= d, v).otherwise(F.raise_error(F.concat(F.lit(f"vector length is under {d}: "), F.size(v).cast("string"))))
+
+
 def portable_hash(c, seed: int = 0) -> Column:
-    """A pseudo-random order that any SQL engine can repeat."""
-    return (as_col(c) * 7919 + seed) % 10007
+    """A pseudo-random order that any SQL engine can repeat: the first 32 bits of the MD5 of "id:seed"."""
+    text = F.concat(as_col(c).cast("string"), F.lit(f":{seed}")).cast("binary")
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
 def ef_bucket(ef: int, widths=(16, 32, 48, 64, 96, 128, 192, 256, 384, 512, 1024, 2048)) -> int:

@@ -2,7 +2,10 @@
 
 The index (vectors and padded adjacency) is broadcast only below MAX_BYTES; larger
 ones are searched by shards, see plans.index. A batch of queries advances in step:
-each query expands its nearest open candidate, as in best-first search alone.
+each query expands its WIDTH nearest open candidates, so a batch takes a WIDTH-th of the
+steps of best-first search alone and looks at no fewer nodes. Only neighbours that are
+nearer than the worst of the pool are merged into it. Vectors are held as float32; the
+distances returned are computed again in float64.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from pyspark.sql import functions as F
 from .exact import matrix
 
 MAX_BYTES = 1 << 30
-_VISITED = 1 << 26  # bytes of visited flags of a batch
+_VISITED = 1 << 26  # bytes of visited marks of a batch
+WIDTH = 4
 
 
 @dataclass
@@ -39,48 +43,89 @@ class Adjacency:
         return cls(rows)
 
 
-def beam(q: np.ndarray, x: np.ndarray, graph: Adjacency, pool_i: np.ndarray, ef: int, visited: np.ndarray, steps: int | None = None):
-    """Advance a batch: q (B, d), pool_i (B, p) start positions or -1. Returns (ids, distances), each (B, ef), best first, and the steps taken."""
+class Marks:
+    """Visited marks of a batch: one array for a task, cleared by counting epochs."""
+
+    def __init__(self, rows: int, nodes: int):
+        self.marks, self.epoch = np.zeros((rows, nodes), np.uint8), 0
+
+    def fresh(self) -> Marks:
+        self.epoch += 1
+        if self.epoch == 256:
+            self.marks[:], self.epoch = 0, 1
+        return self
+
+    def put(self, r: np.ndarray, c: np.ndarray) -> None:
+        self.marks[r, c] = self.epoch
+
+    def has(self, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return self.marks[r, c] == self.epoch
+
+
+def _distances(q: np.ndarray, x: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    diff = x[c] - q[r]
+    return np.einsum("ij,ij->i", diff, diff)
+
+
+def beam(q: np.ndarray, x: np.ndarray, graph: Adjacency, pool_i: np.ndarray, ef: int, visited: Marks, steps: int | None = None, width: int = WIDTH):
+    """Advance a batch: q (B, d), pool_i (B, p) start positions or -1. Returns (ids, distances), each (B, ef), best first, and the steps taken.
+
+    Equal distances stay in the order in which they were met. steps: at most so many; None goes on until nothing is open.
+    """
     B = len(q)
-    at = np.arange(B)[:, None]
-    live = pool_i >= 0
-    visited[np.broadcast_to(at, pool_i.shape)[live], pool_i[live]] = True
-    d = np.where(live, ((x[pool_i] - q[:, None, :]) ** 2).sum(2), np.inf)
-    ids, done = pool_i, ~live
-    keep = lambda i, v, e: (lambda o: (np.take_along_axis(i, o, 1), np.take_along_axis(v, o, 1), np.take_along_axis(e, o, 1)))(np.lexsort((i, v))[:, :ef])
-    ids, d, done = keep(ids, d, done)
+    ids, d, done = np.full((B, ef), -1, np.int32), np.full((B, ef), np.inf, x.dtype), np.ones((B, ef), bool)
+
+    def merge(rows: np.ndarray, more_i: np.ndarray, more_d: np.ndarray) -> None:
+        all_d = np.concatenate([d[rows], more_d], 1)
+        order = np.argsort(all_d, 1, kind="stable")[:, :ef]
+        d[rows] = np.take_along_axis(all_d, order, 1)
+        ids[rows] = np.take_along_axis(np.concatenate([ids[rows], more_i], 1), order, 1)
+        done[rows] = np.take_along_axis(np.concatenate([done[rows], more_i < 0], 1), order, 1)
+
+    r, c = np.nonzero(pool_i >= 0)
+    start = np.full(pool_i.shape, np.inf, x.dtype)
+    start[r, c] = _distances(q, x, r, pool_i[r, c])
+    visited.put(r, pool_i[r, c])
+    merge(np.arange(B), np.where(np.isfinite(start), pool_i, -1).astype(np.int32), start)
     taken = 0
     while steps is None or taken < steps:
-        open_d = np.where(done, np.inf, d)
-        best = open_d.argmin(1)
-        rows = np.flatnonzero(np.isfinite(open_d[np.arange(B), best]))
-        if not len(rows):
+        live = ~done
+        pick = live & (np.cumsum(live, 1) <= width)
+        r, c = np.nonzero(pick)
+        if not len(r):
             break
         taken += 1
-        done[rows, best[rows]] = True
-        near = graph.rows[ids[rows, best[rows]]]
-        fresh = (near >= 0) & ~visited[rows[:, None], near]
-        r, c = np.nonzero(fresh)
-        if not len(r):
+        done[pick] = True
+        near = graph.rows[ids[r, c]]
+        row, node = np.repeat(r, near.shape[1]), near.ravel()
+        ok = node >= 0
+        row, node = row[ok], node[ok]
+        new = ~visited.has(row, node)
+        row, node = row[new], node[new]
+        if not len(row):
             continue
-        visited[rows[r], near[r, c]] = True
-        more_i, more_d = np.full(near.shape, -1, ids.dtype), np.full(near.shape, np.inf)
-        more_i[r, c] = near[r, c]
-        more_d[r, c] = ((x[near[r, c]] - q[rows[r]]) ** 2).sum(1)
-        width = max(ids.shape[1], min(ef, ids.shape[1] + near.shape[1]))
-        grown_i, grown_d, grown_x = np.full((B, width), -1, ids.dtype), np.full((B, width), np.inf), np.ones((B, width), bool)
-        grown_i[:, : ids.shape[1]], grown_d[:, : ids.shape[1]], grown_x[:, : ids.shape[1]] = ids, d, done
-        ki, kd, kx = keep(np.concatenate([ids[rows], more_i], 1), np.concatenate([d[rows], more_d], 1), np.concatenate([done[rows], more_i < 0], 1))
-        grown_i[rows, : ki.shape[1]], grown_d[rows, : ki.shape[1]], grown_x[rows, : ki.shape[1]] = ki, kd, kx
-        ids, d, done = grown_i, grown_d, grown_x
-    return np.where(np.isfinite(d), ids, -1), d, taken
-
-
-def staged_beam(q, x, graph, sub, d_principle, start, ef, steps=1024, refine=2):
-    """Prefix search on the subgraph, `refine` steps at full width on it, then the full graph."""
-    fresh = lambda: np.zeros((len(q), len(x)), bool)
-    one, _, _ = beam(q[:, :d_principle], np.ascontiguousarray(x[:, :d_principle]), sub, start, 4 * ef, fresh(), steps)
-    visited = fresh()
+        visited.put(row, node)
+        if width > 1:  # two expanded nodes may share a neighbour
+            _, once = np.unique(row.astype(np.int64) * len(x) + node, return_index=True)
+            row, node = row[once], node[once]
+        own = _distances(q, x, row, node)
+        good = own < d[row, -1]
+        row, node, own = row[good], node[good], own[good]
+        if not len(row):
+            continue
+        rows, first, count = np.unique(row, return_index=True, return_counts=True)
+        place = np.arange(len(row)) - np.repeat(first, count)
+        more_i, more_d = np.full((len(rows), int(count.max())), -1, np.int32), np.full((len(rows), int(count.max())), np.inf, x.dtype)
+        line = np.repeat(np.arange(len(rows)), count)
+        more_i[line, place], more_d[line, place] = node, own
+        merge(rows, more_i, more_d)
+    return ids, d, taken
+
+
+def staged_beam(q, x, xp, graph, sub, start, ef, marks: Marks, steps=None, refine=2):
+    """Prefix search on the subgraph (xp: the first coordinates), `refine` steps at full width on it, then the full graph."""
+    one, _, _ = beam(np.ascontiguousarray(q[:, : xp.shape[1]]), xp, sub, start, 4 * ef, marks.fresh(), steps)
+    visited = marks.fresh()
     two, _, _ = beam(q, x, sub, one[:, :ef], ef, visited, refine)
     return beam(q, x, graph, two, ef, visited, steps)[:2]
 
@@ -97,25 +142,41 @@ class LocalIndex:
     entries: np.ndarray  # (R, L) or (1, L)
     routers: np.ndarray | None
 
+    def __post_init__(self):
+        self.x = np.ascontiguousarray(self.x, np.float32)
+        self.xp = np.ascontiguousarray(self.x[:, : self.d_principle]) if self.sub is not None else None
+        self._marks: Marks | None = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "_marks": None}
+
     def search(self, q: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, squared distances), each (B, k); -1 where fewer are found."""
+        """(ids, squared distances), each (B, k), ties by id; -1 where fewer are found."""
         if ef < k:
             raise ValueError("ef must be at least k")
+        if q.shape[1:] != self.x.shape[1:] and len(q):
+            raise ValueError(f"queries have {q.shape[1]} coordinates, the index has {self.x.shape[1]}")
         out_i, out_d = np.full((len(q), k), -1, np.int64), np.full((len(q), k), np.inf)
         lot = max(1, min(256, _VISITED // max(1, len(self.x))))
+        if self._marks is None:
+            self._marks = Marks(lot, len(self.x))
         for at in range(0, len(q), lot):
-            part = q[at : at + lot]
+            exact = q[at : at + lot]
+            part = np.ascontiguousarray(exact, np.float32)
             start = np.repeat(self.entries[:1], len(part), 0)
             if self.routers is not None:
                 p = part[:, : self.routers.shape[1]]
                 start = self.entries[((p[:, None, :] - self.routers[None]) ** 2).sum(2).argmin(1)]
             if self.sub is not None:
-                i, d = staged_beam(part, self.x, self.graph, self.sub, self.d_principle, start, ef)
+                i, _ = staged_beam(part, self.x, self.xp, self.graph, self.sub, start, ef, self._marks)
             else:
-                i, d, _ = beam(part, self.x, self.graph, start, ef, np.zeros((len(part), len(self.x)), bool))
-            m = min(k, i.shape[1])
-            out_i[at : at + lot, :m] = np.where(i[:, :m] >= 0, self.ids[i[:, :m]], -1)
-            out_d[at : at + lot, :m] = d[:, :m]
+                i, _, _ = beam(part, self.x, self.graph, start, ef, self._marks.fresh())
+            d = np.where(i >= 0, ((self.x[i].astype(np.float64) - exact[:, None, :]) ** 2).sum(2), np.inf) if ef * len(part) * q.shape[1] <= 1 << 24 else np.stack([np.where(row >= 0, ((self.x[row].astype(np.float64) - v) ** 2).sum(1), np.inf) for row, v in zip(i, exact, strict=True)])
+            found = np.where(i >= 0, self.ids[i], np.iinfo(np.int64).max)
+            order = np.lexsort((found, d))[:, :k]
+            m, d = order.shape[1], np.take_along_axis(d, order, 1)
+            out_i[at : at + lot, :m] = np.where(np.isfinite(d), np.take_along_axis(found, order, 1), -1)
+            out_d[at : at + lot, :m] = d
         return out_i, out_d
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2sq, portable_hash
+from .linalg import numbered
 
 _SCHEMA = "router int, leaf int, id long"
 
@@ -47,13 +48,17 @@ def router_entries(vectors: DataFrame, n_routers: int, n_leaves: int, dims: int,
         raise ValueError(f"{n_leaves} leaves of {n_routers} routers need {n_leaves * batch} vectors")
     routers = spark.createDataFrame([(i, v) for i, (_, v) in enumerate(choose_routers(vectors, n_routers, seed))], "router int, vec array<double>")
     drawn = vectors.select("id", "vec").orderBy(portable_hash("id", seed), "id").limit(n_leaves * batch)
-    drawn = drawn.withColumn("leaf", F.expr(f"int((row_number() over (order by ({portable_sql('id', seed)}), id) - 1) div {batch})"))  # n_leaves * batch rows
+    drawn = drawn.withColumn("leaf", F.floor((F.row_number().over(Window.orderBy(portable_hash("id", seed), "id")) - 1) / batch).cast("int"))  # n_leaves * batch rows
     pairs = drawn.crossJoin(F.broadcast(routers.select("router", F.col("vec").alias("rv")))).select("router", "leaf", "id", l2sq("vec", "rv", dims).alias("dist"))
     return routers, pairs.groupBy("router", "leaf").agg(F.min(F.struct("dist", "id")).alias("m")).select("router", "leaf", "m.id")
 
 
-def portable_sql(col: str, seed: int = 0) -> str:
-    return f"({col} * 7919 + {seed}) % 10007"
+def query_entries(queries: DataFrame, nodes: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """(qid, id): n nodes for each query, drawn for it alone, with replacement; a node drawn twice is there once."""
+    held, size = numbered(nodes.select("id"))
+    draws = queries.select("qid", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
+    at = portable_hash(F.concat(F.col("qid").cast("string"), F.lit("/"), F.col("draw").cast("string")), seed) % max(1, size)
+    return draws.select("qid", at.alias("at")).join(held, "at").select("qid", "id").distinct()
 
 
 def route(queries: DataFrame, routers: DataFrame, dims: int) -> DataFrame:

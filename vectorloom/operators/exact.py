@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import l2sq
+from ..functions.vectors import at_least, l2sq
 from .topk import topk
 
 #: Queries in a broadcast block, and values in it at most.
@@ -22,7 +22,7 @@ BLOCK, BLOCK_VALUES = 4096, 1 << 22
 
 def pair_distances(queries: DataFrame, base: DataFrame, dims: int, start: int = 0) -> DataFrame:
     """qid, id, dist for all pairs; queries (qid, vec) are few by contract."""
-    return base.select("id", F.col("vec").alias("bv")).crossJoin(F.broadcast(queries.select("qid", F.col("vec").alias("qv")))).select("qid", "id", l2sq("qv", "bv", dims, start).alias("dist"))
+    return base.select("id", at_least("vec", dims).alias("bv")).crossJoin(F.broadcast(queries.select("qid", at_least("vec", dims).alias("qv")))).select("qid", "id", l2sq("qv", "bv", dims, start).alias("dist"))
 
 
 def exact_knn(queries: DataFrame, base: DataFrame, k: int, dims: int) -> DataFrame:
@@ -34,6 +34,8 @@ def exact_knn(queries: DataFrame, base: DataFrame, k: int, dims: int) -> DataFra
 
 def nearest(queries: DataFrame, base: DataFrame, dims: int) -> DataFrame:
     """qid, id, dist of the single nearest."""
+    if queries.limit(BLOCK + 1).count() > BLOCK:
+        return exact_knn_blocks(queries, base, 1).select("qid", "id", "dist")
     return pair_distances(queries, base, dims).groupBy("qid").agg(F.min(F.struct("dist", "id")).alias("m")).select("qid", "m.id", "m.dist")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2sq, portable_hash
@@ -12,8 +14,6 @@ from ..plans.scratch import written
 from .exact import BLOCK, exact_knn_blocks, matrix, pair_distances
 from .topk import topk
 
-#: Above this many vectors neighbours are sought inside clusters.
-EXACT_ROWS = 50_000
 #: Vectors of a cluster part that one task compares.
 PART_ROWS = 4096
 
@@ -22,47 +22,55 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     return topk(pairs.select("src", "dst", "dist"), k, "src", ("dist", "dst"))
 
 
-def knn_graph(vectors: DataFrame, k: int, dims: int) -> DataFrame:
-    """Each vector's k nearest others. Exact up to EXACT_ROWS vectors, by clusters above."""
-    n = vectors.limit(EXACT_ROWS + 1).count()
-    if n > EXACT_ROWS:
+def knn_graph(vectors: DataFrame, k: int, dims: int, mode: str = "exact") -> DataFrame:
+    """Each vector's k nearest others. mode: exact at any size, which costs the square of it, or clusters."""
+    if mode == "clusters":
         return cluster_knn_graph(vectors, k, dims)
+    if mode != "exact":
+        raise ValueError(f"unknown mode {mode!r}")
     queries = vectors.select(F.col("id").alias("qid"), "vec")
-    found = pair_distances(queries, vectors, dims).where("qid <> id") if n <= BLOCK // 4 else exact_knn_blocks(queries, vectors, k + 1).where("qid <> id")
+    few = vectors.limit(BLOCK // 4 + 1).count() <= BLOCK // 4
+    found = pair_distances(queries, vectors, dims).where("qid <> id") if few else exact_knn_blocks(queries, vectors, k + 1).where("qid <> id")
     return _ranked(found.withColumnsRenamed({"qid": "src", "id": "dst"}), k)
 
 
-def cluster_knn_graph(vectors: DataFrame, k: int, dims: int, per_cluster: int = 1024, probes: int = 3, seed: int = 0) -> DataFrame:
-    """Approximate neighbours for many vectors: each goes to its `probes` nearest of sampled centres and is compared there.
+def cluster_knn_graph(vectors: DataFrame, k: int, dims: int, per_cluster: int = 1024, probes: int = 3, seed: int = 0, part_rows: int = PART_ROWS) -> DataFrame:
+    """Approximate neighbours for many vectors: each goes to its `probes` nearest of sampled centres and is compared with all others there.
 
-    The centres are at most 4 * sqrt(n) rows. A cluster of over PART_ROWS vectors is dealt into parts by id.
+    The centres are at most 4 * sqrt(n) rows. A cluster of over part_rows vectors is dealt
+    into parts, and each pair of parts is compared by a task of its own, so no neighbour
+    in a cluster is lost, however hot it is.
     """
     n = vectors.count()
     centres = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(probes, min(n // per_cluster, int(n**0.5) * 4))).select(F.col("id").alias("id"), "vec")
     near = _nearest_centres(vectors, centres, probes)
-    dealt = near.join(vectors, "id")
-    sizes = near.groupBy("centre").count().select("centre", F.ceil(F.col("count") / PART_ROWS).alias("parts"))
-    dealt = dealt.join(sizes, "centre").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    sizes = near.groupBy("centre").count().select("centre", F.ceil(F.col("count") / part_rows).alias("parts"))
+    dealt = near.join(vectors, "id").join(sizes, "centre").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("centre", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "vec")
 
     def neighbours(table: pa.Table) -> pa.Table:
-        ids, x = np.asarray(table.column("id")), matrix(table.column("vec").combine_chunks())
-        sq, src, dst, dist = (x * x).sum(1), [], [], []
-        m = min(k, len(ids) - 1)
-        for at in range(0, len(ids), 512):
-            d = sq[at : at + 512, None] + sq[None, :] - 2 * x[at : at + 512] @ x.T
-            d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
-            if m > 0:
-                top = np.argpartition(d, m - 1, axis=1)[:, :m]
-                r = np.repeat(np.arange(at, at + len(d)), m)
-                c = top.ravel()
-                src.append(ids[r])
-                dst.append(ids[c])
-                dist.append(((x[r] - x[c]) ** 2).sum(1))
-        cat = lambda a, t: np.concatenate(a) if a else np.zeros(0, t)
-        return pa.table({"src": cat(src, np.int64), "dst": cat(dst, np.int64), "dist": cat(dist, np.float64)})
-
-    found = dealt.select("centre", "part", "id", "vec").groupBy("centre", "part").applyInArrow(neighbours, "src long, dst long, dist double")
-    return _ranked(found.groupBy("src", "dst").agg(F.min("dist").alias("dist")), k)
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        part, ids, x = np.asarray(table.column("part")), np.asarray(table.column("id")), matrix(table.column("vec").combine_chunks())
+        src, dst, dist = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for a, b in {(i, j), (j, i)}:
+            own, others = np.flatnonzero(part == a), np.flatnonzero(part == b)
+            sq = (x[others] ** 2).sum(1)
+            for at in range(0, len(own), 512):
+                rows = own[at : at + 512]
+                d = (x[rows] ** 2).sum(1)[:, None] + sq[None, :] - 2 * x[rows] @ x[others].T
+                d[ids[rows][:, None] == ids[others][None, :]] = np.inf
+                m = min(k, len(others) - (a == b))
+                if m > 0:
+                    c = others[np.argpartition(d, m - 1, axis=1)[:, :m]].ravel()
+                    r = np.repeat(rows, m)
+                    src.append(ids[r])
+                    dst.append(ids[c])
+                    dist.append(((x[r] - x[c]) ** 2).sum(1))
+        return pa.table({"src": np.concatenate(src), "dst": np.concatenate(dst), "dist": np.concatenate(dist)})
+
+    found = dealt.groupBy("centre", "i", "j").applyInArrow(neighbours, "src long, dst long, dist double")
+    return _ranked(found.where("src <> dst").groupBy("src", "dst").agg(F.min("dist").alias("dist")), k)
 
 
 def _nearest_centres(vectors: DataFrame, centres: DataFrame, probes: int) -> DataFrame:
@@ -93,16 +101,61 @@ def prune(edges: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
     return edges.join(hidden, ["src", "dst"], "left_anti")
 
 
-def nsw_graph(vectors: DataFrame, n_neighbors: int, dims: int, ef: int | None = None) -> DataFrame:
-    """Half the neighbours and their reverse edges, at most n_neighbors each."""
-    half = _ranked(knn_graph(vectors, ef or n_neighbors // 2, dims), n_neighbors // 2).select("src", "dst", "dist")
+def diverse(edges: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
+    """At most `most` edges of each node: from the nearest on, those nearer to it than to any chosen before, then the nearest others.
+
+    A node's candidates and their vectors meet once, in a sorted stream of node batches.
+    """
+    held = vectors.select(F.col("id").alias("dst"), F.col("vec").alias("dvec"))
+    rows = edges.select("src", "dst", "dist").join(held, "dst").select("src", "dst", "dist", "dvec").repartition("src").sortWithinPartitions("src", "dist", "dst")
+
+    def chosen(dist: np.ndarray, x: np.ndarray) -> list[int]:
+        kept, rest = [], []
+        for i in range(len(dist)):
+            if len(kept) == most:
+                break
+            (kept if not kept or (((x[kept] - x[i]) ** 2).sum(1) >= dist[i]).all() else rest).append(i)
+        return sorted(kept + rest[: most - len(kept)])
+
+    def run(batches):
+        rest = None
+        for b in batches:
+            now = pa.Table.from_batches([b])
+            now = now if rest is None else pa.concat_tables([rest, now])
+            src = np.asarray(now.column("src"))
+            cut = int(np.flatnonzero(src != src[-1])[-1]) + 1 if len(src) and src[0] != src[-1] else 0
+            rest = now.slice(cut)  # the last node may go on in the next batch
+            if cut:
+                yield from picked(now.slice(0, cut))
+        if rest is not None and len(rest):
+            yield from picked(rest)
+
+    def picked(table: pa.Table):
+        src, dist, x = np.asarray(table.column("src")), np.asarray(table.column("dist")), matrix(table.column("dvec").combine_chunks())
+        starts = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]]))
+        at = [lo + i for lo, hi in zip(starts, [*starts[1:], len(src)], strict=True) for i in chosen(dist[lo:hi], x[lo:hi])]
+        yield from table.select(["src", "dst", "dist"]).take(pa.array(at)).to_batches()
+
+    return _ranked(rows.mapInArrow(run, "src long, dst long, dist double"), most)
+
+
+def nsw_graph(vectors: DataFrame, n_neighbors: int, dims: int, ef: int | None = None, mode: str = "exact") -> DataFrame:
+    """Half of n_neighbors edges a node and their reverse, at most n_neighbors each.
+
+    Without ef the half are the nearest ones; with ef they are diverse ones of the ef
+    nearest, and so are those that stay of a node with more reverse edges than fit.
+    """
+    if ef is None:
+        half = knn_graph(vectors, n_neighbors // 2, dims, mode).select("src", "dst", "dist")
+    else:
+        half = written(diverse(written(knn_graph(vectors, max(ef, n_neighbors), dims, mode)), vectors, n_neighbors // 2)).select("src", "dst", "dist")
     both = half.union(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")).groupBy("src", "dst").agg(F.min("dist").alias("dist"))
-    return _ranked(both, n_neighbors)
+    return _ranked(both, n_neighbors) if ef is None else diverse(both, vectors, n_neighbors)
 
 
-def nsg_graph(vectors: DataFrame, n_neighbors: int, dims: int, ef: int = 80, repair: bool = True) -> DataFrame:
+def nsg_graph(vectors: DataFrame, n_neighbors: int, dims: int, ef: int = 80, repair: bool = True, mode: str = "exact") -> DataFrame:
     """Pruned candidates, at most n_neighbors each; with repair every node can be reached from the medoid."""
-    edges = _ranked(prune(written(knn_graph(vectors, ef, dims)), vectors, dims), n_neighbors)
+    edges = _ranked(prune(written(knn_graph(vectors, ef, dims, mode)), vectors, dims), n_neighbors)
     if not repair:
         return edges
     edges = written(edges)
@@ -114,14 +167,14 @@ def nsg_graph(vectors: DataFrame, n_neighbors: int, dims: int, ef: int = 80, rep
     return edges.unionByName(found.select(F.col("id").alias("src"), F.col("qid").alias("dst"), F.lit(n_neighbors + 1).alias("rank"), "dist"))
 
 
-def build_graph(vectors: DataFrame, method: str, n_neighbors: int, dims: int, ef: int = 80) -> DataFrame:
-    """method: knn, nsw or nsg."""
+def build_graph(vectors: DataFrame, method: str, n_neighbors: int, dims: int, ef: int | None = None, mode: str = "exact") -> DataFrame:
+    """method: knn, nsw or nsg. ef: candidates of a node (nsw: the nearest only where it is None; nsg: 80)."""
     if method == "nsw":
-        return nsw_graph(vectors, n_neighbors, dims)
+        return nsw_graph(vectors, n_neighbors, dims, ef, mode)
     if method == "nsg":
-        return nsg_graph(vectors, n_neighbors, dims, ef)
+        return nsg_graph(vectors, n_neighbors, dims, ef or 80, mode=mode)
     if method == "knn":
-        return knn_graph(vectors, n_neighbors, dims)
+        return knn_graph(vectors, n_neighbors, dims, mode)
     raise ValueError(f"unknown graph method {method!r}")
 
 
@@ -147,15 +200,13 @@ def khop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return found.groupBy("seed", "id").agg(F.min("hop").alias("hop"))
 
 
-def unreached(edges: DataFrame, nodes: DataFrame, start: int, most: int = 64) -> DataFrame:
-    """Nodes that no path from start reaches (breadth first, written each round)."""
+def unreached(edges: DataFrame, nodes: DataFrame, start: int) -> DataFrame:
+    """Nodes that no path from start reaches (breadth first until the front is empty, written each round)."""
     seen = written(nodes.where(F.col("id") == start))
     front = seen
-    for _ in range(most):
+    while front.take(1):
         front = written(front.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
-        if not front.take(1):
-            break
-        seen = seen.union(front)
+        seen = written(seen.union(front))  # plans stay short, however long the paths are
     return nodes.join(seen, "id", "left_anti")
 
 
@@ -164,21 +215,23 @@ def sample_nodes(edges: DataFrame, nodes: DataFrame, n: int, hops: int = 1, seed
     order = nodes.select("id", portable_hash("id", seed).alias("h"))
     reach = khop(edges, nodes, hops).select("seed", "id").join(order.select(F.col("id").alias("seed"), "h"), "seed")
     first = written(reach.groupBy("id").agg(F.min(F.struct("h", "seed")).alias("m")).select("id", "m.h", "m.seed"))
-    # The hash has 10,007 values: counts by value find where n is met, and only that value's seeds are ranked.
-    left, at = n, None
-    for r in sorted(first.groupBy("h").count().collect(), key=lambda r: r.h):
-        at = r.h
-        if left <= r["count"]:
-            break
-        left -= r["count"]
-    if at is None:
-        return first.select("id")
-    edge = first.where(F.col("h") == at).groupBy("seed").count()
-    w = Window.orderBy("seed").rowsBetween(Window.unboundedPreceding, -1)
-    within = edge.withColumn("before", F.coalesce(F.sum("count").over(w), F.lit(0))).where(F.col("before") < left).select("seed")
-    return first.where(F.col("h") < at).select("id").union(first.where(F.col("h") == at).join(within, "seed", "left_semi").select("id"))
-
-
-def subgraph(vectors: DataFrame, sample: DataFrame, method: str, n_neighbors: int, dims: int, ef: int = 80) -> DataFrame:
+    # Counts by 12 bits of the 32-bit hash find where n is met; twice, so that few seeds are ranked one by one.
+    left, low, edge = n, 0, first
+    for bits in (20, 8):
+        counts, at = edge.groupBy(F.shiftright("h", bits).alias("bin")).count().collect(), None  # 4,096 rows at most
+        for r in sorted(counts, key=lambda r: r.bin):
+            at = r.bin
+            if left <= r["count"]:
+                break
+            left -= r["count"]
+        if at is None:
+            return first.select("id")
+        low, edge = at << bits, edge.where(F.shiftright("h", bits) == at)
+    seeds = edge.groupBy("h", "seed").count().orderBy("h", "seed").collect()  # of 2**-24 of all hashes
+    until = next((r for r, before in zip(seeds, accumulate([0, *(r["count"] for r in seeds)])) if before + r["count"] >= left), seeds[-1])
+    return first.where((F.col("h") < low) | (F.struct("h", "seed") <= F.struct(F.lit(until.h).cast("long"), F.lit(until.seed).cast("long")))).select("id")
+
+
+def subgraph(vectors: DataFrame, sample: DataFrame, method: str, n_neighbors: int, dims: int, ef: int | None = None, mode: str = "exact") -> DataFrame:
     """The graph built anew on the sampled vectors; ids stay global."""
-    return build_graph(vectors.join(sample, "id", "left_semi"), method, n_neighbors, dims, ef)
+    return build_graph(vectors.join(sample, "id", "left_semi"), method, n_neighbors, dims, ef, mode)

@@ -30,26 +30,30 @@ def gram(vectors: DataFrame, dims: int) -> DataFrame:
     return vectors.select("vec").mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
-def draw(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n rows with replacement: seeded positions, joined to rows numbered by (id mod 64, id).
-
-    The first column is the id, a long. Returns the columns of df and draw.
-    """
+def numbered(df: DataFrame) -> tuple[DataFrame, int]:
+    """df with a column at, the place of a row by (id mod 64, id) from 0, and the number of rows. The first column is the id, a long."""
     key = df.columns[0]
     parts = df.withColumn("part", F.pmod(F.col(key), F.lit(64)))
     sizes = {r.part: r["count"] for r in parts.groupBy("part").count().collect()}
-    size = sum(sizes.values())
-    if not size or not n:
-        return df.withColumn("draw", F.lit(0).cast("long")).limit(0)
     # Numbers without one global window: the rows before a part, then the place in it.
-    before, at = [], 0
+    before, at = [F.lit(-1).cast("long"), F.lit(0).cast("long")], 0
     for p in sorted(sizes):
         before += [F.lit(p).cast("long"), F.lit(at).cast("long")]
         at += sizes[p]
     place = F.row_number().over(Window.partitionBy("part").orderBy(key))
-    numbered = parts.withColumn("at", F.create_map(*before)[F.col("part")] + place - 1)
+    return parts.withColumn("at", F.create_map(*before)[F.col("part")] + place - 1).drop("part"), at
+
+
+def draw(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """n rows with replacement: seeded positions, joined to rows numbered by (id mod 64, id).
+
+    The first column is the id, a long. Returns the columns of df and draw.
+    """
+    held, size = numbered(df)
+    if not size or not n:
+        return df.withColumn("draw", F.lit(0).cast("long")).limit(0)
     draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), ((F.col("id") + seed) * 2654435761 % 4294967296 % size).alias("at"))
-    return draws.join(numbered, "at").select(*df.columns, "draw")
+    return draws.join(held, "at").select(*df.columns, "draw")
 
 
 def svd(vectors: DataFrame, dims: int, max_size: int | None = None, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:

@@ -23,6 +23,13 @@ def heap_pop(heap: DataFrame, by: str = "heap") -> DataFrame:
     return heap.groupBy(by).agg(F.min(F.struct("key", "value")).alias("m")).select(by, "m.key", "m.value")
 
 
+def heap_popped(heap: DataFrame, by: str = "heap") -> DataFrame:
+    """The heaps after heap_pop: the slot of the smallest key holds (+inf, -1)."""
+    top = F.row_number().over(Window.partitionBy(by).orderBy("key", "value")) == 1
+    marked = heap.select(by, "key", "value", top.alias("top"))
+    return marked.select(by, F.when(F.col("top"), F.lit(float("inf"))).otherwise(F.col("key")).alias("key"), F.when(F.col("top"), F.lit(-1)).otherwise(F.col("value")).alias("value"))
+
+
 def bitmask_put(keys: DataFrame, col: str = "key") -> DataFrame:
     """The set of keys as words of a bit mask: (bucket, bits), 32,768 positions a word."""
     at = F.col(col)

@@ -9,6 +9,7 @@ tables are written every second round, so plans stay short.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,14 +36,16 @@ def with_distance(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, dims
     return pairs.join(v, "id").join(q, "qid").select("qid", "id", l2sq("qv", "bv", dims, start).alias("dist"))
 
 
-def walk(queries: DataFrame, vectors: DataFrame, edges: DataFrame, init: DataFrame, ef: int, dims: int, rounds: int = 64, visited: DataFrame | None = None, stop: bool = True) -> Walk:
-    """Search from init (qid, id). visited: pairs not to be met again. stop: end when no round finds anything."""
+def walk(queries: DataFrame, vectors: DataFrame, edges: DataFrame, init: DataFrame, ef: int, dims: int, rounds: int | None = None, visited: DataFrame | None = None, stop: bool = True) -> Walk:
+    """Search from init (qid, id). visited: pairs not to be met again. rounds: at most so many; None goes on until a round finds nothing. stop: end there in any case."""
+    if rounds is None and not stop:
+        raise ValueError("a search without a number of rounds must stop by itself")
     init = init.select("qid", "id").distinct()
     pool = topk(with_distance(init, queries, vectors, dims), ef).drop("rank").withColumn("x", F.lit(False))
     seen = init if visited is None else init.union(visited.select("qid", "id")).distinct()
     links = edges.select("src", "dst")
     done = 0
-    for r in range(rounds):
+    for r in count() if rounds is None else range(rounds):
         front = pool.where(~F.col("x"))
         fresh = front.join(links, F.col("id") == F.col("src")).select("qid", F.col("dst").alias("id")).distinct().join(seen, ["qid", "id"], "left_anti")
         fresh = written(fresh)
@@ -63,7 +66,7 @@ def walk_stats(w: Walk, stage: int, n_init: int) -> DataFrame:
     return n.agg(F.lit(stage).alias("stage"), F.lit(w.rounds).cast("long").alias("n_steps"), F.round(F.avg("count"), 6).alias("n_visited"), F.round(F.avg(F.col("count") - n_init), 6).alias("n_computed"))
 
 
-def staged_walk(queries: DataFrame, vectors: DataFrame, edges: DataFrame, sub_edges: DataFrame, init: DataFrame, ef: int, dims: int, d_principle: int, rounds: int = 64, refine: int = 2) -> list[Walk]:
+def staged_walk(queries: DataFrame, vectors: DataFrame, edges: DataFrame, sub_edges: DataFrame, init: DataFrame, ef: int, dims: int, d_principle: int, rounds: int | None = None, refine: int = 2) -> list[Walk]:
     """Three searches: prefix on the subgraph with 4 * ef, `refine` rounds at full width on it, then the full graph.
 
     The third starts from the second's pool, whose rows count as unexpanded, and does
