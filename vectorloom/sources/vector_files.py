@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import io
+import fnmatch
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +18,24 @@ from ..operators.exact import exact_knn_blocks
 from ..operators.linalg import draw
 
 
-def _open(path: str):
+def _fs(path: str):
+    """(file system, path in it); file:/a and plain paths are local."""
     from pyarrow import fs
 
-    files, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    if "://" not in path:
+        path = f"file://{path.removeprefix('file:')}"
+    return fs.FileSystem.from_uri(path)
+
+
+def _open(path: str):
+    files, at = _fs(path)
     return files.open_input_file(at)
 
 
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, max(1, x.shape[1]), dtype=np.int32)), pa.array(np.ascontiguousarray(x).ravel()))
+
+
 @dataclass
 class _Rows(InputPartition):
     start: int
@@ -52,8 +64,7 @@ class _BinReader(DataSourceReader):
                 x = np.frombuffer(f.read(4 * d * m), self.kind)
                 if len(x) != d * m:
                     raise ValueError(f"{self.path} is cut short: {n} x {d} values are announced")
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, d * m + 1, d, dtype=np.int32)), pa.array(x))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + m)), lists], ["id", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + m)), _lists(x.reshape(m, d))], ["id", "vec"])
 
 
 class BinSource(DataSource):
@@ -78,9 +89,10 @@ def read_bins(spark: SparkSession, path: str, rows: int = 65536) -> DataFrame:
 
 
 def write_bins(df: DataFrame, path: str, order: str = "id", ints: bool = False) -> None:
-    """One .fbin or .ibin file; rows are streamed to the driver a partition at a time."""
-    n = df.count()
-    with open(path, "wb") as f:
+    """One .fbin or .ibin file on any file system that Arrow opens; rows are streamed to the driver a partition at a time."""
+    n, (files, at) = df.count(), _fs(path)
+    files.create_dir(at.rpartition("/")[0], recursive=True)
+    with files.open_output_stream(at) as f:
         for i, r in enumerate(df.orderBy(order).toLocalIterator()):
             if not i:
                 f.write(struct.pack("<ii", n, len(r.vec)))
@@ -89,30 +101,95 @@ def write_bins(df: DataFrame, path: str, order: str = "id", ints: bool = False)
             f.write(struct.pack("<ii", 0, 0))
 
 
-def read_npy(spark: SparkSession, pattern: str) -> DataFrame:
-    """(id, vec) of all .npy shards that match, in order of their names: id is the rows of earlier shards plus the row."""
-    files = spark.read.format("binaryFile").load(pattern)
+@dataclass
+class _Shard(InputPartition):
+    path: str
+    start: int
+    end: int
+    first: int
+
+
+class _NpyReader(DataSourceReader):
+    """Row ranges of .npy shards, in order of their names."""
+
+    def __init__(self, options: dict):
+        self.pattern, self.rows = options["path"], int(options.get("rows", 65536))
 
-    def sizes(batches):
-        for b in batches:
-            heads = [np.load(io.BytesIO(c), mmap_mode=None).shape[0] for c in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(heads, pa.int64())], ["path", "n"])
+    def _head(self, path: str) -> tuple[tuple[int, ...], np.dtype, int]:
+        """(shape, type, where the values start)."""
+        with _open(path) as f:
+            version = np.lib.format.read_magic(f)
+            shape, fortran, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+            if fortran and len(shape) > 1 and min(shape) > 1:
+                raise ValueError(f"{path} is stored by columns")
+            return shape, kind, f.tell()
 
-    first, at = {}, 0
-    for r in sorted(files.select("path", "content").mapInArrow(sizes, "path string, n long").collect()):
-        first[r.path] = at
-        at += r.n
+    def shards(self) -> list[str]:
+        from pyarrow import fs
 
-    def rows(batches):
-        for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.load(io.BytesIO(content)).astype(np.float32)
-                for lo in range(0, len(x), 4096):
-                    part = x[lo : lo + 4096]
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32)), pa.array(part.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first[path] + lo, first[path] + lo + len(part))), lists], ["id", "vec"])
+        folder, _, names = self.pattern.rpartition("/")
+        files, at = _fs(folder)
+        found = [i.base_name for i in files.get_file_info(fs.FileSelector(at)) if i.type == fs.FileType.File and fnmatch.fnmatchcase(i.base_name, names)]
+        return [f"{folder}/{name}" for name in sorted(found)]
 
-    return files.select("path", "content").mapInArrow(rows, "id long, vec array<float>")
+    def partitions(self):
+        out, first = [], 0
+        for path in self.shards():
+            n = self._head(path)[0][0]
+            out += [_Shard(path, at, min(n, at + self.rows), first) for at in range(0, n, self.rows)]
+            first += n
+        return out or [_Shard("", 0, 0, 0)]
+
+    def read(self, part: _Shard) -> Iterator[pa.RecordBatch]:
+        if not part.path:
+            return
+        shape, kind, offset = self._head(part.path)
+        d = shape[1] if len(shape) > 1 else 1
+        with _open(part.path) as f:
+            for at in range(part.start, part.end, 4096):
+                m = min(4096, part.end - at)
+                f.seek(offset + kind.itemsize * d * at)
+                raw = f.read(kind.itemsize * d * m)
+                if len(raw) != kind.itemsize * d * m:
+                    raise ValueError(f"{part.path} is cut short: {shape[0]} x {d} values are announced")
+                x = np.frombuffer(raw, kind).reshape(m, d)
+                x = x.astype(np.int64) if kind.kind in "iu" else x.astype(np.float32)  # ids stay whole numbers
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.first + at, part.first + at + m)), _lists(x)], ["id", "vec"])
+
+
+class NpySource(DataSource):
+    """spark.read.format("vector_npy").load(pattern): (id, vec) of all shards that match; id is the rows of earlier shards plus the row. Option: rows per partition."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "vector_npy"
+
+    def schema(self) -> str:
+        reader = _NpyReader(dict(self.options))
+        shards = reader.shards()
+        if not shards:
+            raise FileNotFoundError(reader.pattern)
+        return f"id long, vec array<{'long' if reader._head(shards[0])[1].kind in 'iu' else 'float'}>"
+
+    def reader(self, schema):
+        return _NpyReader(dict(self.options))
+
+
+def read_npy(spark: SparkSession, pattern: str, rows: int = 65536) -> DataFrame:
+    """(id, vec) of all .npy shards that match the last part of the pattern; integers stay integers, floats become float32."""
+    spark.dataSource.register(NpySource)
+    return spark.read.format("vector_npy").option("rows", rows).load(pattern)
+
+
+def write_npy(df: DataFrame, folder: str, rows: int = 1 << 20, order: str = "id", dtype=np.float32) -> None:
+    """Shards of at most `rows` vectors; rows are streamed to the driver, a shard at a time."""
+    files, at = _fs(folder)
+    files.create_dir(at, recursive=True)
+    found, shard = df.orderBy(order).toLocalIterator(), 0
+    while part := list(islice(found, rows)):
+        with files.open_output_stream(f"{at}/shard-{shard:06d}.npy") as f:
+            np.lib.format.write_array(f, np.array([r.vec for r in part], dtype))
+        shard += 1
 
 
 @dataclass
@@ -150,6 +227,15 @@ def shrink(data: Dataset, n: int, k: int = 100, seed: int = 0) -> Dataset:
     return Dataset(base, data.queries, ground_truth(data.queries, base, k))
 
 
+def write_truth(data: Dataset, folder: str, n_queries: int = 65_536, k: int = 100, seed: int = 0) -> Dataset:
+    """Draw n_queries rows of the base with replacement, find their k nearest, and write query.fbin and groundtruth.ibin."""
+    drawn = draw(data.storage.select("id", "vec"), n_queries, seed).select(F.col("draw").alias("qid"), "vec")
+    truth = ground_truth(drawn, data.storage, k)
+    write_bins(drawn, f"{folder}/query.fbin", "qid")
+    write_bins(truth.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("found")).select("qid", F.col("found.id").alias("vec")), f"{folder}/groundtruth.ibin", "qid", ints=True)  # k ids a query
+    return Dataset(data.storage, drawn, truth.select("qid", "rank", "id"))
+
+
 #: Dimensions of the random datasets.
 FUZZ_DIMS = (64, 96, 128, 200, 512, 768)
 #: Rows of a size name.
