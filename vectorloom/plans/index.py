@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, dataclass
 from itertools import islice
 
 import numpy as np
@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import prefix
+from ..functions.vectors import checked, prefix
 from ..operators import arrow_walk, entry, exact, graph, linalg
 from ..operators.topk import topk
 from ..operators.walk import Walk, staged_walk, walk
 from .scratch import written
 
+#: Candidates of a node when an index is built.
+EF_BUILD = 80
 _TABLES = ("vectors", "rotation", "edges", "sample", "sub_edges", "routers", "entries")
 
 
@@ -64,22 +66,23 @@ class StagedIndex:
         self.config, self.tables, self._broadcast = config, tables, None
 
     @classmethod
-    def build(cls, vectors: DataFrame, config: Config, path: str, rotation: np.ndarray | None = None) -> StagedIndex:
-        """Build all tables from (id, vec), writing each to path before the next reads it. rotation: use this one instead of the SVD."""
+    def build(cls, vectors: DataFrame, config: Config, path: str, rotation: np.ndarray | None = None, ef: int = EF_BUILD, mode: str = "exact") -> StagedIndex:
+        """Build all tables from (id, vec), writing each to path before the next reads it. rotation: use this one instead of the SVD. ef and mode: candidates of a node and how they are found (graph.build_graph)."""
         spark, c = vectors.sparkSession, config
         if not 0 < c.sample_ratio <= 1 or not 0 < c.d_principle <= c.d_model:
             raise ValueError("sample_ratio must be in (0, 1] and d_principle in [1, d_model]")
+        vectors = vectors.select("id", checked("vec", c.d_model).alias("vec"))
         v = linalg.svd(vectors, c.d_model, max_size=10_000_000, seed=c.seed)[0] if rotation is None else rotation
         linalg.rotation_table(spark, v).write.parquet(f"{path}/rotation")
         rotated = linalg.rotate(vectors.select("id", "vec"), v)
         rotated.select("id", F.col("vec").cast("array<float>").alias("vec"), prefix("vec", c.d_principle).cast("array<float>").alias("prefix")).write.parquet(f"{path}/vectors")
         held = spark.read.parquet(f"{path}/vectors")
         method, degree = c.graph
-        graph.build_graph(held.select("id", "vec"), method, degree, c.d_model).write.parquet(f"{path}/edges")
+        graph.build_graph(held.select("id", "vec"), method, degree, c.d_model, ef, mode).write.parquet(f"{path}/edges")
         edges = spark.read.parquet(f"{path}/edges")
         n = max(1, int(held.count() * c.sample_ratio))
         graph.sample_nodes(edges, held.select("id"), n, 1, c.seed).write.parquet(f"{path}/sample")
-        graph.subgraph(held.select("id", "vec"), spark.read.parquet(f"{path}/sample"), method, degree, c.d_model).write.parquet(f"{path}/sub_edges")
+        graph.subgraph(held.select("id", "vec"), spark.read.parquet(f"{path}/sample"), method, degree, c.d_model, ef, mode).write.parquet(f"{path}/sub_edges")
         chosen = EntrySelector(c.entry_method, c.seed).train(held.select("id", F.col("prefix").alias("vec")), c.d_principle)
         chosen.entries.write.parquet(f"{path}/entries")
         routers = chosen.routers if chosen.routers is not None else spark.createDataFrame([], "router int, vec array<double>")
@@ -103,7 +106,7 @@ class StagedIndex:
         v = np.zeros((d, d))
         for r in self.tables["rotation"].collect():  # d x d
             v[r.i, r.j] = r.v
-        return linalg.rotate(queries.select("qid", "vec"), v)
+        return linalg.rotate(queries.select("qid", checked("vec", d).alias("vec")), v)
 
     def _entries(self, queries: DataFrame) -> DataFrame:
         t, c = self.tables, self.config
@@ -121,7 +124,7 @@ class StagedIndex:
             self._broadcast = t["vectors"].sparkSession.sparkContext.broadcast(local)
         return self
 
-    def staged(self, queries: DataFrame, ef: int, rounds: int = 64) -> list[Walk]:
+    def staged(self, queries: DataFrame, ef: int, rounds: int | None = None) -> list[Walk]:
         t, c = self.tables, self.config
         q = written(self.rotated(queries))
         return staged_walk(q, t["vectors"].select("id", "vec"), t["edges"], t["sub_edges"], self._entries(q).select("qid", "id"), ef, c.d_model, c.d_principle, rounds)
@@ -141,8 +144,8 @@ class StagedIndex:
 
 
 def single_search(queries: DataFrame, vectors: DataFrame, edges: DataFrame, entries: DataFrame, k: int, ef: int, dims: int) -> DataFrame:
-    """One walk over one graph (all of it, or a subgraph) from shared entries (id)."""
-    init = queries.select("qid").crossJoin(F.broadcast(entries.select("id").distinct()))  # the entry list is a parameter
+    """One walk over one graph (all of it, or a subgraph) from shared entries (id), or from those of each query (qid, id)."""
+    init = entries.select("qid", "id") if "qid" in entries.columns else queries.select("qid").crossJoin(F.broadcast(entries.select("id").distinct()))  # the entry list is a parameter
     return walk(queries, vectors, edges, init, ef, dims).result(k)
 
 
@@ -220,7 +223,3 @@ class ShardedIndex:
             return pa.table({"qid": np.repeat(qid, k)[live], "id": i.ravel()[live], "dist": d.ravel()[live]})
 
         return self.vectors.groupBy("shard").cogroup(self.edges.groupBy("shard")).applyInArrow(visit, schema)
-
-
-def with_seed(config: Config, seed: int) -> Config:
-    return replace(config, seed=seed)
