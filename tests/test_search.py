@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectorloom.operators import entry, exact, graph, topk
-from vectorloom.operators.arrow_walk import Adjacency, beam
+from vectorloom.operators.arrow_walk import Adjacency, LocalIndex, Marks, beam
 from vectorloom.operators.walk import walk
 from vectorloom.plans.index import Config, ShardedIndex, StagedIndex, oracle_search, prefix_then_full, single_search
 from vectorloom.plans.scratch import written
@@ -40,10 +40,60 @@ def test_graph_degrees_and_ranks(spark, data, edges):
     assert knn.where("src = dst").count() == 0 and knn.count() == 2000
 
 
-def test_cluster_graph_agrees_with_exact(data):
+@pytest.mark.parametrize("part_rows", [4096, 32])
+def test_cluster_graph_agrees_with_exact(data, part_rows):
+    """Also where clusters are dealt into parts, whose pairs are all compared."""
     whole = {(r.src, r.dst) for r in graph.knn_graph(data[0], 8, D).collect()}
-    found = {(r.src, r.dst) for r in graph.cluster_knn_graph(data[0], 8, D, per_cluster=60, probes=4).collect()}
-    assert len(whole & found) / len(whole) > 0.8
+    found = {(r.src, r.dst) for r in graph.cluster_knn_graph(data[0], 8, D, per_cluster=80, probes=4, part_rows=part_rows).collect()}
+    assert len(whole & found) / len(whole) > 0.9
+    one = {(r.src, r.dst) for r in graph.cluster_knn_graph(data[0], 8, D, per_cluster=400, probes=1, part_rows=part_rows).collect()}
+    assert one == whole  # one cluster: exact, however it is dealt
+    with pytest.raises(ValueError):
+        graph.knn_graph(data[0], 8, D, mode="guess")
+
+
+def test_long_paths_are_reached(spark):
+    edges = written(spark.createDataFrame([(i, i + 1) for i in range(67)] + [(200, 201)], "src long, dst long").coalesce(1))
+    nodes = written(spark.createDataFrame([(i,) for i in [*range(68), 200, 201]], "id long").coalesce(1))
+    assert sorted(r.id for r in graph.unreached(edges, nodes, 0).collect()) == [200, 201]
+
+
+def test_diverse_edges_match_plain(spark, data):
+    cand = written(graph.knn_graph(data[0], 20, D))
+    x = {r.id: np.array(r.vec) for r in data[0].collect()}
+    want = set()
+    rows = {}
+    for r in cand.collect():
+        rows.setdefault(r.src, []).append((r.dist, r.dst))
+    for u, found in rows.items():
+        kept, rest = [], []
+        for d, v in sorted(found):
+            if len(kept) < 6:
+                (kept if all(((x[v] - x[w]) ** 2).sum() >= d for w in kept) else rest).append(v)
+        want |= {(u, v) for v in kept + rest[: 6 - len(kept)]}
+    assert {(r.src, r.dst) for r in graph.diverse(cand, data[0], 6).collect()} == want
+
+
+def test_entries_of_each_query(spark, data):
+    base, q, _ = data
+    found = entry.query_entries(q, base, 8, 3).collect()
+    by = {r.qid: {x.id for x in found if x.qid == r.qid} for r in found}
+    assert len(by) == 15 and all(5 <= len(v) <= 8 for v in by.values()) and len(set(map(frozenset, by.values()))) == 15
+    assert single_search(q, base, graph.nsw_graph(base, 16, D), entry.query_entries(q, base, 8, 3), 10, 32, D).count() == 150
+
+
+def test_random_order_is_not_that_of_ids(spark):
+    ids = [r.id for r in entry.random_entries(spark.range(100_000), 50, 1).collect()]
+    assert max(ids) > 80_000 and len(set(ids)) == 50
+
+
+def test_short_vectors_are_refused(spark, data, tmp_path):
+    base, q, _ = data
+    short = frame(spark, [[1.0] * (D - 1)], "qid")
+    held = StagedIndex.build(base, Config(D, 6, 0.25, "nsw16", "random16", 1), f"{tmp_path}/d")
+    for go in (lambda: exact.exact_knn(short, base, 3, D), lambda: held.search(short, 3, 8), lambda: StagedIndex.build(base, Config(D + 1, 6, 0.25, "nsw16", "random16", 1), f"{tmp_path}/e")):
+        with pytest.raises(Exception, match="vector length"):
+            go().collect()
 
 
 def test_nsg_reaches_all_from_two_parts(spark):
@@ -150,5 +200,57 @@ def test_sharded_searches_more_queries_than_a_block(data, tmp_path, monkeypatch)
 def test_beam_single_node_and_duplicates():
     x = np.array([[0.0, 1.0]])
     g = Adjacency.of(np.array([7]), np.zeros(0, int), np.zeros(0, int), np.zeros(0, int))
-    ids, d, _ = beam(np.zeros((2, 2)), x, g, np.array([[0, -1], [0, 0]], np.int32)[:, :1], 4, np.zeros((2, 1), bool))
+    ids, d, _ = beam(np.zeros((2, 2)), x, g, np.array([[0, -1], [0, 0]], np.int32)[:, :1], 4, Marks(2, 1).fresh())
     assert ids[:, 0].tolist() == [0, 0] and d[0, 0] == 1.0
+
+
+def test_sweeps(spark, data, edges, tmp_path):
+    from vectorloom.plans import sweeps
+    from vectorloom.sources import vector_files as files
+
+    base, q, _ = data
+    rows = sweeps.oracle_ablation(q, base, edges, (0.25, 1.0), (16,), D).collect()
+    assert [(r.known, r.ef) for r in rows] == [(0.25, 16), (1.0, 16)] and rows[1].recall >= rows[0].recall > 0.5
+    files.write_bins(base, f"{tmp_path}/deep-64k/base.fbin")
+    files.write_bins(q, f"{tmp_path}/deep-64k/query.fbin", "qid")
+    made = files.write_truth(files.Dataset(base, q, None), f"{tmp_path}/deep-64k", n_queries=30, k=10)
+    index = sweeps.build_job(spark, "deep-64k", str(tmp_path), Config(D, 6, 0.25, "nsw32", "random16", 1), f"{tmp_path}/index")
+    found = sweeps.sweep_saved(spark, f"{tmp_path}/index", files.load_dataset(spark, "deep-64k", str(tmp_path)), (16, 64), n_queries=20).collect()
+    assert made.queries.count() == 30 and [r.ef for r in found] == [16, 64] and found[1].recall > 0.95 and all(r.milliseconds > 0 for r in found)
+    both = {r["mode"]: r.recall for r in sweeps.single_or_staged(index, q, base, (32,)).collect()}
+    assert set(both) == {"single", "staged"} and min(both.values()) > 0.6
+
+
+def test_kernel_finds_the_same_as_walking_one_by_one(data, edges):
+    """A plain best-first search, one node at a time, finds no more than the kernel."""
+    import heapq
+
+    x = np.array([r.vec for r in data[0].orderBy("id").collect()])
+    q = np.array([r.vec for r in data[1].orderBy("qid").collect()])
+    e = edges.toPandas()
+    g = Adjacency.of(np.arange(400), e.src.to_numpy(), e.dst.to_numpy(), e["rank"].to_numpy())
+    start = np.arange(0, 400, 25, dtype=np.int32)
+    local = LocalIndex(np.arange(400), x, g, None, 0, start[None], None)
+    truth = np.argsort(((q[:, None] - x[None]) ** 2).sum(2), 1)[:, :10]
+    for ef in (16, 48):
+        found, dist = local.search(q, 10, ef)
+        assert np.allclose(dist, ((x[found].astype(np.float32) - q[:, None]) ** 2).sum(2), atol=1e-5)
+        plain = []
+        for v in q:
+            d = lambda i: float(((x[i] - v) ** 2).sum())  # noqa: B023, E731
+            seen = set(start.tolist())
+            pool = sorted((d(i), i) for i in seen)[:ef]
+            todo = list(pool)
+            heapq.heapify(todo)
+            while todo:
+                far, i = heapq.heappop(todo)
+                if len(pool) == ef and far > pool[-1][0]:
+                    break
+                for j in g.rows[i]:
+                    if j >= 0 and j not in seen:
+                        seen.add(j)
+                        heapq.heappush(todo, (d(j), j))
+                        pool = sorted([*pool, (d(j), j)])[:ef]
+            plain.append([i for _, i in pool[:10]])
+        hits = lambda ids: sum(len(set(a) & set(b)) for a, b in zip(ids, truth))
+        assert hits(found) >= hits(plain) - 2

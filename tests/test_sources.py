@@ -42,6 +42,30 @@ def test_npy_shards_and_dataset(spark, tmp_path):
     assert small.n_storage() == 10 and small.truth.count() == 6
 
 
+def test_npy_keeps_ids_and_reads_row_ranges(spark, tmp_path):
+    ids = np.array([[16_777_217, 1], [2**40 + 1, 3], [5, 6]], np.int64)
+    np.save(tmp_path / "truth.npy", ids)
+    back = files.read_npy(spark, f"{tmp_path}/truth.npy", rows=2)
+    assert back.rdd.getNumPartitions() == 2 and [r.vec for r in back.orderBy("id").collect()] == ids.tolist()
+    np.save(tmp_path / "cut.npy", np.zeros((100, 8)))
+    with open(tmp_path / "cut.npy", "r+b") as f:
+        f.truncate(1000)
+    with pytest.raises(Exception, match="cut short"):
+        files.read_npy(spark, f"{tmp_path}/cut.npy").collect()
+    x = np.random.default_rng(1).normal(size=(25, 3)).astype(np.float32)
+    files.write_npy(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vec array<float>"), f"file:{tmp_path}/out", rows=10)
+    assert np.array_equal(np.array([r.vec for r in files.read_npy(spark, f"{tmp_path}/out/*.npy", rows=4).orderBy("id").collect()], np.float32), x)
+
+
+def test_truth_is_written_and_read(spark, tmp_path):
+    data = files.fuzz(spark, 60, 3, dims=64, seed=4, k=3)
+    made = files.write_truth(data, f"{tmp_path}/deep-64k", n_queries=20, k=5, seed=2)
+    files.write_bins(data.storage, f"{tmp_path}/deep-64k/base.fbin")
+    back = files.load_dataset(spark, "deep-64k", str(tmp_path))
+    key = lambda t: sorted((r.qid, r["rank"], r.id) for r in t.collect())
+    assert back.queries.count() == 20 and key(back.truth) == key(made.truth) and back.truth.count() == 100
+
+
 def test_bin_dataset_without_base(spark, tmp_path):
     (tmp_path / "deep-1m").mkdir()
     vec = lambda rows, kind: spark.createDataFrame([(i, r) for i, r in enumerate(rows)], f"id long, vec array<{kind}>")
