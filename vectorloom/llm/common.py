@@ -59,7 +59,9 @@ ROWS_A_FILE = 200_000
 def settled(df: DataFrame, rows: int) -> DataFrame:
     """df of about that many rows, checkpointed in no more files than they fill."""
     shared_root(df.sparkSession)
-    return df.coalesce(max(1, -(-rows // ROWS_A_FILE))).checkpoint()
+    files = max(1, -(-rows // ROWS_A_FILE))
+    # A table of one file stays one partition: sums over it need no exchange.
+    return df.coalesce(files).checkpoint().coalesce(files)
 
 
 def unique_rows(docs: DataFrame, id_col: str, *cols: str, row_col: str | None = None) -> DataFrame:
@@ -99,7 +101,7 @@ def rows_among(docs: DataFrame, row: str, chosen: DataFrame, among: bool = True,
     """
     at = chosen.select(F.col(chosen.columns[0]).alias("n")).select(F.expr("n div 32768").alias("word"), (F.col("n") % 32768).alias("bit"))
     names = [free_name(docs, n) for n in ("word", "bits")]
-    maps = stored(at.groupBy(F.col("word").alias(names[0])).agg(F.expr("bitmap_construct_agg(bit)").alias(names[1])), "row-bitmaps")
+    maps = at.groupBy(F.col("word").alias(names[0])).agg(F.expr("bitmap_construct_agg(bit)").alias(names[1])).persist()  # counted, then broadcast
     if maps.limit(most + 1).count() > most:
         number = free_name(docs, "chosen")
         return docs.join(chosen.select(F.col(chosen.columns[0]).alias(number)), F.col(row) == F.col(number), "left_semi" if among else "left_anti")
@@ -120,7 +122,7 @@ def likely_in(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     names = [free_name(df, n) for n in ("word", "bits", "at")]
     at = keys.select(bit(F.col(keys.columns[0])).alias("at")).select(F.floor(F.col("at") / 32768).alias("word"), (F.col("at") % 32768).alias("bit"))
-    maps = stored(at.groupBy(F.col("word").alias(names[0])).agg(F.expr("bitmap_construct_agg(bit)").alias(names[1])), "key-filter")
+    maps = at.groupBy(F.col("word").alias(names[0])).agg(F.expr("bitmap_construct_agg(bit)").alias(names[1]))
     marked = df.withColumn(names[2], bit(key))
     found = marked.join(F.broadcast(maps), F.floor(F.col(names[2]) / 32768) == F.col(names[0]))  # 2,048 rows at most
     return found.where(_bit_set(F.col(names[1]), F.col(names[2]) % 32768)).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -81,7 +81,6 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, ro
         return cells.withColumn("weight", F.lit(0.0))
     for d in DIMS:
         sums = now.groupBy(d).agg((F.sum("tokens") / (keep * total)).alias("most"), F.first(f"{d}_target").alias("a")).where("a > 0")
-        sums = settled(sums, size)
         lift = 1.0
         for _ in range(FILLS):  # values short of supply give all; the others' targets are lifted to fill the rest
             full = F.col("most") <= F.col("a") * lift
