@@ -74,6 +74,56 @@ def test_diverse_edges_match_plain(spark, data):
     assert {(r.src, r.dst) for r in graph.diverse(cand, data[0], 6).collect()} == want
 
 
+def test_pruned_edges_match_plain(spark, data):
+    """Also where vectors are repeated, whose equal distances hide nothing."""
+    x = np.array([r.vec for r in data[0].orderBy("id").limit(60).collect()])
+    x = np.concatenate([x, x[:20]])
+    df = written(frame(spark, x))
+    cand = written(graph.knn_graph(df, 15, D))
+    rows = {}
+    for r in cand.collect():
+        rows.setdefault(r.src, []).append((r.dist, r.dst))
+    far = lambda a, b: ((x[a] - x[b]) ** 2).sum()
+    want = {(u, v) for u, found in rows.items() for d, v in found if not any(e < d and far(v, w) < d * (1 - 1e-12) for e, w in found)}
+    assert {(r.src, r.dst) for r in graph.prune(cand, df, D).collect()} == want and len(want) < cand.count()
+
+
+def test_many_queries_do_not_pass_the_driver(data, monkeypatch):
+    """Blocks of queries against parts of the base give what the relational form gives."""
+    base, q, truth = data
+    monkeypatch.setattr(exact, "DRIVER_BLOCKS", 0)
+    monkeypatch.setattr(exact, "BLOCK_VALUES", 7 * D)  # blocks of 7 queries, parts of 7 vectors
+    monkeypatch.setattr(exact, "BLOCK", 4)
+    monkeypatch.setattr(q.__class__, "toLocalIterator", None)
+    rows = lambda df: sorted((r.qid, r["rank"], r.id, round(r.dist, 9)) for r in df.collect())
+    assert rows(exact.exact_knn_blocks(q, base, 10)) == rows(truth)
+    assert exact.exact_knn_blocks(q, base.where("id < 3"), 10).count() == 45
+    assert exact.exact_knn_blocks(q, base.where("id < 0"), 10).count() == 0
+
+
+def test_walk_finds_the_same_without_broadcasts(data, edges, monkeypatch):
+    from vectorloom.operators import walk as module
+
+    base, q, _ = data
+    init = written(q.select("qid").crossJoin(entry.random_entries(base, 8, 1).select("id")))
+    rows = lambda w: sorted((r.qid, r["rank"], r.id) for r in w.result(10).collect())
+    small = walk(q, base, edges, init, 16, D)
+    monkeypatch.setattr(module, "FRONT_ROWS", 0)
+    monkeypatch.setattr(module, "BLOCK_VALUES", 0)
+    large = walk(q, base, edges, init, 16, D)
+    assert rows(small) == rows(large) and small.rounds == large.rounds
+
+
+def test_shards_are_bounded(data, tmp_path, monkeypatch):
+    from vectorloom.plans import index as module
+
+    base, q, truth = data
+    monkeypatch.setattr(module, "SHARD_ROWS", 100)
+    held = ShardedIndex.build(base, D, 1, f"{tmp_path}/s")
+    assert held.vectors.select("shard").distinct().count() == 4
+    assert mean(held.search(q, 10, 64), truth) > 0.9
+
+
 def test_entries_of_each_query(spark, data):
     base, q, _ = data
     found = entry.query_entries(q, base, 8, 3).collect()

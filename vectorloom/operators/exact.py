@@ -2,8 +2,10 @@
 
 exact_knn is the relational form: the queries are the stated small side of a
 nested-loop join, whose top-k is limited before the shuffle. exact_knn_blocks is the
-same for bulk: blocks of queries of a fixed size are broadcast, each task keeps its k
-best per query, and only those are shuffled.
+same for bulk: blocks of queries of a fixed size are sent to the tasks that scan the
+base, each keeps its k best per query, and only those are shuffled. Queries of more than
+DRIVER_BLOCKS blocks do not pass the driver: blocks of them meet parts of the base, both
+of a fixed size, in tasks of their own.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from .topk import topk
 
 #: Queries in a broadcast block, and values in it at most.
 BLOCK, BLOCK_VALUES = 4096, 1 << 22
+#: Blocks that may pass the driver, one scan of the base each.
+DRIVER_BLOCKS = 8
 
 
 def pair_distances(queries: DataFrame, base: DataFrame, dims: int, start: int = 0) -> DataFrame:
@@ -46,26 +50,49 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
+def _best(ids: np.ndarray, q: np.ndarray, base, k: int) -> pa.RecordBatch:
+    """(qid, id, dist): the k best of base, an iterable of (ids, vectors), for each query."""
+    best_d, best_i = np.full((len(q), 0), np.inf), np.zeros((len(q), 0), np.int64)
+    for own, x in base:
+        for at in range(0, len(own), 2048):
+            part, these = x[at : at + 2048], own[at : at + 2048]
+            d = np.stack([((part - v) ** 2).sum(1) for v in q]) if len(q) * part.size <= 1 << 16 else _exact_top(q, part, k)
+            all_d, all_i = np.concatenate([best_d, d], 1), np.concatenate([best_i, np.broadcast_to(these, d.shape)], 1)
+            order = np.lexsort((all_i, all_d))[:, :k]
+            best_d, best_i = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
+    n = best_i.shape[1]
+    live = np.isfinite(best_d).ravel()
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)[live]), pa.array(best_i.ravel()[live]), pa.array(best_d.ravel()[live])], ["qid", "id", "dist"])
+
+
 def _block_task(ids: np.ndarray, q: np.ndarray, k: int):
     """Keeps the k best of a task for each query of the block."""
 
     def run(batches):
-        best_d, best_i = np.full((len(q), 0), np.inf), np.zeros((len(q), 0), np.int64)
-        for b in batches:
-            own, x = np.asarray(b.column(0)), matrix(b.column(1))
-            for at in range(0, len(own), 2048):
-                part, these = x[at : at + 2048], own[at : at + 2048]
-                d = np.stack([((part - v) ** 2).sum(1) for v in q]) if len(q) * part.size <= 1 << 16 else _exact_top(q, part, k)
-                all_d, all_i = np.concatenate([best_d, d], 1), np.concatenate([best_i, np.broadcast_to(these, d.shape)], 1)
-                order = np.lexsort((all_i, all_d))[:, :k]
-                best_d, best_i = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
-        n = best_i.shape[1]
-        live = np.isfinite(best_d).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)[live]), pa.array(best_i.ravel()[live]), pa.array(best_d.ravel()[live])], ["qid", "id", "dist"])
+        yield _best(ids, q, ((np.asarray(b.column(0)), matrix(b.column(1))) for b in batches), k)
 
     return run
 
 
+def _grid(queries: DataFrame, base: DataFrame, k: int, block: int, part: int) -> DataFrame:
+    """(qid, id, dist): the k best in each part of the base, where each block of queries meets each part in one task."""
+    n_blocks, n_parts = (max(1, -(-df.count() // size)) for df, size in ((queries, block), (base, part)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    q = queries.select(number("qid", n_blocks).alias("i"), every(n_parts).alias("j"), F.lit(True).alias("asks"), F.col("qid").alias("id"), "vec")
+    b = base.select(every(n_blocks).alias("i"), number("id", n_parts).alias("j"), F.lit(False).alias("asks"), "id", "vec")
+
+    def meet(table: pa.Table) -> pa.Table:
+        asks = np.asarray(table.column("asks"))
+        ids, x = np.asarray(table.column("id")), matrix(table.column("vec").combine_chunks())
+        own, held, rows = ids[asks], x[asks], [(ids[~asks], x[~asks])]
+        found = [_best(own[at : at + BLOCK], held[at : at + BLOCK], rows, k) for at in range(0, max(1, len(own)), BLOCK)]
+        return pa.Table.from_batches(found)
+
+    vec = "array<double>"
+    return q.withColumn("vec", F.col("vec").cast(vec)).union(b.withColumn("vec", F.col("vec").cast(vec))).groupBy("i", "j").applyInArrow(meet, "qid long, id long, dist double")
+
+
 def _exact_top(q: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
     """Distances where they can be among the k least by the matrix product, recomputed by differences; inf elsewhere."""
     rough = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T
@@ -78,8 +105,13 @@ def _exact_top(q: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
 
 
 def exact_knn_blocks(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
-    """As exact_knn for any number of queries: one pass over base for each block of queries."""
+    """As exact_knn for any number of queries: one pass over base for each block of a few, else blocks of queries against parts of base."""
     parts, block = [], []
+    first = queries.select("vec").first()
+    size = max(1, BLOCK_VALUES // max(1, len(first.vec))) if first else BLOCK
+    most = DRIVER_BLOCKS * min(BLOCK, size)
+    if queries.limit(most + 1).count() > most:
+        return topk(_grid(queries, base, k, size, size), k)
 
     def flush() -> None:
         ids, q = np.array([r.qid for r in block], np.int64), np.array([r.vec for r in block], np.float64)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import accumulate
 
 import numpy as np
@@ -92,22 +93,18 @@ def _nearest_centres(vectors: DataFrame, centres: DataFrame, probes: int) -> Dat
 
 
 def prune(edges: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
-    """Drop (u, v) where some candidate w of u is nearer to u, and nearer to v than u is."""
-    pairs = edges.alias("a").join(edges.alias("b"), (F.col("a.src") == F.col("b.src")) & (F.col("b.dist") < F.col("a.dist")))
-    pairs = pairs.select(F.col("a.src").alias("src"), F.col("a.dst").alias("v"), F.col("b.dst").alias("w"), F.col("a.dist").alias("dist"))
-    v = vectors.select(F.col("id").alias("v"), F.col("vec").alias("vv"))
-    w = vectors.select(F.col("id").alias("w"), F.col("vec").alias("wv"))
-    hidden = pairs.join(v, "v").join(w, "w").where(l2sq("vv", "wv", dims) < F.col("dist")).select("src", F.col("v").alias("dst")).distinct()
-    return edges.join(hidden, ["src", "dst"], "left_anti")
+    """(src, dst, dist) without the (u, v) where some candidate w of u is nearer to u, and nearer to v than u is."""
 
+    def seen(dist: np.ndarray, x: np.ndarray) -> list[int]:
+        x, nearer = x[:, :dims], np.searchsorted(dist, dist, "left")
+        # Equal distances may be summed in another order: the slack keeps them equal.
+        return [i for i, n in enumerate(nearer) if not (((x[:n] - x[i]) ** 2).sum(1) < dist[i] * (1 - 1e-12)).any()]
 
-def diverse(edges: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
-    """At most `most` edges of each node: from the nearest on, those nearer to it than to any chosen before, then the nearest others.
+    return _of_each_node(edges, vectors, seen)
 
-    A node's candidates and their vectors meet once, in a sorted stream of node batches.
-    """
-    held = vectors.select(F.col("id").alias("dst"), F.col("vec").alias("dvec"))
-    rows = edges.select("src", "dst", "dist").join(held, "dst").select("src", "dst", "dist", "dvec").repartition("src").sortWithinPartitions("src", "dist", "dst")
+
+def diverse(edges: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
+    """At most `most` edges of each node: from the nearest on, those nearer to it than to any chosen before, then the nearest others."""
 
     def chosen(dist: np.ndarray, x: np.ndarray) -> list[int]:
         kept, rest = [], []
@@ -117,6 +114,17 @@ def diverse(edges: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
             (kept if not kept or (((x[kept] - x[i]) ** 2).sum(1) >= dist[i]).all() else rest).append(i)
         return sorted(kept + rest[: most - len(kept)])
 
+    return _ranked(_of_each_node(edges, vectors, chosen), most)
+
+
+def _of_each_node(edges: DataFrame, vectors: DataFrame, chosen: Callable[[np.ndarray, np.ndarray], list[int]]) -> DataFrame:
+    """(src, dst, dist) at the places that chosen(distances, vectors) names, of each node's edges from the nearest on.
+
+    A node's candidates and their vectors meet once, in a sorted stream of node batches.
+    """
+    held = vectors.select(F.col("id").alias("dst"), F.col("vec").alias("dvec"))
+    rows = edges.select("src", "dst", "dist").join(held, "dst").select("src", "dst", "dist", "dvec").repartition("src").sortWithinPartitions("src", "dist", "dst")
+
     def run(batches):
         rest = None
         for b in batches:
@@ -136,7 +144,7 @@ def diverse(edges: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
         at = [lo + i for lo, hi in zip(starts, [*starts[1:], len(src)], strict=True) for i in chosen(dist[lo:hi], x[lo:hi])]
         yield from table.select(["src", "dst", "dist"]).take(pa.array(at)).to_batches()
 
-    return _ranked(rows.mapInArrow(run, "src long, dst long, dist double"), most)
+    return rows.mapInArrow(run, "src long, dst long, dist double")
 
 
 def nsw_graph(vectors: DataFrame, n_neighbors: int, dims: int, ef: int | None = None, mode: str = "exact") -> DataFrame:

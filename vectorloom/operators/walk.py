@@ -3,7 +3,8 @@
 State: pool (qid, id, dist, x), the ef best of each query with x for expanded rows,
 and visited (qid, id). A round joins the unexpanded pool to the edges, removes what
 was visited, fetches vectors of the rest only, and takes the ef best again. Both
-tables are written every second round, so plans stay short.
+tables are written, so plans stay short. A frontier of at most FRONT_ROWS rows, which are
+counted, is broadcast: edges and vectors are scanned where they lie and not shuffled.
 """
 
 from __future__ import annotations
@@ -16,8 +17,12 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import l2sq
 from ..plans.scratch import written
+from .exact import BLOCK_VALUES
 from .topk import topk
 
+#: Rows (qid, id) of a frontier that may be broadcast: some 16 MB.
+FRONT_ROWS = 1 << 18
+
 
 @dataclass
 class Walk:
@@ -29,6 +34,11 @@ class Walk:
         return topk(self.pool.select("qid", "id", "dist"), k)
 
 
+def _small(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """df, marked for broadcast if its counted rows are not too many."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def with_distance(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, dims: int, start: int = 0) -> DataFrame:
     """(qid, id) -> (qid, id, dist); the queries of a search are few beside its vectors."""
     q = queries.select("qid", F.col("vec").alias("qv"))
@@ -40,23 +50,26 @@ def walk(queries: DataFrame, vectors: DataFrame, edges: DataFrame, init: DataFra
     """Search from init (qid, id). visited: pairs not to be met again. rounds: at most so many; None goes on until a round finds nothing. stop: end there in any case."""
     if rounds is None and not stop:
         raise ValueError("a search without a number of rounds must stop by itself")
-    init = init.select("qid", "id").distinct()
-    pool = topk(with_distance(init, queries, vectors, dims), ef).drop("rank").withColumn("x", F.lit(False))
+    init = written(init.select("qid", "id").distinct())
+    asked = _small(queries, queries.count(), BLOCK_VALUES // dims)
+    near = lambda pairs, n: with_distance(_small(pairs, n, FRONT_ROWS), asked, vectors, dims)
+    pool = written(topk(near(init, init.count()), ef).drop("rank").withColumn("x", F.lit(False)))
     seen = init if visited is None else init.union(visited.select("qid", "id")).distinct()
     links = edges.select("src", "dst")
     done = 0
     for r in count() if rounds is None else range(rounds):
-        front = pool.where(~F.col("x"))
-        fresh = front.join(links, F.col("id") == F.col("src")).select("qid", F.col("dst").alias("id")).distinct().join(seen, ["qid", "id"], "left_anti")
-        fresh = written(fresh)
-        if stop and not fresh.take(1):
+        front = pool.where(~F.col("x")).select("qid", "id")
+        met = _small(front, front.count(), FRONT_ROWS).join(links, F.col("id") == F.col("src")).select("qid", F.col("dst").alias("id")).distinct()
+        fresh = written(met.join(seen, ["qid", "id"], "left_anti"))
+        n = fresh.count()
+        if stop and not n:
             break
         done += 1
-        new = with_distance(fresh, queries, vectors, dims).withColumn("x", F.lit(False))
-        pool = topk(pool.withColumn("x", F.lit(True)).unionByName(new), ef).drop("rank")
+        new = near(fresh, n).withColumn("x", F.lit(False))
+        pool = written(topk(pool.withColumn("x", F.lit(True)).unionByName(new), ef).drop("rank"))
         seen = seen.union(fresh)
         if r % 2:
-            pool, seen = written(pool), written(seen)
+            seen = written(seen)
     return Walk(pool, seen, done)
 
 

@@ -18,6 +18,8 @@ from .scratch import written
 
 #: Candidates of a node when an index is built.
 EF_BUILD = 80
+#: Vectors of a shard, which one task compares with each other.
+SHARD_ROWS = 50_000
 _TABLES = ("vectors", "rotation", "edges", "sample", "sub_edges", "routers", "entries")
 
 
@@ -173,7 +175,9 @@ class ShardedIndex:
 
     @classmethod
     def build(cls, vectors: DataFrame, dims: int, shards: int, path: str, degree: int = 32) -> ShardedIndex:
+        """At least `shards` shards, and so many that none holds much over SHARD_ROWS vectors."""
         spark = vectors.sparkSession
+        shards = max(shards, -(-vectors.count() // SHARD_ROWS))
         vectors.select("id", F.col("vec").cast("array<float>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")).write.parquet(f"{path}/vectors")
         held = spark.read.parquet(f"{path}/vectors")
 
