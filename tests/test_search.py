@@ -52,6 +52,22 @@ def test_cluster_graph_agrees_with_exact(data, part_rows):
         graph.knn_graph(data[0], 8, D, mode="guess")
 
 
+@pytest.mark.parametrize("part_rows", [4096, 16])
+def test_clusters_reach_the_recall_asked_for(spark, data, part_rows):
+    """Without a number of probes, however small the clusters are; all centres are exact, an empty table has no edges."""
+    whole = {(r.src, r.dst) for r in graph.knn_graph(data[0], 8, D).collect()}
+    shares = []
+    for recall in (0.5, 0.95, 1.0):
+        found = {(r.src, r.dst) for r in graph.cluster_knn_graph(data[0], 8, D, per_cluster=20, part_rows=part_rows, recall=recall).collect()}
+        shares.append(len(whole & found) / len(whole))
+    assert shares[0] >= 0.45 and shares[1] >= 0.92 and shares[2] >= 0.99
+    assert shares[0] < shares[1]
+    few = {(r.src, r.dst) for r in graph.cluster_knn_graph(data[0], 8, D, per_cluster=20, probes=1).collect()}
+    assert len(whole & few) / len(whole) < 0.5  # so one probe would not have been enough
+    assert graph.cluster_knn_graph(data[0].limit(0), 8, D).count() == 0
+    assert graph.knn_graph(data[0], 8, D, mode="clusters").count() == 400 * 8
+
+
 def test_long_paths_are_reached(spark):
     edges = written(spark.createDataFrame([(i, i + 1) for i in range(67)] + [(200, 201)], "src long, dst long").coalesce(1))
     nodes = written(spark.createDataFrame([(i,) for i in [*range(68), 200, 201]], "id long").coalesce(1))

@@ -17,6 +17,10 @@ from .topk import topk
 
 #: Vectors of a cluster part that one task compares.
 PART_ROWS = 4096
+#: Bytes of the centres that every task holds, and distances to them that it computes at once.
+CENTRE_BYTES, CENTRE_VALUES = 1 << 28, 1 << 22
+#: Vectors whose true neighbours decide how many centres are probed.
+PROBE_SAMPLE = 256
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
@@ -24,7 +28,7 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def knn_graph(vectors: DataFrame, k: int, dims: int, mode: str = "exact") -> DataFrame:
-    """Each vector's k nearest others. mode: exact at any size, which costs the square of it, or clusters."""
+    """Each vector's k nearest others. mode: exact at any size, which costs the square of it, or clusters (approximate, to a recall measured on a sample)."""
     if mode == "clusters":
         return cluster_knn_graph(vectors, k, dims)
     if mode != "exact":
@@ -35,15 +39,20 @@ def knn_graph(vectors: DataFrame, k: int, dims: int, mode: str = "exact") -> Dat
     return _ranked(found.withColumnsRenamed({"qid": "src", "id": "dst"}), k)
 
 
-def cluster_knn_graph(vectors: DataFrame, k: int, dims: int, per_cluster: int = 1024, probes: int = 3, seed: int = 0, part_rows: int = PART_ROWS) -> DataFrame:
+def cluster_knn_graph(vectors: DataFrame, k: int, dims: int, per_cluster: int = 1024, probes: int | None = None, seed: int = 0, part_rows: int = PART_ROWS, recall: float = 0.95) -> DataFrame:
     """Approximate neighbours for many vectors: each goes to its `probes` nearest of sampled centres and is compared with all others there.
 
-    The centres are at most 4 * sqrt(n) rows. A cluster of over part_rows vectors is dealt
-    into parts, and each pair of parts is compared by a task of its own, so no neighbour
-    in a cluster is lost, however hot it is.
+    probes: None takes the fewest that reach `recall` on a sample (probes_for); up to all
+    centres, which is exact. The centres are at most 4 * sqrt(n) rows and CENTRE_BYTES. A
+    cluster of over part_rows vectors is dealt into parts, and each pair of parts is compared
+    by a task of its own, so no neighbour in a cluster is lost, however hot it is.
     """
     n = vectors.count()
-    centres = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(probes, min(n // per_cluster, int(n**0.5) * 4))).select(F.col("id").alias("id"), "vec")
+    most = max(1, min(n // per_cluster, int(n**0.5) * 4, CENTRE_BYTES // (8 * dims)))
+    rows = vectors.select("id", "vec").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(probes or 1, most)).collect()
+    centres = vectors.sparkSession.sparkContext.broadcast((np.array([r.id for r in rows], np.int64), np.array([r.vec for r in rows], np.float64)))
+    if probes is None:
+        probes = probes_for(vectors, centres, k, recall, seed)
     near = _nearest_centres(vectors, centres, probes)
     sizes = near.groupBy("centre").count().select("centre", F.ceil(F.col("count") / part_rows).alias("parts"))
     dealt = near.join(vectors, "id").join(sizes, "centre").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
@@ -74,24 +83,51 @@ def cluster_knn_graph(vectors: DataFrame, k: int, dims: int, per_cluster: int =
     return _ranked(found.where("src <> dst").groupBy("src", "dst").agg(F.min("dist").alias("dist")), k)
 
 
-def _nearest_centres(vectors: DataFrame, centres: DataFrame, probes: int) -> DataFrame:
-    """(id, centre) for the nearest centres of each vector; centres are at most 4 * sqrt(n) rows."""
-    rows = centres.collect()
-    shared = vectors.sparkSession.sparkContext.broadcast((np.array([r.id for r in rows], np.int64), np.array([r.vec for r in rows], np.float64)))
+def _to_centres(x: np.ndarray, c: np.ndarray):
+    """Squared distances to the centres, less each row's own square, in lots of rows that fit in memory: (rows, distances)."""
+    sq, lot = (c * c).sum(1)[None, :], max(1, CENTRE_VALUES // max(1, len(c)))
+    for at in range(0, len(x), lot):
+        yield slice(at, at + lot), sq - 2 * x[at : at + lot] @ c.T
+
+
+def _nearest_centres(vectors: DataFrame, centres, probes: int) -> DataFrame:
+    """(id, centre) for the nearest centres of each vector; centres: a broadcast (ids, vectors)."""
 
     def run(batches):
-        ids, c = shared.value
+        ids, c = centres.value
+        m = min(probes, len(ids))
         for b in batches:
-            if b.num_rows:
-                x = matrix(b.column(1))
-                d = (c * c).sum(1)[None, :] - 2 * x @ c.T
-                m = min(probes, len(ids))
+            own = np.asarray(b.column(0))
+            for rows, d in _to_centres(matrix(b.column(1)), c):
                 top = np.argpartition(d, m - 1, axis=1)[:, :m]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column(0)), m)), pa.array(ids[top.ravel()])], ["id", "centre"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[rows], m)), pa.array(ids[top.ravel()])], ["id", "centre"])
 
     return vectors.select("id", "vec").mapInArrow(run, "id long, centre long")
 
 
+def probes_for(vectors: DataFrame, centres, k: int, recall: float, seed: int = 0) -> int:
+    """The fewest probes by which a share `recall` of the true k nearest of PROBE_SAMPLE vectors is found; at least 1.
+
+    Two vectors are compared if a centre is among the probes nearest of both, and a true
+    neighbour that is compared is kept, so the recall of any number of probes follows from
+    the ranks of the centres. The true neighbours take one scan of all vectors.
+    """
+    asked = written(vectors.orderBy(portable_hash("id", seed), "id").limit(PROBE_SAMPLE).select(F.col("id").alias("qid"), F.col("vec").alias("qv")))
+    true = topk(exact_knn_blocks(asked.select("qid", F.col("qv").alias("vec")), vectors, k + 1).where("qid <> id").drop("rank"), k)
+    held = vectors.select("id", "vec").join(F.broadcast(true.select("qid", "id")), "id")  # PROBE_SAMPLE * k rows
+    pairs = held.join(F.broadcast(asked), "qid").select("qv", "vec")
+
+    def least(batches):
+        _, c = centres.value
+        place = lambda d: d.argsort(1, kind="stable").argsort(1, kind="stable")
+        for b in batches:
+            for (_, d), (_, e) in zip(_to_centres(matrix(b.column(0)), c), _to_centres(matrix(b.column(1)), c), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(1 + np.maximum(place(d), place(e)).min(1))], ["probes"])
+
+    needed = pairs.mapInArrow(least, "probes long").agg(F.expr(f"percentile_disc({recall}) WITHIN GROUP (ORDER BY probes)").alias("p")).first().p
+    return int(needed or 1)
+
+
 def prune(edges: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
     """(src, dst, dist) without the (u, v) where some candidate w of u is nearer to u, and nearer to v than u is."""
 

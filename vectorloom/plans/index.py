@@ -103,12 +103,14 @@ class StagedIndex:
             df.write.parquet(f"{path}/{name}")
         spark.createDataFrame([tuple(asdict(self.config).values())], "d_model int, d_principle int, sample_ratio double, graph_method string, entry_method string, seed long").coalesce(1).write.parquet(f"{path}/config")
 
-    def rotated(self, queries: DataFrame) -> DataFrame:
-        d = self.config.d_model
-        v = np.zeros((d, d))
+    def rotation(self) -> np.ndarray:
+        v = np.zeros((self.config.d_model,) * 2)
         for r in self.tables["rotation"].collect():  # d x d
             v[r.i, r.j] = r.v
-        return linalg.rotate(queries.select("qid", checked("vec", d).alias("vec")), v)
+        return v
+
+    def rotated(self, queries: DataFrame) -> DataFrame:
+        return linalg.rotate(queries.select("qid", checked("vec", self.config.d_model).alias("vec")), self.rotation())
 
     def _entries(self, queries: DataFrame) -> DataFrame:
         t, c = self.tables, self.config

@@ -11,6 +11,7 @@ from .functions.vectors import l2sq, prefix
 from .operators import entry, exact, graph, linalg, topk
 from .operators.walk import staged_walk, walk, walk_stats
 from .plans import index as plans
+from .plans import sql
 from .plans.scratch import new_path, written
 from .sources import vector_files as files
 
@@ -329,6 +330,14 @@ def routed_index(spark, sf_dir):
     return _ids(plans.StagedIndex.build(b, config, new_path(spark, "index")).search(q, K, b.count()))
 
 
+def sql_search(spark, sf_dir):
+    """The table function of an index, asked for all candidates."""
+    q, b = _tables(spark, sf_dir)
+    sql.register(spark, "nearest_rows", plans.StagedIndex.build(b, _config(), new_path(spark, "index")))
+    q.createOrReplaceTempView("nearest_rows_asked")
+    return _ids(spark.sql(f"SELECT * FROM nearest_rows(TABLE(nearest_rows_asked), {K}, {b.count()})"))
+
+
 def fbin_source(spark, sf_dir):
     _, b = _tables(spark, sf_dir)
     path = f"{new_path(spark, 'fbin')}/base.fbin"
@@ -365,7 +374,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         entry_random, entry_per_query, router_init, entry_router_leaves, entry_router_assign, entry_routed_distances,
         graph_knn, graph_nsw, graph_nsg, graph_nsg_reach, graph_degree_stats, khop_expand, subgraph_sample, subgraph_build,
         walk_single, walk_subgraph, walk_refine, walk_exhaustive, staged_search, staged_stats, proto_nsw, proto_nsw_drawn, proto_sampled, proto_svd, proto_oracle,
-        index_roundtrip, arrow_walk, sharded_search, routed_index, fbin_source, npy_source, fuzz_source, recall_curve,
+        index_roundtrip, sql_search, arrow_walk, sharded_search, routed_index, fbin_source, npy_source, fuzz_source, recall_curve,
     )
 }
 
@@ -532,6 +541,7 @@ SQL: dict[str, str] = {
     "proto_svd": _with([*_G, _entries("e", EF), *_walk("w", "e", "g", 4 * EF, 20, PREFIX), *_walk("y", "w_p", "g", EF, 20)], _TOP.format("y_p")),
     "proto_oracle": _with([*_G, _knn("t", EF), f"e AS (SELECT DISTINCT t.qid, t.id FROM t JOIN range({round(0.25 * EF)}) r(draw) ON t.rank = 1 + (t.qid * 7919 + r.draw * 104729 + {SEED}) % 10007 % {EF})", *_walk("w", "e", "g", EF, 20)], _TOP.format("w_p")),
     "index_roundtrip": _with([Q, B, _knn("t", K)], "SELECT qid, rank, id FROM t"),
+    "sql_search": _with([Q, B, _knn("t", K)], "SELECT qid, rank, id FROM t"),
     "routed_index": _with([Q, B, _knn("t", K)], "SELECT qid, rank, id FROM t"),
     "sharded_search": _KNN,
     "arrow_walk": "SELECT true AS arrow, true AS relational",
