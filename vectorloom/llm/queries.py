@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .language import identify
 from .license_scan import license_scan, license_sql
 from .media import media_columns
 from .mixing import mix, mixing_sql
@@ -68,6 +69,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path(), size=4096)
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_license": op2_license,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_media": op9_media,
     "op10_packing": op10_packing,
+    "op11_language": op11_language,
 }
 
 #: Twenty bits, five hexadecimal digits, are four signs of base 32.
