@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import collocations, collocations_sql
+from .divergence import divergence, divergence_sql
 from .exact_dedup import exact_dedup
 from .language import identify
 from .license_scan import license_scan, license_sql
@@ -73,6 +75,14 @@ def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_license": op2_license,
@@ -85,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media": op9_media,
     "op10_packing": op10_packing,
     "op11_language": op11_language,
+    "op12_collocations": op12_collocations,
+    "op13_divergence": op13_divergence,
 }
 
 #: Twenty bits, five hexadecimal digits, are four signs of base 32.
@@ -103,7 +115,8 @@ SQL: dict[str, str] = {
     "op2_license": license_sql(),
     "op7_warc": _WARC_SQL,
     "op8_mixing": mixing_sql(),
-
+    "op12_collocations": collocations_sql(),
+    "op13_divergence": divergence_sql(),
     "op3_exact_dedup": r"""
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS norm, length(coalesce(text, '')) AS n FROM documents)
         SELECT doc_id,
