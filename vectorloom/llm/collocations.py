@@ -332,14 +332,13 @@ def collocations_sql(min_count: int = MIN_COUNT, top: int = TOP, depth: int = DE
     f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS n FROM runs GROUP BY ALL),
     totals AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
     c AS MATERIALIZED (SELECT * FROM f WHERE k >= 2 AND n >= {min_count}),
+    parts AS MATERIALIZED (SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS lp, array_to_string(w[cut + 1:], ' ') AS rp FROM (SELECT lang, phrase, n AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM c)),
     cuts AS (
-      SELECT c.lang, c.phrase, c.n AS a, x.cut, lf.n AS l, rf.n AS r, t.n, ((1000::HUGEINT * c.n * t.n) // (lf.n::HUGEINT * rf.n))::BIGINT AS score
-      FROM c JOIN totals t USING (lang) JOIN range(1, {depth}) x(cut) ON x.cut < c.k
-      JOIN f lf ON lf.lang = c.lang AND lf.phrase = array_to_string(string_split(c.phrase, ' ')[1:x.cut], ' ')
-      JOIN f rf ON rf.lang = c.lang AND rf.phrase = array_to_string(string_split(c.phrase, ' ')[x.cut + 1:], ' ')),
+      SELECT p.lang, p.phrase, a, cut, lf.n AS l, rf.n AS r, t.n, ((1000::HUGEINT * a * t.n) // (lf.n::HUGEINT * rf.n))::BIGINT AS score
+      FROM parts p JOIN f lf ON lf.lang = p.lang AND lf.phrase = p.lp JOIN f rf ON rf.lang = p.lang AND rf.phrase = p.rp JOIN totals t ON t.lang = p.lang),
     best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
-    inner_phrases AS (
-      SELECT DISTINCT c.lang, array_to_string(string_split(c.phrase, ' ')[s:s + m - 1], ' ') AS phrase, c.n
-      FROM c JOIN range(2, {depth}) y(m) ON y.m < c.k JOIN range(1, {depth}) z(s) ON z.s + y.m - 1 <= c.k),
-    kept AS (SELECT b.* FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner_phrases i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.n >= 100 * b.a))
+    shorter AS (SELECT lang, n, w, k, unnest(range(2, k)) AS m FROM (SELECT lang, n, k, string_split(phrase, ' ') AS w FROM c)),
+    inside AS (SELECT lang, n, array_to_string(w[s:s + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, k - m + 2)) AS s FROM shorter)),
+    gone AS (SELECT DISTINCT c.lang, c.phrase FROM inside i JOIN c ON c.lang = i.lang AND c.phrase = i.phrase WHERE 100 * i.n >= 100 * c.n),
+    kept AS (SELECT * FROM best ANTI JOIN gone USING (lang, phrase))
     SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= {top}"""
