@@ -41,16 +41,15 @@ _LETTERS = bytes(b | 32 if b in _UPPER else b if b in _UPPER.lower() or b > 127
 _VECTOR = "lang string, slice int, block int, source string, total long, terms long, size long, ids binary, counts binary"
 
 
-def _counter(text: bytes) -> Counter:
-    """Occurrences of the text's terms; a long text is split in slices that end between terms."""
-    text, at, out = text.translate(_LETTERS), 0, Counter()
+def _terms(text: bytes):
+    """The text's terms in lists; a long text is split in slices that end between terms."""
+    text, at = text.translate(_LETTERS), 0
     while at < len(text):
         end = at + SLICE
         while end < len(text) and text[end] != 32:
             end += 1
-        out.update(text[at:end].split())
+        yield text[at:end].split()
         at = end
-    return out
 
 
 def term_counts(rows: DataFrame, held: int = HELD) -> DataFrame:
@@ -69,9 +68,11 @@ def term_counts(rows: DataFrame, held: int = HELD) -> DataFrame:
         for b in batches:
             for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 n, docs = groups.setdefault((lang, source), (Counter(), Counter()))
-                found, before = _counter(text.as_py()), len(n)
-                n.update(found)
-                docs.update(found.keys())
+                before, own = len(n), set()
+                for found in _terms(text.as_py()):
+                    n.update(found)
+                    own.update(found)
+                docs.update(own)
                 size += len(n) - before
                 if size >= held:
                     yield from handed()
