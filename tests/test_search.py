@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from vectorloom.operators import entry, exact, graph, topk
 from vectorloom.operators.arrow_walk import Adjacency, LocalIndex, Marks, beam
 from vectorloom.operators.walk import walk
-from vectorloom.plans.index import Config, ShardedIndex, StagedIndex, oracle_search, prefix_then_full, single_search
+from vectorloom.plans.index import Config, StagedIndex, oracle_search, prefix_then_full, single_search
 from vectorloom.plans.scratch import written
+from vectorloom.plans.sharded import ShardedIndex
 
 D = 12
+CONFIG = Config(D, 6, 0.25, "nsw32", "random16", 1)
 
 
 def frame(spark, x, key="id", first=0):
@@ -131,12 +133,12 @@ def test_walk_finds_the_same_without_broadcasts(data, edges, monkeypatch):
 
 
 def test_shards_are_bounded(data, tmp_path, monkeypatch):
-    from vectorloom.plans import index as module
+    from vectorloom.plans import sharded as module
 
     base, q, truth = data
-    monkeypatch.setattr(module, "SHARD_ROWS", 100)
-    held = ShardedIndex.build(base, D, 1, f"{tmp_path}/s")
-    assert held.vectors.select("shard").distinct().count() == 4
+    monkeypatch.setattr(module, "SHARD_ROWS", 64)
+    held = ShardedIndex.build(base, CONFIG, 1, f"{tmp_path}/s", moves=0)
+    assert held.shards.count() >= 7 and held.shards.agg(F.max("n")).first()[0] <= 64 * 1.5 and held.shards.agg(F.sum("n")).first()[0] == 400
     assert mean(held.search(q, 10, 64), truth) > 0.9
 
 
@@ -168,8 +170,10 @@ def test_nsg_reaches_all_from_two_parts(spark):
     bare = graph.nsg_graph(df, 6, 3, ef=10, repair=False)
     start = graph.medoid(df, 3)
     assert graph.unreached(written(bare), df.select("id"), start).count() > 0
-    fixed = written(graph.nsg_graph(df, 6, 3, ef=10))
-    assert graph.unreached(fixed, df.select("id"), start).count() == 0
+    for mode in ("exact", "insert"):
+        fixed = written(graph.nsg_graph(df, 6, 3, ef=10, mode=mode))
+        assert graph.unreached(fixed, df.select("id"), start).count() == 0
+        assert graph.degree_stats(fixed).first().max_degree <= 6
 
 
 def test_build_graph_rejects_unknown(data):
@@ -251,15 +255,33 @@ def test_whole_sample_and_width(data, tmp_path):
     assert mean(held.search(q, 10, 64), truth) > 0.9
 
 
-def test_sharded(data, tmp_path):
+def test_sharded(spark, data, tmp_path):
     base, q, truth = data
-    assert mean(ShardedIndex.build(base, D, 3, f"{tmp_path}/s").search(q, 10, 64), truth) > 0.9
+    held = ShardedIndex.build(base, CONFIG, 5, f"{tmp_path}/s")
+    assert mean(held.search(q, 10, 64), truth) > 0.95
+    again = ShardedIndex.load(spark, f"{tmp_path}/s")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(again.search(q, 10, 32)) == rows(held.search(q, 10, 32))
+    few = [mean(held.search(q, 10, 64, probes=p), truth) for p in (1, 3, 5)]
+    assert few[0] < few[1] <= few[2] and few[1] > 0.7
+    assert held.search(q.where("false"), 3, 8).collect() == []
+
+
+def test_a_search_of_shards_shuffles_no_vectors(data, tmp_path):
+    base, q, _ = data
+    held = ShardedIndex.build(base, CONFIG, 3, f"{tmp_path}/s")
+    plan = held.search(q, 10, 32, probes=2)._jdf.queryExecution().executedPlan().toString()
+    below = plan.split("Exchange hashpartitioning(qid")
+    assert len(below) == 2 and "Exchange" not in below[1] and "MapInArrow" in below[1]
 
 
 def test_sharded_searches_more_queries_than_a_block(data, tmp_path, monkeypatch):
+    from vectorloom.plans import sharded as module
+
     base, q, truth = data
-    monkeypatch.setattr(exact, "BLOCK", 6)
-    found = ShardedIndex.build(base, D, 3, f"{tmp_path}/s").search(q, 10, 64)
+    held = ShardedIndex.build(base, CONFIG, 3, f"{tmp_path}/s")
+    monkeypatch.setattr(module, "QUERY_VALUES", 6 * D)
+    found = held.search(q, 10, 64)
     assert found.count() == 150 and mean(found, truth) > 0.9
 
 

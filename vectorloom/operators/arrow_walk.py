@@ -22,6 +22,7 @@ from .exact import matrix
 MAX_BYTES = 1 << 30
 _VISITED = 1 << 26  # bytes of visited marks of a batch
 WIDTH = 4
+CHUNK = 256  # queries that advance together
 
 
 @dataclass
@@ -67,10 +68,18 @@ def _distances(q: np.ndarray, x: np.ndarray, r: np.ndarray, c: np.ndarray) -> np
     return np.einsum("ij,ij->i", diff, diff)
 
 
-def beam(q: np.ndarray, x: np.ndarray, graph: Adjacency, pool_i: np.ndarray, ef: int, visited: Marks, steps: int | None = None, width: int = WIDTH):
+class Counts:
+    """What a search did for each query of a batch: steps, nodes visited (entries included) and distances computed for new nodes."""
+
+    def __init__(self, rows: int):
+        self.steps, self.visited, self.computed = (np.zeros(rows, np.int64) for _ in range(3))
+
+
+def beam(q: np.ndarray, x: np.ndarray, graph: Adjacency, pool_i: np.ndarray, ef: int, visited: Marks, steps: int | None = None, width: int = WIDTH, counts: Counts | None = None, trace: list | None = None):
     """Advance a batch: q (B, d), pool_i (B, p) start positions or -1. Returns (ids, distances), each (B, ef), best first, and the steps taken.
 
     Equal distances stay in the order in which they were met. steps: at most so many; None goes on until nothing is open.
+    trace: gets (rows, nodes, distances) of all that is visited.
     """
     B = len(q)
     ids, d, done = np.full((B, ef), -1, np.int32), np.full((B, ef), np.inf, x.dtype), np.ones((B, ef), bool)
@@ -85,6 +94,10 @@ def beam(q: np.ndarray, x: np.ndarray, graph: Adjacency, pool_i: np.ndarray, ef:
     r, c = np.nonzero(pool_i >= 0)
     start = np.full(pool_i.shape, np.inf, x.dtype)
     start[r, c] = _distances(q, x, r, pool_i[r, c])
+    if counts is not None:
+        counts.visited += (pool_i >= 0).sum(1)
+    if trace is not None:
+        trace.append((r, pool_i[r, c], start[r, c]))
     visited.put(r, pool_i[r, c])
     merge(np.arange(B), np.where(np.isfinite(start), pool_i, -1).astype(np.int32), start)
     taken = 0
@@ -95,6 +108,8 @@ def beam(q: np.ndarray, x: np.ndarray, graph: Adjacency, pool_i: np.ndarray, ef:
         if not len(r):
             break
         taken += 1
+        if counts is not None:
+            counts.steps += pick.any(1)
         done[pick] = True
         near = graph.rows[ids[r, c]]
         row, node = np.repeat(r, near.shape[1]), near.ravel()
@@ -109,6 +124,12 @@ def beam(q: np.ndarray, x: np.ndarray, graph: Adjacency, pool_i: np.ndarray, ef:
             _, once = np.unique(row.astype(np.int64) * len(x) + node, return_index=True)
             row, node = row[once], node[once]
         own = _distances(q, x, row, node)
+        if counts is not None:
+            met = np.bincount(row, minlength=B)
+            counts.visited += met
+            counts.computed += met
+        if trace is not None:
+            trace.append((row, node, own))
         good = own < d[row, -1]
         row, node, own = row[good], node[good], own[good]
         if not len(row):
@@ -122,12 +143,12 @@ def beam(q: np.ndarray, x: np.ndarray, graph: Adjacency, pool_i: np.ndarray, ef:
     return ids, d, taken
 
 
-def staged_beam(q, x, xp, graph, sub, start, ef, marks: Marks, steps=None, refine=2):
-    """Prefix search on the subgraph (xp: the first coordinates), `refine` steps at full width on it, then the full graph."""
-    one, _, _ = beam(np.ascontiguousarray(q[:, : xp.shape[1]]), xp, sub, start, 4 * ef, marks.fresh(), steps)
+def staged_beam(q, x, xp, graph, sub, start, ef, marks: Marks, steps=None, refine=2, counts=(None, None, None)):
+    """Prefix search on the subgraph (xp: the first coordinates), `refine` steps at full width on it, then the full graph. counts: of the three."""
+    one, _, _ = beam(np.ascontiguousarray(q[:, : xp.shape[1]]), xp, sub, start, 4 * ef, marks.fresh(), steps, counts=counts[0])
     visited = marks.fresh()
-    two, _, _ = beam(q, x, sub, one[:, :ef], ef, visited, refine)
-    return beam(q, x, graph, two, ef, visited, steps)[:2]
+    two, _, _ = beam(q, x, sub, one[:, :ef], ef, visited, refine, counts=counts[1])
+    return beam(q, x, graph, two, ef, visited, steps, counts=counts[2])[:2]
 
 
 @dataclass
@@ -150,15 +171,23 @@ class LocalIndex:
     def __getstate__(self):
         return {**self.__dict__, "_marks": None}
 
-    def search(self, q: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, squared distances), each (B, k), ties by id; -1 where fewer are found."""
+    @property
+    def stages(self) -> int:
+        return 1 if self.sub is None else 3
+
+    def search(self, q: np.ndarray, k: int, ef: int, steps: int | None = None, chunk: int = CHUNK, counts: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, squared distances), each (B, k), ties by id; -1 where fewer are found.
+
+        steps: at most so many of a stage. chunk: queries that advance together. counts: gets (steps, visited, computed) of each query, an array (stages, B, 3).
+        """
         if ef < k:
             raise ValueError("ef must be at least k")
         if q.shape[1:] != self.x.shape[1:] and len(q):
             raise ValueError(f"queries have {q.shape[1]} coordinates, the index has {self.x.shape[1]}")
         out_i, out_d = np.full((len(q), k), -1, np.int64), np.full((len(q), k), np.inf)
-        lot = max(1, min(256, _VISITED // max(1, len(self.x))))
-        if self._marks is None:
+        lot = max(1, min(chunk, _VISITED // max(1, len(self.x))))
+        done = []
+        if self._marks is None or len(self._marks.marks) < lot:
             self._marks = Marks(lot, len(self.x))
         for at in range(0, len(q), lot):
             exact = q[at : at + lot]
@@ -167,21 +196,26 @@ class LocalIndex:
             if self.routers is not None:
                 p = part[:, : self.routers.shape[1]]
                 start = self.entries[((p[:, None, :] - self.routers[None]) ** 2).sum(2).argmin(1)]
+            own = [Counts(len(part)) if counts is not None else None for _ in range(self.stages)]
             if self.sub is not None:
-                i, _ = staged_beam(part, self.x, self.xp, self.graph, self.sub, start, ef, self._marks)
+                i, _ = staged_beam(part, self.x, self.xp, self.graph, self.sub, start, ef, self._marks, steps, counts=own)
             else:
-                i, _, _ = beam(part, self.x, self.graph, start, ef, self._marks.fresh())
+                i, _, _ = beam(part, self.x, self.graph, start, ef, self._marks.fresh(), steps, counts=own[0])
+            if counts is not None:
+                done.append(np.stack([np.stack([c.steps, c.visited, c.computed], 1) for c in own]))
             d = np.where(i >= 0, ((self.x[i].astype(np.float64) - exact[:, None, :]) ** 2).sum(2), np.inf) if ef * len(part) * q.shape[1] <= 1 << 24 else np.stack([np.where(row >= 0, ((self.x[row].astype(np.float64) - v) ** 2).sum(1), np.inf) for row, v in zip(i, exact, strict=True)])
             found = np.where(i >= 0, self.ids[i], np.iinfo(np.int64).max)
             order = np.lexsort((found, d))[:, :k]
             m, d = order.shape[1], np.take_along_axis(d, order, 1)
             out_i[at : at + lot, :m] = np.where(np.isfinite(d), np.take_along_axis(found, order, 1), -1)
             out_d[at : at + lot, :m] = d
+        if counts is not None:
+            counts.append(np.concatenate(done, 1) if done else np.zeros((self.stages, 0, 3), np.int64))
         return out_i, out_d
 
 
 def fits(vectors: DataFrame, dims: int, degree: int) -> bool:
-    """Whether vectors and two graphs of that degree stay below MAX_BYTES."""
+    """Whether vectors and two graphs, whose rows are padded to that degree, stay below MAX_BYTES."""
     most = MAX_BYTES // (8 * dims + 8 * degree + 8)
     return vectors.limit(most + 1).count() <= most
 
@@ -202,16 +236,31 @@ def gather(vectors: DataFrame, edges: DataFrame, entries: DataFrame, dims: int,
     return LocalIndex(ids, x, adjacency(edges), None if sub_edges is None else adjacency(sub_edges), d_principle, wide.reshape(count, -1), r)
 
 
-def arrow_search(queries: DataFrame, index, k: int, ef: int) -> DataFrame:
+def arrow_search(queries: DataFrame, index, k: int, ef: int, steps: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """(qid, rank, id, dist) by the broadcast LocalIndex; index is its Spark broadcast."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            i, d = index.value.search(matrix(b.column(1)), k, ef)
+            i, d = index.value.search(matrix(b.column(1)), k, ef, steps, chunk)
             live = (i >= 0).ravel()
             cols = [np.repeat(np.asarray(b.column(0)), k), np.tile(np.arange(1, k + 1, dtype=np.int32), b.num_rows), i.ravel(), d.ravel()]
             yield pa.RecordBatch.from_arrays([pa.array(c[live]) for c in cols], ["qid", "rank", "id", "dist"])
 
     return queries.select("qid", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "qid long, rank int, id long, dist double")
+
+
+def arrow_counts(queries: DataFrame, index, ef: int, steps: int | None = None) -> DataFrame:
+    """(qid, stage, n_steps, n_visited, n_computed) of the same search."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            index.value.search(matrix(b.column(1)), 1, ef, steps, counts=(found := []))
+            stages, rows, _ = found[0].shape
+            cols = [np.tile(np.asarray(b.column(0)), stages), np.repeat(np.arange(1, stages + 1, dtype=np.int32), rows), *found[0].reshape(-1, 3).T]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["qid", "stage", "n_steps", "n_visited", "n_computed"])
+
+    return queries.select("qid", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "qid long, stage int, n_steps long, n_visited long, n_computed long")

@@ -44,9 +44,14 @@ def nearest(queries: DataFrame, base: DataFrame, dims: int) -> DataFrame:
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """An Arrow list column of equal lengths as a float64 matrix."""
+    """An Arrow list column of equal lengths as a float64 matrix; a null vector or coordinate, or another length, is an error."""
     if not len(column):
         return np.zeros((0, 0))
+    if column.null_count or column.flatten().null_count:
+        raise ValueError("a vector or a coordinate is null")
+    lengths = np.asarray(column.value_lengths())
+    if (lengths != lengths[0]).any():
+        raise ValueError(f"vectors have {lengths.min()} to {lengths.max()} coordinates")
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
@@ -54,6 +59,8 @@ def _best(ids: np.ndarray, q: np.ndarray, base, k: int) -> pa.RecordBatch:
     """(qid, id, dist): the k best of base, an iterable of (ids, vectors), for each query."""
     best_d, best_i = np.full((len(q), 0), np.inf), np.zeros((len(q), 0), np.int64)
     for own, x in base:
+        if x.shape[1:] != q.shape[1:] and len(own) and len(q):
+            raise ValueError(f"queries have {q.shape[1]} coordinates, the base has {x.shape[1]}")
         for at in range(0, len(own), 2048):
             part, these = x[at : at + 2048], own[at : at + 2048]
             d = np.stack([((part - v) ** 2).sum(1) for v in q]) if len(q) * part.size <= 1 << 16 else _exact_top(q, part, k)
@@ -108,13 +115,15 @@ def exact_knn_blocks(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     """As exact_knn for any number of queries: one pass over base for each block of a few, else blocks of queries against parts of base."""
     parts, block = [], []
     first = queries.select("vec").first()
+    if first and first.vec is None:
+        raise ValueError("a vector is null")
     size = max(1, BLOCK_VALUES // max(1, len(first.vec))) if first else BLOCK
     most = DRIVER_BLOCKS * min(BLOCK, size)
     if queries.limit(most + 1).count() > most:
         return topk(_grid(queries, base, k, size, size), k)
 
     def flush() -> None:
-        ids, q = np.array([r.qid for r in block], np.int64), np.array([r.vec for r in block], np.float64)
+        ids, q = np.array([r.qid for r in block], np.int64), matrix(pa.array([r.vec for r in block], pa.list_(pa.float64())))
         parts.append(base.select("id", "vec").mapInArrow(_block_task(ids, q, k), "qid long, id long, dist double"))
         block.clear()
 

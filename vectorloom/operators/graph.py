@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import l2sq, portable_hash
 from ..plans.scratch import written
+from . import insertion
 from .exact import BLOCK, exact_knn_blocks, matrix, pair_distances
+from .insertion import node_batches
 from .topk import topk
 
 #: Vectors of a cluster part that one task compares.
@@ -162,17 +164,8 @@ def _of_each_node(edges: DataFrame, vectors: DataFrame, chosen: Callable[[np.nda
     rows = edges.select("src", "dst", "dist").join(held, "dst").select("src", "dst", "dist", "dvec").repartition("src").sortWithinPartitions("src", "dist", "dst")
 
     def run(batches):
-        rest = None
-        for b in batches:
-            now = pa.Table.from_batches([b])
-            now = now if rest is None else pa.concat_tables([rest, now])
-            src = np.asarray(now.column("src"))
-            cut = int(np.flatnonzero(src != src[-1])[-1]) + 1 if len(src) and src[0] != src[-1] else 0
-            rest = now.slice(cut)  # the last node may go on in the next batch
-            if cut:
-                yield from picked(now.slice(0, cut))
-        if rest is not None and len(rest):
-            yield from picked(rest)
+        for table in node_batches(batches):
+            yield from picked(table)
 
     def picked(table: pa.Table):
         src, dist, x = np.asarray(table.column("src")), np.asarray(table.column("dist")), matrix(table.column("dvec").combine_chunks())
@@ -186,9 +179,12 @@ def _of_each_node(edges: DataFrame, vectors: DataFrame, chosen: Callable[[np.nda
 def nsw_graph(vectors: DataFrame, n_neighbors: int, dims: int, ef: int | None = None, mode: str = "exact") -> DataFrame:
     """Half of n_neighbors edges a node and their reverse, at most n_neighbors each.
 
-    Without ef the half are the nearest ones; with ef they are diverse ones of the ef
+    mode insert: nodes enter one batch after the other (insertion.insert_graph), and each
+    reaches every other. Else the candidates are a kNN graph's: without ef the half are the nearest ones; with ef they are diverse ones of the ef
     nearest, and so are those that stay of a node with more reverse edges than fit.
     """
+    if mode == "insert":
+        return insertion.insert_graph(vectors, n_neighbors, dims, ef or insertion.EF)
     if ef is None:
         half = knn_graph(vectors, n_neighbors // 2, dims, mode).select("src", "dst", "dist")
     else:
@@ -198,17 +194,19 @@ def nsw_graph(vectors: DataFrame, n_neighbors: int, dims: int, ef: int | None =
 
 
 def nsg_graph(vectors: DataFrame, n_neighbors: int, dims: int, ef: int = 80, repair: bool = True, mode: str = "exact") -> DataFrame:
-    """Pruned candidates, at most n_neighbors each; with repair every node can be reached from the medoid."""
-    edges = _ranked(prune(written(knn_graph(vectors, ef, dims, mode)), vectors, dims), n_neighbors)
+    """Pruned candidates, at most n_neighbors each; with repair every node can be reached from the medoid.
+
+    mode insert: candidates are what a search from the medoid visits (always repaired). Else
+    they are the ef nearest of a kNN graph. The repair stays within n_neighbors.
+    """
+    if mode == "insert":
+        start = medoid(vectors, dims)
+        return _ranked(insertion.search_path_graph(vectors, n_neighbors, dims, ef, start), n_neighbors)
+    most = insertion.room(n_neighbors) if repair else n_neighbors
+    edges = _ranked(prune(written(knn_graph(vectors, ef, dims, mode)), vectors, dims), most)
     if not repair:
         return edges
-    edges = written(edges)
-    lost = written(unreached(edges, vectors.select("id"), medoid(vectors, dims)))
-    if not lost.take(1):
-        return edges
-    held = vectors.join(lost, "id", "left_anti")
-    found = exact_knn_blocks(vectors.join(lost, "id").select(F.col("id").alias("qid"), "vec"), held, 1)
-    return edges.unionByName(found.select(F.col("id").alias("src"), F.col("qid").alias("dst"), F.lit(n_neighbors + 1).alias("rank"), "dist"))
+    return _ranked(insertion.connected(written(edges), vectors, n_neighbors, medoid(vectors, dims)), n_neighbors)
 
 
 def build_graph(vectors: DataFrame, method: str, n_neighbors: int, dims: int, ef: int | None = None, mode: str = "exact") -> DataFrame:
@@ -245,13 +243,8 @@ def khop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 
 def unreached(edges: DataFrame, nodes: DataFrame, start: int) -> DataFrame:
-    """Nodes that no path from start reaches (breadth first until the front is empty, written each round)."""
-    seen = written(nodes.where(F.col("id") == start))
-    front = seen
-    while front.take(1):
-        front = written(front.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
-        seen = written(seen.union(front))  # plans stay short, however long the paths are
-    return nodes.join(seen, "id", "left_anti")
+    """Nodes that no path from start reaches."""
+    return nodes.join(insertion.reached(edges, nodes.where(F.col("id") == start)), "id", "left_anti")
 
 
 def sample_nodes(edges: DataFrame, nodes: DataFrame, n: int, hops: int = 1, seed: int = 0) -> DataFrame:

@@ -87,3 +87,11 @@ def rotation_table(spark, v: np.ndarray) -> DataFrame:
     """(i, j, v) rows of V."""
     n = len(v)
     return spark.createDataFrame([(i, j, float(v[i, j])) for i in range(n) for j in range(n)], "i int, j int, v double")
+
+
+def rotation_of(table: DataFrame, dims: int) -> np.ndarray:
+    """V again from its rows; dims x dims values pass the driver."""
+    v = np.zeros((dims, dims))
+    for r in table.collect():
+        v[r.i, r.j] = r.v
+    return v

@@ -1,12 +1,10 @@
-"""Indexes: the staged index with its tables, single-graph searches, and a sharded form."""
+"""Indexes: the staged index with its tables, and single-graph searches."""
 
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
-from itertools import islice
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +66,7 @@ class StagedIndex:
         self.config, self.tables, self._broadcast = config, tables, None
 
     @classmethod
-    def build(cls, vectors: DataFrame, config: Config, path: str, rotation: np.ndarray | None = None, ef: int = EF_BUILD, mode: str = "exact") -> StagedIndex:
+    def build(cls, vectors: DataFrame, config: Config, path: str, rotation: np.ndarray | None = None, ef: int = EF_BUILD, mode: str = "insert") -> StagedIndex:
         """Build all tables from (id, vec), writing each to path before the next reads it. rotation: use this one instead of the SVD. ef and mode: candidates of a node and how they are found (graph.build_graph)."""
         spark, c = vectors.sparkSession, config
         if not 0 < c.sample_ratio <= 1 or not 0 < c.d_principle <= c.d_model:
@@ -104,10 +102,7 @@ class StagedIndex:
         spark.createDataFrame([tuple(asdict(self.config).values())], "d_model int, d_principle int, sample_ratio double, graph_method string, entry_method string, seed long").coalesce(1).write.parquet(f"{path}/config")
 
     def rotation(self) -> np.ndarray:
-        v = np.zeros((self.config.d_model,) * 2)
-        for r in self.tables["rotation"].collect():  # d x d
-            v[r.i, r.j] = r.v
-        return v
+        return linalg.rotation_of(self.tables["rotation"], self.config.d_model)
 
     def rotated(self, queries: DataFrame) -> DataFrame:
         return linalg.rotate(queries.select("qid", checked("vec", self.config.d_model).alias("vec")), self.rotation())
@@ -122,7 +117,8 @@ class StagedIndex:
         """Broadcast the index for the Arrow tier; refused above its size bound."""
         t, c = self.tables, self.config
         if self._broadcast is None:
-            if not arrow_walk.fits(t["vectors"], c.d_model, c.graph[1]):
+            widest = max((r.n or 0) for e in (t["edges"], t["sub_edges"]) for r in e.groupBy("src").count().agg(F.max("count").alias("n")).collect())
+            if not arrow_walk.fits(t["vectors"], c.d_model, widest):
                 raise ValueError("the index is too large to broadcast: use tier='relational' or ShardedIndex")
             local = arrow_walk.gather(t["vectors"], t["edges"], t["entries"], c.d_model, c.d_principle, t["sub_edges"], t["routers"] if c.entry_method.startswith("router") else None)
             self._broadcast = t["vectors"].sparkSession.sparkContext.broadcast(local)
@@ -133,15 +129,22 @@ class StagedIndex:
         q = written(self.rotated(queries))
         return staged_walk(q, t["vectors"].select("id", "vec"), t["edges"], t["sub_edges"], self._entries(q).select("qid", "id"), ef, c.d_model, c.d_principle, rounds)
 
-    def search(self, queries: DataFrame, k: int, ef: int, tier: str = "arrow") -> DataFrame:
-        """(qid, rank, id, dist): the k nearest found. tier: arrow, relational or exact."""
+    def counts(self, queries: DataFrame, ef: int, max_iter: int | None = None) -> DataFrame:
+        """(qid, stage, n_steps, n_visited, n_computed) of the Arrow tier's search."""
+        return arrow_walk.arrow_counts(self.rotated(queries), self.deploy()._broadcast, ef, max_iter)
+
+    def search(self, queries: DataFrame, k: int, ef: int, tier: str = "arrow", max_iter: int | None = None, chunk_size: int = arrow_walk.CHUNK) -> DataFrame:
+        """(qid, rank, id, dist): the k nearest found. tier: arrow, relational or exact.
+
+        max_iter: steps of a stage at most (arrow, relational). chunk_size: queries that the Arrow tier advances together.
+        """
         if ef < k:
             raise ValueError("ef must be at least k")
         cols = ["qid", "rank", "id", "dist"]
         if tier == "arrow":
-            return arrow_walk.arrow_search(self.rotated(queries), self.deploy()._broadcast, k, ef)
+            return arrow_walk.arrow_search(self.rotated(queries), self.deploy()._broadcast, k, ef, max_iter, chunk_size)
         if tier == "relational":
-            return self.staged(queries, ef)[-1].result(k).select(*cols)
+            return self.staged(queries, ef, max_iter)[-1].result(k).select(*cols)
         if tier == "exact":
             return exact.exact_knn(self.rotated(queries), self.tables["vectors"], k, self.config.d_model).select(*cols)
         raise ValueError(f"unknown tier {tier!r}")
@@ -168,64 +171,3 @@ def oracle_search(queries: DataFrame, vectors: DataFrame, edges: DataFrame, trut
     init = draws.join(truth.select("qid", "rank", "id"), ["qid", "rank"]).select("qid", "id")
     return walk(queries, vectors, edges, init, ef, dims).result(k)
 
-
-class ShardedIndex:
-    """For indexes larger than an executor: vectors are hashed to shards, each with its own graph; a query visits all shards."""
-
-    def __init__(self, vectors: DataFrame, edges: DataFrame, dims: int):
-        self.vectors, self.edges, self.dims = vectors, edges, dims
-
-    @classmethod
-    def build(cls, vectors: DataFrame, dims: int, shards: int, path: str, degree: int = 32) -> ShardedIndex:
-        """At least `shards` shards, and so many that none holds much over SHARD_ROWS vectors."""
-        spark = vectors.sparkSession
-        shards = max(shards, -(-vectors.count() // SHARD_ROWS))
-        vectors.select("id", F.col("vec").cast("array<float>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")).write.parquet(f"{path}/vectors")
-        held = spark.read.parquet(f"{path}/vectors")
-
-        def link(table: pa.Table) -> pa.Table:
-            ids, x = np.asarray(table.column("id")), exact.matrix(table.column("vec").combine_chunks())
-            half, src, dst, dist = min(degree // 2, len(ids) - 1), [], [], []
-            sq = (x * x).sum(1)
-            for at in range(0, len(ids), 512):
-                d = sq[None, :] - 2 * x[at : at + 512] @ x.T
-                d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
-                if half > 0:
-                    c = np.argpartition(d, half - 1, axis=1)[:, :half].ravel()
-                    r = np.repeat(np.arange(at, at + len(d)), half)
-                    src += [ids[r], ids[c]]
-                    dst += [ids[c], ids[r]]
-                    dist += [((x[r] - x[c]) ** 2).sum(1)] * 2
-            cat = lambda a, t: np.concatenate(a) if a else np.zeros(0, t)
-            shard = table.column("shard")[0].as_py() if len(ids) else 0
-            s, t, d = cat(src, np.int64), cat(dst, np.int64), cat(dist, np.float64)
-            return pa.table({"shard": pa.array(np.full(len(s), shard, np.int32)), "src": s, "dst": t, "dist": d})
-
-        found = held.groupBy("shard").applyInArrow(link, "shard int, src long, dst long, dist double").dropDuplicates(["shard", "src", "dst"])
-        topk(found.withColumn("key", F.struct("shard", "src")), degree, "key", ("dist", "dst")).drop("key").write.parquet(f"{path}/edges")
-        return cls(held, spark.read.parquet(f"{path}/edges"), dims)
-
-    def search(self, queries: DataFrame, k: int, ef: int, n_entries: int = 16) -> DataFrame:
-        """(qid, rank, id, dist), merged over the shards. Queries are broadcast in blocks of exact.BLOCK, each one visit to all shards."""
-        found, rows = None, queries.select("qid", "vec").toLocalIterator()
-        while (block := list(islice(rows, exact.BLOCK))) or found is None:
-            part = self._visited(block, k, ef, n_entries)
-            found = part if found is None else found.union(part)
-        return topk(found, k)
-
-    def _visited(self, rows: list, k: int, ef: int, n_entries: int) -> DataFrame:
-        """(qid, id, dist): each shard's k best for a block of queries."""
-        shared = self.vectors.sparkSession.sparkContext.broadcast((np.array([r.qid for r in rows], np.int64), np.array([r.vec for r in rows], np.float64).reshape(len(rows), -1)))
-        schema = "qid long, id long, dist double"
-
-        def visit(left: pa.Table, right: pa.Table) -> pa.Table:
-            qid, q = shared.value
-            left = left.sort_by("id")
-            ids, x = np.asarray(left.column("id")), exact.matrix(left.column("vec").combine_chunks())
-            adjacency = arrow_walk.Adjacency.of(ids, *(np.asarray(right.column(c)) for c in ("src", "dst", "rank")))
-            entries = np.linspace(0, len(ids) - 1, min(n_entries, len(ids))).astype(np.int32)
-            i, d = arrow_walk.LocalIndex(ids, x, adjacency, None, 0, entries[None, :], None).search(q, k, ef)
-            live = (i >= 0).ravel()
-            return pa.table({"qid": np.repeat(qid, k)[live], "id": i.ravel()[live], "dist": d.ravel()[live]})
-
-        return self.vectors.groupBy("shard").cogroup(self.edges.groupBy("shard")).applyInArrow(visit, schema)

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.vectors import l2sq, prefix
-from .operators import entry, exact, graph, linalg, topk
+from .operators import entry, exact, graph, insertion, linalg, topk
 from .operators.walk import staged_walk, walk, walk_stats
 from .plans import index as plans
-from .plans import sql
+from .plans import sharded, sql
 from .plans.scratch import new_path, written
 from .sources import vector_files as files
 
@@ -299,12 +299,12 @@ def _config(**more) -> plans.Config:
 
 
 def index_roundtrip(spark, sf_dir):
-    """Build, save, load and search all candidates: the same as exact search."""
+    """Build, save, load and search."""
     q, b = _tables(spark, sf_dir)
     built = plans.StagedIndex.build(b, _config(), new_path(spark, "index"))
     path = new_path(spark, "saved")
     built.save(path)
-    return _ids(plans.StagedIndex.load(spark, path).search(q, K, b.count(), tier="arrow"))
+    return _ids(plans.StagedIndex.load(spark, path).search(q, K, 4 * EF, tier="arrow"))
 
 
 def arrow_walk(spark, sf_dir):
@@ -318,24 +318,54 @@ def arrow_walk(spark, sf_dir):
 
 
 def sharded_search(spark, sf_dir):
+    """Staged search in four partition-resident shards, each of which every query visits."""
     q, b = _tables(spark, sf_dir)
-    held = plans.ShardedIndex.build(b, DIMS, 4, new_path(spark, "shards"))
-    return _shown(held.search(q, K, 1024))
+    held = sharded.ShardedIndex.build(b, _config(), 4, new_path(spark, "shards"))
+    return _ids(held.search(q, K, 4 * EF))
+
+
+def insert_graph_reach(spark, sf_dir):
+    """A graph by insertion: its nodes, those that the least id reaches, those that reach it, and nodes over the degree."""
+    _, b = _tables(spark, sf_dir)
+    return _reach(b, written(insertion.insert_graph(b, DEGREE, DIMS, base=128, seed=SEED)), b.agg(F.min("id")).first()[0])
+
+
+def nsg_path_reach(spark, sf_dir):
+    """The same of NSG edges from search paths, from the medoid."""
+    _, b = _tables(spark, sf_dir)
+    return _reach(b, written(graph.nsg_graph(b, DEGREE, DIMS, mode="insert")), graph.medoid(b, DIMS))
+
+
+def _reach(b: DataFrame, edges: DataFrame, start: int) -> DataFrame:
+    first, back = b.where(F.col("id") == start).select("id"), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    over = edges.groupBy("src").count().where(F.col("count") > DEGREE)
+    parts = [df.agg(F.count("*").alias(n)) for df, n in ((b, "n_nodes"), (insertion.reached(edges, first), "n_reached"), (insertion.reached(back, first), "n_reaching"), (over, "n_over"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(p)  # one row each
+    return out
+
+
+def insert_search(spark, sf_dir):
+    """The ten nearest by one search of a graph by insertion, with an ordinary ef."""
+    q, b = _tables(spark, sf_dir)
+    edges = written(insertion.insert_graph(b, INDEX_DEGREE, DIMS, base=128, seed=SEED))
+    return _ids(plans.single_search(q, b, edges, entry.random_entries(b, ENTRIES, SEED), K, 4 * EF, DIMS))
 
 
 def routed_index(spark, sf_dir):
-    """An index with routed entries, searched exhaustively."""
+    """An index with routed entries."""
     q, b = _tables(spark, sf_dir)
     config = plans.Config(DIMS, PREFIX, RATIO, f"nsw{INDEX_DEGREE}", f"router{ROUTERS}x{LEAVES}", SEED)
-    return _ids(plans.StagedIndex.build(b, config, new_path(spark, "index")).search(q, K, b.count()))
+    return _ids(plans.StagedIndex.build(b, config, new_path(spark, "index")).search(q, K, 4 * EF))
 
 
 def sql_search(spark, sf_dir):
-    """The table function of an index, asked for all candidates."""
+    """The table function of an index."""
     q, b = _tables(spark, sf_dir)
     sql.register(spark, "nearest_rows", plans.StagedIndex.build(b, _config(), new_path(spark, "index")))
     q.createOrReplaceTempView("nearest_rows_asked")
-    return _ids(spark.sql(f"SELECT * FROM nearest_rows(TABLE(nearest_rows_asked), {K}, {b.count()})"))
+    return _ids(spark.sql(f"SELECT * FROM nearest_rows(TABLE(nearest_rows_asked), {K}, {4 * EF})"))
 
 
 def fbin_source(spark, sf_dir):
@@ -374,7 +404,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         entry_random, entry_per_query, router_init, entry_router_leaves, entry_router_assign, entry_routed_distances,
         graph_knn, graph_nsw, graph_nsg, graph_nsg_reach, graph_degree_stats, khop_expand, subgraph_sample, subgraph_build,
         walk_single, walk_subgraph, walk_refine, walk_exhaustive, staged_search, staged_stats, proto_nsw, proto_nsw_drawn, proto_sampled, proto_svd, proto_oracle,
-        index_roundtrip, sql_search, arrow_walk, sharded_search, routed_index, fbin_source, npy_source, fuzz_source, recall_curve,
+        index_roundtrip, sql_search, arrow_walk, sharded_search, insert_graph_reach, nsg_path_reach, insert_search, routed_index, fbin_source, npy_source, fuzz_source, recall_curve,
     )
 }
 
@@ -543,7 +573,10 @@ SQL: dict[str, str] = {
     "index_roundtrip": _with([Q, B, _knn("t", K)], "SELECT qid, rank, id FROM t"),
     "sql_search": _with([Q, B, _knn("t", K)], "SELECT qid, rank, id FROM t"),
     "routed_index": _with([Q, B, _knn("t", K)], "SELECT qid, rank, id FROM t"),
-    "sharded_search": _KNN,
+    "sharded_search": _with([Q, B, _knn("t", K)], "SELECT qid, rank, id FROM t"),
+    "insert_search": _with([Q, B, _knn("t", K)], "SELECT qid, rank, id FROM t"),
+    "insert_graph_reach": _with([B], "SELECT count(*) AS n_nodes, count(*) AS n_reached, count(*) AS n_reaching, 0::BIGINT AS n_over FROM b"),
+    "nsg_path_reach": _with([B], "SELECT count(*) AS n_nodes, count(*) AS n_reached, count(*) AS n_reaching, 0::BIGINT AS n_over FROM b"),
     "arrow_walk": "SELECT true AS arrow, true AS relational",
     "fbin_source": _SUM,
     "npy_source": _SUM,
