@@ -35,7 +35,11 @@ from .common import connected_components, rows_among, split_join, stored
 from .simhash import fingerprint_edges, majority
 
 SEED, SHINGLE, SIMILAR, NEAR_BITS = 42, 5, 0.8, 7
-BANDS, ROWS, BUCKET, BLOCK, PARTS = 24, 5, 128, 256, 64
+BANDS, ROWS, BUCKET, BLOCK, LOT = 24, 5, 128, 256, 256
+#: Texts for each file of a table that is written between steps.
+TEXTS_A_FILE = 20_000
+#: Sides into which the texts of a small bucket are dealt: places of BUCKET / DEALT texts a side.
+DEALT = 3
 _BLOCK = 4096
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 _A, _B = (np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -64,6 +68,11 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def _kept(df: DataFrame, name: str, texts: int) -> DataFrame:
+    """df stored in as many files as that number of texts asks for, and at least two a core."""
+    return stored(df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-texts // TEXTS_A_FILE))), name)
+
+
 def _digest(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes())
 
@@ -92,7 +101,7 @@ class Sets:
     """The sets of nodes: which row has them, and how to make them again from its text."""
 
     def __init__(self, rows: DataFrame, known: DataFrame):
-        self.rows, self.known = rows, known
+        self.rows, self.known, self.texts = rows, known, known.count()
 
     def of(self, nodes: DataFrame) -> DataFrame:
         """node, hashes (the set's bytes, in order) of the nodes in the only column of nodes."""
@@ -104,7 +113,7 @@ class Sets:
                     sets = [np.unique(hashes(t.as_py() or b"")) for t in batch.slice(at, 512).column(0)]
                     yield pa.RecordBatch.from_arrays([_signed([_digest(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
 
-        return stored(rows_among(self.rows, "rid", chosen).select("text").mapInArrow(run, "node long, hashes binary"), "near-sets")
+        return _kept(rows_among(self.rows, "rid", chosen).select("text").mapInArrow(run, "node long, hashes binary"), "near-sets", self.texts)
 
 
 class _Forest:
@@ -148,17 +157,19 @@ def _verified(pairs: DataFrame, sets: Sets, similar: float) -> DataFrame:
     return brought.union(pairs.select("place", "a", "b", F.lit(None).cast("binary").alias("hashes"))).groupBy("place").applyInArrow(compare, "a long, b long")
 
 
-def simhash_pairs(known: DataFrame, max_diff: int = NEAR_BITS) -> DataFrame:
+def simhash_pairs(known: DataFrame, max_diff: int = NEAR_BITS, lot: int = LOT) -> DataFrame:
     """Pairs (place, a, b) of nodes that span the links of operator 1: equal fingerprints, or at most max_diff bits apart."""
-    known = known.select("fp", "node").distinct()
-    heads = stored(known.groupBy("fp").agg(F.min("node").alias("head")), "near-heads")
+    texts, known = known.count(), known.select("fp", "node").distinct()
+    heads = _kept(known.groupBy("fp").agg(F.min("node").alias("head")), "near-heads", texts)
     equal = split_join(known, heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     edges = fingerprint_edges(heads.select("fp"), max_diff).withColumnsRenamed({"a": "x", "b": "y"})
     for fp, node in (("x", "a"), ("y", "b")):
         edges = split_join(edges, heads.withColumnsRenamed({"fp": fp, "head": node}), fp)
     pairs = equal.union(edges.select("a", "b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    # A node meets its lower partners in lots, so that a hub brings its set once a lot.
-    return pairs.select(F.xxhash64("b", F.pmod(F.xxhash64("a"), F.lit(PARTS))).alias("place"), "a", "b")
+    # A node meets its upper partners in lots of about `lot`, so that a hub brings its set once a lot and no lot grows with it.
+    pairs = _kept(pairs, "near-pairs", texts)
+    lots = pairs.groupBy("b").agg(F.ceil(F.count("*") / lot).alias("lots"))
+    return split_join(pairs, lots, "b").select(F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("lots"))).alias("place"), "a", "b")
 
 
 def _fit(similar: float) -> str:
@@ -195,23 +206,25 @@ def _in_blocks(hot: DataFrame, sets: Sets, similar: float, block: int) -> DataFr
 
 def jaccard_edges(known: DataFrame, sets: Sets, similar: float = SIMILAR, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
     """Verified edges (a, b) between the nodes known (node, n, fp, keys), whose components are those of all similar pairs."""
-    tried = stored(simhash_pairs(known), "near-tried")
-    edges = stored(_verified(tried, sets, similar), "near-edges")
+    tried = _kept(simhash_pairs(known), "near-tried", sets.texts)
+    edges = _kept(_verified(tried, sets, similar), "near-edges", sets.texts)
     labels = connected_components(edges).withColumnRenamed("node", "own")
     keyed = known.select("node", "n", F.explode("keys").alias("key")).distinct()
     keyed = keyed.join(labels, keyed.node == labels.own, "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    keyed = stored(keyed, "near-keys")
+    keyed = _kept(keyed, "near-keys", sets.texts)
     mixed = keyed.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("two"), F.count("*").alias("size")).where("one <> two").select("key", "size")
-    met = stored(split_join(keyed, mixed, "key"), "near-buckets")
+    met = _kept(split_join(keyed, mixed, "key"), "near-buckets", sets.texts)
     small, hot = met.where(F.col("size") <= bucket), met.where(F.col("size") > bucket)
     x, y = (small.select("key", *[F.col(c).alias(p + c) for c in ("node", "n", "label")]) for p in "ab")
     pairs = x.join(y, "key").where("alabel < blabel").where(_fit(similar)).groupBy(F.col("anode").alias("a"), F.col("bnode").alias("b")).agg(F.min("key").alias("place"))  # `bucket` partners at most
-    pairs = stored(pairs, "near-again")
-    out = edges.union(stored(_verified(pairs, sets, similar), "near-edges-again")) if pairs.take(1) else edges
+    # The pairs of a bucket are dealt too: no place gets all of them.
+    side = lambda c: F.pmod(F.xxhash64(c), F.lit(DEALT))
+    pairs = _kept(pairs.select(F.xxhash64("place", side("a"), side("b")).alias("place"), "a", "b"), "near-again", sets.texts)
+    out = edges.union(_kept(_verified(pairs, sets, similar), "near-edges-again", sets.texts)) if pairs.take(1) else edges
     if not hot.take(1):
         return out
     shares = hot.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("m")).select("key", F.col("m.label").alias("main"))
-    return out.union(stored(_in_blocks(split_join(hot, shares, "key"), sets, similar, block), "near-edges-hot"))
+    return out.union(_kept(_in_blocks(split_join(hot, shares, "key"), sets, similar, block), "near-edges-hot", sets.texts))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, bucket: int = BUCKET, block: int = BLOCK, row_col: str | None = None) -> DataFrame:
