@@ -115,9 +115,7 @@ def exact_knn_blocks(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     """As exact_knn for any number of queries: one pass over base for each block of a few, else blocks of queries against parts of base."""
     parts, block = [], []
     first = queries.select("vec").first()
-    if first and first.vec is None:
-        raise ValueError("a vector is null")
-    size = max(1, BLOCK_VALUES // max(1, len(first.vec))) if first else BLOCK
+    size = max(1, BLOCK_VALUES // max(1, len(first.vec or ()))) if first else BLOCK
     most = DRIVER_BLOCKS * min(BLOCK, size)
     if queries.limit(most + 1).count() > most:
         return topk(_grid(queries, base, k, size, size), k)
@@ -128,6 +126,8 @@ def exact_knn_blocks(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
         block.clear()
 
     for r in queries.select("qid", "vec").toLocalIterator():
+        if r.vec is None:
+            raise ValueError("a vector is null")
         block.append(r)
         if len(block) >= BLOCK or len(block) * len(r.vec) >= BLOCK_VALUES:
             flush()

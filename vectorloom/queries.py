@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.vectors import l2sq, prefix
-from .operators import entry, exact, graph, insertion, linalg, topk
+from .operators import bounded, entry, exact, graph, insertion, linalg, topk
 from .operators.walk import staged_walk, walk, walk_stats
 from .plans import index as plans
 from .plans import sharded, sql
@@ -44,6 +44,11 @@ def exact_knn_blocks(spark, sf_dir):
     return _shown(exact.exact_knn_blocks(q, b, K))
 
 
+def exact_knn_bounded(spark, sf_dir):
+    q, b = _tables(spark, sf_dir)
+    return _shown(bounded.bounded_knn(q, b, K)[0])
+
+
 def square_dist_nodelist(spark, sf_dir):
     q, b = _tables(spark, sf_dir)
     return exact.pair_distances(q, b.where("id % 7 = 1"), DIMS).select("qid", "id", F.round("dist", 6).alias("dist"))
@@ -399,7 +404,7 @@ def recall_curve(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        exact_knn, exact_knn_blocks, square_dist_nodelist, prefix_dist, residual_dist, nearest_one, ground_truth_topk, shrink_dataset, load_query, recall_at_k,
+        exact_knn, exact_knn_blocks, exact_knn_bounded, square_dist_nodelist, prefix_dist, residual_dist, nearest_one, ground_truth_topk, shrink_dataset, load_query, recall_at_k,
         heap_bounded_topk, heap_pop, heap_popped, bitmask_distinct, svd_gram, svd_energy, svd_isometry_knn, svd_sampled_reconstruct,
         entry_random, entry_per_query, router_init, entry_router_leaves, entry_router_assign, entry_routed_distances,
         graph_knn, graph_nsw, graph_nsg, graph_nsg_reach, graph_degree_stats, khop_expand, subgraph_sample, subgraph_build,
@@ -523,6 +528,7 @@ _SUM = "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, round(list_sum(emb
 SQL: dict[str, str] = {
     "exact_knn": _KNN,
     "exact_knn_blocks": _KNN,
+    "exact_knn_bounded": _KNN,
     "square_dist_nodelist": _with([Q, B], f"SELECT qid, id, round({_d('q.vec', 'b.vec')}, 6) AS dist FROM q, b WHERE id % 7 = 1"),
     "prefix_dist": _with([Q, B], f"SELECT qid, id, round({_d('q.vec', 'b.vec', PREFIX)}, 6) AS dist FROM q, b"),
     "residual_dist": _with([Q, B], f"SELECT qid, id, round(list_distance(q.vec[{PREFIX + 1}:], b.vec[{PREFIX + 1}:])**2, 6) AS residual, round({_d('q.vec', 'b.vec')}, 6) AS dist FROM q, b"),
