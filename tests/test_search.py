@@ -190,6 +190,26 @@ def test_sample_is_closed_and_large_enough(data, edges):
     assert sub.join(s, sub.src == s.id, "left_anti").count() == 0
 
 
+@pytest.mark.parametrize("hops", [1, 2, 3])
+def test_sample_of_more_hops_equals_plain(spark, hops):
+    import hashlib
+
+    rng = np.random.default_rng(hops)
+    links = {i: sorted({int(j) for j in rng.integers(0, 60, 2)} - {i}) for i in range(60)}
+    edges = written(spark.createDataFrame([(i, j, 1) for i, own in links.items() for j in own], "src long, dst long, rank int"))
+    found = {r.id for r in graph.sample_nodes(edges, spark.range(60), 20, hops, 5).collect()}
+    want = set()
+    for seed in sorted(range(60), key=lambda i: (int(hashlib.md5(f"{i}:5".encode()).hexdigest()[:8], 16), i)):
+        if len(want) >= 20:
+            break
+        front = near = {seed}
+        for _ in range(hops):
+            front = {j for i in front for j in links[i]}
+            near = near | front
+        want |= near
+    assert found == want
+
+
 def test_router_guard_and_leaves(data):
     with pytest.raises(ValueError):
         entry.router_entries(data[0], 16, 16, D)

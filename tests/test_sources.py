@@ -80,3 +80,27 @@ def test_bin_dataset_without_base(spark, tmp_path):
 def test_fuzz(spark):
     data = files.fuzz(spark, 60, 5, seed=4, k=3)
     assert data.d_model in files.FUZZ_DIMS and 30 <= data.n_storage() <= 120 and data.truth.count() == 15
+
+
+@pytest.mark.parametrize("kind", ["npy", "fbin", "ibin"])
+def test_shards_are_written_by_tasks(spark, tmp_path, kind):
+    rng = np.random.default_rng(3)
+    x = rng.integers(-(2**31), 2**31, (230, 5)) if kind == "ibin" else rng.normal(size=(230, 5)).astype(np.float32)
+    df = spark.createDataFrame([(int(i), x[i].tolist()) for i in rng.permutation(230)], f"id long, vec array<{'int' if kind == 'ibin' else 'float'}>").repartition(5)
+    at = f"{tmp_path}/out"
+    if kind == "npy":
+        files.write_npy(df, at, rows=40)
+        back = files.read_npy(spark, f"{at}/*.npy", rows=30)
+    else:
+        files.write_bin_shards(df, at, rows=40, ints=kind == "ibin")
+        back = files.read_bins(spark, f"{at}/*.{kind}", rows=30) if kind == "fbin" else spark.read.format("vector_bin").option("dtype", "ibin").load(f"{at}/*.ibin")
+    assert np.array_equal(np.array([r.vec for r in back.orderBy("id").collect()]), x) and len(list((tmp_path / "out").iterdir())) > 5
+    with pytest.raises(Exception, match="already"):
+        files.write_npy(df, at) if kind == "npy" else files.write_bin_shards(df, at, ints=kind == "ibin")
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    df = spark.createDataFrame([(i, [1.0] * (2 if i < 90 else 3)) for i in range(100)], "id long, vec array<float>").repartition(4)
+    with pytest.raises(Exception, match="coordinates"):
+        files.write_npy(df, f"{tmp_path}/out")
+    assert list(tmp_path.iterdir()) == []

@@ -250,8 +250,16 @@ def unreached(edges: DataFrame, nodes: DataFrame, start: int) -> DataFrame:
 def sample_nodes(edges: DataFrame, nodes: DataFrame, n: int, hops: int = 1, seed: int = 0) -> DataFrame:
     """Seeds in pseudo-random order with their closures, until n nodes are covered; whole closures, so it may overshoot."""
     order = nodes.select("id", portable_hash("id", seed).alias("h"))
-    reach = khop(edges, nodes, hops).select("seed", "id").join(order.select(F.col("id").alias("seed"), "h"), "seed")
-    first = written(reach.groupBy("id").agg(F.min(F.struct("h", "seed")).alias("m")).select("id", "m.h", "m.seed"))
+    size, degree = nodes.count(), edges.count()
+    # Only a prefix of the seeds is expanded: twice what would do without overlaps, then twice as many until n nodes are met.
+    share = min(1.0, 2 * n / max(1.0, size * (1 + degree / max(1, size)) ** hops))
+    while True:
+        chosen = order.where(F.col("h") < int(share * (1 << 32)))
+        reach = khop(edges, chosen.select("id"), hops).select("seed", "id").join(chosen.select(F.col("id").alias("seed"), "h"), "seed")
+        first = written(reach.groupBy("id").agg(F.min(F.struct("h", "seed")).alias("m")).select("id", "m.h", "m.seed"))
+        if share >= 1 or first.count() >= n:
+            break
+        share = min(1.0, 2 * share)
     # Counts by 12 bits of the 32-bit hash find where n is met; twice, so that few seeds are ranked one by one.
     left, low, edge = n, 0, first
     for bits in (20, 8):

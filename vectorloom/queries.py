@@ -375,9 +375,9 @@ def sql_search(spark, sf_dir):
 
 def fbin_source(spark, sf_dir):
     _, b = _tables(spark, sf_dir)
-    path = f"{new_path(spark, 'fbin')}/base.fbin"
-    files.write_bins(b, path)
-    return files.read_bins(spark, path, rows=100).select("id", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))
+    at = new_path(spark, "fbin")
+    files.write_bin_shards(b, at, rows=150)
+    return files.read_bins(spark, f"{at}/*.fbin", rows=100).select("id", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))
 
 
 def npy_source(spark, sf_dir):

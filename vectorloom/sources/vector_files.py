@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import fnmatch
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from ..operators.exact import exact_knn_blocks
+from ..operators.exact import exact_knn_blocks, matrix
 from ..operators.linalg import draw
 
 
@@ -36,52 +36,168 @@ def _lists(x: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, max(1, x.shape[1]), dtype=np.int32)), pa.array(np.ascontiguousarray(x).ravel()))
 
 
+def _matching(pattern: str) -> list[str]:
+    """Files whose names match the last part of the pattern, sorted by name."""
+    from pyarrow import fs
+
+    folder, _, names = pattern.rpartition("/")
+    files, at = _fs(folder)
+    found = [i.base_name for i in files.get_file_info(fs.FileSelector(at)) if i.type == fs.FileType.File and fnmatch.fnmatchcase(i.base_name, names)]
+    return [f"{folder}/{name}" for name in sorted(found)]
+
+
 @dataclass
-class _Rows(InputPartition):
+class _Shard(InputPartition):
+    path: str
     start: int
     end: int
+    first: int
+
+
+def _ranges(heads: list[tuple[str, int]], rows: int) -> list[_Shard]:
+    """Row ranges of files (path, rows); ids go on from file to file."""
+    out, first = [], 0
+    for path, n in heads:
+        out += [_Shard(path, at, min(n, at + rows), first) for at in range(0, n, rows)]
+        first += n
+    return out or [_Shard("", 0, 0, 0)]
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    part: int
+    files: list[tuple[str, int]]  # name, coordinates
+
+
+class _ShardWriter(DataSourceArrowWriter):
+    """Each task writes its rows as shards into a folder beside the target; commit numbers them by partition and renames the folder, so a failed write leaves nothing that is read.
+
+    Rows stay in the order of the partitions: a table that is ordered before is read back in that order.
+    """
+
+    def __init__(self, options: dict, suffix: str):
+        self.path, self.rows, self.suffix = options["path"].rstrip("/"), int(options.get("rows", 1 << 20)), suffix
+        self.dtype = options.get("dtype", "int32" if suffix == "ibin" else "float32")
+        self.work = f"{self.path}._writing-{uuid.uuid4().hex}"
+
+    def _put(self, name: str, x: np.ndarray) -> None:
+        files, at = _fs(self.work)
+        files.create_dir(at, recursive=True)
+        with files.open_output_stream(f"{at}/{name}") as f:
+            if self.suffix == "npy":
+                np.lib.format.write_array(f, x)
+            else:
+                f.write(struct.pack("<ii", *x.shape) + x.astype("<i4" if self.suffix == "ibin" else "<f4").tobytes())
+
+    def write(self, iterator) -> _Written:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        done, held, size = [], [], 0
+
+        def flush(x: np.ndarray) -> None:
+            done.append((f"{task.partitionId():06d}-{len(done):06d}-{task.taskAttemptId()}", x.shape[1]))
+            self._put(done[-1][0], x)
+
+        for b in iterator:
+            if b.num_rows:
+                column = b.column(b.schema.get_field_index("vec"))
+                held.append(matrix(column).astype(self.dtype) if not self.dtype.startswith("int") else np.asarray(column.flatten(), self.dtype).reshape(matrix(column).shape))
+                size += b.num_rows
+            while size >= self.rows:
+                x = np.concatenate(held)
+                flush(x[: self.rows])
+                held, size = [x[self.rows :]], len(x) - self.rows
+        if size:
+            flush(np.concatenate(held))
+        return _Written(task.partitionId(), done)
+
+    def commit(self, messages) -> None:
+        from pyarrow import fs
+
+        names = [f for m in sorted((m for m in messages if m is not None), key=lambda m: m.part) for f in m.files]
+        if len({d for _, d in names}) > 1:
+            self.abort(messages)
+            raise ValueError(f"vectors have {min(d for _, d in names)} to {max(d for _, d in names)} coordinates")
+        files, work = _fs(self.work)
+        _, at = _fs(self.path)
+        files.create_dir(work, recursive=True)
+        for i, (name, _) in enumerate(names):
+            files.move(f"{work}/{name}", f"{work}/shard-{i:06d}.{self.suffix}")
+        kept = {f"shard-{i:06d}.{self.suffix}" for i in range(len(names))}
+        for info in files.get_file_info(fs.FileSelector(work)):  # of attempts that did not count
+            if info.base_name not in kept:
+                files.delete_file(info.path)
+        files.move(work, at)
+
+    def abort(self, messages) -> None:
+        from pyarrow import fs
+
+        files, work = _fs(self.work)
+        if files.get_file_info(work).type == fs.FileType.Directory:
+            files.delete_dir(work)
+
+
+def _writer(options: dict, suffix: str) -> _ShardWriter:
+    from pyarrow import fs
+
+    files, at = _fs(options["path"].rstrip("/"))
+    if files.get_file_info(at).type != fs.FileType.NotFound:
+        raise ValueError(f"{options['path']} is there already")
+    return _ShardWriter(options, suffix)
 
 
 class _BinReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.rows = options["path"], int(options.get("rows", 65536))
-        self.kind = "<i4" if options.get("dtype", "ibin" if self.path.endswith(".ibin") else "fbin") in ("ibin", "int32") else "<f4"
+        self.kind = "<i4" if _is_ints(options) else "<f4"
 
-    def _head(self) -> tuple[int, int]:
-        with _open(self.path) as f:
+    def _head(self, path: str) -> tuple[int, int]:
+        with _open(path) as f:
             return struct.unpack("<ii", f.read(8))
 
     def partitions(self):
-        n, _ = self._head()
-        return [_Rows(at, min(n, at + self.rows)) for at in range(0, n, self.rows)] or [_Rows(0, 0)]
+        paths = _matching(self.path) if "*" in self.path else [self.path]
+        return _ranges([(p, self._head(p)[0]) for p in paths], self.rows)
 
-    def read(self, part: _Rows) -> Iterator[pa.RecordBatch]:
-        n, d = self._head()
-        with _open(self.path) as f:
+    def read(self, part: _Shard) -> Iterator[pa.RecordBatch]:
+        if not part.path:
+            return
+        n, d = self._head(part.path)
+        with _open(part.path) as f:
             for at in range(part.start, part.end, 4096):
                 m = min(4096, part.end - at)
                 f.seek(8 + 4 * d * at)
                 x = np.frombuffer(f.read(4 * d * m), self.kind)
                 if len(x) != d * m:
-                    raise ValueError(f"{self.path} is cut short: {n} x {d} values are announced")
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + m)), _lists(x.reshape(m, d))], ["id", "vec"])
+                    raise ValueError(f"{part.path} is cut short: {n} x {d} values are announced")
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.first + at, part.first + at + m)), _lists(x.reshape(m, d))], ["id", "vec"])
+
+
+def _is_ints(options: dict) -> bool:
+    return options.get("dtype", "ibin" if options["path"].endswith(".ibin") else "fbin") in ("ibin", "int32")
 
 
 class BinSource(DataSource):
-    """spark.read.format("vector_bin").load(path): (id, vec). Options: rows per partition, dtype (fbin or ibin)."""
+    """spark.read.format("vector_bin").load(path or pattern): (id, vec), ids going on from file to file in order of their names. Options: rows per partition, dtype (fbin or ibin).
+
+    df.write.format("vector_bin").mode("append").save(folder): the column vec as shards, written by the tasks; the folder must not be there. Options: rows of a shard at most, dtype.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "vector_bin"
 
     def schema(self) -> str:
-        path = self.options["path"]
-        ints = self.options.get("dtype", "ibin" if path.endswith(".ibin") else "fbin") in ("ibin", "int32")
+        ints = _is_ints(dict(self.options))
         return f"id long, vec array<{'int' if ints else 'float'}>"
 
     def reader(self, schema):
         return _BinReader(dict(self.options))
 
+    def writer(self, schema, overwrite):
+        return _writer({k: v for k, v in self.options.items() if k != "dtype"}, "ibin" if _is_ints(dict(self.options)) else "fbin")
+
 
 def read_bins(spark: SparkSession, path: str, rows: int = 65536) -> DataFrame:
     spark.dataSource.register(BinSource)
@@ -101,14 +217,6 @@ def write_bins(df: DataFrame, path: str, order: str = "id", ints: bool = False)
             f.write(struct.pack("<ii", 0, 0))
 
 
-@dataclass
-class _Shard(InputPartition):
-    path: str
-    start: int
-    end: int
-    first: int
-
-
 class _NpyReader(DataSourceReader):
     """Row ranges of .npy shards, in order of their names."""
 
@@ -125,20 +233,10 @@ class _NpyReader(DataSourceReader):
             return shape, kind, f.tell()
 
     def shards(self) -> list[str]:
-        from pyarrow import fs
-
-        folder, _, names = self.pattern.rpartition("/")
-        files, at = _fs(folder)
-        found = [i.base_name for i in files.get_file_info(fs.FileSelector(at)) if i.type == fs.FileType.File and fnmatch.fnmatchcase(i.base_name, names)]
-        return [f"{folder}/{name}" for name in sorted(found)]
+        return _matching(self.pattern)
 
     def partitions(self):
-        out, first = [], 0
-        for path in self.shards():
-            n = self._head(path)[0][0]
-            out += [_Shard(path, at, min(n, at + self.rows), first) for at in range(0, n, self.rows)]
-            first += n
-        return out or [_Shard("", 0, 0, 0)]
+        return _ranges([(path, self._head(path)[0][0]) for path in self.shards()], self.rows)
 
     def read(self, part: _Shard) -> Iterator[pa.RecordBatch]:
         if not part.path:
@@ -158,7 +256,10 @@ class _NpyReader(DataSourceReader):
 
 
 class NpySource(DataSource):
-    """spark.read.format("vector_npy").load(pattern): (id, vec) of all shards that match; id is the rows of earlier shards plus the row. Option: rows per partition."""
+    """spark.read.format("vector_npy").load(pattern): (id, vec) of all shards that match; id is the rows of earlier shards plus the row. Option: rows per partition.
+
+    df.write.format("vector_npy").mode("append").save(folder): the column vec as shards, written by the tasks; the folder must not be there. Options: rows of a shard at most, dtype.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -174,6 +275,9 @@ class NpySource(DataSource):
     def reader(self, schema):
         return _NpyReader(dict(self.options))
 
+    def writer(self, schema, overwrite):
+        return _writer(dict(self.options), "npy")
+
 
 def read_npy(spark: SparkSession, pattern: str, rows: int = 65536) -> DataFrame:
     """(id, vec) of all .npy shards that match the last part of the pattern; integers stay integers, floats become float32."""
@@ -182,14 +286,15 @@ def read_npy(spark: SparkSession, pattern: str, rows: int = 65536) -> DataFrame:
 
 
 def write_npy(df: DataFrame, folder: str, rows: int = 1 << 20, order: str = "id", dtype=np.float32) -> None:
-    """Shards of at most `rows` vectors; rows are streamed to the driver, a shard at a time."""
-    files, at = _fs(folder)
-    files.create_dir(at, recursive=True)
-    found, shard = df.orderBy(order).toLocalIterator(), 0
-    while part := list(islice(found, rows)):
-        with files.open_output_stream(f"{at}/shard-{shard:06d}.npy") as f:
-            np.lib.format.write_array(f, np.array([r.vec for r in part], dtype))
-        shard += 1
+    """Shards of at most `rows` vectors in a new folder, in that order; the tasks write them."""
+    df.sparkSession.dataSource.register(NpySource)
+    df.orderBy(order).select("vec").write.format("vector_npy").mode("append").option("rows", rows).option("dtype", np.dtype(dtype).name).save(folder)
+
+
+def write_bin_shards(df: DataFrame, folder: str, rows: int = 1 << 20, order: str = "id", ints: bool = False) -> None:
+    """The same as .fbin or .ibin files, to be read by read_bins(f"{folder}/*.fbin")."""
+    df.sparkSession.dataSource.register(BinSource)
+    df.orderBy(order).select("vec").write.format("vector_bin").mode("append").option("rows", rows).option("dtype", "ibin" if ints else "fbin").save(folder)
 
 
 @dataclass
