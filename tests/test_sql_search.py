@@ -47,3 +47,13 @@ def test_empty_and_wrong_vectors(spark, held):
     assert spark.sql("SELECT * FROM nearest_rows(TABLE(SELECT * FROM asked WHERE qid < 0), 5, 32)").count() == 0
     with pytest.raises(Exception, match="12 coordinates"):
         spark.sql("SELECT * FROM nearest_rows(TABLE(SELECT qid, slice(vec, 1, 5) AS vec FROM asked), 5, 32)").collect()
+
+
+def test_scalar_functions(spark):
+    sql.register_functions(spark)
+    a, b = [1.0, 2.0, 4.0], [0.0, 5.0, 2.0]
+    df = spark.createDataFrame([(a, b), (a, [1.0]), (None, b)], "a array<double>, b array<double>").createOrReplaceTempView("scalar_pairs")
+    found = spark.sql("SELECT vec_l2sq(a, b) AS d, vec_prefix_l2sq(a, b, 1) AS p, vec_residual_l2sq(a, b, 1) AS r FROM scalar_pairs")
+    assert df is None and [tuple(r) for r in found.collect()][0] == (14.0, 1.0, 13.0) and [r.d for r in found.collect()][1:] == [None, None]
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    assert spark.sql("SELECT vec_recall(array(1L, 2L, 2L, 9L), array(1L, 2L, 3L, 4L)) AS r").first().r == 0.5

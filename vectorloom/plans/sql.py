@@ -57,3 +57,19 @@ def register(spark: SparkSession, name: str, index: StagedIndex) -> None:
             return pa.table({c: a[live] for c, a in columns.items()})
 
     spark.udtf.register(name, F.arrow_udtf(Search, returnType="qid bigint, rank int, id bigint, dist double"))
+
+
+_SQUARES = "aggregate(zip_with({a}, {b}, (x, y) -> (x - y) * (x - y)), 0D, (total, v) -> total + v)"
+#: Scalar SQL functions over vectors: name, arguments, result, body. They stay in the JVM.
+FUNCTIONS = (
+    ("vec_l2sq", "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE", _SQUARES.format(a="a", b="b")),
+    ("vec_prefix_l2sq", "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>, d INT", "DOUBLE", _SQUARES.format(a="slice(a, 1, d)", b="slice(b, 1, d)")),
+    ("vec_residual_l2sq", "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>, d INT", "DOUBLE", _SQUARES.format(a="slice(a, d + 1, size(a))", b="slice(b, d + 1, size(b))")),
+    ("vec_recall", "found ARRAY<BIGINT>, truth ARRAY<BIGINT>", "DOUBLE", "size(array_intersect(found, truth)) / size(array_distinct(truth))"),
+)
+
+
+def register_functions(spark: SparkSession) -> None:
+    """vec_l2sq, vec_prefix_l2sq, vec_residual_l2sq and vec_recall for SQL. Vectors of unequal lengths give null; a null vector too."""
+    for name, given, kind, body in FUNCTIONS:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({given}) RETURNS {kind} RETURN {body}")

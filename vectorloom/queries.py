@@ -373,6 +373,20 @@ def sql_search(spark, sf_dir):
     return _ids(spark.sql(f"SELECT * FROM nearest_rows(TABLE(nearest_rows_asked), {K}, {4 * EF})"))
 
 
+def sql_functions(spark, sf_dir):
+    """The ten nearest by SQL alone, with prefix and residual distances, and the recall of the ten nearest by prefix."""
+    q, b = _tables(spark, sf_dir)
+    sql.register_functions(spark)
+    for name, df in (("sql_functions_q", q), ("sql_functions_b", b)):
+        df.withColumn("vec", F.col("vec").cast("array<double>")).createOrReplaceTempView(name)
+    return spark.sql(f"""
+        WITH d AS (SELECT qid, id, vec_l2sq(q.vec, b.vec) AS dist, vec_prefix_l2sq(q.vec, b.vec, {PREFIX}) AS near, vec_residual_l2sq(q.vec, b.vec, {PREFIX}) AS rest FROM sql_functions_q q CROSS JOIN sql_functions_b b),
+        t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM d) WHERE rank <= {K}),
+        p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY near, id) AS rank FROM d) WHERE rank <= {K}),
+        r AS (SELECT t.qid, vec_recall(f, t.ids) AS recall FROM (SELECT qid, collect_list(id) AS ids FROM t GROUP BY qid) t JOIN (SELECT qid, collect_list(id) AS f FROM p GROUP BY qid) p ON p.qid = t.qid)
+        SELECT t.qid, id, CAST(rank AS BIGINT) AS rank, round(dist, 6) AS dist, round(rest, 6) AS rest, recall FROM t JOIN r ON r.qid = t.qid""")
+
+
 def fbin_source(spark, sf_dir):
     _, b = _tables(spark, sf_dir)
     at = new_path(spark, "fbin")
@@ -409,7 +423,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         entry_random, entry_per_query, router_init, entry_router_leaves, entry_router_assign, entry_routed_distances,
         graph_knn, graph_nsw, graph_nsg, graph_nsg_reach, graph_degree_stats, khop_expand, subgraph_sample, subgraph_build,
         walk_single, walk_subgraph, walk_refine, walk_exhaustive, staged_search, staged_stats, proto_nsw, proto_nsw_drawn, proto_sampled, proto_svd, proto_oracle,
-        index_roundtrip, sql_search, arrow_walk, sharded_search, insert_graph_reach, nsg_path_reach, insert_search, routed_index, fbin_source, npy_source, fuzz_source, recall_curve,
+        index_roundtrip, sql_search, sql_functions, arrow_walk, sharded_search, insert_graph_reach, nsg_path_reach, insert_search, routed_index, fbin_source, npy_source, fuzz_source, recall_curve,
     )
 }
 
@@ -578,6 +592,11 @@ SQL: dict[str, str] = {
     "proto_oracle": _with([*_G, _knn("t", EF), f"e AS (SELECT DISTINCT t.qid, t.id FROM t JOIN range({round(0.25 * EF)}) r(draw) ON t.rank = 1 + (t.qid * 7919 + r.draw * 104729 + {SEED}) % 10007 % {EF})", *_walk("w", "e", "g", EF, 20)], _TOP.format("w_p")),
     "index_roundtrip": _with([Q, B, _knn("t", K)], "SELECT qid, rank, id FROM t"),
     "sql_search": _with([Q, B, _knn("t", K)], "SELECT qid, rank, id FROM t"),
+    "sql_functions": _with(
+        [Q, B, _knn("t", K), _knn("p", K, dims=PREFIX)],
+        f"SELECT t.qid, t.id, rank, round(t.dist, 6) AS dist, round(list_distance(q.vec[{PREFIX + 1}:], b.vec[{PREFIX + 1}:])**2, 6) AS rest, r.recall FROM t JOIN q USING (qid) JOIN b ON b.id = t.id "
+        f"JOIN (SELECT t.qid, count(p.id) / {K} AS recall FROM t LEFT JOIN p ON p.qid = t.qid AND p.id = t.id GROUP BY t.qid) r ON r.qid = t.qid",
+    ),
     "routed_index": _with([Q, B, _knn("t", K)], "SELECT qid, rank, id FROM t"),
     "sharded_search": _with([Q, B, _knn("t", K)], "SELECT qid, rank, id FROM t"),
     "insert_search": _with([Q, B, _knn("t", K)], "SELECT qid, rank, id FROM t"),
