@@ -269,6 +269,29 @@ def test_staged_index_round_trip(spark, data, tmp_path, method):
         held.search(q, 10, 9)
 
 
+def test_a_stopped_build_goes_on(spark, data, tmp_path, monkeypatch):
+    import os
+    import shutil
+
+    base, q, _ = data
+    whole = StagedIndex.build(base, CONFIG, f"{tmp_path}/whole")
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(whole.search(q, 10, 32))
+    for name in ("edges", "sub_edges", "entries"):
+        at = f"{tmp_path}/{name}"
+        shutil.copytree(f"{tmp_path}/whole", at)
+        os.remove(f"{at}/{name}/_SUCCESS")
+        os.remove(f"{at}/config/_SUCCESS")
+        with pytest.raises(ValueError, match="no whole index"):
+            StagedIndex.load(spark, at)
+        before = os.stat(f"{at}/vectors/_SUCCESS").st_mtime_ns
+        again = StagedIndex.build(base, CONFIG, at)
+        assert os.stat(f"{at}/vectors/_SUCCESS").st_mtime_ns == before
+        assert rows(again.tables[name]) == rows(whole.tables[name]) and rows(again.search(q, 10, 32)) == want
+    with pytest.raises(ValueError, match="other vectors"):
+        StagedIndex.build(base.where("id < 100"), CONFIG, f"{tmp_path}/whole")
+
+
 def test_whole_sample_and_width(data, tmp_path):
     base, q, truth = data
     held = StagedIndex.build(base, Config(D, D, 1.0, "nsw32", "random16", 1), f"{tmp_path}/c")

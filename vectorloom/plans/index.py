@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
+from hashlib import sha256
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +14,13 @@ from ..functions.vectors import checked, prefix
 from ..operators import arrow_walk, entry, exact, graph, linalg
 from ..operators.topk import topk
 from ..operators.walk import Walk, staged_walk, walk
-from .scratch import written
+from .scratch import exists, written
 
 #: Candidates of a node when an index is built.
 EF_BUILD = 80
 #: Vectors of a shard, which one task compares with each other.
 SHARD_ROWS = 50_000
+_CONFIG = "d_model int, d_principle int, sample_ratio double, graph_method string, entry_method string, seed long"
 _TABLES = ("vectors", "rotation", "edges", "sample", "sub_edges", "routers", "entries")
 
 
@@ -67,31 +70,45 @@ class StagedIndex:
 
     @classmethod
     def build(cls, vectors: DataFrame, config: Config, path: str, rotation: np.ndarray | None = None, ef: int = EF_BUILD, mode: str = "insert") -> StagedIndex:
-        """Build all tables from (id, vec), writing each to path before the next reads it. rotation: use this one instead of the SVD. ef and mode: candidates of a node and how they are found (graph.build_graph)."""
+        """Build all tables from (id, vec), each written to path before the next reads it. rotation: use this one instead of the SVD. ef and mode: candidates of a node and how they are found (graph.build_graph).
+
+        A build that was stopped goes on at the first table that is not whole, if vectors, config,
+        ef and mode are the same (else an error); the config is written last, and load refuses
+        a path without it.
+        """
         spark, c = vectors.sparkSession, config
         if not 0 < c.sample_ratio <= 1 or not 0 < c.d_principle <= c.d_model:
             raise ValueError("sample_ratio must be in (0, 1] and d_principle in [1, d_model]")
         vectors = vectors.select("id", checked("vec", c.d_model).alias("vec"))
-        v = linalg.svd(vectors, c.d_model, max_size=10_000_000, seed=c.seed)[0] if rotation is None else rotation
-        linalg.rotation_table(spark, v).write.parquet(f"{path}/rotation")
-        rotated = linalg.rotate(vectors.select("id", "vec"), v)
-        rotated.select("id", F.col("vec").cast("array<float>").alias("vec"), prefix("vec", c.d_principle).cast("array<float>").alias("prefix")).write.parquet(f"{path}/vectors")
-        held = spark.read.parquet(f"{path}/vectors")
+
+        def table(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+            if not exists(spark, f"{path}/{name}/_SUCCESS"):
+                make().write.mode("overwrite").parquet(f"{path}/{name}")
+            return spark.read.parquet(f"{path}/{name}")
+
+        of = vectors.agg(F.count("*").alias("n"), F.sum(F.xxhash64("id", "vec").cast("decimal(38,0)")).cast("string").alias("digest"))
+        of = of.select("*", F.lit(f"{c} {ef} {mode} {None if rotation is None else sha256(rotation.tobytes()).hexdigest()}").alias("what")).first()
+        began = table("build", lambda: spark.createDataFrame([of], "n long, digest string, what string").coalesce(1)).first()
+        if began != of:
+            raise ValueError(f"{path} holds a build of other vectors or settings")
+        table("rotation", lambda: linalg.rotation_table(spark, linalg.svd(vectors, c.d_model, max_size=10_000_000, seed=c.seed)[0] if rotation is None else rotation))
+        v = linalg.rotation_of(spark.read.parquet(f"{path}/rotation"), c.d_model)
+        held = table("vectors", lambda: linalg.rotate(vectors, v).select("id", F.col("vec").cast("array<float>").alias("vec"), prefix("vec", c.d_principle).cast("array<float>").alias("prefix")))
         method, degree = c.graph
-        graph.build_graph(held.select("id", "vec"), method, degree, c.d_model, ef, mode).write.parquet(f"{path}/edges")
-        edges = spark.read.parquet(f"{path}/edges")
-        n = max(1, int(held.count() * c.sample_ratio))
-        graph.sample_nodes(edges, held.select("id"), n, 1, c.seed).write.parquet(f"{path}/sample")
-        graph.subgraph(held.select("id", "vec"), spark.read.parquet(f"{path}/sample"), method, degree, c.d_model, ef, mode).write.parquet(f"{path}/sub_edges")
-        chosen = EntrySelector(c.entry_method, c.seed).train(held.select("id", F.col("prefix").alias("vec")), c.d_principle)
-        chosen.entries.write.parquet(f"{path}/entries")
-        routers = chosen.routers if chosen.routers is not None else spark.createDataFrame([], "router int, vec array<double>")
-        routers.write.parquet(f"{path}/routers")
-        spark.createDataFrame([tuple(asdict(c).values())], "d_model int, d_principle int, sample_ratio double, graph_method string, entry_method string, seed long").coalesce(1).write.parquet(f"{path}/config")
+        edges = table("edges", lambda: graph.build_graph(held.select("id", "vec"), method, degree, c.d_model, ef, mode))
+        sample = table("sample", lambda: graph.sample_nodes(edges, held.select("id"), max(1, int(of.n * c.sample_ratio)), 1, c.seed))
+        table("sub_edges", lambda: graph.subgraph(held.select("id", "vec"), sample, method, degree, c.d_model, ef, mode))
+        train = lambda: EntrySelector(c.entry_method, c.seed).train(held.select("id", F.col("prefix").alias("vec")), c.d_principle)
+        table("entries", lambda: train().entries)
+        none = spark.createDataFrame([], "router int, vec array<double>")
+        table("routers", lambda: none if train().routers is None else train().routers)
+        table("config", lambda: spark.createDataFrame([tuple(asdict(c).values())], _CONFIG).coalesce(1))
         return cls.load(spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> StagedIndex:
+        if not exists(spark, f"{path}/config/_SUCCESS"):
+            raise ValueError(f"{path} holds no whole index")
         row = spark.read.parquet(f"{path}/config").first()
         return cls(Config(**row.asDict()), {t: spark.read.parquet(f"{path}/{t}") for t in _TABLES})
 
@@ -99,7 +116,7 @@ class StagedIndex:
         spark = self.tables["vectors"].sparkSession
         for name, df in self.tables.items():
             df.write.parquet(f"{path}/{name}")
-        spark.createDataFrame([tuple(asdict(self.config).values())], "d_model int, d_principle int, sample_ratio double, graph_method string, entry_method string, seed long").coalesce(1).write.parquet(f"{path}/config")
+        spark.createDataFrame([tuple(asdict(self.config).values())], _CONFIG).coalesce(1).write.parquet(f"{path}/config")
 
     def rotation(self) -> np.ndarray:
         return linalg.rotation_of(self.tables["rotation"], self.config.d_model)

@@ -27,3 +27,9 @@ def written(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut at files in that folder."""
     root(df.sparkSession)
     return df.checkpoint()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file is there, on any file system that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

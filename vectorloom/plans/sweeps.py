@@ -1,10 +1,11 @@
-"""Jobs over indexes: build and save, sweeps over ef, and ablations. Each sweep returns rows (mode, known, ef, recall, milliseconds)."""
+"""Jobs over indexes: build and save, sweeps over ef, and ablations. Each sweep returns rows (mode, known, ef, recall, milliseconds, spread)."""
 
 from __future__ import annotations
 
 import sys
 import time
 from collections.abc import Callable, Iterable
+from statistics import fmean, pstdev
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,20 +14,20 @@ from ..sources.vector_files import Dataset, load_dataset
 from .index import Config, StagedIndex, oracle_search, single_search
 from .scratch import written
 
-_ROWS = "mode string, known double, ef int, recall double, milliseconds double"
+_ROWS = "mode string, known double, ef int, recall double, milliseconds double, spread double"
 
 
-def timed(found: Callable[[], DataFrame], truth: DataFrame, repeats: int = 1) -> tuple[float, float]:
-    """(mean recall, mean milliseconds of running the search to its end)."""
-    spent = 0.0
-    for _ in range(repeats):
+def timed(found: Callable[[], DataFrame], truth: DataFrame, repeats: int = 1, warmups: int = 0) -> tuple[float, float, float]:
+    """(mean recall, mean milliseconds of running the search to its end, their standard deviation); the first `warmups` runs do not count."""
+    spent = []
+    for _ in range(warmups + repeats):
         began = time.time()
         found().write.format("noop").mode("overwrite").save()
-        spent += time.time() - began
-    return topk.mean_recall(found(), truth).first().recall, 1000 * spent / repeats
+        spent.append(1000 * (time.time() - began))
+    return topk.mean_recall(found(), truth).first().recall, fmean(spent[warmups:]), pstdev(spent[warmups:])
 
 
-def build_job(spark: SparkSession, name: str, root: str, config: Config, path: str, mode: str = "exact") -> StagedIndex:
+def build_job(spark: SparkSession, name: str, root: str, config: Config, path: str, mode: str = "insert") -> StagedIndex:
     """Load a named dataset, build its index and save it at path."""
     data = load_dataset(spark, name, root)
     if data.storage is None:
@@ -34,16 +35,16 @@ def build_job(spark: SparkSession, name: str, root: str, config: Config, path: s
     return StagedIndex.build(data.storage, config, path, mode=mode)
 
 
-def sweep(index: StagedIndex, queries: DataFrame, truth: DataFrame, efs: Iterable[int], k: int = 10, repeats: int = 1, tier: str = "arrow") -> DataFrame:
+def sweep(index: StagedIndex, queries: DataFrame, truth: DataFrame, efs: Iterable[int], k: int = 10, repeats: int = 1, tier: str = "arrow", warmups: int = 0) -> DataFrame:
     """The staged search at each ef."""
-    rows = [(tier, None, ef, *timed(lambda ef=ef: index.search(queries, k, ef, tier), truth, repeats)) for ef in efs]
+    rows = [(tier, None, ef, *timed(lambda ef=ef: index.search(queries, k, ef, tier), truth, repeats, warmups)) for ef in efs]
     return queries.sparkSession.createDataFrame(rows, _ROWS)
 
 
-def sweep_saved(spark: SparkSession, path: str, data: Dataset, efs: Iterable[int], n_queries: int = 1024, k: int = 10, repeats: int = 1, seed: int = 0) -> DataFrame:
+def sweep_saved(spark: SparkSession, path: str, data: Dataset, efs: Iterable[int], n_queries: int = 1024, k: int = 10, repeats: int = 1, seed: int = 0, warmups: int = 0) -> DataFrame:
     """As sweep, from a saved index and queries drawn from a dataset."""
     queries, truth = data.load_query(n_queries, k, seed)
-    return sweep(StagedIndex.load(spark, path).deploy(), written(queries), written(truth), efs, k, repeats)
+    return sweep(StagedIndex.load(spark, path).deploy(), written(queries), written(truth), efs, k, repeats, warmups=warmups)
 
 
 def oracle_ablation(queries: DataFrame, vectors: DataFrame, edges: DataFrame, known: Iterable[float], efs: Iterable[int], dims: int, k: int = 10, seed: int = 0) -> DataFrame:
