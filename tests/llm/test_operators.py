@@ -342,7 +342,8 @@ def test_quality_is_the_plain_version(judged):
     u = {r.doc_id: r.u for r in docs.selectExpr("doc_id", f"(shiftrightunsigned(xxhash64(doc_id, {quality.SEED}), 11) + 0.5) / {1 << 53}D u").collect()}
     key = {i: w - np.log(-np.log(u[i])) for i, w in weight.items()}
     assert all(abs(rows[i].gumbel_key - k) < 1e-6 for i, k in key.items())
-    k = sum(w >= quality.fit(docs, labels).cut for w in weight.values())
+    cut = quality.fit(docs, labels).cut
+    k = sum(w >= cut for w in weight.values())
     assert {i for i, r in rows.items() if r.kept} == set(sorted(key, key=key.get)[-k:])
 
 
@@ -407,6 +408,73 @@ def test_toxicity_prior_is_that_of_all_labels(spark, monkeypatch):
     assert used == [(40, sum(seen) / len(seen)), (len(seen), sum(seen) / len(seen))]
 
 
+def _plain_bag(text: str) -> dict[int, float]:
+    found = [g for w in set(re.findall(r"[^\W_]+", text.lower())) for g in [f"<{w}>"[i : i + n] for n in (3, 4, 5) for i in range(len(w) + 3 - n)] + [f"<{w}>"]]
+    out: dict[int, float] = {}
+    for g in found:
+        at = zlib.crc32(g.encode()) % toxicity.BUCKETS
+        out[at] = out.get(at, 0) + 1 / len(found)
+    return out
+
+
+def test_toxicity_training_is_the_plain_one(monkeypatch):
+    monkeypatch.setattr(toxicity, "BUCKETS", 256)
+    rng = random.Random(9)
+    labels = [int(i % 3 == 0) for i in range(300)]
+    texts = [words(rng, 8, 40) + " Vile" * y for y in labels]
+    maker = toxicity.Bags()
+    logit, bias = toxicity.train([maker.of(t) for t in texts], labels, epochs=2)
+    bags, draw = [_plain_bag(t) for t in texts], np.random.default_rng(toxicity.SEED)
+    E, W, b = draw.normal(0, 0.01, (256, toxicity.DIM)), draw.normal(0, 1.0, (toxicity.DIM, 2)), np.zeros(2)
+    hidden = lambda bag: sum(v * E[g] for g, v in bag.items()) * toxicity.SCALE
+    rows = np.array([i for i in range(300) if i % 5])
+    share = [np.mean([labels[i] == c for i in rows]) for c in (0, 1)]
+    pace, step = [[0.0, 0.0] for _ in range(3)], 0
+    for _ in range(2):
+        draw.shuffle(rows)
+        for lot in np.array_split(rows, max(1, len(rows) // toxicity.BATCH)):
+            step += 1
+            grads = [toxicity.DECAY * E, toxicity.DECAY * W, np.zeros(2)]
+            for i in lot:
+                p = np.exp(hidden(bags[i]) @ W + b)
+                d = (p / p.sum() - np.eye(2)[labels[i]]) * 0.5 / share[labels[i]] / len(lot)
+                grads[1] = grads[1] + np.outer(hidden(bags[i]), d)
+                grads[2] = grads[2] + d
+                for g, v in bags[i].items():
+                    grads[0][g] += v * (W @ d) * toxicity.SCALE
+            for param, grad, m in zip((E, W, b), grads, pace, strict=True):
+                m[0], m[1] = 0.9 * m[0] + 0.1 * grad, 0.98 * m[1] + 0.02 * (grad**2).sum()
+                param -= toxicity.RATE * m[0] / (1 - 0.9**step) / (np.sqrt(m[1] / (1 - 0.98**step)) + 1e-12)
+    z = np.array([hidden(bag) @ (W[:, 1] - W[:, 0]) for bag in bags]) + b[1] - b[0]
+    slope, offset = toxicity._calibrated(z[::5], np.array(labels[::5]), float(np.mean(labels)))
+    plain = [1 / (1 + np.exp(-(v * slope + offset))) for v in z]
+    scorer = toxicity.Scorer(logit, bias)
+    assert np.allclose([scorer.of(t) for t in texts], plain, atol=1e-3) and np.std(plain) > 0.1
+    none = 1 / (1 + np.exp(-((b[1] - b[0]) * slope + offset)))
+    assert abs(scorer.of("") - none) < 1e-3 and abs(scorer.of("?! ...") - none) < 1e-3
+
+
+def test_toxicity_calibration_is_where_the_gradient_ends():
+    rng = np.random.default_rng(4)
+    z, y = rng.normal(0, 3, 200), rng.integers(0, 2, 200)
+    slope, offset = toxicity._calibrated(z, y, 0.2)
+    w = np.where(y == 1, 0.2 / (y == 1).sum(), 0.8 / (y == 0).sum())
+    off = w * (1 / (1 + np.exp(-(slope * z + offset))) - y)
+    top = np.abs(z).max()
+    assert abs(off.sum() + 1e-5 * offset) < 1e-8 and abs((off * z / top).sum() + 1e-5 * slope * top) < 1e-8
+
+
+@pytest.mark.parametrize("flip", [False, True])
+def test_models_take_the_least_text_of_a_repeated_id(spark, flip):
+    rows = [(i, t) for i in range(80) for t in ((f"vile thing {i % 7}" if i % 2 else f"fine thing {i % 7}"), f"zzz {i}")]
+    docs = spark.createDataFrame(rows[::-1] if flip else rows, "doc_id long, text string")
+    least = spark.createDataFrame([r for r in rows if not r[1].startswith("zzz")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, y int")
+    assert all(np.array_equal(a, b) for a, b in zip(toxicity.fit(docs, labels, label_col="y"), toxicity.fit(least, labels, label_col="y"), strict=True))
+    kept = quality._labelled(docs, labels, "doc_id", "y", 100)[0]
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(r.doc_id, r.text) for r in least.collect()}
+
+
 # --- 7 ---------------------------------------------------------------------
 
 

@@ -5,8 +5,9 @@ word shapes (case, digits, signs, a word that repeats the one before). Two
 generative models over the same buckets are fitted: the target from good labelled
 texts, the raw one from counts over all texts. A text's evidence is the mean over its
 n-grams of log p_target - log p_raw, with PRIOR_GRAMS neutral n-grams added, so that
-length alone says nothing. A logistic fit to the labels turns it into the log weight: the
-log odds that the text is good. Its key is log weight / temperature plus Gumbel noise, and
+length alone says nothing. A logistic fit to the labels scales it to the log weight, the
+log odds that the text is good: its slope sets how far the ratio outweighs the noise, its
+offset changes no rank. A text's key is log weight / temperature plus Gumbel noise, and
 the k largest keys are the sample, drawn without replacement in proportion to
 weight ** (1 / temperature) (Xie et al., 2023; Kool et al., 2019). Noise decides near the
 margin, where the odds are close to even; a text with odds of a thousand stays.
@@ -17,8 +18,10 @@ and the cut hold for texts that were not labelled. k follows from the labels: th
 between good and bad labelled texts' log weights that loses fewest of either gives the
 number of texts above it, counted over all.
 
-Target models and the logistic fit use at most FIT_ROWS labelled texts of each class; the
-classes weigh in it as among all labels. Everything else covers all texts. The k-th key is
+Target models and the logistic fit use at most FIT_ROWS labelled texts of each class, of
+rows with one id the least text; the classes weigh in it as among all labels. Texts stay in
+the executors: sums by fold and bucket and one number a labelled text reach the driver.
+Everything else covers all texts. The k-th key is
 found by histograms of fixed size, refined until it is exact; no keys are gathered.
 
 Defined results: null and empty texts have no n-grams and neutral evidence; long texts are
@@ -93,30 +96,51 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = No
 
 
 def gram_counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """Counts of all texts' n-grams: each task adds its own, and BUCKETS sums reach the driver."""
+    """Counts of all texts' n-grams."""
+    return _counts(texts.select("text", F.lit(0).alias("fold")), buckets, 1)[0]
+
+
+def _counts(texts: DataFrame, buckets: int, folds: int) -> np.ndarray:
+    """Counts of the n-grams of each fold's texts: each task adds its own, and folds * buckets sums reach the driver."""
 
     def run(batches):
-        grams, total = Grams(buckets), np.zeros(buckets, np.int64)
+        grams, total = Grams(buckets), np.zeros((folds, buckets), np.int64)
         for b in batches:
-            for t in b.column(0):
-                total += np.bincount(grams.of(t.as_py()), minlength=buckets)
+            for t, f in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                total[f] += np.bincount(grams.of(t.as_py()), minlength=buckets)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.reshape(-1)[at])], ["bucket", "n"])
 
-    out = np.zeros(buckets, np.int64)
-    for row in texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[row.bucket] = row.n
-    return out
+    sums = texts.select("text", "fold").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(folds * buckets, np.int64)
+    out[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
+    return out.reshape(folds, buckets)
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, fit_rows: int, buckets: int) -> tuple[list[tuple[np.ndarray, int, int]], float]:
-    """(bags of at most fit_rows texts of each class, chosen by a hash of the id, with label and fold; the share of good ones among all labels)."""
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, fit_rows: int) -> tuple[DataFrame, float]:
+    """(doc_id, text, y, fold of at most fit_rows texts of each class, chosen by a hash of the id; the share of good ones among all labels). Of rows with one id the least text counts."""
     one = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col)).alias("y"))
     order = [F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id")]
     chosen = one.where("y = 1").orderBy(*order).limit(fit_rows).union(one.where("y = 0").orderBy(*order).limit(fit_rows))
-    found = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).withColumn("fold", fold_of("doc_id")).orderBy("doc_id")  # 2 * fit_rows ids at most
-    grams = Grams(buckets)
-    return [(grams.of(r.text).astype(np.int32), r.y, r.fold) for r in found.select("text", "y", "fold").toLocalIterator()], one.agg(F.avg("y")).first()[0] or 0.0
+    found = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))  # 2 * fit_rows ids at most
+    return stored(found.withColumn("fold", fold_of("doc_id")), "quality-labelled"), one.agg(F.avg("y")).first()[0] or 0.0
+
+
+def _evidence(rows: DataFrame, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(evidence, label) of labelled rows in the order of their ids: two numbers a row reach the driver."""
+    shared = rows.sparkSession.sparkContext.broadcast(ratios)  # FOLDS * BUCKETS doubles
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        grams = Grams(shared.value.shape[1])
+        for b in batches:
+            x = [evidence(grams.of(t.as_py()), shared.value[f]) for t, f in zip(b.column(1), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.float64())], ["doc_id", "y", "x"])
+
+    label = rows.schema["y"].dataType.simpleString()
+    found = rows.select("doc_id", "text", "y", "fold").mapInArrow(run, f"doc_id {kind}, y {label}, x double").orderBy("doc_id").toArrow()
+    shared.unpersist()
+    return found["x"].to_numpy(), found["y"].to_numpy().astype(int)
 
 
 def evidence(bag: np.ndarray, ratio: np.ndarray) -> float:
@@ -139,18 +163,15 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS, buckets: int = BUCKETS) -> Model:
     texts = _texts(docs, id_col, text_col)
-    rows, prior = _labelled(texts, labels, id_col, label_col, fit_rows, buckets)
-    y, fold = np.array([y for _, y, _ in rows], int), np.array([f for *_, f in rows], int)
-    if len(set(y)) < 2:
+    rows, prior = _labelled(texts, labels, id_col, label_col, fit_rows)
+    if rows.select("y").distinct().count() < 2:
         return Model(np.zeros((FOLDS, buckets)))
-    raw, bags, counts = gram_counts(texts, buckets), [bag for bag, *_ in rows], np.zeros((FOLDS, buckets), np.int64)
-    for bag, label, f in zip(bags, y, fold, strict=True):
-        if label == 1:
-            counts[np.arange(FOLDS) != f] += np.bincount(bag, minlength=buckets)
+    raw, own = gram_counts(texts, buckets), _counts(rows.where("y = 1"), buckets, FOLDS)
+    counts = own.sum(0) - own  # a fold's target model is that of the other folds
     # The raw shares smooth the target.
     share = (raw + 0.5) / (raw.sum() + 0.5 * buckets)
     ratios = np.log((counts + SMOOTH * share) / (counts.sum(1, keepdims=True) + SMOOTH)) - np.log(share)
-    x = np.array([evidence(bag, ratios[f]) for bag, f in zip(bags, fold, strict=True)])
+    x, y = _evidence(rows, ratios)
     slope, offset = _logistic(x, y, prior)
     weights = slope * x + offset
     return Model(ratios, slope, offset, _cut(weights[y == 1], weights[y == 0]))

@@ -2,17 +2,21 @@
 
 A word is the bag of its character 3- to 5-grams (with word ends) and itself, hashed
 into BUCKETS; a text is the average of its distinct words' n-gram embeddings, and a linear
-softmax on it gives the classes. Embeddings and softmax are trained together with
-Adam. A misspelling shares most n-grams with the word it hides, and so its vector.
+softmax on it gives the classes. Embeddings and softmax are trained together by steps with
+momentum as in Adam, but with one second moment for each table instead of one for each
+value. A misspelling shares most n-grams with the word it hides, and so its vector.
 
 Training uses at most FIT_ROWS labelled rows of each class, chosen by a hash of the
-id, and never a held-out one; the logits are calibrated to the classes' shares among all
+id, and never a held-out one. Their bags are made in the executors: the driver, which
+trains, gets no texts, and at most 2 * FIT_ROWS bags of BUCKETS numbers; the logits are calibrated to the classes' shares among all
 labels that are not held out, so scores do not depend on FIT_ROWS. Scoring covers all texts; since everything after the
 bag is linear, a word's share of the logit is kept in a bounded table.
 
-Defined results: null and empty texts are scored by the bias alone; rows with null
-labels are not used; repeated labels of a document count once, as toxic if any is;
-without labels of both classes every score is 0; other columns are ignored.
+Defined results: null and empty texts are scored by the bias alone; texts of any length are
+scored whole; equal texts have equal scores, so repeated rows and ties do too; of labelled
+rows with one id training takes the least text; rows with null labels are not used; repeated
+labels of a document count once, as toxic if any is; without labels of both classes every
+score is 0; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,25 +49,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows of the texts' average bags: (buckets, shares, row starts)."""
-    known: dict[str, np.ndarray] = {}
-    at, share, starts = [], [], [0]
-    for text in texts:
+class Bags:
+    """Average bags of texts; the n-grams of words are kept in a bounded table."""
+
+    def __init__(self):
+        self.known: dict[str, np.ndarray] = {}
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets, their shares) of a text's distinct words: BUCKETS of each at most, whatever its length."""
         words = set(_WORDS(text.lower()))
-        total = np.zeros(BUCKETS, np.float32)
+        if len(self.known) + len(words) > _KEPT:
+            self.known.clear()
+        found = []
         for w in words:
-            if (g := known.get(w)) is None:
-                g = known[w] = np.array(grams(w))
-            np.add.at(total, g, 1)
-        bag = np.flatnonzero(total)
-        at.append(bag.astype(np.int32))
-        share.append(total[bag] / max(1.0, total.sum()))
-        starts.append(starts[-1] + len(bag))
-    return np.concatenate(at), np.concatenate(share), np.array(starts)
+            if (g := self.known.get(w)) is None:
+                g = self.known[w] = np.array(grams(w))
+            found.append(g)
+        at, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+        return at.astype(np.int32), n.astype(np.float32) / np.float32(max(1, n.sum()))
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, dim: int = DIM, rate: float = RATE, prior: float | None = None) -> tuple[np.ndarray, float]:
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = EPOCHS, dim: int = DIM, rate: float = RATE, prior: float | None = None) -> tuple[np.ndarray, float]:
     """(each bucket's share of the logit, bias). Embeddings (BUCKETS, dim) and softmax (dim, 2) are trained jointly.
 
     prior: share of class 1 among all labelled rows, for the calibration of the
@@ -72,7 +78,8 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, dim: int =
     y = np.array(labels)
     if not len(y) or y.min() == y.max():
         return np.zeros(BUCKETS), -np.inf
-    at, share, starts = _bags(texts)
+    at, share = (np.concatenate(x) for x in zip(*bags, strict=True))
+    starts = np.cumsum([0, *(len(own) for own, _ in bags)])
     rng = np.random.default_rng(SEED)
     learn = np.arange(len(y)) % 5 != 0
     if len(set(y[learn])) < 2 or len(set(y[~learn])) < 2:
@@ -152,9 +159,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = [F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id")]
     chosen = one.where("y = 1").orderBy(*order).limit(fit_rows).union(one.where("y = 0").orderBy(*order).limit(fit_rows))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id")  # 2 * fit_rows at most
-    rows = [(r.text, r.y) for r in found.select("text", "y").toLocalIterator()]
-    return train([t for t, _ in rows], [y for _, y in rows], prior=one.agg(F.avg("y")).first()[0])
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).orderBy("doc_id")  # 2 * fit_rows ids at most
+
+    def run(batches):
+        bags = Bags()
+        for b in batches:
+            for t, y in zip(b.column(0), b.column(1), strict=True):
+                at, share = bags.of(t.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([share]), pa.array([y.as_py()], y.type)], ["at", "share", "y"])
+
+    label = found.schema["y"].dataType.simpleString()
+    rows = found.select("text", "y").mapInArrow(run, f"at array<int>, share array<float>, y {label}").toArrow()
+    bags = [(at.values.to_numpy(), share.values.to_numpy()) for at, share in zip(rows["at"], rows["share"], strict=True)]
+    return train(bags, rows["y"].to_pylist(), prior=one.agg(F.avg("y")).first()[0])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
