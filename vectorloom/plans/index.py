@@ -91,7 +91,7 @@ class StagedIndex:
         began = table("build", lambda: spark.createDataFrame([of], "n long, digest string, what string").coalesce(1)).first()
         if began != of:
             raise ValueError(f"{path} holds a build of other vectors or settings")
-        table("rotation", lambda: linalg.rotation_table(spark, linalg.svd(vectors, c.d_model, max_size=10_000_000, seed=c.seed)[0] if rotation is None else rotation))
+        table("rotation", lambda: linalg.rotation_table(spark, linalg.svd(vectors, c.d_model, max_size=10_000_000, seed=c.seed, rank=c.d_principle)[0] if rotation is None else rotation))
         v = linalg.rotation_of(spark.read.parquet(f"{path}/rotation"), c.d_model)
         held = table("vectors", lambda: linalg.rotate(vectors, v).select("id", F.col("vec").cast("array<float>").alias("vec"), prefix("vec", c.d_principle).cast("array<float>").alias("prefix")))
         method, degree = c.graph

@@ -109,7 +109,7 @@ class ShardedIndex:
         """About `shards` shards, or so many that none holds more than shard_rows. config is written last: load refuses an index without it."""
         spark, c, most = vectors.sparkSession, config, shard_rows(config)
         vectors = vectors.select("id", checked("vec", c.d_model).alias("vec"))
-        v = linalg.svd(vectors, c.d_model, max_size=10_000_000, seed=c.seed)[0]
+        v = linalg.svd(vectors, c.d_model, max_size=10_000_000, seed=c.seed, rank=c.d_principle)[0]
         linalg.rotation_table(spark, v).write.parquet(f"{path}/rotation")
         held = written(linalg.rotate(vectors, v))
         n = held.count()

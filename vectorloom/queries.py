@@ -144,6 +144,13 @@ def svd_isometry_knn(spark, sf_dir):
     return _shown(exact.exact_knn(linalg.rotate(q, v), linalg.rotate(b, v), K, DIMS))
 
 
+def svd_wide_knn(spark, sf_dir):
+    """Exact neighbours after a rotation completed from the directions of the randomised range finder."""
+    q, b = _tables(spark, sf_dir)
+    v = linalg.range_svd(b, DIMS, PREFIX, seed=SEED)[0]
+    return _shown(exact.exact_knn(linalg.rotate(q, v), linalg.rotate(b, v), K, DIMS))
+
+
 def svd_sampled_reconstruct(spark, sf_dir):
     _, b = _tables(spark, sf_dir)
     v = linalg.svd(b, DIMS, max_size=100, seed=SEED)[0]
@@ -419,7 +426,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         exact_knn, exact_knn_blocks, exact_knn_bounded, square_dist_nodelist, prefix_dist, residual_dist, nearest_one, ground_truth_topk, shrink_dataset, load_query, recall_at_k,
-        heap_bounded_topk, heap_pop, heap_popped, bitmask_distinct, svd_gram, svd_energy, svd_isometry_knn, svd_sampled_reconstruct,
+        heap_bounded_topk, heap_pop, heap_popped, bitmask_distinct, svd_gram, svd_energy, svd_isometry_knn, svd_wide_knn, svd_sampled_reconstruct,
         entry_random, entry_per_query, router_init, entry_router_leaves, entry_router_assign, entry_routed_distances,
         graph_knn, graph_nsw, graph_nsg, graph_nsg_reach, graph_degree_stats, khop_expand, subgraph_sample, subgraph_build,
         walk_single, walk_subgraph, walk_refine, walk_exhaustive, staged_search, staged_stats, proto_nsw, proto_nsw_drawn, proto_sampled, proto_svd, proto_oracle,
@@ -557,6 +564,7 @@ SQL: dict[str, str] = {
     "svd_gram": _with([B, "e AS (SELECT id, unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS i FROM b)"], "SELECT l.i, r.i AS j, round(sum(l.x * r.x), 6) AS v FROM e l JOIN e r USING (id) GROUP BY l.i, r.i"),
     "svd_energy": _with([B], "SELECT round(sum(list_dot_product(vec, vec)), 4) AS energy FROM b"),
     "svd_isometry_knn": _KNN,
+    "svd_wide_knn": _KNN,
     "svd_sampled_reconstruct": "SELECT true AS reconstructs",
     "entry_random": _with([Q, B, _entries("e", ENTRIES)], f"SELECT e.qid, e.id, round({_d('q.vec', 'b.vec')}, 6) AS dist FROM e JOIN q USING (qid) JOIN b USING (id)"),
     "entry_per_query": _with([Q, B, *_drawn("e", ENTRIES)], "SELECT qid, id FROM e"),
