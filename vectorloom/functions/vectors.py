@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Up to here an unrolled sum stays inside generated code and is the faster form.
-UNROLL = 128
+#: Up to here an unrolled sum is the faster form; the code of a longer one gets too large for the JVM to compile.
+UNROLL = 8
 
 
 def as_col(c: str | Column) -> Column:
