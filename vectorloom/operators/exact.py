@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import at_least, l2sq
+from ..plans.scratch import written
 from .topk import topk
 
 #: Queries in a broadcast block, and values in it at most.
@@ -27,6 +28,7 @@ DRIVER_BLOCKS = 1
 GRID_QUERIES, GRID_PART, LEAST_PART = 1 << 16, 1 << 15, 1 << 10
 #: Queries and vectors of a tile, and values of the differences that are made at once.
 LOT, TILE, DIFF_VALUES = 1024, 2048, 1 << 20
+_NONE = np.iinfo(np.int64).max
 
 
 def pair_distances(queries: DataFrame, base: DataFrame, dims: int, start: int = 0) -> DataFrame:
@@ -60,9 +62,11 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def _best(ids: np.ndarray, q: np.ndarray, base, k: int) -> pa.RecordBatch:
-    """(qid, id, dist): the k best of base, an iterable of (ids, vectors), for each query."""
-    best_d, best_i = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+def _best(ids: np.ndarray, q: np.ndarray, base, k: int, far: np.ndarray | None = None) -> pa.RecordBatch:
+    """(qid, id, dist): the k best of base, an iterable of (ids, vectors), for each query; far: none beyond these distances."""
+    best_d, best_i = np.full((len(q), k), np.inf), np.full((len(q), k), _NONE)
+    if far is not None:
+        best_d[:] = far[:, None]
     for own, x in base:
         if x.shape[1:] != q.shape[1:] and len(own) and len(q):
             raise ValueError(f"queries have {q.shape[1]} coordinates, the base has {x.shape[1]}")
@@ -70,7 +74,7 @@ def _best(ids: np.ndarray, q: np.ndarray, base, k: int) -> pa.RecordBatch:
             for lot in range(0, len(q), LOT):
                 rows = slice(lot, lot + LOT)
                 _improve(best_d[rows], best_i[rows], q[rows], own[at : at + TILE], x[at : at + TILE])
-    live = np.isfinite(best_d).ravel()
+    live = (np.isfinite(best_d) & (best_i != _NONE)).ravel()
     return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[live]), pa.array(best_i.ravel()[live]), pa.array(best_d.ravel()[live])], ["qid", "id", "dist"])
 
 
@@ -119,7 +123,8 @@ def _block_task(ids: np.ndarray, q: np.ndarray, k: int):
 def _grid(queries: DataFrame, base: DataFrame, k: int, block: int, part: int) -> DataFrame:
     """(qid, id, dist): the k best in each part of the base, where each block of queries meets each part in one task.
 
-    There are at least three tasks a core, if parts do not get too small for that.
+    There are at least three tasks a core, if parts do not get too small for that. A column
+    far of the queries bounds the distances that are looked for.
     """
     n_queries, n_base = queries.count(), base.count()
     n_blocks = max(1, -(-n_queries // block))
@@ -128,24 +133,25 @@ def _grid(queries: DataFrame, base: DataFrame, k: int, block: int, part: int) ->
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     vec = "array<float>" if all(df.schema["vec"].dataType.simpleString() == "array<float>" for df in (queries, base)) else "array<double>"
-    q = queries.select(number("qid", n_blocks).alias("i"), every(n_parts).alias("j"), F.lit(True).alias("asks"), F.col("qid").cast("long").alias("id"), F.col("vec").cast(vec).alias("vec"))
-    b = base.select(every(n_blocks).alias("i"), number("id", n_parts).alias("j"), F.lit(False).alias("asks"), F.col("id").cast("long").alias("id"), F.col("vec").cast(vec).alias("vec"))
-    cells = q.union(b).select((F.col("i") * n_parts + F.col("j")).alias("cell"), "asks", "id", "vec").repartitionById(n_blocks * n_parts, "cell")
+    q = queries.select(number("qid", n_blocks).alias("i"), every(n_parts).alias("j"), F.lit(True).alias("asks"), F.col("qid").cast("long").alias("id"), F.col("vec").cast(vec).alias("vec"), (F.col("far") if "far" in queries.columns else F.lit(float("inf"))).alias("far"))
+    b = base.select(every(n_blocks).alias("i"), number("id", n_parts).alias("j"), F.lit(False).alias("asks"), F.col("id").cast("long").alias("id"), F.col("vec").cast(vec).alias("vec"), F.lit(float("inf")).alias("far"))
+    cells = q.union(b).select((F.col("i") * n_parts + F.col("j")).alias("cell"), "asks", "id", "vec", "far").repartitionById(n_blocks * n_parts, "cell")
 
     def meet(batches):
         asked, rows = [], []
         for batch in batches:
-            asks, ids, x = np.asarray(batch.column(0)), np.asarray(batch.column(1)), matrix(batch.column(2))
-            for held, chosen in ((asked, asks), (rows, ~asks)):
-                if chosen.any():
-                    held.append((ids[chosen], x[chosen]))
+            asks, ids, x, far = np.asarray(batch.column(0)), np.asarray(batch.column(1)), matrix(batch.column(2)), np.asarray(batch.column(3))
+            if asks.any():
+                asked.append((ids[asks], x[asks], far[asks]))
+            if not asks.all():
+                rows.append((ids[~asks], x[~asks]))
         whole = [(np.concatenate([i for i, _ in rows]), np.concatenate([x for _, x in rows]))] if rows else []
         rows.clear()
-        for ids, x in asked:
+        for ids, x, far in asked:
             for at in range(0, len(ids), BLOCK):
-                yield _best(ids[at : at + BLOCK], x[at : at + BLOCK], whole, k)
+                yield _best(ids[at : at + BLOCK], x[at : at + BLOCK], whole, k, far[at : at + BLOCK])
 
-    return cells.select("asks", "id", "vec").mapInArrow(meet, "qid long, id long, dist double")
+    return cells.select("asks", "id", "vec", "far").mapInArrow(meet, "qid long, id long, dist double")
 
 
 def exact_knn_blocks(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
@@ -176,3 +182,19 @@ def exact_knn_blocks(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     for p in parts[1:]:
         found = found.union(p)
     return topk(found, k)
+
+
+def completed(queries: DataFrame, base: DataFrame, found: DataFrame, k: int, dims: int) -> DataFrame:
+    """qid, id, dist, rank: the k nearest of each query, from what a search found (qid, id) and the exact check that follows it.
+
+    A query's k-th distance found bounds its true ones, so the check brings only vectors within it
+    that the search may have missed. All distances are made anew from the given vectors.
+    """
+    q, b = queries.select("qid", at_least("vec", dims).alias("qv")), base.select("id", at_least("vec", dims).alias("bv"))
+    measured = lambda pairs: pairs.join(b, "id").join(q, "qid").select("qid", "id", l2sq("qv", "bv", dims).alias("dist"))
+    held = written(found.select("qid", "id").distinct())
+    far = topk(measured(held), k).where(F.col("rank") == k).select("qid", (F.col("dist") * (1 + 1e-9)).alias("far"))
+    asked = written(queries.select("qid", "vec").join(far, "qid", "left").select("qid", "vec", F.coalesce("far", F.lit(float("inf"))).alias("far")))
+    size = max(1, BLOCK_VALUES // dims)
+    near = _grid(asked, base.select("id", "vec"), k, min(size, GRID_QUERIES), min(size, GRID_PART)).select("qid", "id")
+    return topk(measured(held.union(near).distinct()), k)

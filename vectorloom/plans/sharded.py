@@ -162,7 +162,7 @@ class ShardedIndex:
                 part = self._asked(np.array(ids, np.int64), np.array(rows, np.float64), k, ef, probes)
                 found, ids, rows = part if found is None else found.union(part), [], []
         if ids or found is None:
-            part = self._asked(np.array(ids, np.int64), np.array(rows, np.float64).reshape(len(rows), -1), k, ef, probes)
+            part = self._asked(np.array(ids, np.int64), np.array(rows, np.float64).reshape(len(rows), self.config.d_model), k, ef, probes)
             found = part if found is None else found.union(part)
         return topk(found, k)
 
