@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import l2sq
 from ..plans.scratch import written
-from .exact import BLOCK_VALUES
+from . import insertion
+from .exact import BLOCK_VALUES, exact_knn_blocks
 from .topk import topk
 
 #: Rows (qid, id) of a frontier that may be broadcast: some 16 MB.
@@ -73,6 +74,16 @@ def walk(queries: DataFrame, vectors: DataFrame, edges: DataFrame, init: DataFra
     return Walk(pool, seen, done)
 
 
+def walk_all(queries: DataFrame, vectors: DataFrame, edges: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """(qid, id, dist, rank) of a walk whose pool holds every vector, from entries (id) that all queries share.
+
+    Such a pool drops nothing, so each query expands all that the entries reach: they are
+    followed once for all queries, and what they reach is compared in blocks, not stored by query.
+    """
+    met = written(insertion.reached(edges, entries.select("id").distinct()))
+    return exact_knn_blocks(queries, vectors.join(met.select("id"), "id", "left_semi"), k)
+
+
 def walk_stats(w: Walk, stage: int, n_init: int) -> DataFrame:
     """(stage, n_steps, n_visited, n_computed), means over queries; entries count as visited but not as computed."""
     n = w.visited.groupBy("qid").count()
