@@ -38,7 +38,7 @@ def pair_distances(queries: DataFrame, base: DataFrame, dims: int, start: int =
 
 def exact_knn(queries: DataFrame, base: DataFrame, k: int, dims: int) -> DataFrame:
     """qid, id, dist, rank: the k nearest of each query, ties by id."""
-    if queries.limit(BLOCK + 1).count() > BLOCK:
+    if queries.limit(BLOCK // 4 + 1).count() > BLOCK // 4:
         return exact_knn_blocks(queries, base, k)
     return topk(pair_distances(queries, base, dims), k)
 
