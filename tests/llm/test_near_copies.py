@@ -87,3 +87,20 @@ def test_the_pipeline_drops_copies_at_080_and_keeps_the_others(spark):
         gone |= {i + 1} if i % 4 == 0 else set()
     found = near(spark, stored(spark.createDataFrame(rows, SCHEMA).repartition(3), "texts"), "")
     assert {r.doc_id for r in found.collect()} == set(range(200)) - gone
+
+
+def test_buckets_do_not_store_their_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    shared = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = [" ".join(shared + [f"own{i}x{j}" for j in range(60)]) for i in range(100)]  # similarity 0.56: many common keys, no link
+    docs = stored(spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3), "texts")
+    rows, kept = [], nc._kept
+
+    def counted(df, name, n):
+        rows.append((kept(df, name, n), name))
+        return rows[-1][0]
+
+    monkeypatch.setattr(nc, "_kept", counted)
+    found = nc.near_copies(docs).collect()
+    assert all(r.kept for r in found) and len(found) == 100
+    assert max(df.count() for df, name in rows) <= 100 * nc.BANDS

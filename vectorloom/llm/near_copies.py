@@ -9,7 +9,8 @@ MinHash keys complete the links: texts that still lie in different components an
 share one of BANDS keys, each of ROWS minima, are compared on their sets. A pair at 0.8
 shares no key with probability (1 - 0.8**5)**24 < 1e-4, a more similar one with less.
 
-Texts with the same key are compared pair by pair where they are BUCKET at most; larger
+Texts with the same key are compared pair by pair where they are BUCKET at most: they bring
+their sets to one task, once for all keys that the same texts share, so no table holds pairs. Larger
 buckets are dealt into blocks, and a task compares the texts of a block that are not of
 the bucket's main component with those of another block. Nothing is left out: only pairs
 within one component, whose links would add nothing, are not compared.
@@ -38,8 +39,6 @@ SEED, SHINGLE, SIMILAR, NEAR_BITS = 42, 5, 0.8, 7
 BANDS, ROWS, BUCKET, BLOCK, LOT = 24, 5, 128, 256, 256
 #: Texts for each file of a table that is written between steps.
 TEXTS_A_FILE = 20_000
-#: Sides into which the texts of a small bucket are dealt: places of BUCKET / DEALT texts a side.
-DEALT = 3
 _BLOCK = 4096
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 _A, _B = (np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -172,9 +171,30 @@ def simhash_pairs(known: DataFrame, max_diff: int = NEAR_BITS, lot: int = LOT) -
     return split_join(pairs, lots, "b").select(F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("lots"))).alias("place"), "a", "b")
 
 
-def _fit(similar: float) -> str:
+def _fit(a: np.ndarray, b: np.ndarray, similar: float) -> bool:
     """Sets of too unequal sizes cannot be similar."""
-    return f"least(an, bn) >= {similar - 1e-9} * greatest(an, bn)"
+    few, many = sorted((len(a), len(b)))
+    return few >= (similar - 1e-9) * many
+
+
+def _in_buckets(small: DataFrame, sets: Sets, similar: float) -> DataFrame:
+    """Links (a, b) that span those between the labels of each bucket (key, node, label); buckets of the same texts are one."""
+    alike = small.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "label"))).alias("members")).groupBy("members").agg(F.min("key").alias("place"))  # `bucket` members at most
+    brought = _kept(alike.select("place", F.explode("members").alias("m")).select("place", "m.node", "m.label"), "near-small", sets.texts)
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, label = table.column("node").to_pylist(), table.column("label").to_pylist()
+        own = [np.frombuffer(v.as_py(), np.uint64) for v in table.column("hashes")]
+        order = sorted(range(len(node)), key=node.__getitem__)
+        forest, out = _Forest(), []
+        for at, p in enumerate(order):
+            for q in order[:at]:
+                if _fit(own[p], own[q], similar) and (one := forest.root(label[p])) != (two := forest.root(label[q])) and similarity(own[p], own[q]) >= similar:
+                    forest.join(one, two)
+                    out.append((node[p], node[q]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return split_join(brought, sets.of(brought.select("node")), "node").groupBy("place").applyInArrow(compare, "a long, b long")
 
 
 def _in_blocks(hot: DataFrame, sets: Sets, similar: float, block: int) -> DataFrame:
@@ -195,8 +215,7 @@ def _in_blocks(hot: DataFrame, sets: Sets, similar: float, block: int) -> DataFr
         forest, out = _Forest(), []
         for p in (i for i, o in enumerate(odd) if o):
             for q in (i for i, o in enumerate(odd) if not o):
-                few, many = sorted((len(sets[p]), len(sets[q])))
-                if few >= (similar - 1e-9) * many and (one := forest.root(label[p])) != (two := forest.root(label[q])) and similarity(sets[p], sets[q]) >= similar:
+                if _fit(sets[p], sets[q], similar) and (one := forest.root(label[p])) != (two := forest.root(label[q])) and similarity(sets[p], sets[q]) >= similar:
                     forest.join(one, two)
                     out.append((node[p], node[q]))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
@@ -209,18 +228,13 @@ def jaccard_edges(known: DataFrame, sets: Sets, similar: float = SIMILAR, bucket
     tried = _kept(simhash_pairs(known), "near-tried", sets.texts)
     edges = _kept(_verified(tried, sets, similar), "near-edges", sets.texts)
     labels = connected_components(edges).withColumnRenamed("node", "own")
-    keyed = known.select("node", "n", F.explode("keys").alias("key")).distinct()
-    keyed = keyed.join(labels, keyed.node == labels.own, "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    keyed = known.select("node", F.explode("keys").alias("key")).distinct()
+    keyed = keyed.join(labels, keyed.node == labels.own, "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     keyed = _kept(keyed, "near-keys", sets.texts)
     mixed = keyed.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("two"), F.count("*").alias("size")).where("one <> two").select("key", "size")
     met = _kept(split_join(keyed, mixed, "key"), "near-buckets", sets.texts)
     small, hot = met.where(F.col("size") <= bucket), met.where(F.col("size") > bucket)
-    x, y = (small.select("key", *[F.col(c).alias(p + c) for c in ("node", "n", "label")]) for p in "ab")
-    pairs = x.join(y, "key").where("alabel < blabel").where(_fit(similar)).groupBy(F.col("anode").alias("a"), F.col("bnode").alias("b")).agg(F.min("key").alias("place"))  # `bucket` partners at most
-    # The pairs of a bucket are dealt too: no place gets all of them.
-    side = lambda c: F.pmod(F.xxhash64(c), F.lit(DEALT))
-    pairs = _kept(pairs.select(F.xxhash64("place", side("a"), side("b")).alias("place"), "a", "b"), "near-again", sets.texts)
-    out = edges.union(_kept(_verified(pairs, sets, similar), "near-edges-again", sets.texts)) if pairs.take(1) else edges
+    out = edges.union(_kept(_in_buckets(small, sets, similar), "near-edges-again", sets.texts)) if small.take(1) else edges
     if not hot.take(1):
         return out
     shares = hot.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("m")).select("key", F.col("m.label").alias("main"))
