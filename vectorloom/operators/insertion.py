@@ -7,15 +7,15 @@ are added in reverse; a node with more edges than fit keeps diverse ones. The ba
 searched for again, from its own links, so that nodes of one batch find each other.
 
 grown() does that in one task, for a shard or the first BASE nodes. insert_graph() goes on
-with batches as Spark jobs: new nodes are searched for in Arrow batches against the broadcast
-vectors and edges so far, which must fit arrow_walk.MAX_BYTES together (checked; larger tables
-are built as shards, see plans.sharded). Edges are pruned where they lie: only ids and
-distances are shuffled.
+with batches as Spark jobs: new nodes are dealt among tasks, each of which gets the vectors and
+edges so far by the shuffle (operators.whole), not from the driver; they must fit
+arrow_walk.MAX_BYTES together (checked; larger tables are built as shards, see plans.sharded).
+Edges are pruned in the same way.
 
 The repair joins what a start node does not reach by edges of parents that have room, and gives
 each node that does not reach the start an edge back, so that every node reaches every other; no
 node gets more than its degree, of whose places every SPARE-th is left free for that. One task does
-it for a graph that is broadcast (Nodes.connected); connected() does it in rounds of joins.
+it for a graph that fits a task (Nodes.connected); connected() does it in rounds of joins.
 """
 
 from __future__ import annotations
@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 from ..functions.vectors import portable_hash
 from ..plans.scratch import written
 from . import arrow_walk
-from .arrow_walk import Adjacency, Marks, beam
-from .exact import exact_knn_blocks, matrix
+from .arrow_walk import Adjacency, Marks, beam, laid_out
+from .exact import exact_knn_blocks
 from .topk import topk
+from .whole import shares, with_whole
 
 #: Candidates of a new node; nodes that are linked with all others; nodes that one task inserts.
 EF, FIRST, BASE = 80, 64, 4096
@@ -237,70 +238,69 @@ def node_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield rest
 
 
+_EDGES = "src long, dst long, dist double"
+
+
+def _edge_batch(src: np.ndarray, dst: np.ndarray, dist: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(dist)], ["src", "dst", "dist"])
+
+
 class Nodes:
-    """The vectors of a build, broadcast once: ids in order and float32 rows."""
+    """The vectors of a build, written once: ids and float32 rows. Tasks that need all of them get them by the shuffle."""
 
     def __init__(self, vectors: DataFrame, dims: int, degree: int):
         if not arrow_walk.fits(vectors, dims, degree):
-            raise ValueError("the vectors are too many to insert against a broadcast graph: build a ShardedIndex, or use mode='clusters' or 'exact'")
-        table = vectors.select("id", F.col("vec").cast("array<float>").alias("vec")).orderBy("id").toArrow()
-        self.n = len(table)
-        x = np.ascontiguousarray(matrix(table.column("vec").combine_chunks()), np.float32).reshape(self.n, -1)
-        self.held = vectors.sparkSession.sparkContext.broadcast((np.asarray(table.column("id")).astype(np.int64), x))
-
-    def graph(self, edges: DataFrame):
-        """The edges (src, dst) as a broadcast Adjacency; their number is bounded by the nodes' degree."""
-        ids, _ = self.held.value
-        t = edges.select("src", "dst").toArrow()
-        src, dst = (np.asarray(t.column(c)) for c in ("src", "dst"))
-        return edges.sparkSession.sparkContext.broadcast(Adjacency.of(ids, src, dst, np.zeros(len(src), np.int8)))
-
-    def each(self, ids: DataFrame, run: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
-        """(src, dst, dist) that run(x, places) gives, by place, for Arrow batches of the nodes in ids."""
-        held = self.held
-
-        def mapped(batches):
-            names, x = held.value
-            for b in batches:
-                src, dst, dist = run(x, np.searchsorted(names, np.asarray(b.column(0))))
-                yield pa.RecordBatch.from_arrays([pa.array(names[src]), pa.array(names[dst]), pa.array(dist)], ["src", "dst", "dist"])
-
-        return ids.select("id").mapInArrow(mapped, "src long, dst long, dist double")
+            raise ValueError("the vectors are too many for a task that inserts: build a ShardedIndex, or use mode='clusters' or 'exact'")
+        self.held = written(vectors.select("id", F.col("vec").cast("array<float>").alias("vec")))
+        self.n = self.held.count()
+
+    def graph(self, edges: DataFrame) -> DataFrame:
+        """(id, vec, links): the vectors with their neighbours, nearest first."""
+        return self.held.join(arrow_walk.neighbour_lists(edges, "dist"), "id", "left")
+
+    def each(self, ids: DataFrame, edges: DataFrame, run: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]], start: int | None = None) -> DataFrame:
+        """(src, dst, dist) that run(x, graph, places, place of start) gives, by place, for shares of the nodes in ids."""
+
+        def mapped(asked: pa.Table, whole: pa.Table):
+            names, x, graph = laid_out(whole, "links")
+            places = np.searchsorted(names, np.sort(np.asarray(asked.column("id"))))
+            src, dst, dist = run(x, graph, places, None if start is None else int(np.searchsorted(names, start)))
+            yield _edge_batch(names[src], names[dst], dist)
+
+        return with_whole(ids.select("id"), self.graph(edges), mapped, _EDGES, "id", shares(ids, ids.count()))
 
     def connected(self, edges: DataFrame, degree: int, start: int | None = None) -> DataFrame:
         """edges (src, dst, dist) and those that connect what start (None: the least id) does not reach, or what does not reach it.
 
-        One task finds them: it holds what every task holds, vectors and edges below MAX_BYTES.
+        One task finds them: it holds vectors and edges below MAX_BYTES.
         """
-        held, graph = self.held, self.graph(edges)
-
-        def run(batches):
-            for _ in batches:
-                names, x = held.value
-                g = Grown(x, degree, 1)
-                g.rows[:, : graph.value.rows.shape[1]] = graph.value.rows
-                g.connect(0 if start is None else int(np.searchsorted(names, start)))
-                src, c = np.nonzero(np.pad(graph.value.rows, ((0, 0), (0, degree - graph.value.rows.shape[1])), constant_values=-1) != g.rows)
-                dst = g.rows[src, c].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(names[src]), pa.array(names[dst]), pa.array(distances(x, src, dst))], ["src", "dst", "dist"])
-
-        more = edges.sparkSession.range(1).coalesce(1).mapInArrow(run, "src long, dst long, dist double")
+
+        def run(_, whole: pa.Table):
+            names, x, graph = laid_out(whole, "links")
+            g = Grown(x, degree, 1)
+            g.rows[:, : graph.rows.shape[1]] = graph.rows
+            g.connect(0 if start is None else int(np.searchsorted(names, start)))
+            src, c = np.nonzero(np.pad(graph.rows, ((0, 0), (0, degree - graph.rows.shape[1])), constant_values=-1) != g.rows)
+            dst = g.rows[src, c].astype(np.int64)
+            yield _edge_batch(names[src], names[dst], distances(x, src, dst))
+
+        more = with_whole(edges.sparkSession.range(1), self.graph(edges), run, _EDGES, "id", 1)
         return edges.select("src", "dst", "dist").union(written(more))
 
     def thinned(self, edges: DataFrame, most: int) -> DataFrame:
-        """At most `most` edges of each node; only ids and distances are shuffled."""
-        held = self.held
+        """At most `most` edges of each node."""
 
-        def run(batches):
-            names, x = held.value
-            for t in node_batches(batches):
-                src, dst, dist = (np.asarray(t.column(c)) for c in ("src", "dst", "dist"))
-                stay = thinned(src, np.searchsorted(names, dst), dist, x, most)
-                yield from t.take(pa.array(stay)).to_batches()
+        def run(asked: pa.Table, whole: pa.Table):
+            names, x = laid_out(whole)
+            src, dst, dist = (np.asarray(asked.column(c)) for c in ("src", "dst", "dist"))
+            order = np.lexsort((dst, dist, src))
+            src, dst, dist = src[order], dst[order], dist[order]
+            stay = thinned(src, np.searchsorted(names, dst), dist, x, most)
+            yield _edge_batch(src[stay], dst[stay], dist[stay])
 
         once = edges.groupBy("src", "dst").agg(F.min("dist").alias("dist"))
         near = topk(once, WIDE, "src", ("dist", "dst")).select("src", "dst", "dist")
-        return near.repartition("src").sortWithinPartitions("src", "dist", "dst").mapInArrow(run, "src long, dst long, dist double")
+        return with_whole(near, self.held, run, _EDGES, "src", shares(edges, self.n))
 
 
 def _with_reverse(edges: DataFrame) -> DataFrame:
@@ -315,31 +315,26 @@ def insert_edges(vectors: DataFrame, nodes: Nodes, degree: int, ef: int = EF, ba
     order = written(vectors.select("id", level.alias("level")))
 
     def first(table: pa.Table) -> pa.Table:
-        names, x = nodes.held.value
-        ids = np.sort(np.asarray(table.column("id")))
-        at = np.searchsorted(names, ids)
-        shuffled = np.random.default_rng(seed).permutation(len(at))
-        src, dst = Grown(x[at][shuffled], degree, ef).grow().edges()
-        src, dst = at[shuffled[src]], at[shuffled[dst]]
-        return pa.table({"src": names[src], "dst": names[dst], "dist": distances(x, src, dst)})
-
-    edges = written(order.where("level = 0").groupBy("level").applyInArrow(first, "src long, dst long, dist double"))  # about `base` nodes
-    half, held = max(1, degree // 2), nodes.held
+        ids, x = laid_out(table)
+        shuffled = np.random.default_rng(seed).permutation(len(ids))
+        src, dst = Grown(x[shuffled], degree, ef).grow().edges()
+        src, dst = shuffled[src], shuffled[dst]
+        return pa.table({"src": ids[src], "dst": ids[dst], "dist": distances(x, src, dst)})
+
+    edges = written(order.where("level = 0").join(nodes.held, "id").groupBy("level").applyInArrow(first, _EDGES))  # about `base` nodes
+    half = max(1, degree // 2)
     for at in range(1, (order.agg(F.max("level")).first()[0] or 0) + 1):
         new = order.where(F.col("level") == at).select("id")
         for again in (False, True):
-            graph = nodes.graph(edges)
 
-            def run(x: np.ndarray, places: np.ndarray, graph=graph, again=again):
-                adjacency = graph.value
+            def run(x: np.ndarray, adjacency: Adjacency, places: np.ndarray, _, again=again):
                 marks = Marks(max(1, min(LOT, (1 << 26) // max(1, len(x)))), len(x))
                 old = np.flatnonzero((adjacency.rows[:, 0] >= 0)) if not again else None
                 starts = adjacency.rows[places] if again else old[np.linspace(0, len(old) - 1, STARTS).astype(int)]
                 return search_links(x, adjacency, places, starts, ef, half, marks, own=again)
 
-            found = nodes.each(new, run)
+            found = written(nodes.each(new, edges, run))
             edges = written(nodes.thinned(edges.union(_with_reverse(found)), room(degree)))
-            graph.unpersist()
     return edges
 
 
@@ -357,15 +352,13 @@ def search_path_graph(vectors: DataFrame, degree: int, dims: int, ef: int = EF,
     looked at, and v stays unless some chosen w is nearer to the node and nearer to v.
     """
     nodes = Nodes(vectors, dims, degree)
-    held = nodes.connected(insert_edges(vectors, nodes, degree, ef, base, seed), degree, start)
-    graph, most = nodes.graph(held), room(degree)
-    first = np.searchsorted(nodes.held.value[0], start)
+    held, most = nodes.connected(insert_edges(vectors, nodes, degree, ef, base, seed), degree, start), room(degree)
 
-    def run(x: np.ndarray, places: np.ndarray):
+    def run(x: np.ndarray, graph: Adjacency, places: np.ndarray, first: int):
         out, marks = [(np.zeros(0, np.int64),) * 2], Marks(max(1, min(LOT, (1 << 26) // max(1, len(x)))), len(x))
         for at in range(0, len(places), len(marks.marks)):
             part, trace = places[at : at + len(marks.marks)], []
-            beam(x[part], x, graph.value, np.full((len(part), 1), first, np.int32), ef, marks.fresh(), trace=trace)
+            beam(x[part], x, graph, np.full((len(part), 1), first, np.int32), ef, marks.fresh(), trace=trace)
             row, node, dist = (np.concatenate(c) for c in zip(*trace, strict=True))
             other = node != part[row]
             row, node, dist = row[other], node[other], dist[other]
@@ -383,7 +376,7 @@ def search_path_graph(vectors: DataFrame, degree: int, dims: int, ef: int = EF,
         src, dst = (np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True))
         return src, dst, distances(x, src, dst)
 
-    return nodes.connected(written(nodes.each(vectors, run)), degree, start)
+    return nodes.connected(written(nodes.each(vectors, held, run, start)), degree, start)
 
 
 def reached(edges: DataFrame, start: DataFrame, seen: DataFrame | None = None) -> DataFrame:

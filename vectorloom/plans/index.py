@@ -66,7 +66,7 @@ class StagedIndex:
     """Tables: vectors (id, vec, prefix), rotation, edges, sample, sub_edges, routers, entries; and a config."""
 
     def __init__(self, config: Config, tables: dict[str, DataFrame]):
-        self.config, self.tables, self._broadcast = config, tables, None
+        self.config, self.tables, self._broadcast, self._rows = config, tables, None, None
 
     @classmethod
     def build(cls, vectors: DataFrame, config: Config, path: str, rotation: np.ndarray | None = None, ef: int = EF_BUILD, mode: str = "insert") -> StagedIndex:
@@ -130,15 +130,24 @@ class StagedIndex:
         q = queries.select("qid", prefix("vec", c.d_principle).alias("vec"))
         return entry.entry_distances(q, t["entries"], p, c.d_principle, t["routers"] if c.entry_method.startswith("router") else None)
 
-    def deploy(self) -> StagedIndex:
-        """Broadcast the index for the Arrow tier; refused above its size bound."""
+    def rows(self) -> DataFrame:
+        """The index as one row a vector (arrow_walk.index_rows), written once; refused above the size that a task may hold."""
         t, c = self.tables, self.config
-        if self._broadcast is None:
+        if self._rows is None:
             widest = max((r.n or 0) for e in (t["edges"], t["sub_edges"]) for r in e.groupBy("src").count().agg(F.max("count").alias("n")).collect())
             if not arrow_walk.fits(t["vectors"], c.d_model, widest):
-                raise ValueError("the index is too large to broadcast: use tier='relational' or ShardedIndex")
-            local = arrow_walk.gather(t["vectors"], t["edges"], t["entries"], c.d_model, c.d_principle, t["sub_edges"], t["routers"] if c.entry_method.startswith("router") else None)
-            self._broadcast = t["vectors"].sparkSession.sparkContext.broadcast(local)
+                raise ValueError("the index is too large for a task: use tier='relational' or ShardedIndex")
+            self._rows = written(arrow_walk.index_rows(t["vectors"], t["edges"], t["sub_edges"]))
+        return self._rows
+
+    def starts(self) -> arrow_walk.Starts:
+        return arrow_walk.Starts.of(self.tables["entries"], self.tables["routers"] if self.config.entry_method.startswith("router") else None)
+
+    def deploy(self) -> StagedIndex:
+        """Broadcast the index for the Arrow tier: all of it passes the driver, and later searches need no shuffle. Refused above its size bound."""
+        if self._broadcast is None:
+            local = self.starts().local(self.rows().toArrow(), self.config.d_principle)
+            self._broadcast = self.tables["vectors"].sparkSession.sparkContext.broadcast(local)
         return self
 
     def staged(self, queries: DataFrame, ef: int, rounds: int | None = None) -> list[Walk]:
@@ -154,12 +163,15 @@ class StagedIndex:
         """(qid, rank, id, dist): the k nearest found. tier: arrow, relational or exact.
 
         max_iter: steps of a stage at most (arrow, relational). chunk_size: queries that the Arrow tier advances together.
+        The Arrow tier's tasks get the index by the shuffle, or have it as a broadcast after deploy().
         """
         if ef < k:
             raise ValueError("ef must be at least k")
         cols = ["qid", "rank", "id", "dist"]
         if tier == "arrow":
-            return arrow_walk.arrow_search(self.rotated(queries), self.deploy()._broadcast, k, ef, max_iter, chunk_size)
+            if self._broadcast is not None:
+                return arrow_walk.arrow_search(self.rotated(queries), self._broadcast, k, ef, max_iter, chunk_size)
+            return arrow_walk.whole_search(self.rotated(queries), self.rows(), self.starts(), self.config.d_principle, k, ef, max_iter, chunk_size)
         if tier == "relational":
             return self.staged(queries, ef, max_iter)[-1].result(k).select(*cols)
         if tier == "exact":
