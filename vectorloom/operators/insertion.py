@@ -33,7 +33,7 @@ from . import arrow_walk
 from .arrow_walk import Adjacency, Marks, beam, laid_out
 from .exact import exact_knn_blocks
 from .topk import topk
-from .whole import shares, with_whole
+from .whole import few_shares, shares, with_whole
 
 #: Candidates of a new node; nodes that are linked with all others; nodes that one task inserts.
 EF, FIRST, BASE = 80, 64, 4096
@@ -254,12 +254,12 @@ class Nodes:
         self.held = written(vectors.select("id", F.col("vec").cast("array<float>").alias("vec")))
         self.n = self.held.count()
 
-    def graph(self, edges: DataFrame) -> DataFrame:
-        """(id, vec, links): the vectors with their neighbours, nearest first."""
-        return self.held.join(arrow_walk.neighbour_lists(edges, "dist"), "id", "left")
+    def graph(self, edges: DataFrame, held: DataFrame | None = None) -> DataFrame:
+        """(id, vec, links): the vectors (held: of so many nodes only) with their neighbours, nearest first."""
+        return (self.held if held is None else held).select("id", "vec").join(arrow_walk.neighbour_lists(edges, "dist"), "id", "left")
 
-    def each(self, ids: DataFrame, edges: DataFrame, run: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]], start: int | None = None) -> DataFrame:
-        """(src, dst, dist) that run(x, graph, places, place of start) gives, by place, for shares of the nodes in ids."""
+    def each(self, ids: DataFrame, edges: DataFrame, run: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]], start: int | None = None, held: DataFrame | None = None) -> DataFrame:
+        """(src, dst, dist) that run(x, graph, places, place of start) gives, by place, for shares of the nodes in ids; held as in graph."""
 
         def mapped(asked: pa.Table, whole: pa.Table):
             names, x, graph = laid_out(whole, "links")
@@ -267,7 +267,7 @@ class Nodes:
             src, dst, dist = run(x, graph, places, None if start is None else int(np.searchsorted(names, start)))
             yield _edge_batch(names[src], names[dst], dist)
 
-        return with_whole(ids.select("id"), self.graph(edges), mapped, _EDGES, "id", shares(ids, ids.count()))
+        return with_whole(ids.select("id"), self.graph(edges, held), mapped, _EDGES, "id", shares(ids, ids.count()))
 
     def connected(self, edges: DataFrame, degree: int, start: int | None = None) -> DataFrame:
         """edges (src, dst, dist) and those that connect what start (None: the least id) does not reach, or what does not reach it.
@@ -287,20 +287,22 @@ class Nodes:
         more = with_whole(edges.sparkSession.range(1), self.graph(edges), run, _EDGES, "id", 1)
         return edges.select("src", "dst", "dist").union(written(more))
 
-    def thinned(self, edges: DataFrame, most: int) -> DataFrame:
-        """At most `most` edges of each node."""
+    def thinned(self, edges: DataFrame, most: int, held: DataFrame | None = None) -> DataFrame:
+        """At most `most` edges of each node, each once with its least distance; held as in graph. A third of the tasks do it, so the vectors are sent fewer times."""
 
         def run(asked: pa.Table, whole: pa.Table):
             names, x = laid_out(whole)
             src, dst, dist = (np.asarray(asked.column(c)) for c in ("src", "dst", "dist"))
-            order = np.lexsort((dst, dist, src))
+            order = np.lexsort((dist, dst, src))
+            s, d = src[order], dst[order]
+            order = order[np.concatenate([[True], (s[1:] != s[:-1]) | (d[1:] != d[:-1])])]
+            order = order[np.lexsort((dst[order], dist[order], src[order]))]
             src, dst, dist = src[order], dst[order], dist[order]
             stay = thinned(src, np.searchsorted(names, dst), dist, x, most)
             yield _edge_batch(src[stay], dst[stay], dist[stay])
 
-        once = edges.groupBy("src", "dst").agg(F.min("dist").alias("dist"))
-        near = topk(once, WIDE, "src", ("dist", "dst")).select("src", "dst", "dist")
-        return with_whole(near, self.held, run, _EDGES, "src", shares(edges, self.n))
+        whole = (self.held if held is None else held).select("id", "vec")
+        return with_whole(edges.select("src", "dst", "dist"), whole, run, _EDGES, "src", few_shares(edges, self.n))
 
 
 def _with_reverse(edges: DataFrame) -> DataFrame:
@@ -312,7 +314,7 @@ def insert_edges(vectors: DataFrame, nodes: Nodes, degree: int, ef: int = EF, ba
     part = F.least(F.lit(1.0), F.lit(base / max(1, nodes.n)))
     share = (portable_hash("id", seed) + 1) / float(1 << 32)
     level = F.greatest(F.lit(0), F.ceil(F.log2(share / part))).cast("int")  # each level as many as all before
-    order = written(vectors.select("id", level.alias("level")))
+    order = written(nodes.held.select("id", level.alias("level"), "vec"))
 
     def first(table: pa.Table) -> pa.Table:
         ids, x = laid_out(table)
@@ -321,10 +323,10 @@ def insert_edges(vectors: DataFrame, nodes: Nodes, degree: int, ef: int = EF, ba
         src, dst = shuffled[src], shuffled[dst]
         return pa.table({"src": ids[src], "dst": ids[dst], "dist": distances(x, src, dst)})
 
-    edges = written(order.where("level = 0").join(nodes.held, "id").groupBy("level").applyInArrow(first, _EDGES))  # about `base` nodes
+    edges = written(order.where("level = 0").groupBy("level").applyInArrow(first, _EDGES))  # about `base` nodes
     half = max(1, degree // 2)
     for at in range(1, (order.agg(F.max("level")).first()[0] or 0) + 1):
-        new = order.where(F.col("level") == at).select("id")
+        new, held = order.where(F.col("level") == at).select("id"), order.where(F.col("level") <= at)
         for again in (False, True):
 
             def run(x: np.ndarray, adjacency: Adjacency, places: np.ndarray, _, again=again):
@@ -333,8 +335,8 @@ def insert_edges(vectors: DataFrame, nodes: Nodes, degree: int, ef: int = EF, ba
                 starts = adjacency.rows[places] if again else old[np.linspace(0, len(old) - 1, STARTS).astype(int)]
                 return search_links(x, adjacency, places, starts, ef, half, marks, own=again)
 
-            found = written(nodes.each(new, edges, run))
-            edges = written(nodes.thinned(edges.union(_with_reverse(found)), room(degree)))
+            found = written(nodes.each(new, edges, run, held=held))
+            edges = written(nodes.thinned(edges.union(_with_reverse(found)), room(degree), held))
     return edges
 
 

@@ -22,6 +22,11 @@ def shares(df: DataFrame, rows: int, least: int = LEAST) -> int:
     return max(1, min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // least)))
 
 
+def few_shares(df: DataFrame, rows: int) -> int:
+    """A third of those, for work that is small beside what a task is sent."""
+    return -(-shares(df, rows) // 3)
+
+
 def with_whole(asked: DataFrame, whole: DataFrame, run: Callable[[pa.Table, pa.Table], Iterable[pa.RecordBatch]], schema: str, by: str, tasks: int) -> DataFrame:
     """run(share, all) in `tasks` tasks: the rows of asked that a hash of the column `by` deals to the task, and all rows of whole, in any order. Without a share there is no call."""
     mine = asked.select(F.pmod(F.xxhash64(by), F.lit(tasks)).cast("int").alias("cell"), F.struct(*asked.columns).alias("share"))
