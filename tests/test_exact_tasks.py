@@ -62,10 +62,10 @@ def test_a_null_vector_gives_null_distances(spark):
 
 
 def test_queries_of_all_pairs_send_no_table_through_the_driver(spark, tmp_path):
-    from vectorloom.queries import residual_dist
+    from vectorloom.queries import prefix_dist, residual_dist, square_dist_nodelist
 
     rows = [(i, [float(v) for v in np.random.default_rng(i).normal(size=64)], 0) for i in range(100)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    for query, n in ((residual_dist, 4 * 96),):
+    for query, n in ((prefix_dist, 4 * 96), (residual_dist, 4 * 96), (square_dist_nodelist, 4 * sum(i % 25 > 0 and i % 7 == 1 for i in range(100)))):
         df = query(spark, str(tmp_path))
         assert df.count() == n and "Broadcast" not in df._jdf.queryExecution().toString()
