@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.operators import insertion
 from vectorloom.operators.arrow_walk import laid_out
-from vectorloom.operators.whole import with_whole
+from vectorloom.operators.whole import dealt, with_whole
 from vectorloom.plans.index import Config, StagedIndex
 from vectorloom.plans.scratch import written
 
@@ -68,3 +68,13 @@ def test_lists_with_nulls_and_many_batches():
     ids, x, graph = laid_out(pa.concat_tables([part([9, 2], [[2, 5], None]), part([5], [[9]])]), "links")
     assert ids.tolist() == [2, 5, 9] and x[:, 0].tolist() == [2, 5, 9]
     assert graph.rows.tolist() == [[-1, -1], [2, -1], [0, 1]]
+
+
+def test_no_null_lists_are_dealt(spark):
+    """Rows without vectors beside rows with them: null lists made a batch cost the square of its rows."""
+    base = written(frame(spark, np.ones((6, 3))))
+    for asked, whole in ((spark.range(40).select("id"), base), (base, spark.range(40).select("id"))):
+        cells = dealt(asked, whole, "id", 3)
+        side = "all" if whole is base else "share"
+        assert cells.count() == asked.count() + 3 * whole.count()
+        assert cells.where(f"{side}.vec IS NULL").count() == 0 and cells.where("asks").count() == asked.count()
