@@ -33,7 +33,7 @@ from . import arrow_walk
 from .arrow_walk import Adjacency, Marks, beam, laid_out
 from .exact import exact_knn_blocks
 from .topk import topk
-from .whole import few_shares, shares, with_whole
+from .whole import shares, with_whole
 
 #: Candidates of a new node; nodes that are linked with all others; nodes that one task inserts.
 EF, FIRST, BASE = 80, 64, 4096
@@ -288,7 +288,7 @@ class Nodes:
         return edges.select("src", "dst", "dist").union(written(more))
 
     def thinned(self, edges: DataFrame, most: int, held: DataFrame | None = None) -> DataFrame:
-        """At most `most` edges of each node, each once with its least distance; held as in graph. A third of the tasks do it, so the vectors are sent fewer times."""
+        """At most `most` edges of each node, each once with its least distance; held as in graph."""
 
         def run(asked: pa.Table, whole: pa.Table):
             names, x = laid_out(whole)
@@ -302,7 +302,7 @@ class Nodes:
             yield _edge_batch(src[stay], dst[stay], dist[stay])
 
         whole = (self.held if held is None else held).select("id", "vec")
-        return with_whole(edges.select("src", "dst", "dist"), whole, run, _EDGES, "src", few_shares(edges, self.n))
+        return with_whole(edges.select("src", "dst", "dist"), whole, run, _EDGES, "src", shares(edges, self.n))
 
 
 def _with_reverse(edges: DataFrame) -> DataFrame:
